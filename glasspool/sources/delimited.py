@@ -4,28 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glasspool import schema
 from glasspool.functions.arrays import parse_array_text
 from glasspool.ledger import Ledger
 from glasspool.operators.normalize import normalize
+from glasspool.settings import GENESIS_TX
 
 _SEPARATOR = ";"
 
+# An empty field is null and a quoted empty field is '', as relational dumps write them. Spark
+# keeps the two apart on reading only if the null mark is not itself empty.
+NULL_MARK = "\\N"
+
 # The file each table is dumped to.
 DUMP_FILES = {name: f"public.{name}.csv" for name in Ledger.names()}
 
 
-def read_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One dump, typed, with its text arrays parsed. A value of the wrong type stops the job."""
-    raw = (
-        spark.read.schema(schema.dump_schema(table))
+def read_csv(spark: SparkSession, path: str, kind: StructType) -> DataFrame:
+    """A result written by `write_csv`."""
+    return (
+        spark.read.schema(kind)
         .option("sep", _SEPARATOR)
         .option("header", "true")
         .option("mode", "FAILFAST")
-        .option("emptyValue", "")
+        .option("nullValue", NULL_MARK)
         .csv(path)
     )
+
+
+def read_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """One dump, typed, with its text arrays parsed. A value of the wrong type stops the job."""
+    raw = read_csv(spark, path, schema.dump_schema(table))
     parsed = {
         field.name: parse_array_text(F.col(field.name)).alias(field.name)
         for field in schema.STAGING[table].fields
@@ -45,7 +56,7 @@ def load_dumps(
     spark: SparkSession,
     folder: str,
     height_limit: int | None = None,
-    genesis_tx: str | None = None,
+    genesis_tx: str | None = GENESIS_TX,
 ) -> Ledger:
     """Dumps to a ledger: parse, prune, limit, resolve, enrich."""
     return normalize(read_dumps(spark, folder), height_limit, genesis_tx)
@@ -64,7 +75,6 @@ def write_csv(df: DataFrame, path: str) -> None:
         .write.mode("overwrite")
         .option("sep", _SEPARATOR)
         .option("header", "true")
-        .option("emptyValue", "")
         .csv(path)
     )
 

@@ -25,7 +25,7 @@ QUERIES: dict[str, Query] = {}
 
 HEIGHT_LIMIT = 1200
 GENESIS_TX = "t1"
-PROFILED_ADDRESS = "a4_1"
+PROFILED_ADDRESS = "a88_7"
 FAULTY_EVERY = 97
 DUPLICATED_EVERY = 50
 
@@ -732,14 +732,7 @@ def address_list_write(t: Testbed) -> DataFrame:
 def _read_back(t: Testbed, df: DataFrame, write: Callable[[str], None], kind=None) -> DataFrame:
     path = t.workspace.fresh_path("csv")
     write(path)
-    return (
-        t.retail.spark.read.schema(kind or df.schema)
-        .option("sep", ";")
-        .option("header", "true")
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
-        .csv(path)
-    )
+    return delimited.read_csv(t.retail.spark, path, kind or df.schema)
 
 
 @query

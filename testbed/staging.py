@@ -131,12 +131,8 @@ def dump_frame(staged: DataFrame) -> DataFrame:
 
 def write_dumps(testbed: Testbed, folder: str) -> None:
     for name, staged in staging_frames(testbed).items():
-        (
-            dump_frame(staged)
-            .write.option("sep", ";")
-            .option("header", "true")
-            .option("emptyValue", "")
-            .csv(f"{folder}/{DUMP_FILES[name]}")
+        dump_frame(staged).write.option("sep", ";").option("header", "true").csv(
+            f"{folder}/{DUMP_FILES[name]}"
         )
 
 
