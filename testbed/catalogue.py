@@ -32,7 +32,7 @@ DUPLICATED_EVERY = 50
 _testbeds: dict[tuple[str, str], Testbed] = {}
 
 
-def testbed_of(spark: SparkSession, folder: str) -> Testbed:
+def open_testbed(spark: SparkSession, folder: str) -> Testbed:
     key = (spark.conf.get("spark.app.id"), folder)
     if key not in _testbeds:
         _testbeds[key] = Testbed(spark, folder)
@@ -41,7 +41,7 @@ def testbed_of(spark: SparkSession, folder: str) -> Testbed:
 
 def query(build: Callable[[Testbed], DataFrame]) -> Callable[[Testbed], DataFrame]:
     """Register a function of the testbed under its own name."""
-    QUERIES[build.__name__] = lambda spark, folder: build(testbed_of(spark, folder))
+    QUERIES[build.__name__] = lambda spark, folder: build(open_testbed(spark, folder))
     return build
 
 
