@@ -61,14 +61,23 @@ def limit_height(
     return limited
 
 
+def clean_tables(
+    staged: dict[str, DataFrame], height_limit: int | None = None
+) -> dict[str, DataFrame]:
+    """Every staging table pruned and renamed; blocks up to the limit."""
+    clean = {name: clean_columns(name, staged[name]) for name in Ledger.names()}
+    if height_limit is not None:
+        clean["block"] = clean["block"].filter(F.col("b_height") <= height_limit)
+    return clean
+
+
 def normalize(
     staged: dict[str, DataFrame],
     height_limit: int | None = None,
     genesis_tx: str | None = None,
 ) -> Ledger:
     """Six staging tables to a ledger: prune, limit, resolve inputs, enrich joinsplits."""
-    clean = {name: clean_columns(name, staged[name]) for name in Ledger.names()}
-    clean = limit_height(clean, height_limit, genesis_tx)
+    clean = limit_height(clean_tables(staged), height_limit, genesis_tx)
     vin = resolve_inputs(clean["vin"], clean["vout"])
     vjoinsplit = with_joinsplit_addresses(clean["vjoinsplit"], vin, clean["vout"])
     return Ledger(**{**clean, "vin": vin, "vjoinsplit": vjoinsplit})

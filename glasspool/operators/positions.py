@@ -9,16 +9,36 @@ from glasspool.workspace import Workspace
 
 _ROWS_PER_PARTITION_BITS = 33  # fixed by monotonically_increasing_id
 
+# A key is treated as hot above this many rows and this share of all rows; the share bounds the
+# number of hot keys, so the list of them is safe to broadcast.
+HOT_ROWS = 1_000_000
+MOST_HOT_KEYS = 10_000
 
-def numbered_in_slices(
+
+def split_hot(
+    df: DataFrame, key: list[str], hot_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of hot keys). Most tables have no hot key at all."""
+    least = HOT_ROWS if hot_rows is None else hot_rows
+    share = df.agg((F.count(F.lit(1)) / MOST_HOT_KEYS).alias("_share")).scalar()
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    # rows > all rows / MOST_HOT_KEYS holds for fewer than MOST_HOT_KEYS keys
+    hot = F.broadcast(
+        counts.filter((F.col("_rows") > least) & (F.col("_rows") > share)).select(*key)
+    )
+    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+
+
+def _plain_numbers(
     df: DataFrame, key: list[str], slices: list[str], order: list[Column], alias: str
 ) -> DataFrame:
-    """Row number from 0 within `key`, ordered by the slice columns and then by `order`.
+    within = Window.partitionBy(*key).orderBy(*slices, *order)
+    return df.withColumn(alias, (F.row_number().over(within) - 1).cast("bigint"))
 
-    Equal to row_number() over (partition by key order by slices, order) - 1, worked out per
-    slice of a key plus a running count of the key's earlier slices. A key that holds a large
-    share of all rows is spread over as many tasks as it has slices.
-    """
+
+def _sliced_numbers(
+    df: DataFrame, key: list[str], slices: list[str], order: list[Column], alias: str
+) -> DataFrame:
     parts = key + slices
     inner = df.withColumn(
         "_inner", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)) - 1
@@ -34,17 +54,33 @@ def numbered_in_slices(
     return (
         inner.join(offsets, parts)
         .withColumn(alias, F.col("_inner") + F.col("_before"))
-        .drop("_inner", "_before")
+        .select(*df.columns, alias)
     )
 
 
-def previous_in_slices(
-    df: DataFrame, key: str, slice_: str, order: str, value: str, alias: str
+def numbered_in_slices(
+    df: DataFrame,
+    key: list[str],
+    slices: list[str],
+    order: list[Column],
+    alias: str,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """lag(value) over (partition by key order by slice, order), worked out per slice of a key.
+    """row_number() over (partition by key order by slices, order) - 1.
 
-    The first row of a slice takes the last value of the key's preceding slice.
+    A key that holds a large share of all rows is numbered slice by slice, plus a running count of
+    its earlier slices, so it is spread over as many tasks as it has slices.
     """
+    cold, hot = split_hot(df, key, hot_rows)
+    return _plain_numbers(cold, key, slices, order, alias).unionByName(
+        _sliced_numbers(hot, key, slices, order, alias)
+    )
+
+
+def _sliced_previous(
+    df: DataFrame, key: str, slice_: str, order: str, value: str, alias: str
+) -> DataFrame:
+    """The first row of a slice takes the last value of the key's preceding slice."""
     inner = Window.partitionBy(key, slice_).orderBy(order)
     last = (
         df.groupBy(key, slice_)
@@ -59,7 +95,24 @@ def previous_in_slices(
         df.withColumn("_lag", F.lag(value).over(inner))
         .join(last, [key, slice_])
         .withColumn(alias, F.coalesce("_lag", "_preceding"))
-        .drop("_lag", "_preceding")
+        .select(*df.columns, alias)
+    )
+
+
+def previous_in_slices(
+    df: DataFrame,
+    key: str,
+    slice_: str,
+    order: str,
+    value: str,
+    alias: str,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """lag(value) over (partition by key order by slice, order), slice by slice for hot keys."""
+    cold, hot = split_hot(df, [key], hot_rows)
+    within = Window.partitionBy(key).orderBy(slice_, order)
+    return cold.withColumn(alias, F.lag(value).over(within)).unionByName(
+        _sliced_previous(hot, key, slice_, order, value, alias)
     )
 
 

@@ -33,81 +33,85 @@ def value_sent(vin: DataFrame) -> DataFrame:
     )
 
 
-# One row of a leg: which address and transaction, and what it adds to each measure.
-_MONEY_MEASURES = ("recv", "sent", "pool_recv", "pool_sent")
-_COUNT_MEASURES = ("vouts_count", "vins_count", "coingens_recv")
-
-
-def _leg(rows: DataFrame, addresses: str, tx: str, **measures: Column) -> DataFrame:
-    zeros = {name: amount(_ZERO) for name in _MONEY_MEASURES}
-    zeros |= {name: F.lit(0) for name in _COUNT_MEASURES}
+def _leg(rows: DataFrame, side: str, addresses: str, tx: str, value: str) -> DataFrame:
+    """Rows of one side of the ledger. Only outputs can be coinbase or paid by the pool."""
     return rows.select(
         address_key(F.col(addresses)).alias("address"),
         F.col(tx).alias("tx_hash"),
-        *(measure.alias(name) for name, measure in (zeros | measures).items()),
+        F.lit(side).alias("side"),
+        F.col(value).alias("value"),
+        *(
+            F.col(flag) if flag in rows.columns else F.lit(False).alias(flag)
+            for flag in ("is_coinbase", "is_leaving")
+        ),
     )
 
 
-def output_leg(ledger: Ledger) -> DataFrame:
-    """Outputs, marked as coinbase outputs and as paid out by the pool."""
+def _output_leg(ledger: Ledger) -> DataFrame:
+    true = F.lit(True)
     coinbase = ledger.coingen.select(F.col("c_tx_hash").alias("vo_tx_hash")).distinct()
     leaving = ledger.transaction.filter(F.col("t_type") == DESHIELDED).select(
         F.col("t_tx_hash").alias("vo_tx_hash")
     )
-    marked = ledger.vout.join(
-        coinbase.withColumn("_coinbase", F.lit(1)), "vo_tx_hash", "left"
-    ).join(leaving.withColumn("_leaving", F.lit(True)), "vo_tx_hash", "left")
-    return _leg(
-        marked,
-        "vo_pubkey",
-        "vo_tx_hash",
-        recv=F.col("vo_value"),
-        vouts_count=F.lit(1),
-        coingens_recv=F.coalesce("_coinbase", F.lit(0)),
-        pool_recv=F.when(F.col("_leaving"), F.col("vo_value")).otherwise(amount(_ZERO)),
+    flags = (
+        coinbase.withColumn("is_coinbase", true)
+        .join(leaving.withColumn("is_leaving", true), "vo_tx_hash", "full_outer")
     )
-
-
-def input_leg(ledger: Ledger) -> DataFrame:
-    return _leg(
-        ledger.vin, "vi_address", "vi_tx_hash", sent=F.col("vi_value"), vins_count=F.lit(1)
+    marked = ledger.vout.join(flags, "vo_tx_hash", "left").na.fill(
+        False, ["is_coinbase", "is_leaving"]
     )
+    return _leg(marked, "out", "vo_pubkey", "vo_tx_hash", "vo_value")
 
 
-def deposit_leg(ledger: Ledger) -> DataFrame:
-    """Pool deposits that can be told apart: joinsplits with exactly one source address."""
+def _deposit_leg(ledger: Ledger) -> DataFrame:
+    """Deposits that can be told apart: joinsplits with exactly one source address."""
     single = ledger.vjoinsplit.filter(F.size("vj_source_address") == 1)
-    return _leg(single, "vj_source_address", "vj_tx_hash", pool_sent=F.col("vj_vpub_old"))
-
-
-def _summed(legs: DataFrame, *key: str) -> DataFrame:
-    money = [F.sum(name).alias(name) for name in _MONEY_MEASURES]
-    counts = [F.sum(name).alias(name) for name in _COUNT_MEASURES]
-    return legs.groupBy(*key).agg(*money, *counts)
+    return _leg(single, "pool", "vj_source_address", "vj_tx_hash", "vj_vpub_old")
 
 
 def address_stats(ledger: Ledger, parity: bool = False) -> DataFrame:
     """One row per address key with values, counts and pool flows.
 
-    All legs are summed per (address, transaction) and then per address, so distinct transactions
-    are plain counts and an address with very many rows is spread over its transactions before it
-    is gathered. `parity=True` gives 0 total transactions to addresses active on one side only.
+    The rows of all legs are summed per (address, transaction, side) and then per address, so
+    distinct transactions are plain counts, and an address with very many rows is spread over its
+    transactions before its partial sums are gathered. `parity=True` gives 0 total transactions
+    to addresses active on one side only.
     """
-    legs = output_leg(ledger).unionByName(input_leg(ledger)).unionByName(deposit_leg(ledger))
-    per_transaction = _summed(legs, "address", "tx_hash")
-    money = [total(F.col(name)).alias(name) for name in _MONEY_MEASURES]
-    counts = [F.sum(name).alias(name) for name in _COUNT_MEASURES]
+    legs = (
+        _output_leg(ledger)
+        .unionByName(_leg(ledger.vin, "in", "vi_address", "vi_tx_hash", "vi_value"))
+        .unionByName(_deposit_leg(ledger))
+    )
+    per_transaction = legs.groupBy("address", "tx_hash", "side").agg(
+        F.sum("value").alias("value"),
+        F.count(F.lit(1)).alias("rows"),
+        F.bool_or("is_coinbase").alias("is_coinbase"),
+        F.bool_or("is_leaving").alias("is_leaving"),
+    )
+    value, rows = F.col("value"), F.col("rows")
+    out, in_ = F.col("side") == "out", F.col("side") == "in"
+    zero = F.lit(0).cast("bigint")
+
+    def value_of(condition: Column) -> Column:
+        return total(F.when(condition, value))
+
+    def rows_of(condition: Column) -> Column:
+        return F.sum(F.when(condition, rows).otherwise(zero))
+
     stats = per_transaction.groupBy("address").agg(
-        *money,
-        *counts,
-        F.count_if(F.col("vins_count") > 0).alias("txs_sent"),
-        F.count_if(F.col("vouts_count") > 0).alias("txs_recv"),
+        value_of(out).alias("recv"),
+        value_of(in_).alias("sent"),
+        value_of(F.col("side") == "pool").alias("pool_sent"),
+        value_of(F.col("is_leaving")).alias("pool_recv"),
+        rows_of(out).alias("vouts_count"),
+        rows_of(in_).alias("vins_count"),
+        rows_of(F.col("is_coinbase")).alias("coingens_recv"),
+        F.count_if(in_).alias("txs_sent"),
+        F.count_if(out).alias("txs_recv"),
     )
     both = F.col("txs_sent") + F.col("txs_recv")
     if parity:
-        both = F.when((F.col("txs_sent") > 0) & (F.col("txs_recv") > 0), both).otherwise(
-            F.lit(0).cast("bigint")
-        )
+        both = F.when((F.col("txs_sent") > 0) & (F.col("txs_recv") > 0), both).otherwise(zero)
     return stats.select(
         "address",
         "recv",

@@ -9,8 +9,9 @@ from pyspark.sql.types import StructType
 from glasspool import schema
 from glasspool.functions.arrays import parse_array_text
 from glasspool.ledger import Ledger
-from glasspool.operators.normalize import normalize
+from glasspool.operators.normalize import clean_tables, normalize
 from glasspool.settings import GENESIS_TX
+from glasspool.sources.snapshot import load_ledger, save_clean
 
 _SEPARATOR = ";"
 
@@ -62,6 +63,19 @@ def load_dumps(
     return normalize(read_dumps(spark, folder), height_limit, genesis_tx)
 
 
+def import_dumps(
+    spark: SparkSession,
+    folder: str,
+    path: str,
+    height_limit: int | None = None,
+    genesis_tx: str | None = GENESIS_TX,
+) -> Ledger:
+    """Dumps to a stored ledger. Every dump is parsed once; see `snapshot.save_clean`."""
+    clean = clean_tables(read_dumps(spark, folder), height_limit)
+    save_clean(spark, clean, path, genesis_tx)
+    return load_ledger(spark, path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Any flat result as `;` CSV with a header; array columns become comma-joined text."""
     flat = [

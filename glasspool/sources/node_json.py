@@ -13,6 +13,8 @@ from glasspool.ledger import Ledger
 from glasspool.operators.enrichment import with_joinsplit_addresses
 from glasspool.operators.inputs import resolve_inputs
 from glasspool.operators.quality import block_listing, missing_transactions
+from glasspool.sources.snapshot import load_ledger, save_clean
+from glasspool.workspace import Workspace
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -127,3 +129,15 @@ def load_documents(spark: SparkSession, blocks_path: str, transactions_path: str
     vin = resolve_inputs(clean["vin"], clean["vout"])
     vjoinsplit = with_joinsplit_addresses(clean["vjoinsplit"], vin, clean["vout"])
     return Ledger(**{**clean, "vin": vin, "vjoinsplit": vjoinsplit})
+
+
+def import_documents(
+    spark: SparkSession, blocks_path: str, transactions_path: str, path: str, workspace: Workspace
+) -> Ledger:
+    """Documents to a stored ledger.
+
+    The text is parsed once, into nested Parquet; each leg then reads only its own columns.
+    """
+    documents = workspace.store(read_transactions(spark, transactions_path))
+    save_clean(spark, flatten(read_blocks(spark, blocks_path), documents), path)
+    return load_ledger(spark, path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glasspool.ledger import Ledger
-from glasspool.operators.normalize import normalize
+from glasspool.operators.normalize import clean_tables, normalize
+from glasspool.sources.snapshot import load_ledger, save_clean
 
 # Table names of the staging store, and a numeric column to split each by.
 _TABLES = {
@@ -49,3 +50,18 @@ def load_relational(
     height_limit: int | None = None,
 ) -> Ledger:
     return normalize(read_staging(spark, url, properties, bounds, partitions), height_limit)
+
+
+def import_relational(
+    spark: SparkSession,
+    url: str,
+    properties: dict[str, str],
+    bounds: dict[str, tuple[int, int]],
+    partitions: int,
+    path: str,
+    height_limit: int | None = None,
+) -> Ledger:
+    """Staging tables to a stored ledger; every table is fetched once."""
+    staged = read_staging(spark, url, properties, bounds, partitions)
+    save_clean(spark, clean_tables(staged, height_limit), path)
+    return load_ledger(spark, path)

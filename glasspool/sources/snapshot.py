@@ -9,11 +9,6 @@ from glasspool import schema
 from glasspool.ledger import Ledger
 from glasspool.operators.enrichment import with_joinsplit_addresses
 from glasspool.operators.inputs import resolve_inputs
-from glasspool.operators.normalize import limit_height
-
-# Written last: a load counts as done once its blocks are stored.
-_WRITE_ORDER = ("vout", "vin", "vjoinsplit", "coingen", "transaction", "block")
-
 
 def table_path(path: str, table: str) -> str:
     return f"{path.rstrip('/')}/{table}.parquet"
@@ -34,9 +29,8 @@ def load_ledger(spark: SparkSession, path: str) -> Ledger:
 
 def save_ledger(ledger: Ledger, path: str) -> None:
     """Replace the snapshot at `path`, which must not be one the ledger is read from."""
-    tables = ledger.tables()
-    for name in _WRITE_ORDER:
-        tables[name].write.mode("overwrite").parquet(table_path(path, name))
+    for name, table in ledger.tables().items():
+        table.write.mode("overwrite").parquet(table_path(path, name))
 
 
 def create_store(spark: SparkSession, path: str) -> None:
@@ -50,30 +44,56 @@ def stored_height(spark: SparkSession, path: str) -> int:
     return read_table(spark, path, "block").agg(greatest).first()[0]
 
 
+def save_clean(
+    spark: SparkSession,
+    clean: dict[str, DataFrame],
+    path: str,
+    genesis_tx: str | None = None,
+    slice_: str | None = None,
+) -> None:
+    """Store clean tables whose inputs are not resolved, or add them to a store as a slice.
+
+    Each table is written once and read back by those that depend on it, so a slow source (text,
+    a relational store) is read once per table: transactions select the rows of their legs,
+    stored outputs resolve the inputs, both enrich the joinsplits. A new input may spend an old
+    output, so all stored outputs take part. Blocks are written last: only then is a load done,
+    and one that failed half-way is overwritten by its repetition.
+    """
+    suffix = f"/{slice_}" if slice_ else ""
+
+    def store(name: str, table: DataFrame) -> DataFrame:
+        target = table_path(path, name) + suffix
+        table.write.mode("overwrite").parquet(target)
+        return spark.read.schema(table.schema).parquet(target)
+
+    block, transaction = clean["block"], clean["transaction"]
+    if genesis_tx is not None:
+        transaction = transaction.filter(F.col("t_tx_hash") != genesis_tx)
+    hashes = block.select(F.col("b_hash").alias("t_blockhash"))
+    kept = store(
+        "transaction",
+        transaction.join(hashes, "t_blockhash", "left_semi").select(transaction.columns),
+    )
+
+    def legs(name: str) -> DataFrame:
+        key = schema.TRANSACTION_KEY[name]
+        chosen = kept.select(F.col("t_tx_hash").alias(key))
+        return clean[name].join(chosen, key, "left_semi").select(clean[name].columns)
+
+    store("coingen", legs("coingen"))
+    vout = store("vout", legs("vout"))
+    all_vout = read_table(spark, path, "vout") if slice_ else vout
+    vin = store("vin", resolve_inputs(legs("vin"), all_vout))
+    store("vjoinsplit", with_joinsplit_addresses(legs("vjoinsplit"), vin, vout))
+    store("block", block)
+
+
 def append_above(spark: SparkSession, clean: dict[str, DataFrame], path: str) -> int:
     """Store the blocks above the stored height with everything in them; returns that height.
 
-    `clean` holds the clean tables with inputs not yet resolved. Inputs are resolved and joinsplits
-    enriched after the new outputs are in the store, because a new input may spend an old output.
-    The slice is named after the height it continues from: a load that failed half-way is simply
-    overwritten by its repetition.
+    The slice is named after the height it continues from.
     """
     height = stored_height(spark, path)
     newer = {**clean, "block": clean["block"].filter(F.col("b_height") > height)}
-    newer = limit_height(newer, None)
-    slice_ = f"after={height}"
-    vout_path = table_path(path, "vout")
-    newer["vout"].write.mode("overwrite").parquet(f"{vout_path}/{slice_}")
-    stored_vout = read_table(spark, path, "vout")
-    vin = resolve_inputs(newer["vin"], stored_vout)
-    new_vout = spark.read.schema(schema.VOUT).parquet(f"{vout_path}/{slice_}")
-    ready = {
-        "vin": vin,
-        "vjoinsplit": with_joinsplit_addresses(newer["vjoinsplit"], vin, new_vout),
-        "coingen": newer["coingen"],
-        "transaction": newer["transaction"],
-        "block": newer["block"],
-    }
-    for name in _WRITE_ORDER[1:]:
-        ready[name].write.mode("overwrite").parquet(f"{table_path(path, name)}/{slice_}")
+    save_clean(spark, newer, path, slice_=f"after={height}")
     return height

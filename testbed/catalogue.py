@@ -647,7 +647,7 @@ def ledger_rows(ledger: Ledger, tables: list[str] | None = None) -> DataFrame:
 def csv_round_trip(t: Testbed) -> DataFrame:
     folder = t.workspace.fresh_path("dumps")
     staging.write_dumps(t, folder)
-    return ledger_rows(delimited.load_dumps(t.retail.spark, folder))
+    return ledger_rows(delimited.import_dumps(t.retail.spark, folder, f"{folder}/ledger"))
 
 
 @query
@@ -656,7 +656,13 @@ def json_flatten(t: Testbed) -> DataFrame:
     staging.node_blocks(t).write.json(f"{folder}/blocks")
     staging.node_transactions(t).write.json(f"{folder}/transactions")
     return ledger_rows(
-        node_json.load_documents(t.retail.spark, f"{folder}/blocks", f"{folder}/transactions")
+        node_json.import_documents(
+            t.retail.spark,
+            f"{folder}/blocks",
+            f"{folder}/transactions",
+            f"{folder}/ledger",
+            t.workspace,
+        )
     )
 
 

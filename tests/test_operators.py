@@ -88,20 +88,28 @@ def skewed(spark):
     ).persist()
 
 
-def test_numbering_in_slices_equals_a_plain_window(skewed):
+@pytest.mark.parametrize("hot_rows", [None, 1000, 0])
+def test_numbering_in_slices_equals_a_plain_window(skewed, hot_rows):
     plain = skewed.withColumn(
         "n", F.row_number().over(Window.partitionBy("k").orderBy("s", "v")) - 1
     )
-    sliced = positions.numbered_in_slices(skewed, ["k"], ["s"], [F.col("v")], "n")
+    sliced = positions.numbered_in_slices(skewed, ["k"], ["s"], [F.col("v")], "n", hot_rows)
     assert rows(sliced.select("k", "s", "v", "n")) == rows(plain.select("k", "s", "v", "n"))
 
 
-def test_lag_in_slices_equals_a_plain_window(skewed):
+@pytest.mark.parametrize("hot_rows", [None, 1000, 0])
+def test_lag_in_slices_equals_a_plain_window(skewed, hot_rows):
     plain = skewed.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("s", "v")))
-    sliced = positions.previous_in_slices(skewed, "k", "s", "v", "v", "p")
+    sliced = positions.previous_in_slices(skewed, "k", "s", "v", "v", "p", hot_rows)
     assert rows(sliced.select("k", "s", "v", "p")) == rows(plain.select("k", "s", "v", "p"))
 
 
+def test_only_the_heavy_key_is_hot(skewed):
+    cold, hot = positions.split_hot(skewed, ["k"], 1000)
+    assert rows(hot.select("k").distinct()) == [(0,)]
+    assert cold.count() + hot.count() == skewed.count()
+
+
 def test_ranks_equal_a_global_window(skewed, workspace):
     order = [F.desc("k"), F.asc("v")]
     plain = skewed.withColumn("r", F.row_number().over(Window.orderBy(*order)) - 1)

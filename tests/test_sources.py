@@ -168,6 +168,18 @@ def test_dumps_to_ledger(spark, tmp_path):
     ]
 
 
+def test_lazy_and_stored_imports_agree(spark, documents, workspace, tmp_path):
+    write_small_dumps(tmp_path)
+    lazy = delimited.load_dumps(spark, str(tmp_path), 1, "g")
+    stored = delimited.import_dumps(spark, str(tmp_path), str(tmp_path / "store"), 1, "g")
+    for name, table in lazy.tables().items():
+        assert rows(stored.tables()[name]) == rows(table), name
+    lazy = node_json.load_documents(spark, *documents)
+    stored = node_json.import_documents(spark, *documents, str(tmp_path / "nested"), workspace)
+    for name, table in lazy.tables().items():
+        assert rows(stored.tables()[name]) == rows(table), name
+
+
 def test_a_value_of_the_wrong_type_stops_the_load(spark, tmp_path):
     dump(tmp_path, "coingen", "db_id;tx_hash;coinbase;sequence", "1;g;x;many")
     frame = delimited.read_dump(
