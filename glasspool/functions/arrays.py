@@ -37,9 +37,11 @@ def singleton_or_blank(addresses: Column) -> Column:
 
 def address_key(addresses: Column) -> Column:
     """One string per address set: the address itself, '' for none, a sorted list for several."""
-    return F.array_join(F.array_sort(addresses), ",")
+    return F.when(F.size(addresses) == 1, first_address(addresses)).otherwise(
+        F.array_join(F.sort_array(addresses), ",")
+    )
 
 
 def distinct_sorted(addresses: Column) -> Column:
-    return F.array_sort(F.array_distinct(addresses))
+    return F.sort_array(F.array_distinct(addresses))
 

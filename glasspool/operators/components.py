@@ -78,6 +78,31 @@ def _lower(edges: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(edges: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(address, id) of every node, ids in address order, and the edges in terms of ids.
+
+    Rounds shuffle and compare 8-byte numbers instead of addresses. The ids are written before
+    they are used, because the range bounds behind them are sampled.
+    """
+    named = workspace.store(edges.select("src", "dst"))
+    nodes = (
+        named.select(F.explode(F.array("src", "dst")).alias("address"))
+        .distinct()
+        .repartitionByRange("address")
+        .sortWithinPartitions("address")
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+    names = workspace.store(nodes)
+    ends = [
+        names.select(F.col("address").alias(end), F.col("id").alias(f"{end}_id"))
+        for end in ("src", "dst")
+    ]
+    numbered = named.join(ends[0], "src").join(ends[1], "dst")
+    return names, numbered.select(
+        F.greatest("src_id", "dst_id").alias("node"), F.least("src_id", "dst_id").alias("parent")
+    )
+
+
 def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """(address, cluster_id) of every node of (src, dst); the id is the least address.
 
@@ -86,15 +111,9 @@ def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     split by adaptive skew joins, never gathered. Each round is written to one of two slots, so
     lineage does not grow and at most two generations of edges are on disk.
     """
+    names, numbered = _numbered(edges, workspace)
     slots = [workspace.fresh_path("components-even"), workspace.fresh_path("components-odd")]
-    current = workspace.store(
-        edges.select(
-            F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("parent")
-        )
-        .filter(F.col("node") != F.col("parent"))
-        .distinct(),
-        slots[0],
-    )
+    current = workspace.store(numbered.filter("node <> parent").distinct(), slots[0])
     turn = 0
     while True:
         turn += 1
@@ -102,9 +121,11 @@ def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
         current = following.select("node", "parent")
         if not following.agg(F.bool_or("moved")).first()[0]:
             break
-    members = current.select(F.col("node").alias("address"), F.col("parent").alias("cluster_id"))
-    roots = current.select(F.col("parent").alias("address"), F.col("parent").alias("cluster_id"))
-    return members.unionByName(roots.distinct())
+    members = current.select(F.col("node").alias("id"), "parent").unionByName(
+        current.select(F.col("parent").alias("id"), "parent").distinct()
+    )
+    roots = names.select(F.col("id").alias("parent"), F.col("address").alias("cluster_id"))
+    return members.join(names, "id").join(roots, "parent").select("address", "cluster_id")
 
 
 def component_links(links: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:

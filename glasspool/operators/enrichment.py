@@ -14,7 +14,7 @@ def address_sets(rows: DataFrame, tx: str, addresses: str, alias: str) -> DataFr
     return (
         rows.select(F.col(tx).alias("tx_hash"), F.explode_outer(addresses).alias("_address"))
         .groupBy("tx_hash")
-        .agg(F.array_sort(F.collect_set("_address")).alias(alias))
+        .agg(F.sort_array(F.collect_set("_address")).alias(alias))
     )
 
 

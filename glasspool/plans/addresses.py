@@ -234,26 +234,38 @@ def rich_list(stats: DataFrame, measure: str, size: int = RICH_LIST_SIZE) -> Dat
     )
 
 
-def _holdings(ledger: Ledger, addresses: DataFrame | str) -> tuple[DataFrame, DataFrame]:
-    """Output and input rows of the given address (a string) or addresses (a frame), long form."""
-    columns = {
-        "vout": ("vo_pubkey", "vo_tx_hash", "vo_value"),
-        "vin": ("vi_address", "vi_tx_hash", "vi_value"),
-    }
-    found = []
-    for table, (owner, tx, value) in columns.items():
-        rows = ledger.tables()[table]
-        kept = (F.col(tx).alias("tx_hash"), F.col(value).alias("value"))
+_TALLIES = (
+    "txs_sent",
+    "txs_recv",
+    "coingens",
+    "blocks_mined",
+    "joinsplits_in",
+    "joinsplits_out",
+    "entering",
+    "leaving",
+)
+_AMOUNTS = ("total_shielded", "total_deshielded", "total_received", "total_sent")
+
+
+def _activity(ledger: Ledger, addresses: DataFrame | str) -> DataFrame:
+    """(address, tx_hash, side, value) of the given address (a string) or addresses (a frame)."""
+
+    def held(rows: DataFrame, side: str, owner: str, tx: str, value: str) -> DataFrame:
+        kept = (F.col(tx).alias("tx_hash"), F.col(value).alias("value"), F.lit(side).alias("side"))
         if isinstance(addresses, str):
-            held = rows.filter(F.array_contains(owner, addresses)).select(
+            return rows.filter(F.array_contains(owner, addresses)).select(
                 F.lit(addresses).alias("address"), *kept
             )
-        else:
-            held = rows.select(F.explode(F.array_distinct(owner)).alias("address"), *kept).join(
-                addresses.select("address").distinct(), "address", "left_semi"
-            )
-        found.append(held)
-    return found[0], found[1]
+        return rows.select(F.explode(F.array_distinct(owner)).alias("address"), *kept).join(
+            addresses.select("address").distinct(), "address", "left_semi"
+        )
+
+    return (
+        held(ledger.vout, "recv", "vo_pubkey", "vo_tx_hash", "vo_value")
+        .unionByName(held(ledger.vin, "sent", "vi_address", "vi_tx_hash", "vi_value"))
+        .groupBy("address", "tx_hash", "side")
+        .agg(total(F.col("value")).alias("value"))
+    )
 
 
 def address_profile(
@@ -266,58 +278,60 @@ def address_profile(
     `joinsplits_in_ok` / `joinsplits_out_ok` say whether every joinsplit counted on that side
     moves value in that direction; the shielded and deshielded totals are only meaningful then.
     """
-    received, sent = _holdings(ledger, addresses)
-    coinbase = ledger.coingen.select("c_tx_hash").groupBy(F.col("c_tx_hash").alias("tx_hash")).agg(
-        F.count(F.lit(1)).alias("_coinbase")
+    facts = _activity(ledger, addresses)
+    is_recv, is_sent = F.col("side") == "recv", F.col("side") == "sent"
+    one, zero = F.lit(1), F.lit(0)
+
+    def measures(rows: DataFrame, **values: Column) -> DataFrame:
+        counts = {name: F.when(values.get(name, F.lit(False)), one).otherwise(zero) for name in _TALLIES}
+        amounts = {name: values.get(name, amount(_ZERO)).cast("decimal(38,8)") for name in _AMOUNTS}
+        return rows.select(
+            "address", *(column.alias(name) for name, column in (counts | amounts).items())
+        )
+
+    def value_if(condition: Column, value: str) -> Column:
+        return F.when(condition, F.col(value)).otherwise(amount(_ZERO))
+
+    # inner joins: whichever side is small, usually the activity, is the one Spark broadcasts
+    coinbase = facts.filter(is_recv).join(
+        ledger.coingen.select(F.col("c_tx_hash").alias("tx_hash")), "tx_hash"
     )
-    joinsplits = ledger.vjoinsplit.groupBy(F.col("vj_tx_hash").alias("tx_hash")).agg(
-        F.count(F.lit(1)).alias("_joinsplits"),
-        F.count_if(F.col("vj_vpub_old") > 0).alias("_entering"),
-        F.count_if(F.col("vj_vpub_new") > 0).alias("_leaving"),
-        total(F.col("vj_vpub_old")).alias("_vpub_old"),
-        total(F.col("vj_vpub_new")).alias("_vpub_new"),
+    joinsplits = facts.join(
+        ledger.vjoinsplit.select(
+            F.col("vj_tx_hash").alias("tx_hash"), "vj_vpub_old", "vj_vpub_new"
+        ),
+        "tx_hash",
     )
-    zero_count = F.lit(0).cast("bigint")
-    zero_value = F.lit(0).cast("decimal(38,8)")
-
-    def per_transaction(rows: DataFrame, side: str) -> DataFrame:
-        return (
-            rows.groupBy("address", "tx_hash")
-            .agg(total(F.col("value")).alias("value"))
-            .withColumn("side", F.lit(side))
+    tallied = (
+        measures(
+            facts,
+            txs_sent=is_sent,
+            txs_recv=is_recv,
+            total_received=value_if(is_recv, "value"),
+            total_sent=value_if(is_sent, "value"),
+        )
+        .unionByName(
+            measures(
+                coinbase,
+                coingens=F.lit(True),
+                blocks_mined=F.col("value") != amount(founders_reward),
+            )
+        )
+        .unionByName(
+            measures(
+                joinsplits,
+                joinsplits_in=is_sent,
+                joinsplits_out=is_recv,
+                entering=is_sent & (F.col("vj_vpub_old") > 0),
+                leaving=is_recv & (F.col("vj_vpub_new") > 0),
+                total_shielded=value_if(is_sent, "vj_vpub_old"),
+                total_deshielded=value_if(is_recv, "vj_vpub_new"),
+            )
         )
-
-    facts = (
-        per_transaction(received, "recv")
-        .unionByName(per_transaction(sent, "sent"))
-        .join(coinbase, "tx_hash", "left")
-        .join(joinsplits, "tx_hash", "left")
     )
-    is_recv = F.col("side") == "recv"
-    is_sent = F.col("side") == "sent"
-    mined = is_recv & F.col("_coinbase").isNotNull()
-
-    def count_where(condition: Column, count: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, count)), zero_count)
-
-    def value_where(condition: Column, value: str) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col(value))), zero_value).cast("decimal(38,8)")
-
-    profile = facts.groupBy("address").agg(
-        F.count_if(is_sent).alias("txs_sent"),
-        F.count_if(is_recv).alias("txs_recv"),
-        count_where(mined, F.col("_coinbase")).alias("coingens"),
-        count_where(
-            mined & (F.col("value") != amount(founders_reward)), F.col("_coinbase")
-        ).alias("blocks_mined"),
-        count_where(is_sent, F.col("_joinsplits")).alias("joinsplits_in"),
-        value_where(is_sent, "_vpub_old").alias("total_shielded"),
-        count_where(is_recv, F.col("_joinsplits")).alias("joinsplits_out"),
-        value_where(is_recv, "_vpub_new").alias("total_deshielded"),
-        value_where(is_recv, "value").alias("total_received"),
-        value_where(is_sent, "value").alias("total_sent"),
-        count_where(is_sent, F.col("_entering")).alias("_entering"),
-        count_where(is_recv, F.col("_leaving")).alias("_leaving"),
+    profile = tallied.groupBy("address").agg(
+        *(F.sum(name).alias(name) for name in _TALLIES),
+        *(total(F.col(name)).alias(name) for name in _AMOUNTS),
     )
     heights = ledger.block.agg(
         F.min("b_height").alias("from_height"), F.max("b_height").alias("to_height")
@@ -337,8 +351,8 @@ def address_profile(
         "total_received",
         "total_sent",
         difference(F.col("total_received"), F.col("total_sent")).alias("remaining"),
-        (F.col("joinsplits_in") == F.col("_entering")).alias("joinsplits_in_ok"),
-        (F.col("joinsplits_out") == F.col("_leaving")).alias("joinsplits_out_ok"),
+        (F.col("joinsplits_in") == F.col("entering")).alias("joinsplits_in_ok"),
+        (F.col("joinsplits_out") == F.col("leaving")).alias("joinsplits_out_ok"),
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,20 +128,23 @@ _LISTS = ("pool", "miner", "founder", "heuristic_miner", "heuristic_founder", "t
 
 def _labelled(lists: AddressLists) -> DataFrame:
     """All lists as (address, kind, tag), one row per address and list."""
-
-    def labelled(frame: DataFrame, kind: str, tag: Column) -> DataFrame:
-        return frame.groupBy("address").agg(F.max(tag).alias("tag")).select(
-            "address", F.lit(kind).alias("kind"), "tag"
-        )
-
-    untagged = F.lit(None).cast("string")
+    untagged = F.lit(None).cast("string").alias("tag")
+    frames = zip(
+        _LISTS,
+        (
+            lists.pools.select("address", "tag"),
+            lists.miners.select("address", untagged),
+            lists.founders.select("address", untagged),
+            lists.heuristic_miners.select("address", untagged),
+            lists.heuristic_founders.select("address", untagged),
+            lists.tags.select("address", "tag"),
+        ),
+    )
+    labelled = [frame.withColumn("kind", F.lit(kind)) for kind, frame in frames]
     return (
-        labelled(lists.pools, "pool", F.col("tag"))
-        .unionByName(labelled(lists.miners, "miner", untagged))
-        .unionByName(labelled(lists.founders, "founder", untagged))
-        .unionByName(labelled(lists.heuristic_miners, "heuristic_miner", untagged))
-        .unionByName(labelled(lists.heuristic_founders, "heuristic_founder", untagged))
-        .unionByName(labelled(lists.tags, "tag", F.col("tag")))
+        reduce(DataFrame.unionByName, labelled)
+        .groupBy("address", "kind")
+        .agg(F.max("tag").alias("tag"))
     )
 
 
@@ -149,7 +153,7 @@ def cluster_tags(clusters: DataFrame, lists: AddressLists) -> DataFrame:
     kind = F.col("kind")
 
     def names(of: str) -> Column:
-        return F.array_sort(F.collect_set(F.when(kind == of, F.col("tag"))))
+        return F.sort_array(F.collect_set(F.when(kind == of, F.col("tag"))))
 
     return (
         clusters.join(_labelled(lists), "address")

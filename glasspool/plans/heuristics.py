@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glasspool.functions.arrays import first_address
 from glasspool.functions.money import amount
 from glasspool.ledger import Ledger
-from glasspool.operators.heights import transaction_heights
+from glasspool.operators.heights import with_blockhash
 from glasspool.plans.addresses import coinbase_outputs
 from glasspool.settings import FOUNDER_WITHDRAWAL, MINER_DESTINATIONS
 
@@ -44,15 +44,15 @@ def heuristic4_joinsplits(
 
     The pool list is joined, not listed in the plan, so it may be of any size.
     """
-    wide = (
-        vjoinsplit.filter(F.size("vj_dest_address") > more_than)
-        .select(
-            F.col("vj_tx_hash").alias("tx_hash"),
-            F.sha2(F.to_json("vj_dest_address"), 256).alias("addresses"),
-            F.explode("vj_dest_address").alias("address"),
-        )
-        .distinct()
+    # the digest stands for the destination set; it is taken before the set is exploded
+    digests = vjoinsplit.filter(F.size("vj_dest_address") > more_than).select(
+        F.col("vj_tx_hash").alias("tx_hash"),
+        F.sha2(F.to_json("vj_dest_address"), 256).alias("addresses"),
+        "vj_dest_address",
     )
+    wide = digests.select(
+        "tx_hash", "addresses", F.explode("vj_dest_address").alias("address")
+    ).distinct()
     pays_pool = (
         wide.join(pools.select("address"), "address", "left_semi")
         .select("tx_hash", "addresses")
@@ -75,8 +75,8 @@ def heuristic5_links(ledger: Ledger) -> DataFrame:
     a later block. Each side is reduced to one row per amount before the join, so an amount that
     is repeated very often costs one partial aggregate row per task and never meets its copies.
     """
-    heights = transaction_heights(ledger).select(F.col("tx_hash").alias("vj_tx_hash"), "height")
-    placed = ledger.vjoinsplit.join(heights, "vj_tx_hash")
+    heights = ledger.block.select(F.col("b_hash").alias("blockhash"), F.col("b_height").alias("height"))
+    placed = with_blockhash(ledger, ledger.vjoinsplit, "vj_tx_hash").join(heights, "blockhash")
 
     def unique(value: str, side: str) -> DataFrame:
         return (

@@ -97,8 +97,12 @@ def flatten_legs(documents: DataFrame) -> dict[str, DataFrame]:
             _leg_size("vin").alias("_inputs"),
             _leg_size("vout").alias("_outputs"),
             every_output_address.alias("_addresses"),
-            F.explode("vjoinsplit").alias("entry"),
-        ).select(
+            "vjoinsplit",
+        )
+        .select(
+            "txid", "_inputs", "_outputs", "_addresses", F.explode("vjoinsplit").alias("entry")
+        )
+        .select(
             F.col("txid").alias("vj_tx_hash"),
             to_money(F.col("entry.vpub_old")).alias("vj_vpub_old"),
             to_money(F.col("entry.vpub_new")).alias("vj_vpub_new"),

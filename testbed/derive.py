@@ -191,7 +191,7 @@ def transaction(retail: Retail, inputs: DataFrame, outputs: DataFrame) -> DataFr
 def block(retail: Retail) -> DataFrame:
     """One block per order day. The listing is only gathered by plans that read `b_tx`."""
     days = retail.orders().groupBy("height").agg(
-        F.array_sort(F.collect_list(tx_hash(F.col("ok")))).alias("b_tx")
+        F.sort_array(F.collect_list(tx_hash(F.col("ok")))).alias("b_tx")
     )
     # one row per order day, a fixed calendar
     by_height = Window.orderBy("height")
