@@ -16,6 +16,7 @@ from glasspool.functions.classify import DESHIELDED
 from glasspool.functions.labels import row_label, stitched_address
 from glasspool.functions.money import amount, difference, total
 from glasspool.ledger import Ledger
+from glasspool.schema import MONEY
 from glasspool.settings import FOUNDERS_REWARD, RICH_LIST_SIZE
 
 _ZERO = Decimal(0)
@@ -292,41 +293,41 @@ def address_profile(
     def value_if(condition: Column, value: str) -> Column:
         return F.when(condition, F.col(value)).otherwise(amount(_ZERO))
 
-    # inner joins: whichever side is small, usually the activity, is the one Spark broadcasts
-    coinbase = facts.filter(is_recv).join(
-        ledger.coingen.select(F.col("c_tx_hash").alias("tx_hash")), "tx_hash"
-    )
-    joinsplits = facts.join(
+    # one inner join for both: whichever side is small, usually the activity, can be broadcast
+    nothing = F.lit(None).cast(MONEY)
+    events = ledger.coingen.select(
+        F.col("c_tx_hash").alias("tx_hash"),
+        F.lit(True).alias("is_coinbase"),
+        nothing.alias("vj_vpub_old"),
+        nothing.alias("vj_vpub_new"),
+    ).unionByName(
         ledger.vjoinsplit.select(
-            F.col("vj_tx_hash").alias("tx_hash"), "vj_vpub_old", "vj_vpub_new"
-        ),
-        "tx_hash",
+            F.col("vj_tx_hash").alias("tx_hash"),
+            F.lit(False).alias("is_coinbase"),
+            "vj_vpub_old",
+            "vj_vpub_new",
+        )
     )
-    tallied = (
+    met = facts.join(events, "tx_hash")
+    mints = is_recv & F.col("is_coinbase")
+    enters, leaves = is_sent & ~F.col("is_coinbase"), is_recv & ~F.col("is_coinbase")
+    tallied = measures(
+        facts,
+        txs_sent=is_sent,
+        txs_recv=is_recv,
+        total_received=value_if(is_recv, "value"),
+        total_sent=value_if(is_sent, "value"),
+    ).unionByName(
         measures(
-            facts,
-            txs_sent=is_sent,
-            txs_recv=is_recv,
-            total_received=value_if(is_recv, "value"),
-            total_sent=value_if(is_sent, "value"),
-        )
-        .unionByName(
-            measures(
-                coinbase,
-                coingens=F.lit(True),
-                blocks_mined=F.col("value") != amount(founders_reward),
-            )
-        )
-        .unionByName(
-            measures(
-                joinsplits,
-                joinsplits_in=is_sent,
-                joinsplits_out=is_recv,
-                entering=is_sent & (F.col("vj_vpub_old") > 0),
-                leaving=is_recv & (F.col("vj_vpub_new") > 0),
-                total_shielded=value_if(is_sent, "vj_vpub_old"),
-                total_deshielded=value_if(is_recv, "vj_vpub_new"),
-            )
+            met,
+            coingens=mints,
+            blocks_mined=mints & (F.col("value") != amount(founders_reward)),
+            joinsplits_in=enters,
+            joinsplits_out=leaves,
+            entering=enters & (F.col("vj_vpub_old") > 0),
+            leaving=leaves & (F.col("vj_vpub_new") > 0),
+            total_shielded=value_if(enters, "vj_vpub_old"),
+            total_deshielded=value_if(leaves, "vj_vpub_new"),
         )
     )
     profile = tallied.groupBy("address").agg(

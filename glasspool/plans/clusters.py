@@ -166,6 +166,15 @@ def cluster_tags(clusters: DataFrame, lists: AddressLists) -> DataFrame:
     )
 
 
+def cluster_table(stats: DataFrame, tags: DataFrame) -> DataFrame:
+    """`cluster_stats` with the number of listed addresses per list, 0 where there are none."""
+    counts = [f"{of}_count" for of in _LISTS]
+    zero = F.lit(0).cast("bigint")
+    return stats.join(tags.select("cluster_id", *counts), "cluster_id", "left").select(
+        *stats.columns, *(F.coalesce(name, zero).alias(name) for name in counts)
+    )
+
+
 def cluster_tag_coverage(tags: DataFrame, lists: AddressLists) -> DataFrame:
     """Share of all heuristic miners, and of all founders, that each tagged cluster holds."""
     all_miners = lists.heuristic_miners.select("address").distinct().agg(F.count(F.lit(1)))

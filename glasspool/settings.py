@@ -25,4 +25,3 @@ class Settings:
     founder_withdrawal: Decimal = FOUNDER_WITHDRAWAL
     founders_reward: Decimal = FOUNDERS_REWARD
     miner_destinations: int = MINER_DESTINATIONS
-    height_limit: int | None = None

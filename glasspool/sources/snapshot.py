@@ -97,3 +97,20 @@ def append_above(spark: SparkSession, clean: dict[str, DataFrame], path: str) ->
     newer = {**clean, "block": clean["block"].filter(F.col("b_height") > height)}
     save_clean(spark, newer, path, slice_=f"after={height}")
     return height
+
+
+def adopt_snapshot(spark: SparkSession, source: str, path: str) -> Ledger:
+    """A stored ledger from clean tables written by another tool.
+
+    Their types are cast to the declared ones (a textual validity flag, for one), and inputs are
+    resolved anew, because such snapshots do not carry the value an input spends.
+    """
+    clean = {}
+    for name in Ledger.names():
+        kind = schema.VIN if name == "vin" else schema.CLEAN[name]
+        found = spark.read.parquet(table_path(source, name))
+        clean[name] = found.select(
+            *(F.col(field.name).cast(field.dataType).alias(field.name) for field in kind.fields)
+        )
+    save_clean(spark, clean, path)
+    return load_ledger(spark, path)

@@ -778,8 +778,9 @@ def rich_list_csv(t: Testbed) -> DataFrame:
 
 @query
 def cluster_stats_csv(t: Testbed) -> DataFrame:
-    stats = stored_cluster_stats(t)
-    return _read_back(t, stats, lambda path: delimited.write_csv(stats, path))
+    tags = clusters.cluster_tags(stored_clusters(t), t.address_lists())
+    table = clusters.cluster_table(stored_cluster_stats(t), tags)
+    return _read_back(t, table, lambda path: delimited.write_csv(table, path))
 
 
 @query

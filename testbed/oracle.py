@@ -193,6 +193,8 @@ cstats AS (
   FROM ranks LEFT JOIN sums USING (cluster_id) LEFT JOIN ctx_count USING (cluster_id))
 """
 
+_KINDS = ("pool", "miner", "founder", "heuristic_miner", "heuristic_founder", "tag")
+
 _LABELS = """
 labelled AS (
   SELECT address, 'pool' AS kind, max(tag) AS tag FROM pools GROUP BY 1
@@ -720,7 +722,15 @@ FROM sides QUALIFY place <= 5""",
         _ADDRESSES,
         f"SELECT address, recv AS total_coins_received FROM ({_rich('recv')})",
     ),
-    "cluster_stats_csv": (_ADDRESSES, _LINKS, _CLUSTERS, _CLUSTER_STATS, "SELECT * FROM cstats"),
+    "cluster_stats_csv": (
+        _ADDRESSES,
+        _LINKS,
+        _CLUSTERS,
+        _CLUSTER_STATS,
+        _LABELS,
+        f"""SELECT cstats.*, {', '.join(f'coalesce({n}_count, 0) AS {n}_count' for n in _KINDS)}
+        FROM cstats LEFT JOIN ctags USING (cluster_id)""",
+    ),
     "report_lines": (
         _ADDRESSES,
         _LINKS,

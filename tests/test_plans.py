@@ -296,6 +296,9 @@ def test_cluster_tags_and_coverage(build, spark, workspace):
     first = tags.filter("cluster_id = 'a'").first()
     assert (first["pool_count"], first["pool_names"]) == (2, ["pool one"])
     assert (first["founder_count"], first["tag_count"], first["tag_names"]) == (1, 0, [])
+    blank = spark.createDataFrame([(0, "a"), (1, "other")], "cluster_rank int, cluster_id string")
+    table = clusters.cluster_table(blank, tags).orderBy("cluster_rank").collect()
+    assert [row["pool_count"] for row in table] == [2, 0]
     coverage = clusters.cluster_tag_coverage(tags, lists).filter("cluster_id = 'a'").first()
     assert coverage["heuristic_miner_percentage"] == Decimal("33.33")
     assert coverage["founder_percentage"] == Decimal("100.00")

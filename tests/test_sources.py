@@ -91,6 +91,21 @@ def test_snapshot_round_trip(spark, documents, tmp_path):
     assert snapshot.stored_height(spark, path) == 2
 
 
+def test_foreign_snapshots_are_adopted(spark, documents, tmp_path):
+    ledger = node_json.load_documents(spark, *documents)
+    source = str(tmp_path / "foreign")
+    snapshot.save_ledger(ledger, source)
+    ledger.transaction.withColumn(
+        "t_valid", ledger.transaction["t_valid"].cast("string")
+    ).write.mode("overwrite").parquet(snapshot.table_path(source, "transaction"))
+    ledger.vin.drop("vi_value").write.mode("overwrite").parquet(
+        snapshot.table_path(source, "vin")
+    )
+    adopted = snapshot.adopt_snapshot(spark, source, str(tmp_path / "own"))
+    for name, table in ledger.tables().items():
+        assert rows(adopted.tables()[name]) == rows(table), name
+
+
 def test_incremental_loads_resume_and_repeat(spark, documents, tmp_path):
     path = str(tmp_path / "store")
     snapshot.create_store(spark, path)
