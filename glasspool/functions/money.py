@@ -27,10 +27,6 @@ def total(column: Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast(MONEY_TOTAL)
 
 
-def or_zero(column: Column) -> Column:
-    return F.coalesce(column, F.lit(0).cast(MONEY_TOTAL)).cast(MONEY_TOTAL)
-
-
 def difference(left: Column, right: Column) -> Column:
     """`left - right` of two totals without losing the eighth place."""
     return (left.cast(MONEY) - right.cast(MONEY)).cast(MONEY_TOTAL)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,23 +22,6 @@ def transaction_heights(ledger: Ledger) -> DataFrame:
     )
 
 
-def sum_by_height(ledger: Ledger, rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """Sum measures of rows carrying `blockhash`, first per block, then attach the height.
-
-    Blocks are few against the rows they hold: aggregating before the join keeps it small and
-    lets map-side partial sums absorb a block that holds a large share of all rows.
-    """
-    per_block = rows.groupBy(F.col("blockhash").alias("b_hash")).agg(
-        *(measure.alias(name) for name, measure in measures.items())
-    )
-    heights = ledger.block.select("b_hash", F.col("b_height").alias("height"))
-    return (
-        per_block.join(heights, "b_hash")
-        .groupBy("height")
-        .agg(*(F.sum(name).alias(name) for name in measures))
-    )
-
-
 def with_blockhash(ledger: Ledger, rows: DataFrame, tx: str) -> DataFrame:
     """Rows of a child table with the block hash and type of their transaction."""
     transactions = ledger.transaction.select(
@@ -68,20 +49,45 @@ def height_axis(block: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def dense(axis: DataFrame, series: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """One row per height of the axis; missing values are 0."""
-    return axis.join(series, "height", "left").select(
-        "height", *(F.coalesce(F.col(name), F.lit(0)).alias(name) for name in columns)
+def series_over_height(
+    ledger: Ledger, rows: DataFrame, measures: dict[str, Column], limit: int | None = None
+) -> DataFrame:
+    """One row per height of the axis with the measures of `rows`, which carry `blockhash`.
+
+    Rows are aggregated per block before the height is joined: blocks are few against the rows
+    they hold, and map-side partial results absorb a block that holds a large share of all rows.
+    Heights without rows get 0. The result is partitioned by `_slice`, as running totals want it.
+    """
+    per_block = rows.groupBy(F.col("blockhash").alias("b_hash")).agg(
+        *(measure.alias(name) for name, measure in measures.items())
+    )
+    heights = ledger.block.select("b_hash", F.col("b_height").alias("height"))
+    placed = per_block.join(heights, "b_hash").select("height", *measures)
+    if limit is not None:
+        placed = placed.filter(F.col("height") <= limit)
+    kinds = {field.name: field.dataType for field in placed.schema.fields}
+    empty = height_axis(ledger.block, limit).select(
+        "height", *(F.lit(0).cast(kinds[name]).alias(name) for name in measures)
     )
+    return sliced(placed.unionByName(empty)).groupBy("_slice", "height").agg(
+        *(F.coalesce(F.sum(name), F.lit(0)).cast(kinds[name]).alias(name) for name in measures)
+    )
+
+
+def sliced(series: DataFrame) -> DataFrame:
+    """Rows with `height`, partitioned by slice of the axis."""
+    return series.withColumn("_slice", F.floor(F.col("height") / SLICE)).repartition("_slice")
 
 
 def running_totals(series: DataFrame, columns: list[str]) -> DataFrame:
-    """Cumulative sums over height: within each slice, plus the total of all earlier slices."""
+    """Cumulative sums over height: within each slice, plus the total of all earlier slices.
+
+    `series` is a result of `sliced` or `series_over_height` with one row per height.
+    """
     kinds = {field.name: field.dataType for field in series.schema.fields}
-    sliced = series.withColumn("_slice", F.floor(F.col("height") / SLICE)).repartition("_slice")
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy("_slice")
+        series.groupBy("_slice")
         .agg(*(F.sum(name).alias(name) for name in columns))
         .select(
             "_slice",
@@ -96,7 +102,7 @@ def running_totals(series: DataFrame, columns: list[str]) -> DataFrame:
         .orderBy("height")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inner = sliced.select(
+    inner = series.select(
         "_slice", "height", *(F.sum(name).over(within).alias(name) for name in columns)
     )
 

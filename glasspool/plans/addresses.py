@@ -49,14 +49,20 @@ def _leg(rows: DataFrame, side: str, addresses: str, tx: str, value: str) -> Dat
 
 
 def _output_leg(ledger: Ledger) -> DataFrame:
-    true = F.lit(True)
-    coinbase = ledger.coingen.select(F.col("c_tx_hash").alias("vo_tx_hash")).distinct()
+    yes, no = F.lit(True), F.lit(False)
+    coinbase = ledger.coingen.select(
+        F.col("c_tx_hash").alias("vo_tx_hash"), yes.alias("is_coinbase"), no.alias("is_leaving")
+    )
     leaving = ledger.transaction.filter(F.col("t_type") == DESHIELDED).select(
-        F.col("t_tx_hash").alias("vo_tx_hash")
+        F.col("t_tx_hash").alias("vo_tx_hash"), no.alias("is_coinbase"), yes.alias("is_leaving")
     )
     flags = (
-        coinbase.withColumn("is_coinbase", true)
-        .join(leaving.withColumn("is_leaving", true), "vo_tx_hash", "full_outer")
+        coinbase.unionByName(leaving)
+        .groupBy("vo_tx_hash")
+        .agg(
+            F.bool_or("is_coinbase").alias("is_coinbase"),
+            F.bool_or("is_leaving").alias("is_leaving"),
+        )
     )
     marked = ledger.vout.join(flags, "vo_tx_hash", "left").na.fill(
         False, ["is_coinbase", "is_leaving"]

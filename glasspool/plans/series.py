@@ -7,22 +7,15 @@ from pyspark.sql import functions as F
 
 from glasspool.functions import classify
 from glasspool.functions.arrays import first_address
-from glasspool.functions.money import amount, or_zero, to_money
+from glasspool.functions.money import amount, to_money
 from glasspool.ledger import Ledger
-from glasspool.operators.heights import (
-    dense,
-    height_axis,
-    running_totals,
-    sum_by_height,
-    with_blockhash,
-)
+from glasspool.operators.heights import running_totals, series_over_height, with_blockhash
 from glasspool.settings import Settings
 
 TYPE_BUCKETS = ("private", "public", "shielded", "deshielded", "mixed", "other")
 
 
-def types_per_height(ledger: Ledger, limit: int | None = None) -> DataFrame:
-    """Transactions per height in six buckets; rewards and unknown types are `other`."""
+def _types(ledger: Ledger, limit: int | None) -> DataFrame:
     named = {
         "private": classify.PRIVATE,
         "public": classify.PUBLIC,
@@ -37,23 +30,23 @@ def types_per_height(ledger: Ledger, limit: int | None = None) -> DataFrame:
         F.col("t_type").isNull() | ~F.col("t_type").isin(*named.values())
     )
     rows = ledger.transaction.select(F.col("t_blockhash").alias("blockhash"), "t_type")
-    counts = sum_by_height(ledger, rows, measures)
-    return dense(height_axis(ledger.block, limit), counts, TYPE_BUCKETS)
+    return series_over_height(ledger, rows, measures, limit)
+
+
+def types_per_height(ledger: Ledger, limit: int | None = None) -> DataFrame:
+    """Transactions per height in six buckets; rewards and unknown types are `other`."""
+    return _types(ledger, limit).select("height", *TYPE_BUCKETS)
 
 
 def types_cumulative(ledger: Ledger, limit: int | None = None) -> DataFrame:
-    return running_totals(types_per_height(ledger, limit), list(TYPE_BUCKETS))
+    return running_totals(_types(ledger, limit), list(TYPE_BUCKETS))
 
 
 def _joinsplit_series(
     ledger: Ledger, limit: int | None, joinsplits: DataFrame, measures: dict
 ) -> DataFrame:
     rows = with_blockhash(ledger, joinsplits, "vj_tx_hash")
-    sums = sum_by_height(ledger, rows, measures)
-    axis = height_axis(ledger.block, limit)
-    return axis.join(sums, "height", "left").select(
-        "height", *(or_zero(F.col(name)).alias(name) for name in measures)
-    )
+    return series_over_height(ledger, rows, measures, limit)
 
 
 def pool_value_over_height(ledger: Ledger, limit: int | None = None) -> DataFrame:
@@ -103,10 +96,7 @@ def _by_identity(
         "miners_value": F.sum(F.when(is_miner, value)),
         "others_value": F.sum(F.when(is_miner.isNull(), value)),
     }
-    sums = sum_by_height(ledger, classed, measures)
-    series = height_axis(ledger.block, limit).join(sums, "height", "left").select(
-        "height", *(or_zero(F.col(name)).alias(name) for name in IDENTITIES)
-    )
+    series = series_over_height(ledger, classed, measures, limit)
     return running_totals(series, list(IDENTITIES))
 
 

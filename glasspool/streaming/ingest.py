@@ -63,13 +63,25 @@ def append_batch(documents: DataFrame, batch: int, path: str) -> None:
     unseen.unpersist()
 
 
-def start_ingest(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append every document not yet read from `source`, then stop; restart to continue."""
+def start_ingest(
+    spark: SparkSession,
+    source: str,
+    path: str,
+    checkpoint: str,
+    files_per_batch: int | None = None,
+) -> StreamingQuery:
+    """Append every document not yet read from `source`, then stop; restart to continue.
+
+    `files_per_batch` splits a backlog into batches of bounded size.
+    """
     if not _exists(spark, path):
         _prepare(spark, path)
-    documents = spark.readStream.schema(schema.NODE_TRANSACTION).json(source)
+    reader = spark.readStream.schema(schema.NODE_TRANSACTION)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
-        documents.writeStream.foreachBatch(lambda rows, batch: append_batch(rows, batch, path))
+        reader.json(source)
+        .writeStream.foreachBatch(lambda rows, batch: append_batch(rows, batch, path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -52,7 +52,8 @@ class Workspace:
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The table called `name`, built on first use."""
         if name not in self._tables:
-            self._tables[name] = self.store(build(), self.path(name))
+            # a build that failed half-way is replaced by the next attempt
+            self._tables[name] = self.store(build(), self.path(name), overwrite=True)
         return self._tables[name]
 
     def store(self, df: DataFrame, path: str | None = None, overwrite: bool = False) -> DataFrame:

@@ -122,13 +122,27 @@ def test_ranks_equal_a_global_window(skewed, workspace):
 
 def test_axis_and_running_totals_cross_slices(spark, build, monkeypatch):
     monkeypatch.setattr(heights, "SLICE", 4)
-    axis = heights.height_axis(build.blocks(b0=2, b1=13))
+    ledger = build.ledger(block=build.blocks(b0=2, b1=13, b2=3))
+    axis = heights.height_axis(ledger.block)
     assert [row[0] for row in axis.orderBy("height").collect()] == list(range(14))
     assert heights.height_axis(build.blocks(b=9), limit=3).count() == 4
-    values = spark.createDataFrame([(2, 5), (3, 1), (13, 4)], "height bigint, v bigint")
-    totals = heights.running_totals(heights.dense(axis, values, ["v"]), ["v"])
+    values = spark.createDataFrame(
+        [("b0", 5), ("b2", 1), ("b1", 3), ("b1", 1), ("unknown", 9)], "blockhash string, v bigint"
+    )
+    series = heights.series_over_height(ledger, values, {"v": F.sum("v")})
+    got = [row["v"] for row in series.orderBy("height").collect()]
+    assert got == [0, 0, 5, 1] + [0] * 9 + [4]
+    totals = heights.running_totals(series, ["v"])
     got = [row["v"] for row in totals.orderBy("height").collect()]
     assert got == [0, 0, 5] + [6] * 10 + [10]
+    short = heights.series_over_height(ledger, values, {"v": F.sum("v")}, limit=2)
+    assert rows(short.select("height", "v")) == [(0, 0), (1, 0), (2, 5)]
+
+
+def test_series_of_an_empty_ledger(spark, build):
+    values = spark.createDataFrame([], "blockhash string, v bigint")
+    series = heights.series_over_height(build.ledger(), values, {"v": F.sum("v")})
+    assert heights.running_totals(series, ["v"]).count() == 0
 
 
 def test_running_totals_keep_eight_places(spark, build, monkeypatch):
@@ -136,7 +150,7 @@ def test_running_totals_keep_eight_places(spark, build, monkeypatch):
     values = spark.createDataFrame(
         [(h, money("0.00000001")) for h in range(6)], "height bigint, v decimal(38,8)"
     )
-    totals = heights.running_totals(values, ["v"]).orderBy("height").collect()
+    totals = heights.running_totals(heights.sliced(values), ["v"]).orderBy("height").collect()
     assert [row["v"] for row in totals] == [money(f"0.0000000{i}") for i in range(1, 7)]
 
 

@@ -133,11 +133,13 @@ def test_stream_appends_once(spark, tmp_path):
     ingest.start_ingest(spark, source, store, progress).awaitTermination()
     # the second file repeats a stored transaction
     write_documents(Path(source), "two.json", TRANSACTIONS)
-    ingest.start_ingest(spark, source, store, progress).awaitTermination()
+    write_documents(Path(source), "three.json", TRANSACTIONS[1:])
+    ingest.start_ingest(spark, source, store, progress, files_per_batch=1).awaitTermination()
     legs = ingest.resolved_legs(spark, store)
     assert rows(legs["transaction"].select("t_tx_hash")) == [("t1",), ("t2",), ("t3",)]
     assert legs["vout"].count() == 3
     assert rows(legs["vin"]) == [("t2", "t1", 0, ["a"], money("10.00000000"))]
+    assert legs["vjoinsplit"].count() == 3
     # a batch that is run again replaces what it wrote
     batch = ingest.stored(spark, store, "transaction").agg({"batch": "max"}).first()[0]
     ingest.append_batch(node_json.read_transactions(spark, source), batch, store)
