@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glasspool.operators.inputs import source_addresses
+from glasspool.operators.joins import reshuffled
 from glasspool.workspace import Workspace
 
 
@@ -16,6 +17,7 @@ def _centres(pairs: DataFrame) -> DataFrame:
         .agg(F.min("address").alias("src"), F.max("address").alias("_greatest"))
         .filter(F.col("src") != F.col("_greatest"))
         .select("tx_hash", "src")
+        .transform(reshuffled, "tx_hash")
     )
 
 
@@ -50,16 +52,15 @@ def _lower(edges: DataFrame) -> DataFrame:
     """
     least = edges.groupBy("node").agg(F.min("parent").alias("_least"))
     # large star: the parent is replaced by its own least neighbour, if it has a smaller one
-    raised = edges.join(
-        least.withColumnRenamed("node", "parent"), "parent", "left"
-    ).select(
+    by_parent = reshuffled(least.withColumnRenamed("node", "parent"), "parent")
+    raised = edges.join(by_parent, "parent", "left").select(
         "node",
         F.coalesce("_least", "parent").alias("parent"),
         F.col("_least").isNotNull().alias("moved"),
     )
     # small star: a node and its other parents all hang from the least of them
     least = raised.groupBy("node").agg(F.min("parent").alias("_least"))
-    merged = raised.join(least, "node")
+    merged = raised.join(reshuffled(least, "node"), "node")
     kept = F.struct("node", F.col("_least").alias("parent"), "moved")
     sideways = F.struct(
         F.col("parent").alias("node"), F.col("_least").alias("parent"), F.lit(True).alias("moved")

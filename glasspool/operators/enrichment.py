@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glasspool.operators.joins import reshuffled
 
-def address_sets(rows: DataFrame, tx: str, addresses: str, alias: str) -> DataFrame:
-    """One row per transaction with its distinct addresses, sorted; [] if no row names any.
 
-    Map-side partial sets keep repeated addresses of one transaction out of the shuffle.
+def address_sets(vin: DataFrame, vout: DataFrame) -> DataFrame:
+    """(tx_hash, sources, destinations): distinct addresses per transaction and side, sorted.
+
+    Null means the transaction has no such leg, [] that its leg names no address. Map-side partial
+    sets keep the repeated addresses of one transaction out of the shuffle.
     """
+
+    def leg(rows: DataFrame, tx: str, addresses: str, is_source: bool) -> DataFrame:
+        return rows.select(
+            F.col(tx).alias("tx_hash"),
+            F.lit(is_source).alias("is_source"),
+            F.explode_outer(addresses).alias("address"),
+        )
+
+    is_source, address = F.col("is_source"), F.col("address")
+
+    def gathered(condition: Column) -> Column:
+        return F.when(
+            F.bool_or(condition), F.sort_array(F.collect_set(F.when(condition, address)))
+        )
+
     return (
-        rows.select(F.col(tx).alias("tx_hash"), F.explode_outer(addresses).alias("_address"))
+        leg(vin, "vi_tx_hash", "vi_address", True)
+        .unionByName(leg(vout, "vo_tx_hash", "vo_pubkey", False))
         .groupBy("tx_hash")
-        .agg(F.sort_array(F.collect_set("_address")).alias(alias))
+        .agg(
+            gathered(is_source).alias("sources"),
+            gathered(~is_source).alias("destinations"),
+        )
+        .transform(reshuffled, "tx_hash")
     )
 
 
@@ -23,33 +46,17 @@ def with_joinsplit_addresses(
 ) -> DataFrame:
     """Replace both address columns by the transaction's input and output address sets.
 
-    Null means the transaction has no such leg. The row count does not change: each set has at
-    most one row per transaction.
+    The row count does not change: a transaction has one row of sets at most.
     """
-    bare = vjoinsplit.select(F.col("vj_tx_hash").alias("tx_hash"), "vj_vpub_old", "vj_vpub_new")
-    # only the sets of transactions with joinsplits are built
-    chosen = bare.select("tx_hash")
-    sources = address_sets(
-        vin.join(chosen.withColumnRenamed("tx_hash", "vi_tx_hash"), "vi_tx_hash", "left_semi"),
-        "vi_tx_hash",
-        "vi_address",
-        "vj_source_address",
-    )
-    destinations = address_sets(
-        vout.join(chosen.withColumnRenamed("tx_hash", "vo_tx_hash"), "vo_tx_hash", "left_semi"),
-        "vo_tx_hash",
-        "vo_pubkey",
-        "vj_dest_address",
-    )
     return (
-        bare.join(sources, "tx_hash", "left")
-        .join(destinations, "tx_hash", "left")
+        vjoinsplit.select(F.col("vj_tx_hash").alias("tx_hash"), "vj_vpub_old", "vj_vpub_new")
+        .join(address_sets(vin, vout), "tx_hash", "left")
         .select(
             F.col("tx_hash").alias("vj_tx_hash"),
             "vj_vpub_old",
             "vj_vpub_new",
-            "vj_source_address",
-            "vj_dest_address",
+            F.col("sources").alias("vj_source_address"),
+            F.col("destinations").alias("vj_dest_address"),
         )
     )
 
@@ -58,12 +65,15 @@ def transaction_address_sets(
     transaction: DataFrame, vin: DataFrame, vout: DataFrame
 ) -> DataFrame:
     """Every transaction with its destination and source address sets (null = no such leg)."""
-    destinations = address_sets(vout, "vo_tx_hash", "vo_pubkey", "dest_addresses")
-    sources = address_sets(vin, "vi_tx_hash", "vi_address", "src_addresses")
     return (
         transaction.select(
             F.col("t_tx_hash").alias("tx_hash"), F.col("t_blockhash").alias("blockhash")
         )
-        .join(destinations, "tx_hash", "left")
-        .join(sources, "tx_hash", "left")
+        .join(address_sets(vin, vout), "tx_hash", "left")
+        .select(
+            "tx_hash",
+            "blockhash",
+            F.col("destinations").alias("dest_addresses"),
+            F.col("sources").alias("src_addresses"),
+        )
     )

@@ -40,10 +40,9 @@ def orphan_rows(ledger: Ledger) -> DataFrame:
     return _union(
         [
             ledger.tables()[name]
-            .select(F.col(key).alias("tx_hash"))
-            .join(known, "tx_hash", "left_anti")
-            .groupBy("tx_hash")
+            .groupBy(F.col(key).alias("tx_hash"))
             .agg(F.count(F.lit(1)).alias("row_count"))
+            .join(known, "tx_hash", "left_anti")
             .select(F.lit(name).alias("table_name"), "tx_hash", "row_count")
             for name, key in schema.TRANSACTION_KEY.items()
         ]

@@ -16,6 +16,7 @@ from glasspool.functions.classify import DESHIELDED
 from glasspool.functions.labels import row_label, stitched_address
 from glasspool.functions.money import amount, difference, total
 from glasspool.ledger import Ledger
+from glasspool.operators.joins import reshuffled
 from glasspool.schema import MONEY
 from glasspool.settings import FOUNDERS_REWARD, RICH_LIST_SIZE
 
@@ -63,6 +64,7 @@ def _output_leg(ledger: Ledger) -> DataFrame:
             F.bool_or("is_coinbase").alias("is_coinbase"),
             F.bool_or("is_leaving").alias("is_leaving"),
         )
+        .transform(reshuffled, "vo_tx_hash")
     )
     marked = ledger.vout.join(flags, "vo_tx_hash", "left").na.fill(
         False, ["is_coinbase", "is_leaving"]

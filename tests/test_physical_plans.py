@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from glasspool.operators.components import _lower
 from glasspool.plans import addresses, clusters, heuristics, series
 from glasspool.sources import snapshot
 from testbed.catalogue import QUERIES
@@ -108,3 +109,54 @@ def test_only_tables_of_proven_size_are_broadcast(spark, no_broadcast, ledger):
             spark.createDataFrame([], "cluster_id string, cluster_size bigint, cluster_rank bigint"),
         ).filter(F.col("cluster_rank") >= 0)
     )
+
+
+def skew_settings(spark):
+    return {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+
+
+@pytest.fixture
+def eager_splitting(spark):
+    """Thresholds at which a test-sized hot key counts as skewed."""
+    before = {key: spark.conf.get(key) for key in skew_settings(spark)}
+    for key, value in skew_settings(spark).items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def final_plan(df) -> str:
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    return execution.executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_a_transaction_with_most_outputs_is_split(spark, build, eager_splitting, tmp_path):
+    outputs = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("vo_tx_hash"),
+        F.lit(1).cast("decimal(32,8)").alias("vo_value"),
+        F.col("id").alias("vo_tx_n"),
+        F.array(F.sha2((F.col("id") + 7).cast("string"), 256)).alias("vo_pubkey"),
+    )
+    outputs.write.parquet(str(tmp_path / "vout"))
+    ledger = build.ledger(
+        vout=spark.read.parquet(str(tmp_path / "vout")), coingen=build.coingen("hot", "other")
+    )
+    assert "skew=true" in final_plan(addresses.address_stats(ledger))
+
+
+def test_a_node_with_most_neighbours_is_split(spark, eager_splitting, tmp_path):
+    chance = F.xxhash64("id")
+    edges = spark.range(0, 120_000, 1, 8).select(
+        (chance % 1_000_000_007 + 2_000_000_000).alias("node"),
+        F.when(F.col("id") % 3 > 0, F.lit(5).cast("bigint")).otherwise(F.col("id") + 10).alias("parent"),
+    )
+    edges.write.parquet(str(tmp_path / "edges"))
+    assert "skew=true" in final_plan(_lower(spark.read.parquet(str(tmp_path / "edges"))))
