@@ -32,7 +32,8 @@ from glasspool.workspace import Workspace
 
 CAPACITY = 4096
 SHARD_PIECES = 50_000
-LEAST_SHARDS = 16
+SPREAD_SHARDS = 16
+LEAST_SHARD_PIECES = 1000
 LOOSE_GAP = 16
 ROUNDS = 3
 END_ID = 1
@@ -195,7 +196,7 @@ def places(items: DataFrame, workspace: Workspace, capacity: int = CAPACITY) ->
     narrow = items.select("doc_id", "piece", "row", "length")
     done, rest, left = [], narrow, narrow.count()
     for turn in range(ROUNDS):
-        shards = max(LEAST_SHARDS, -(-left // SHARD_PIECES))
+        shards = max(min(SPREAD_SHARDS, left // LEAST_SHARD_PIECES), -(-left // SHARD_PIECES), 1)
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row", F.lit(turn)), F.lit(shards)))
         packed = workspace.store(dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), PLACES))
         packed = packed.withColumn("bin", F.col("bin") + (turn << 60))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glasspool.llm import exact, minhash, packing, pii, quality
+from glasspool.llm import exact, lm, minhash, packing, pii, quality, tokens, toxicity
 from glasspool.llm.text import importable
 from glasspool.workspace import Workspace
 
@@ -26,15 +26,31 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir), Workspace.of(spark), width=3, percent=85)
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(_table(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, sf_dir), _table(spark, sf_dir, "labels"), Workspace.of(spark))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir), Workspace.of(spark))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(_table(spark, sf_dir), Workspace.of(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op5_minhash, op7_exact, op10_pii)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_quality, op5_minhash, op6_tokens, op7_exact, op8_toxicity, op9_lm, op10_pii)
+}
 
 ORACLES = {
     "op7_exact": """

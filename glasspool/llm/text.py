@@ -72,6 +72,15 @@ def word_hashes(text: bytes) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def word_ends(text: bytes) -> np.ndarray:
+    """The last two bytes of each word as one number, in order; of a word of one byte, that byte."""
+    codes = np.frombuffer(text, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(~_SPACE[codes], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    longer = np.where(ends - starts > 1, codes[ends - 2].astype(np.int64), 0)
+    return longer * 256 + codes[ends - 1] if ends.size else np.empty(0, dtype=np.int64)
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash for each window of `width` words; of fewer words, one hash for all; of none, none."""
     if not words.size:
