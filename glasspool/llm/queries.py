@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glasspool.llm import exact, lm, minhash, packing, pii, quality, tokens, toxicity
+from glasspool.llm import chat, exact, lm, minhash, packing, pii, pieces, quality, tokens, toxicity
 from glasspool.llm.text import importable
 from glasspool.workspace import Workspace
 
@@ -22,6 +24,40 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir), Workspace.of(spark))
 
 
+#: the tool that answers a user turn: its words, their number, and the turn
+ASK = T.StructType(
+    [
+        T.StructField("text", T.StringType(), False),
+        T.StructField("length", T.LongType(), False),
+        T.StructField("turn", T.LongType(), True),
+    ]
+)
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call of the tool `ask`, every assistant turn as the result of the call one
+    turn before. A call at an even turn of at least 2 depends on the call at half that turn, made even.
+    Turns over 1,000 characters leave out the required length, so their calls are invalid."""
+    turns = _table(spark, sf_dir, "conversations").filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    length = F.length("text").cast("long")
+    turn = F.col("turn").cast("long")
+    half = F.floor(turn / 4) * 2 + turn % 2
+    calls = turns.filter("role = 'user'").select(
+        "conv_id", turn.alias("turn"), name(turn).alias("call_id"), F.lit("ask").alias("name"),
+        F.to_json(F.struct(turn.alias("turn"), "text", F.when(length <= 1000, length).alias("length"))).alias("arguments"),
+        F.when(turn >= 2, F.array(name(half))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    )
+    results = turns.filter("role = 'assistant'").select(name(turn - 1).alias("call_id"), turn.alias("turn"), F.col("text").alias("content"))
+    return chat.linked_calls(calls, results, {"ask": ASK}, Workspace.of(spark))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every whole text, and the text that they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.decoded(pieces.encoded(_table(spark, sf_dir), model), model)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir), Workspace.of(spark), width=3, percent=85)
 
@@ -49,7 +85,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_quality, op5_minhash, op6_tokens, op7_exact, op8_toxicity, op9_lm, op10_pii)
+    for f in (op1_packing, op2_quality, op3_chat, op4_pieces, op5_minhash, op6_tokens, op7_exact, op8_toxicity, op9_lm, op10_pii)
 }
 
 ORACLES = {
