@@ -17,49 +17,26 @@ decision; extra columns are carried along by `drop_copies`, whatever their names
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glasspool.llm.bloom import MOST_WORDS, cell, filled, filter_words, held
 from glasspool.operators.joins import reshuffled
 
-MOST_WORDS = 1 << 22
-LEAST_WORDS = 1 << 10
-
-
-def _filter_words(rows: int, most_words: int) -> int:
-    """Words of the filter: a power of two, about half the rows, within the bounds."""
-    return min(most_words, max(LEAST_WORDS, 1 << max(0, rows // 2).bit_length()))
-
-
-def _bit(hashed: Column, shift: int) -> Column:
-    place = F.shiftrightunsigned(hashed, shift).bitwiseAND(63).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
-
-
 def _probed(docs: DataFrame, id_column: str, text_column: str, most_words: int) -> DataFrame:
     """(row, id, text, maybe): `maybe` is false only for texts that occur once."""
-    words = _filter_words(docs.count(), most_words)
+    words = filter_words(docs.count(), most_words)
+    word, mask = cell(F.col("hash"), words)
     hashed = docs.select(
         F.struct("*").alias("row"),
         F.col(id_column).alias("id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     ).withColumn("hash", F.xxhash64("text"))
-    cells = hashed.withColumns(
-        {
-            "word": F.col("hash").bitwiseAND(words - 1),
-            "mask": _bit(F.col("hash"), 40).bitwiseOR(_bit(F.col("hash"), 52)),
-        }
-    )
-    repeated = (
-        cells.groupBy("word", "mask")
-        .agg(F.count("*").alias("hits"))
-        .filter("hits > 1")
-        .groupBy("word")
-        .agg(F.bit_or("mask").alias("bits"))
-    )
-    both = F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")
+    cells = hashed.withColumns({"word": word, "mask": mask})
+    hits = cells.groupBy("word", "mask").agg(F.count("*").alias("hits"))
+    repeated = filled(hits.filter("hits > 1"))
     return cells.join(F.broadcast(repeated), "word", "left").select(
-        "row", "id", "text", F.coalesce(both, F.lit(False)).alias("maybe")
+        "row", "id", "text", held(F.col("bits"), F.col("mask")).alias("maybe")
     )
 
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glasspool.llm.bloom import tried
 from glasspool.llm.components import components
 from glasspool.llm.text import documents, mix, texts_of, window_hashes, word_hashes
 from glasspool.operators.joins import reshuffled
@@ -226,8 +227,11 @@ def near_groups(docs: DataFrame, workspace: Workspace, width: int = 5, percent:
     members = classes.select("class", "n_shingles").join(
         families.select(F.col("node").alias("class"), F.col("component").alias("family")), "class"
     )
-    meets = workspace.store(_blocks(workspace.store(members), percent / 100))
-    grouped = meets.join(narrow.select(F.col("doc_id").alias("class"), "text"), "class")
+    members = workspace.store(members)
+    meets = workspace.store(_blocks(members, percent / 100))
+    # a Bloom filter of the members keeps most other texts out of the shuffle
+    texts = tried(narrow, F.col("doc_id"), members, F.col("class")).filter("maybe")
+    grouped = meets.join(texts.select(F.col("key").alias("class"), "row.text"), "class")
     edges = grouped.groupBy("group").applyInPandas(_confirm(width, bands, percent), "a long, b long")
     linked = components(workspace.store(edges.distinct()), workspace)
     named = (
@@ -253,6 +257,7 @@ def drop_near_copies(docs: DataFrame, workspace: Workspace, width: int = 5, perc
                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     groups = near_groups(docs, workspace, width, percent, id_column, text_column)
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    row = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("id"))
-    return row.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    gone = workspace.store(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")))
+    rows = tried(docs, F.col(id_column).cast("long"), gone, F.col("gone"))
+    left = rows.filter("maybe").join(gone, F.col("key") == F.col("gone"), "left_anti")
+    return rows.filter(~F.col("maybe")).unionByName(left).select("row.*")

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glasspool.llm.bloom import tried
 from glasspool.llm.text import documents, fresh_name, texts_of, word_hashes
 from glasspool.operators.joins import reshuffled
 from glasspool.workspace import Workspace
@@ -262,15 +263,17 @@ def redact(docs: DataFrame, workspace: Workspace, alpha: float = ALPHA, id_colum
     """`docs` with redacted texts; `length_column` gets the length of texts that changed."""
     narrow = documents(docs, id_column=id_column, text_column=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = workspace.store(find(narrow.withColumn("row", F.monotonically_increasing_id())))
-    marks = (
+    marks = workspace.store(
         _term_spans(found, narrow, workspace, alpha)
         .dropDuplicates(["doc_id", "text_hash"])
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.collect_list(F.struct("text_hash", "places")).alias("marks"))
     )
     name = fresh_name(docs, "marks")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("key"))
-    marked = rows.join(marks, F.col("key") == F.col("id"), "left").select("row.*", F.col("marks").alias(name))
+    rows = tried(docs, F.col(id_column).cast("long"), marks, F.col("id"))
+    met = rows.filter("maybe").join(marks, F.col("key") == F.col("id"), "left").select("row", "marks")
+    rest = rows.filter(~F.col("maybe")).select("row", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
+    marked = met.unionByName(rest).select("row.*", F.col("marks").alias(name))
     schema = T.StructType([field if field.name != text_column else T.StructField(text_column, T.StringType()) for field in docs.schema])
     names = docs.columns
     at, length_at = names.index(text_column), names.index(length_column) if length_column else None
