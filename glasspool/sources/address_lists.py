@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasspool import schema
+from glasspool.operators.joins import reshuffled
 
 # The files a study keeps its lists in.
 LIST_FILES = {
@@ -24,33 +24,34 @@ def _header_width(spark: SparkSession, path: str) -> int:
     return len(first[0].split(";")) if first else 0
 
 
+def _fields(spark: SparkSession, path: str) -> DataFrame:
+    """(address, tag, values) of the lines after a header; `values` counts the fields of a line."""
+    lines = spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("header", "true")
+    parts = F.split("line", ";")
+    field = lambda k: F.regexp_replace(F.trim(F.try_element_at(parts, F.lit(k))), '^"(.*)"$', "$1")
+    return lines.csv(path).select(field(1).alias("address"), field(2).alias("tag"), F.size(parts).alias("values"))
+
+
 def read_address_list(spark: SparkSession, path: str) -> DataFrame:
     """(address) or (address, tag), one row per address; the greatest tag wins on duplicates.
 
-    Rows without a tag in a two-column file are skipped. More than two columns is an error.
+    A one-column list takes the first field of every line. A two-column list skips lines of other
+    than two fields and keeps empty tags. Lines without an address are skipped. A header of more
+    than two columns is an error.
     """
     width = _header_width(spark, path)
     if width > 2:
         raise ValueError(f"{path}: expected `address` or `address;tag`, found {width} columns")
-    kind = schema.ADDRESS_TAGS if width == 2 else schema.ADDRESS_LIST
-    rows = (
-        spark.read.schema(kind)
-        .option("sep", ";")
-        .option("header", "true")
-        .option("mode", "DROPMALFORMED")
-        .csv(path)
-        .filter(F.col("address").isNotNull())
-    )
-    if width == 2:
-        return rows.filter(F.col("tag").isNotNull()).groupBy("address").agg(
-            F.max("tag").alias("tag")
-        )
-    return rows.distinct()
+    rows = _fields(spark, path).filter(F.coalesce(F.col("address"), F.lit("")) != "")
+    if width < 2:
+        return reshuffled(rows.select("address").distinct(), "address")
+    tagged = rows.filter(F.col("values") == 2).groupBy("address")
+    return reshuffled(tagged.agg(F.max(F.coalesce("tag", F.lit(""))).alias("tag")), "address")
 
 
 def duplicated_addresses(spark: SparkSession, path: str) -> DataFrame:
     """(address, row_count) of addresses a file lists more than once."""
-    rows = spark.read.schema(schema.ADDRESS_LIST).option("sep", ";").option("header", "true").csv(path)
+    rows = _fields(spark, path).filter(F.coalesce(F.col("address"), F.lit("")) != "")
     return rows.groupBy("address").agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
 
 

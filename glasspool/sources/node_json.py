@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, StringType
 
 from glasspool import schema
 from glasspool.functions.arrays import distinct_sorted, no_addresses
@@ -17,12 +20,53 @@ from glasspool.sources.snapshot import load_ledger, save_clean
 from glasspool.workspace import Workspace
 
 
+BROKEN = "broken"
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.NODE_BLOCK).json(path)
+    """Block documents; reading stops at one that is not valid."""
+    return spark.read.schema(schema.NODE_BLOCK).option("mode", "FAILFAST").json(path)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.NODE_TRANSACTION).json(path)
+    """Transaction documents; reading stops at one that is not valid."""
+    return spark.read.schema(schema.NODE_TRANSACTION).option("mode", "FAILFAST").json(path)
+
+
+def read_any_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """Transaction documents with the text of those that are not valid in column `broken`."""
+    kind = StructType([*schema.NODE_TRANSACTION.fields, StructField(BROKEN, StringType())])
+    return (
+        spark.read.schema(kind)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BROKEN)
+        .json(path)
+    )
+
+
+def _lacks(leg: str, *fields: str) -> Column:
+    """Does an entry of the leg lack one of the fields?"""
+
+    def lacking(entry: Column) -> Column:
+        return reduce(Column.__or__, [entry[field].isNull() for field in fields])
+
+    return F.coalesce(F.exists(leg, lacking), F.lit(False))
+
+
+def rejected() -> Column:
+    """Documents that cannot be used: not valid JSON of the expected types, no id, or a leg without
+    its number, amount or source."""
+    coinbase_or_source = F.coalesce(
+        F.exists("vin", lambda e: e["coinbase"].isNull() & (e["txid"].isNull() | e["vout"].isNull())),
+        F.lit(False),
+    )
+    return (
+        F.col(BROKEN).isNotNull()
+        | F.col("txid").isNull()
+        | coinbase_or_source
+        | _lacks("vout", "value", "n")
+        | _lacks("vjoinsplit", "vpub_old", "vpub_new")
+    )
 
 
 def flatten_blocks(blocks: DataFrame) -> DataFrame:
@@ -136,12 +180,24 @@ def load_documents(spark: SparkSession, blocks_path: str, transactions_path: str
 
 
 def import_documents(
-    spark: SparkSession, blocks_path: str, transactions_path: str, path: str, workspace: Workspace
+    spark: SparkSession,
+    blocks_path: str,
+    transactions_path: str,
+    path: str,
+    workspace: Workspace,
+    rejects_path: str | None = None,
 ) -> Ledger:
     """Documents to a stored ledger.
 
-    The text is parsed once, into nested Parquet; each leg then reads only its own columns.
+    The text is parsed once, into nested Parquet; each leg then reads only its own columns. Documents
+    that cannot be used are an error, or are written to `rejects_path` and left out.
     """
-    documents = workspace.store(read_transactions(spark, transactions_path))
-    save_clean(spark, flatten(read_blocks(spark, blocks_path), documents), path)
+    documents = workspace.store(read_any_transactions(spark, transactions_path))
+    bad = documents.filter(rejected())
+    if rejects_path is not None:
+        bad.write.mode("overwrite").parquet(rejects_path)
+    elif not bad.isEmpty():
+        raise ValueError(f"{transactions_path}: {bad.count()} documents cannot be used")
+    good = documents.filter(~rejected()).drop(BROKEN)
+    save_clean(spark, flatten(read_blocks(spark, blocks_path), good), path)
     return load_ledger(spark, path)

@@ -6,15 +6,21 @@ the stored tables (`resolved_legs`).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from glasspool import schema
 from glasspool.operators.enrichment import with_joinsplit_addresses
 from glasspool.operators.inputs import resolve_inputs
-from glasspool.sources.node_json import flatten_legs, flatten_transactions
+from glasspool.operators.joins import reshuffled
+from glasspool.sources.node_json import BROKEN, flatten_legs, flatten_transactions, rejected
+
+_FIRST = "none"
 
 _KINDS = {
     "transaction": schema.TRANSACTION,
@@ -30,37 +36,48 @@ def _folder(path: str, table: str) -> str:
 
 
 def stored(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A stored table with the number of the batch that wrote each row."""
-    return spark.read.schema(
-        schema.StructType([*_KINDS[table].fields, schema.StructField("batch", schema.LongType())])
-    ).parquet(_folder(path, table))
+    """A stored table with the ingest and the number of the batch that wrote each row."""
+    marks = [StructField("ingest", StringType()), StructField("batch", LongType())]
+    return spark.read.schema(StructType([*_KINDS[table].fields, *marks])).parquet(_folder(path, table))
 
 
 def _prepare(spark: SparkSession, path: str) -> None:
     """Give every table a first, empty part, so that a store can be read before its first batch."""
     for table, kind in _KINDS.items():
         spark.createDataFrame([], kind).write.mode("overwrite").parquet(
-            f"{_folder(path, table)}/batch=-1"
+            f"{_folder(path, table)}/ingest={_FIRST}/batch=-1"
         )
 
 
-def append_batch(documents: DataFrame, batch: int, path: str) -> None:
-    """Store one batch. Repeating a batch replaces what its first attempt wrote.
+def append_batch(documents: DataFrame, batch: int, path: str, ingest: str = "0") -> None:
+    """Store one batch of an ingest. Repeating a batch replaces what its first attempt wrote.
 
-    Documents of transactions that earlier batches stored are dropped by one anti-join on the
-    transaction hash; all legs follow their document.
+    Documents of transactions that are stored already, by any ingest and batch but this very one, are
+    dropped by one anti-join on the transaction hash; all legs follow their document. The unseen
+    documents are written first, so the legs of a repeated task come from the same rows. Documents
+    that cannot be used stop the ingest.
     """
     spark = documents.sparkSession
-    earlier = (
-        stored(spark, path, "transaction")
-        .filter(F.col("batch") < batch)
-        .select(F.col("t_tx_hash").alias("txid"))
-    )
-    unseen = documents.dropDuplicates(["txid"]).join(earlier, "txid", "left_anti").persist()
-    parts = {**flatten_legs(unseen), "transaction": flatten_transactions(unseen)}
-    for table, rows in parts.items():
-        rows.write.mode("overwrite").parquet(f"{_folder(path, table)}/batch={batch}")
-    unseen.unpersist()
+    if BROKEN not in documents.columns:
+        documents = documents.withColumn(BROKEN, F.lit(None).cast("string"))
+    own = (F.col("ingest") == ingest) & (F.col("batch") == batch)
+    others = stored(spark, path, "transaction").filter(~own).select(F.col("t_tx_hash").alias("txid"))
+    if not documents.filter(rejected()).isEmpty():
+        raise ValueError("the batch has documents that cannot be used")
+    part = f"ingest={ingest}/batch={batch}"
+    nested = f"{path.rstrip('/')}/_documents/{part}"
+    documents.drop(BROKEN).dropDuplicates(["txid"]).join(
+        reshuffled(others, "txid"), "txid", "left_anti"
+    ).write.mode("overwrite").parquet(nested)
+    unseen = spark.read.schema(schema.NODE_TRANSACTION).parquet(nested)
+    # the transactions come last: they are what later batches are compared with
+    for table, rows in {**flatten_legs(unseen), "transaction": flatten_transactions(unseen)}.items():
+        rows.write.mode("overwrite").parquet(f"{_folder(path, table)}/{part}")
+
+
+def _ingest_id(checkpoint: str) -> str:
+    """An ingest is known by the place of its checkpoint."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
 def start_ingest(
@@ -72,22 +89,36 @@ def start_ingest(
 ) -> StreamingQuery:
     """Append every document not yet read from `source`, then stop; restart to continue.
 
-    `files_per_batch` splits a backlog into batches of bounded size.
+    `files_per_batch` splits a backlog into batches of bounded size. Several ingests may fill one
+    store, each with its own checkpoint. A checkpoint that was lost while its batches are stored is
+    refused: its batch numbers would start again and replace them.
     """
     if not _exists(spark, path):
         _prepare(spark, path)
-    reader = spark.readStream.schema(schema.NODE_TRANSACTION)
+    ingest = _ingest_id(checkpoint)
+    known = not stored(spark, path, "transaction").filter(F.col("ingest") == ingest).isEmpty()
+    if known and not _has_files(spark, checkpoint):
+        raise ValueError(f"{checkpoint} is empty, but its batches are stored; use another checkpoint")
+    kind = StructType([*schema.NODE_TRANSACTION.fields, StructField(BROKEN, StringType())])
+    reader = spark.readStream.schema(kind).option("columnNameOfCorruptRecord", BROKEN)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.json(source)
-        .writeStream.foreachBatch(lambda rows, batch: append_batch(rows, batch, path))
+        .writeStream.foreachBatch(lambda rows, batch: append_batch(rows, batch, path, ingest))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _has_files(spark: SparkSession, folder: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         stored(spark, path, "transaction")
@@ -98,7 +129,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def resolved_legs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The stored tables with inputs resolved and joinsplits enriched."""
-    tables = {name: stored(spark, path, name).drop("batch") for name in _KINDS}
+    tables = {name: stored(spark, path, name).drop("ingest", "batch") for name in _KINDS}
     vin = resolve_inputs(tables["vin"], tables["vout"])
     vjoinsplit = with_joinsplit_addresses(tables["vjoinsplit"], vin, tables["vout"])
     return {**tables, "vin": vin, "vjoinsplit": vjoinsplit}

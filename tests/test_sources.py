@@ -1,3 +1,4 @@
+import shutil
 import json
 from decimal import Decimal
 from pathlib import Path
@@ -141,9 +142,38 @@ def test_stream_appends_once(spark, tmp_path):
     assert rows(legs["vin"]) == [("t2", "t1", 0, ["a"], money("10.00000000"))]
     assert legs["vjoinsplit"].count() == 3
     # a batch that is run again replaces what it wrote
-    batch = ingest.stored(spark, store, "transaction").agg({"batch": "max"}).first()[0]
-    ingest.append_batch(node_json.read_transactions(spark, source), batch, store)
+    last = ingest.stored(spark, store, "transaction").orderBy("batch", ascending=False).first()
+    ingest.append_batch(node_json.read_transactions(spark, source), last["batch"], store, last["ingest"])
     assert ingest.stored(spark, store, "transaction").count() == 3
+    # another checkpoint over the same store adds what is new and replaces nothing
+    other = str(tmp_path / "other")
+    write_documents(Path(other), "four.json", [TRANSACTIONS[0], {**TRANSACTIONS[0], "txid": "t9"}])
+    ingest.start_ingest(spark, other, store, str(tmp_path / "progress2")).awaitTermination()
+    found = ingest.stored(spark, store, "transaction").select("t_tx_hash")
+    assert rows(found) == [("t1",), ("t2",), ("t3",), ("t9",)]
+    # a lost checkpoint is refused, a broken document stops the ingest
+    shutil.rmtree(progress)
+    with pytest.raises(ValueError):
+        ingest.start_ingest(spark, source, store, progress)
+    (Path(other) / "five.json").write_text('{"txid": "t10", "vin": [\n')
+    with pytest.raises(Exception):
+        ingest.start_ingest(spark, other, store, str(tmp_path / "progress2")).awaitTermination()
+    assert rows(ingest.stored(spark, store, "transaction").select("t_tx_hash")) == rows(found)
+
+
+def test_broken_documents_are_refused_or_set_aside(spark, documents, tmp_path, workspace):
+    blocks, source = documents[0], tmp_path / "mixed"
+    write_documents(source, "good.json", TRANSACTIONS[:2])
+    text = json.dumps({**TRANSACTIONS[0], "txid": "bad", "vout": [{"n": 0, "value": "much", "scriptPubKey": {}}]})
+    (source / "bad.json").write_text(text + "\n" + json.dumps(TRANSACTIONS[2])[:-20] + "\n{}\n")
+    with pytest.raises(ValueError):
+        node_json.import_documents(spark, blocks, str(source), str(tmp_path / "a"), workspace)
+    with pytest.raises(Exception):
+        node_json.read_transactions(spark, str(source)).collect()
+    ledger = node_json.import_documents(spark, blocks, str(source), str(tmp_path / "b"), workspace, str(tmp_path / "rejects"))
+    assert spark.read.parquet(str(tmp_path / "rejects")).count() == 3
+    valid = ledger.transaction.filter("t_valid")
+    assert rows(valid.select("t_tx_hash")) == [("t1",), ("t2",)]
 
 
 def dump(folder: Path, table: str, header: str, *lines: str) -> None:
@@ -219,11 +249,11 @@ def write_list(path: Path, *lines: str) -> str:
 
 
 def test_address_lists(spark, tmp_path):
-    one = write_list(tmp_path / "one.csv", "address", "b", "a", "b")
-    assert rows(address_lists.read_address_list(spark, one)) == [("a",), ("b",)]
+    one = write_list(tmp_path / "one.csv", "address", "b", "a", "b", "c;note")
+    assert rows(address_lists.read_address_list(spark, one)) == [("a",), ("b",), ("c",)]
     assert rows(address_lists.duplicated_addresses(spark, one)) == [("b", 2)]
-    two = write_list(tmp_path / "two.csv", "address;tag", "a;x", "a;y", "short", "b;z")
-    assert rows(address_lists.read_address_list(spark, two)) == [("a", "y"), ("b", "z")]
+    two = write_list(tmp_path / "two.csv", "address;tag", "a;x", "a;y", "short", "b;z", "c;", ";t", "d;t;u")
+    assert rows(address_lists.read_address_list(spark, two)) == [("a", "y"), ("b", "z"), ("c", "")]
     three = write_list(tmp_path / "three.csv", "address;tag;more", "a;b;c")
     with pytest.raises(ValueError):
         address_lists.read_address_list(spark, three)
