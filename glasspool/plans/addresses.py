@@ -265,16 +265,18 @@ def _activity(ledger: Ledger, addresses: DataFrame | str) -> DataFrame:
             return rows.filter(F.array_contains(owner, addresses)).select(
                 F.lit(addresses).alias("address"), *kept
             )
-        return rows.select(F.explode(F.array_distinct(owner)).alias("address"), *kept).join(
-            addresses.select("address").distinct(), "address", "left_semi"
-        )
+        return rows.select(F.explode(F.array_distinct(owner)).alias("address"), *kept)
 
-    return (
+    facts = (
         held(ledger.vout, "recv", "vo_pubkey", "vo_tx_hash", "vo_value")
         .unionByName(held(ledger.vin, "sent", "vi_address", "vi_tx_hash", "vi_value"))
         .groupBy("address", "tx_hash", "side")
         .agg(total(F.col("value")).alias("value"))
     )
+    if isinstance(addresses, str):
+        return facts
+    wanted = addresses.select("address").distinct()
+    return facts.join(reshuffled(wanted, "address"), "address", "left_semi")
 
 
 def address_profile(
@@ -289,10 +291,10 @@ def address_profile(
     """
     facts = _activity(ledger, addresses)
     is_recv, is_sent = F.col("side") == "recv", F.col("side") == "sent"
-    one, zero = F.lit(1), F.lit(0)
+    zero = F.lit(0)
 
     def measures(rows: DataFrame, **values: Column) -> DataFrame:
-        counts = {name: F.when(values.get(name, F.lit(False)), one).otherwise(zero) for name in _TALLIES}
+        counts = {name: values.get(name, zero).cast("bigint") for name in _TALLIES}
         amounts = {name: values.get(name, amount(_ZERO)).cast("decimal(38,8)") for name in _AMOUNTS}
         return rows.select(
             "address", *(column.alias(name) for name, column in (counts | amounts).items())
@@ -301,41 +303,49 @@ def address_profile(
     def value_if(condition: Column, value: str) -> Column:
         return F.when(condition, F.col(value)).otherwise(amount(_ZERO))
 
-    # one inner join for both: whichever side is small, usually the activity, can be broadcast
-    nothing = F.lit(None).cast(MONEY)
-    events = ledger.coingen.select(
-        F.col("c_tx_hash").alias("tx_hash"),
-        F.lit(True).alias("is_coinbase"),
-        nothing.alias("vj_vpub_old"),
-        nothing.alias("vj_vpub_new"),
-    ).unionByName(
-        ledger.vjoinsplit.select(
-            F.col("vj_tx_hash").alias("tx_hash"),
-            F.lit(False).alias("is_coinbase"),
-            "vj_vpub_old",
-            "vj_vpub_new",
-        )
+    def count_if(condition: Column, counted: str) -> Column:
+        return F.when(condition, F.col(counted)).otherwise(zero)
+
+    # one row for each transaction and kind: whichever side is small, usually the activity, can be
+    # broadcast, and an address never meets the joinsplits of a transaction one by one
+    nothing = amount(_ZERO).cast("decimal(38,8)")
+    coinbases = ledger.coingen.groupBy(F.col("c_tx_hash").alias("tx_hash")).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.sum(F.lit(0)).alias("entering_events"),
+        F.sum(F.lit(0)).alias("leaving_events"),
+        F.max(nothing).alias("old"),
+        F.max(nothing).alias("new"),
+    )
+    joinsplits = ledger.vjoinsplit.groupBy(F.col("vj_tx_hash").alias("tx_hash")).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("vj_vpub_old") > 0).alias("entering_events"),
+        F.count_if(F.col("vj_vpub_new") > 0).alias("leaving_events"),
+        total(F.col("vj_vpub_old")).alias("old"),
+        total(F.col("vj_vpub_new")).alias("new"),
+    )
+    events = coinbases.withColumn("is_coinbase", F.lit(True)).unionByName(
+        joinsplits.withColumn("is_coinbase", F.lit(False))
     )
-    met = facts.join(events, "tx_hash")
+    met = facts.join(reshuffled(events, "tx_hash"), "tx_hash")
     mints = is_recv & F.col("is_coinbase")
     enters, leaves = is_sent & ~F.col("is_coinbase"), is_recv & ~F.col("is_coinbase")
     tallied = measures(
         facts,
-        txs_sent=is_sent,
-        txs_recv=is_recv,
+        txs_sent=is_sent.cast("bigint"),
+        txs_recv=is_recv.cast("bigint"),
         total_received=value_if(is_recv, "value"),
         total_sent=value_if(is_sent, "value"),
     ).unionByName(
         measures(
             met,
-            coingens=mints,
-            blocks_mined=mints & (F.col("value") != amount(founders_reward)),
-            joinsplits_in=enters,
-            joinsplits_out=leaves,
-            entering=enters & (F.col("vj_vpub_old") > 0),
-            leaving=leaves & (F.col("vj_vpub_new") > 0),
-            total_shielded=value_if(enters, "vj_vpub_old"),
-            total_deshielded=value_if(leaves, "vj_vpub_new"),
+            coingens=count_if(mints, "events"),
+            blocks_mined=count_if(mints & (F.col("value") != amount(founders_reward)), "events"),
+            joinsplits_in=count_if(enters, "events"),
+            joinsplits_out=count_if(leaves, "events"),
+            entering=count_if(enters, "entering_events"),
+            leaving=count_if(leaves, "leaving_events"),
+            total_shielded=value_if(enters, "old"),
+            total_deshielded=value_if(leaves, "new"),
         )
     )
     profile = tallied.groupBy("address").agg(

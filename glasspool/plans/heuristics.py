@@ -11,6 +11,7 @@ from glasspool.functions.arrays import first_address
 from glasspool.functions.money import amount
 from glasspool.ledger import Ledger
 from glasspool.operators.heights import with_blockhash
+from glasspool.operators.joins import reshuffled
 from glasspool.plans.addresses import coinbase_outputs
 from glasspool.settings import FOUNDER_WITHDRAWAL, MINER_DESTINATIONS
 
@@ -26,74 +27,75 @@ def trivial_miners(ledger: Ledger, founders: DataFrame) -> DataFrame:
     )
 
 
+def joinsplit_destinations(joinsplits: DataFrame, vout: DataFrame) -> DataFrame:
+    """(tx_hash, address), distinct: the destination addresses of the transactions of some joinsplits.
+
+    All joinsplits of a transaction share its destinations, so they are named once for each
+    transaction, and never gathered into an array.
+    """
+    named = vout.select(F.col("vo_tx_hash").alias("tx_hash"), F.explode("vo_pubkey").alias("address"))
+    chosen = joinsplits.select(F.col("vj_tx_hash").alias("tx_hash")).distinct()
+    return named.join(reshuffled(chosen, "tx_hash"), "tx_hash", "left_semi").distinct()
+
+
 def heuristic3_founders(
-    vjoinsplit: DataFrame, withdrawal: Decimal = FOUNDER_WITHDRAWAL
+    vjoinsplit: DataFrame, vout: DataFrame, withdrawal: Decimal = FOUNDER_WITHDRAWAL
 ) -> DataFrame:
     """Destination addresses of joinsplits that take exactly the founder amount out."""
-    return (
-        vjoinsplit.filter(F.col("vj_vpub_new") == amount(withdrawal))
-        .select(F.explode("vj_dest_address").alias("address"))
-        .distinct()
-    )
+    exact = vjoinsplit.filter(F.col("vj_vpub_new") == amount(withdrawal))
+    return joinsplit_destinations(exact, vout).select("address").distinct()
 
 
-def heuristic4_joinsplits(
-    vjoinsplit: DataFrame, pools: DataFrame, more_than: int = MINER_DESTINATIONS
+def heuristic4_destinations(
+    vjoinsplit: DataFrame, vout: DataFrame, pools: DataFrame, more_than: int = MINER_DESTINATIONS
 ) -> DataFrame:
-    """(tx_hash, addresses, address): destinations of wide joinsplits that pay a known pool.
+    """(tx_hash, address): destinations of wide joinsplits that pay a known pool.
 
     The pool list is joined, not listed in the plan, so it may be of any size.
     """
-    # the digest stands for the destination set; it is taken before the set is exploded
-    digests = vjoinsplit.filter(F.size("vj_dest_address") > more_than).select(
-        F.col("vj_tx_hash").alias("tx_hash"),
-        F.sha2(F.to_json("vj_dest_address"), 256).alias("addresses"),
-        "vj_dest_address",
-    )
-    wide = digests.select(
-        "tx_hash", "addresses", F.explode("vj_dest_address").alias("address")
-    ).distinct()
-    pays_pool = (
-        wide.join(pools.select("address"), "address", "left_semi")
-        .select("tx_hash", "addresses")
-        .distinct()
-    )
-    return wide.join(pays_pool, ["tx_hash", "addresses"], "left_semi")
+    named = joinsplit_destinations(vjoinsplit, vout)
+    wide = (
+        named.groupBy("tx_hash").agg(F.count("*").alias("width")).filter(F.col("width") > more_than)
+    ).select("tx_hash")
+    listed = pools.select("address").distinct()
+    pays_pool = named.join(reshuffled(listed, "address"), "address", "left_semi").select("tx_hash").distinct()
+    chosen = wide.join(pays_pool, "tx_hash")
+    return reshuffled(named, "tx_hash").join(reshuffled(chosen, "tx_hash"), "tx_hash", "left_semi")
 
 
 def heuristic4_miners(
-    vjoinsplit: DataFrame, pools: DataFrame, more_than: int = MINER_DESTINATIONS
+    vjoinsplit: DataFrame, vout: DataFrame, pools: DataFrame, more_than: int = MINER_DESTINATIONS
 ) -> DataFrame:
     """Every destination address of joinsplits with more than `more_than`, one a known pool's."""
-    return heuristic4_joinsplits(vjoinsplit, pools, more_than).select("address").distinct()
+    return heuristic4_destinations(vjoinsplit, vout, pools, more_than).select("address").distinct()
 
 
 def heuristic5_links(ledger: Ledger) -> DataFrame:
     """(amount, deposit_tx, deposit_height, withdrawal_tx, withdrawal_height).
 
     Amounts that occur once among deposits and once among withdrawals, where the withdrawal is in
-    a later block. Each side is reduced to one row per amount before the join, so an amount that
-    is repeated very often costs one partial aggregate row per task and never meets its copies.
+    a later block. Each side is reduced to one row per amount, so an amount that is repeated very
+    often costs one partial aggregate row per task and never meets its copies; only the pairs that
+    match are placed in their blocks.
     """
-    heights = ledger.block.select(F.col("b_hash").alias("blockhash"), F.col("b_height").alias("height"))
-    placed = with_blockhash(ledger, ledger.vjoinsplit, "vj_tx_hash").join(heights, "blockhash")
 
     def unique(value: str, side: str) -> DataFrame:
         return (
-            placed.filter(F.col(value) > 0)
+            ledger.vjoinsplit.filter(F.col(value) > 0)
             .groupBy(F.col(value).alias("amount"))
-            .agg(
-                F.count(F.lit(1)).alias("_times"),
-                F.min("vj_tx_hash").alias(f"{side}_tx"),
-                F.min("height").alias(f"{side}_height"),
-            )
+            .agg(F.count(F.lit(1)).alias("_times"), F.min("vj_tx_hash").alias(f"{side}_tx"))
             .filter("_times = 1")
             .drop("_times")
         )
 
+    def placed(pairs: DataFrame, side: str) -> DataFrame:
+        heights = ledger.block.select(F.col("b_hash").alias("blockhash"), F.col("b_height").alias(f"{side}_height"))
+        return with_blockhash(ledger, pairs, f"{side}_tx").join(heights, "blockhash").drop("blockhash")
+
+    pairs = unique("vj_vpub_old", "deposit").join(unique("vj_vpub_new", "withdrawal"), "amount")
     return (
-        unique("vj_vpub_old", "deposit")
-        .join(unique("vj_vpub_new", "withdrawal"), "amount")
+        placed(placed(pairs, "deposit"), "withdrawal")
+        .select("amount", "deposit_tx", "deposit_height", "withdrawal_tx", "withdrawal_height")
         .filter("withdrawal_height > deposit_height")
     )
 

@@ -333,6 +333,11 @@ def address_profile(t: Testbed) -> DataFrame:
     return addresses.address_profile(t.ledger(), rich_list_recv(t))
 
 
+@query
+def address_profile_pools(t: Testbed) -> DataFrame:
+    return addresses.address_profile(t.ledger(), derive.pool_list(t.retail))
+
+
 @query
 def address_profile_single(t: Testbed) -> DataFrame:
     return addresses.address_profile(t.ledger(), PROFILED_ADDRESS)
@@ -429,13 +434,13 @@ def trivial_miners(t: Testbed) -> DataFrame:
 
 @query
 def heuristic3_founders(t: Testbed) -> DataFrame:
-    return heuristics.heuristic3_founders(t.vjoinsplit())
+    return heuristics.heuristic3_founders(t.vjoinsplit(), t.vout())
 
 
 @query
 def heuristic4_miners(t: Testbed) -> DataFrame:
     return heuristics.heuristic4_miners(
-        t.vjoinsplit(), derive.pool_list(t.retail), MINER_DESTINATIONS
+        t.vjoinsplit(), t.vout(), derive.pool_list(t.retail), MINER_DESTINATIONS
     )
 
 
@@ -446,7 +451,7 @@ def heuristic5_links(t: Testbed) -> DataFrame:
 
 @query
 def founder_set_union(t: Testbed) -> DataFrame:
-    return heuristics.founder_union(heuristics.heuristic3_founders(t.vjoinsplit()), t.founders())
+    return heuristics.founder_union(heuristics.heuristic3_founders(t.vjoinsplit(), t.vout()), t.founders())
 
 
 # Clusters ------------------------------------------------------------------------------------

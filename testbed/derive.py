@@ -297,10 +297,10 @@ class Testbed:
             founders=self.founders(),
             heuristic_miners=self.stored(
                 "miners_heuristic",
-                lambda: heuristic4_miners(ledger.vjoinsplit, pools, MINER_DESTINATIONS),
+                lambda: heuristic4_miners(ledger.vjoinsplit, ledger.vout, pools, MINER_DESTINATIONS),
             ),
             heuristic_founders=self.stored(
-                "founders_heuristic", lambda: heuristic3_founders(ledger.vjoinsplit)
+                "founders_heuristic", lambda: heuristic3_founders(ledger.vjoinsplit, ledger.vout)
             ),
             tags=tag_list(self.retail),
         )

@@ -519,6 +519,7 @@ FROM flat""",
     "rich_list_sent": (_ADDRESSES, _rich("sent")),
     "rich_list_value": (_ADDRESSES, _rich("current_value")),
     "address_profile": (_ADDRESSES, _profile(_rich("recv"))),
+    "address_profile_pools": (_profile("SELECT address FROM pools"),),
     "address_profile_single": (_profile(f"SELECT '{PROFILED_ADDRESS}' AS address"),),
     "address_co_sources": (
         f"""SELECT DISTINCT unnest(vi_address) AS address FROM vin WHERE vi_tx_hash IN

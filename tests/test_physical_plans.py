@@ -69,7 +69,7 @@ def test_no_cross_joins_and_no_python(spark, no_broadcast, name):
 
 
 def test_exact_amounts_reach_the_scan(ledger):
-    plan = plan_of(heuristics.heuristic3_founders(ledger.vjoinsplit))
+    plan = plan_of(heuristics.heuristic3_founders(ledger.vjoinsplit, ledger.vout))
     assert "EqualTo(vj_vpub_new,250.00010000)" in plan.replace(" ", "")
     assert "cast(vj_vpub_new" not in plan
 

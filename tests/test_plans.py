@@ -181,17 +181,37 @@ def test_trivial_miners_take_first_addresses_without_founders(build):
 
 def test_heuristics_three_and_four(build):
     joinsplits = build.joinsplits(
-        ("t1", 0, "250.0001", None, ["f", "g"]),
-        ("t2", 0, 250, None, ["h"]),
-        ("t3", 0, 1, None, ["p", "m1", "m2"]),
-        ("t3", 0, 2, None, ["m3", "m4", "m5"]),
-        ("t4", 0, 1, None, ["p", "m6"]),
+        ("t1", 0, "250.0001", None, None),
+        ("t2", 0, 250, None, None),
+        ("t3", 0, 1, None, None),
+        ("t3", 0, 2, None, None),
+        ("t4", 0, 1, None, None),
         ("t5", 0, 1, None, None),
     )
-    assert rows(heuristics.heuristic3_founders(joinsplits)) == [("f",), ("g",)]
+    vout = build.vout(
+        ("t1", 0, ["f"], 1), ("t1", 1, ["g", "f"], 1), ("t2", 0, ["h"], 1),
+        ("t3", 0, ["p", "m1"], 1), ("t3", 1, ["m1", "m2"], 1), ("t4", 0, ["p", "m6"], 1),
+        ("t6", 0, ["p", "m7", "m8"], 1), ("t5", 0, [], 1),
+    )
+    assert rows(heuristics.heuristic3_founders(joinsplits, vout)) == [("f",), ("g",)]
     pools = build.tagged(p="pool one")
-    assert rows(heuristics.heuristic4_miners(joinsplits, pools, 2)) == [("m1",), ("m2",), ("p",)]
-    assert rows(heuristics.heuristic4_miners(joinsplits, build.tagged(q="none"), 2)) == []
+    found = heuristics.heuristic4_miners(joinsplits, vout, pools, 2)
+    assert rows(found) == [("m1",), ("m2",), ("p",)]
+    assert rows(heuristics.heuristic4_miners(joinsplits, vout, build.tagged(q="none"), 2)) == []
+
+
+def test_many_joinsplits_and_addresses_give_no_pairs(build, spark):
+    """1,000 addresses of a transaction with 1,000 joinsplits: one row for each address."""
+    names = [f"a{k:04}" for k in range(1000)]
+    ledger = build.ledger(
+        block=build.blocks(b1=1),
+        transaction=build.transactions(("t", "b1", "deshielded")),
+        vout=build.vout(*(("t", k, [name], 1) for k, name in enumerate(names))),
+        vjoinsplit=build.joinsplits(*(("t", 0, 1, None, None) for _ in range(1000))),
+    )
+    profile = addresses.address_profile(ledger, build.addresses(*names))
+    found = profile.select("joinsplits_out", "total_deshielded", "joinsplits_out_ok").distinct().collect()
+    assert profile.count() == 1000 and [tuple(r) for r in found] == [(1000, money(1000), True)]
 
 
 def test_heuristic_five_wants_unique_amounts_and_a_later_block(build):
