@@ -9,110 +9,68 @@ from glasspool.workspace import Workspace
 
 _ROWS_PER_PARTITION_BITS = 33  # fixed by monotonically_increasing_id
 
-# A key is treated as hot above this many rows and this share of all rows; the share bounds the
-# number of hot keys, so the list of them is safe to broadcast.
-HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 10_000
-
-
-def split_hot(
-    df: DataFrame, key: list[str], hot_rows: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys). Most tables have no hot key at all."""
-    least = HOT_ROWS if hot_rows is None else hot_rows
-    share = df.agg((F.count(F.lit(1)) / MOST_HOT_KEYS).alias("_share")).scalar()
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    # rows > all rows / MOST_HOT_KEYS holds for fewer than MOST_HOT_KEYS keys
-    hot = F.broadcast(
-        counts.filter((F.col("_rows") > least) & (F.col("_rows") > share)).select(*key)
-    )
-    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
-
 
-def _plain_numbers(
-    df: DataFrame, key: list[str], slices: list[str], order: list[Column], alias: str
-) -> DataFrame:
-    within = Window.partitionBy(*key).orderBy(*slices, *order)
-    return df.withColumn(alias, (F.row_number().over(within) - 1).cast("bigint"))
+def _placed(df: DataFrame, order: list[Column | str], workspace: Workspace) -> DataFrame:
+    """`df` in ranges of `order`, with the range of each row (_part) and its place there (_place).
 
-
-def _sliced_numbers(
-    df: DataFrame, key: list[str], slices: list[str], order: list[Column], alias: str
-) -> DataFrame:
-    parts = key + slices
-    inner = df.withColumn(
-        "_inner", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)) - 1
-    )
-    earlier = (
-        Window.partitionBy(*key).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        df.groupBy(*parts)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*parts, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    The sorted rows are written, because range bounds are sampled and must not be drawn twice.
+    """
+    numbered = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_id", F.monotonically_increasing_id())
     )
-    return (
-        inner.join(offsets, parts)
-        .withColumn(alias, F.col("_inner") + F.col("_before"))
-        .select(*df.columns, alias)
+    return workspace.store(
+        numbered.select(
+            *df.columns,
+            F.shiftright("_id", _ROWS_PER_PARTITION_BITS).alias("_part"),
+            F.col("_id").bitwiseAND((1 << _ROWS_PER_PARTITION_BITS) - 1).alias("_place"),
+        )
     )
 
 
-def numbered_in_slices(
-    df: DataFrame,
-    key: list[str],
-    slices: list[str],
-    order: list[Column],
-    alias: str,
-    hot_rows: int | None = None,
+def numbered(
+    df: DataFrame, key: list[str], order: list[str], alias: str, workspace: Workspace
 ) -> DataFrame:
-    """row_number() over (partition by key order by slices, order) - 1.
+    """row_number() over (partition by key order by order) - 1; the order must be total within a key.
 
-    A key that holds a large share of all rows is numbered slice by slice, plus a running count of
-    its earlier slices, so it is spread over as many tasks as it has slices.
+    Rows are dealt out by ranges of (key, order), so any key is spread over as many tasks as its
+    rows fill; a number is the place within the range plus the key's rows in earlier ranges. A key
+    has one row for each range it reaches into, which is what the window runs over.
     """
-    cold, hot = split_hot(df, key, hot_rows)
-    return _plain_numbers(cold, key, slices, order, alias).unionByName(
-        _sliced_numbers(hot, key, slices, order, alias)
-    )
-
-
-def _sliced_previous(
-    df: DataFrame, key: str, slice_: str, order: str, value: str, alias: str
-) -> DataFrame:
-    """The first row of a slice takes the last value of the key's preceding slice."""
-    inner = Window.partitionBy(key, slice_).orderBy(order)
-    last = (
-        df.groupBy(key, slice_)
-        .agg(F.max_by(value, order).alias("_last"))
+    placed = _placed(df, [*key, *order], workspace)
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        placed.groupBy(*key, "_part")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
         .select(
-            key,
-            slice_,
-            F.lag("_last").over(Window.partitionBy(key).orderBy(slice_)).alias("_preceding"),
+            *key, "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
         )
     )
-    return (
-        df.withColumn("_lag", F.lag(value).over(inner))
-        .join(last, [key, slice_])
-        .withColumn(alias, F.coalesce("_lag", "_preceding"))
-        .select(*df.columns, alias)
+    return placed.join(shifts, [*key, "_part"]).select(
+        *df.columns, (F.col("_place") + F.col("_shift")).alias(alias)
     )
 
 
-def previous_in_slices(
-    df: DataFrame,
-    key: str,
-    slice_: str,
-    order: str,
-    value: str,
-    alias: str,
-    hot_rows: int | None = None,
+def previous(
+    df: DataFrame, key: list[str], order: list[str], value: str, alias: str, workspace: Workspace
 ) -> DataFrame:
-    """lag(value) over (partition by key order by slice, order), slice by slice for hot keys."""
-    cold, hot = split_hot(df, [key], hot_rows)
-    within = Window.partitionBy(key).orderBy(slice_, order)
-    return cold.withColumn(alias, F.lag(value).over(within)).unionByName(
-        _sliced_previous(hot, key, slice_, order, value, alias)
+    """lag(value) over (partition by key order by order); the order must be total within a key.
+
+    As `numbered`: the lag runs inside the ranges, and the first row of a key in a range takes the
+    last value of the key's range before it.
+    """
+    placed = _placed(df, [*key, *order], workspace)
+    inside = Window.partitionBy(*key, "_part").orderBy("_place")
+    last = (
+        placed.groupBy(*key, "_part")
+        .agg(F.max_by(value, "_place").alias("_last"))
+        .select(*key, "_part", F.lag("_last").over(Window.partitionBy(*key).orderBy("_part")).alias("_before"))
+    )
+    return (
+        placed.withColumns({"_lag": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1})
+        .join(last, [*key, "_part"])
+        .select(*df.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")).alias(alias))
     )
 
 
@@ -120,19 +78,9 @@ def ranked(df: DataFrame, order: list[Column], alias: str, workspace: Workspace)
     """Rank every row from 0 by `order`, which must be total.
 
     The rows are range-partitioned and sorted; a rank is the row's place in its partition plus
-    the size of all earlier partitions. The sorted rows are written first, because range bounds
-    are sampled and must not be drawn twice.
+    the size of all earlier partitions.
     """
-    placed = workspace.store(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .select(
-            *df.columns,
-            F.shiftright("_id", _ROWS_PER_PARTITION_BITS).alias("_part"),
-            F.col("_id").bitwiseAND((1 << _ROWS_PER_PARTITION_BITS) - 1).alias("_place"),
-        )
-    )
+    placed = _placed(df, order, workspace)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_part")

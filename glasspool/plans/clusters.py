@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glasspool.functions.money import count_percent, percent, total
+from glasspool.operators.joins import reshuffled
 from glasspool.operators.components import component_links
 from glasspool.operators.positions import ranked
 from glasspool.plans.heuristics import founder_union
@@ -149,20 +150,25 @@ def _labelled(lists: AddressLists) -> DataFrame:
 
 
 def cluster_tags(clusters: DataFrame, lists: AddressLists) -> DataFrame:
-    """Clusters holding at least one listed address: a count per list, pool names and tags."""
+    """Clusters holding at least one listed address: the number of addresses of each list."""
     kind = F.col("kind")
+    return (
+        clusters.join(reshuffled(_labelled(lists), "address"), "address")
+        .groupBy("cluster_id")
+        .agg(*(F.count_if(kind == of).alias(f"{of}_count") for of in _LISTS))
+    )
+
 
-    def names(of: str) -> Column:
-        return F.sort_array(F.collect_set(F.when(kind == of, F.col("tag"))))
+def cluster_tag_names(clusters: DataFrame, lists: AddressLists) -> DataFrame:
+    """(cluster_id, kind, tag, addresses): the pools and tags that each cluster holds, one row each.
 
+    In long form, because one cluster may hold most names of a list of any size.
+    """
+    named = _labelled(lists).filter(F.col("kind").isin("pool", "tag"))
     return (
-        clusters.join(_labelled(lists), "address")
-        .groupBy("cluster_id")
-        .agg(
-            *(F.count_if(kind == of).alias(f"{of}_count") for of in _LISTS),
-            names("pool").alias("pool_names"),
-            names("tag").alias("tag_names"),
-        )
+        clusters.join(reshuffled(named, "address"), "address")
+        .groupBy("cluster_id", "kind", "tag")
+        .agg(F.count(F.lit(1)).alias("addresses"))
     )
 
 

@@ -513,11 +513,12 @@ def cluster_transactions(t: Testbed) -> DataFrame:
 
 @query
 def cluster_tags(t: Testbed) -> DataFrame:
-    return (
-        clusters.cluster_tags(stored_clusters(t), t.address_lists())
-        .withColumn("pool_names", F.array_join("pool_names", ","))
-        .withColumn("tag_names", F.array_join("tag_names", ","))
-    )
+    return clusters.cluster_tags(stored_clusters(t), t.address_lists())
+
+
+@query
+def cluster_tag_names(t: Testbed) -> DataFrame:
+    return clusters.cluster_tag_names(stored_clusters(t), t.address_lists())
 
 
 @query
@@ -791,12 +792,15 @@ def cluster_stats_csv(t: Testbed) -> DataFrame:
 @query
 def report_lines(t: Testbed) -> DataFrame:
     """The three text reports, written and read back."""
-    tags = clusters.cluster_tags(stored_clusters(t), t.address_lists())
+    lists = t.address_lists()
+    tags = clusters.cluster_tags(stored_clusters(t), lists)
+    coverage = clusters.cluster_tag_coverage(tags, lists)
+    names = clusters.cluster_tag_names(stored_clusters(t), lists)
     summary = clusters.cluster_summary(stored_ranks(t), t.transaction())
     lines = {
         "initial_analysis": reports.initial_analysis_lines(overview.initial_analysis(t.ledger())),
         "heuristic5": reports.heuristic5_lines(heuristics.heuristic5_links(t.ledger())),
-        "clusters": reports.cluster_lines(summary, stored_cluster_stats(t), tags),
+        "clusters": reports.cluster_lines(summary, stored_cluster_stats(t), tags, coverage, names),
     }
     written = []
     for name, report in lines.items():

@@ -1,7 +1,7 @@
 """The derived ledger: one order is a transaction, one order day a block, one line item an output.
 
 The rules are in FIXTURES.md section 2. Keys that can hold a large share of all rows (a customer's
-orders, an order's lines) are numbered and lagged slice by slice.
+orders, an order's lines) are numbered and lagged over ranges of rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from glasspool.functions.classify import transaction_type
 from glasspool.ledger import Ledger
 from glasspool.operators.enrichment import with_joinsplit_addresses
 from glasspool.operators.inputs import resolve_inputs
-from glasspool.operators.positions import numbered_in_slices, previous_in_slices
+from glasspool.operators.positions import numbered, previous
 from glasspool.plans.clusters import AddressLists
 from glasspool.plans.heuristics import heuristic3_founders, heuristic4_miners, trivial_miners
 from glasspool.schema import MONEY
@@ -24,7 +24,6 @@ from glasspool.workspace import Workspace
 FIRST_DAY = "1995-01-01"
 FIRST_DAY_SECONDS = 788918400
 MINER_DESTINATIONS = 3  # the derived ledger has no transaction with more than a dozen outputs
-_PART_SLICE = 64
 _OUTPUT_DIGITS = (0, 1, 2, 3, 4, 6, 7)
 
 
@@ -80,10 +79,8 @@ def vout(retail: Retail) -> DataFrame:
         F.col("l_suppkey").alias("sk"),
         F.col("l_quantity").alias("qty"),
         F.col("l_extendedprice").alias("price"),
-        F.floor(F.col("l_partkey") / _PART_SLICE).alias("_parts"),
     ).filter(_digit().isin(*_OUTPUT_DIGITS))
-    order = [F.col(name) for name in ("pk", "sk", "qty", "price")]
-    numbered = numbered_in_slices(lines, ["ok"], ["ln", "_parts"], order, "n")
+    placed = numbered(lines, ["ok"], ["ln", "pk", "sk", "qty", "price"], "n", Workspace.of(retail.spark))
     owners = retail.orders().select("ok", "ck")
     own = _address(F.col("ck"), F.col("ln"))
     shared = _address(F.col("ck") - F.col("ck") % 4, "7")
@@ -94,7 +91,7 @@ def vout(retail: Retail) -> DataFrame:
         .when(F.col("ln") == 7, F.array(shared))
         .otherwise(F.array(own))
     )
-    return numbered.join(owners, "ok").select(
+    return placed.join(owners, "ok").select(
         tx_hash(F.col("ok")).alias("vo_tx_hash"),
         F.col("price").cast("decimal(18,2)").cast(MONEY).alias("vo_value"),
         F.col("n").cast("bigint").alias("vo_tx_n"),
@@ -104,10 +101,9 @@ def vout(retail: Retail) -> DataFrame:
 
 def vin(retail: Retail, outputs: DataFrame) -> DataFrame:
     """Unresolved inputs: an order spends outputs of the same customer's previous order."""
-    previous = previous_in_slices(
-        retail.orders().select("ok", "ck", "height"), "ck", "height", "ok", "ok", "prev"
-    )
-    spends = previous.filter(_digit().between(1, 6) & F.col("prev").isNotNull()).select(
+    orders = retail.orders().select("ok", "ck", "height")
+    linked = previous(orders, ["ck"], ["height", "ok"], "ok", "prev", Workspace.of(retail.spark))
+    spends = linked.filter(_digit().between(1, 6) & F.col("prev").isNotNull()).select(
         tx_hash(F.col("ok")).alias("vi_tx_hash"), tx_hash(F.col("prev")).alias("vo_tx_hash")
     )
     return (

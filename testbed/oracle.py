@@ -210,12 +210,20 @@ ctags AS (
          count(*) FILTER (kind = 'founder') AS founder_count,
          count(*) FILTER (kind = 'heuristic_miner') AS heuristic_miner_count,
          count(*) FILTER (kind = 'heuristic_founder') AS heuristic_founder_count,
-         count(*) FILTER (kind = 'tag') AS tag_count,
-         list_sort(list(DISTINCT tag) FILTER (kind = 'pool')) AS pool_names,
-         list_sort(list(DISTINCT tag) FILTER (kind = 'tag')) AS tag_names
+         count(*) FILTER (kind = 'tag') AS tag_count
   FROM members JOIN labelled USING (address) GROUP BY 1)
 """
 
+_TAG_NAMES = """SELECT cluster_id, kind, tag, count(*) AS addresses FROM members JOIN labelled USING (address)
+        WHERE kind IN ('pool', 'tag') GROUP BY 1, 2, 3"""
+
+_COVERAGE = f"""SELECT cluster_id,
+        {_percent('heuristic_miner_count', '(SELECT count(*) FROM h4)')}
+          AS heuristic_miner_percentage,
+        {_percent('(heuristic_founder_count + founder_count)',
+                  '(SELECT count(*) FROM (SELECT address FROM h3 UNION SELECT address FROM founders))')}
+          AS founder_percentage FROM ctags"""
+
 _SUMMARY = """
 summary AS (
   SELECT 'clusters' AS metric, count(*) AS metric_value FROM ranks
@@ -604,24 +612,14 @@ FROM flat""",
         _CLUSTER_STATS,
         "SELECT tx_hash, cluster_id FROM ctx",
     ),
-    "cluster_tags": (
-        _LINKS,
-        _CLUSTERS,
-        _LABELS,
-        """SELECT * REPLACE (coalesce(array_to_string(pool_names, ','), '') AS pool_names,
-        coalesce(array_to_string(tag_names, ','), '') AS tag_names) FROM ctags""",
-    ),
-    "cluster_tag_coverage": (
+    "cluster_tags": (_LINKS, _CLUSTERS, _LABELS, "SELECT * FROM ctags"),
+    "cluster_tag_names": (
         _LINKS,
         _CLUSTERS,
         _LABELS,
-        f"""SELECT cluster_id,
-        {_percent('heuristic_miner_count', '(SELECT count(*) FROM h4)')}
-          AS heuristic_miner_percentage,
-        {_percent('(heuristic_founder_count + founder_count)',
-                  '(SELECT count(*) FROM (SELECT address FROM h3 UNION SELECT address FROM founders))')}
-          AS founder_percentage FROM ctags""",
+        f"SELECT * FROM ({_TAG_NAMES})",
     ),
+    "cluster_tag_coverage": (_LINKS, _CLUSTERS, _LABELS, _COVERAGE),
     "cluster_concentration": (
         _ADDRESSES,
         _LINKS,
@@ -750,12 +748,11 @@ UNION ALL SELECT 'clusters', '- cluster ' || cluster_rank || ' : cluster_size '
        ', founder_count ' || founder_count ||
        ', heuristic_miner_count ' || heuristic_miner_count ||
        ', heuristic_founder_count ' || heuristic_founder_count || ', tag_count ' || tag_count ||
-       ', total_distinct_txs ' || total_distinct_txs || ', total_recv ' || total_recv ||
-       ', total_sent ' || total_sent || ', total_current_value ' || total_current_value ||
-       ', total_pool_recv ' || total_pool_recv || ', total_pool_sent ' || total_pool_sent ||
-       ' : pools ' || coalesce(array_to_string(pool_names, ', '), '') ||
-       ' : tags ' || coalesce(array_to_string(tag_names, ', '), '')
-FROM cstats JOIN ctags USING (cluster_id)""",
+       ', total_distinct_txs ' || total_distinct_txs || """ + " || ".join(f"', total_{name} ' || total_{name}" for name in _SUMS + _COUNTS) + """ ||
+       ', heuristic_miner_percentage ' || heuristic_miner_percentage || ', founder_percentage ' || founder_percentage
+FROM cstats JOIN ctags USING (cluster_id) JOIN (""" + _COVERAGE + """) USING (cluster_id)
+UNION ALL SELECT 'clusters', '- cluster ' || cluster_rank || ' : ' || kind || ' ' || tag || ', addresses ' || addresses
+FROM cstats JOIN (""" + _TAG_NAMES + """) USING (cluster_id)""",
     ),
 }
 

@@ -88,26 +88,28 @@ def skewed(spark):
     ).persist()
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1000, 0])
-def test_numbering_in_slices_equals_a_plain_window(skewed, hot_rows):
+def test_numbering_equals_a_plain_window(skewed, workspace):
     plain = skewed.withColumn(
         "n", F.row_number().over(Window.partitionBy("k").orderBy("s", "v")) - 1
     )
-    sliced = positions.numbered_in_slices(skewed, ["k"], ["s"], [F.col("v")], "n", hot_rows)
-    assert rows(sliced.select("k", "s", "v", "n")) == rows(plain.select("k", "s", "v", "n"))
+    found = positions.numbered(skewed.repartition(6), ["k"], ["s", "v"], "n", workspace)
+    assert rows(found.select("k", "s", "v", "n")) == rows(plain.select("k", "s", "v", "n"))
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1000, 0])
-def test_lag_in_slices_equals_a_plain_window(skewed, hot_rows):
+def test_lag_equals_a_plain_window(skewed, workspace):
     plain = skewed.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("s", "v")))
-    sliced = positions.previous_in_slices(skewed, "k", "s", "v", "v", "p", hot_rows)
-    assert rows(sliced.select("k", "s", "v", "p")) == rows(plain.select("k", "s", "v", "p"))
-
-
-def test_only_the_heavy_key_is_hot(skewed):
-    cold, hot = positions.split_hot(skewed, ["k"], 1000)
-    assert rows(hot.select("k").distinct()) == [(0,)]
-    assert cold.count() + hot.count() == skewed.count()
+    found = positions.previous(skewed.repartition(6), ["k"], ["s", "v"], "v", "p", workspace)
+    assert rows(found.select("k", "s", "v", "p")) == rows(plain.select("k", "s", "v", "p"))
+
+
+def test_a_hot_key_is_spread_over_ranges(spark, skewed, workspace):
+    """The key with three fifths of the rows reaches into several ranges, none much larger than others."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = positions._placed(skewed, ["k", "s", "v"], workspace)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [row["count"] for row in placed.groupBy("_part").count().collect()]
+    assert placed.filter("k = 0").select("_part").distinct().count() > 1
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
 def test_ranks_equal_a_global_window(skewed, workspace):

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from testbed.catalogue import stored_clusters, stored_links, stored_stats, open_testbed
+from testbed.catalogue import QUERIES, open_testbed, stored_clusters, stored_links, stored_stats
+from testbed.oracle import ORACLES
 
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = ("orders", "lineitem", "customer")
@@ -30,10 +31,11 @@ def testbed(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_oracle(spark, duck, name):
     found = contract.queries()[name](spark, str(FOLDER))
     answer = duck.execute(contract.oracle_sql()[name])

@@ -314,8 +314,9 @@ def test_cluster_tags_and_coverage(build, spark, workspace):
     )
     tags = clusters.cluster_tags(members, lists)
     first = tags.filter("cluster_id = 'a'").first()
-    assert (first["pool_count"], first["pool_names"]) == (2, ["pool one"])
-    assert (first["founder_count"], first["tag_count"], first["tag_names"]) == (1, 0, [])
+    assert (first["pool_count"], first["founder_count"], first["tag_count"]) == (2, 1, 0)
+    names = clusters.cluster_tag_names(members, lists).filter("cluster_id = 'a'")
+    assert rows(names.select("kind", "tag", "addresses")) == [("pool", "pool one", 2)]
     blank = spark.createDataFrame([(0, "a"), (1, "other")], "cluster_rank int, cluster_id string")
     table = clusters.cluster_table(blank, tags).orderBy("cluster_rank").collect()
     assert [row["pool_count"] for row in table] == [2, 0]
