@@ -595,14 +595,14 @@ def orphan_rows(t: Testbed) -> DataFrame:
 @query
 def missing_transactions(t: Testbed) -> DataFrame:
     kept = t.transaction().filter(_order_of("t_tx_hash") % FAULTY_EVERY != 0)
-    return quality.missing_transactions(derive.block_listing(t.retail), kept)
+    return quality.missing_transactions(quality.block_listing(t.block()), kept)
 
 
 # Sources and sinks ---------------------------------------------------------------------------
 
 
 def ledger_rows(ledger: Ledger, tables: list[str] | None = None) -> DataFrame:
-    """All rows in one long form: (table_name, row_key, detail, amount)."""
+    """All rows in one long form: (table_name, row_key, detail, amount); block listings as `listing`."""
 
     def text(*columns: str) -> F.Column:
         return F.concat_ws("/", *(F.col(name).cast("string") for name in columns))
@@ -614,14 +614,15 @@ def ledger_rows(ledger: Ledger, tables: list[str] | None = None) -> DataFrame:
     forms = {
         "transaction": (
             text("t_tx_hash"),
-            text("t_blockhash", "t_type", "t_tx_vin_count", "t_tx_vj_count", "t_tx_vout_count"),
+            text(
+                "t_blockhash", "t_type", "t_tx_vin_count", "t_tx_vj_count", "t_tx_vout_count",
+                "t_valid", "t_blocktime",
+            ),
             F.col("t_time"),
         ),
         "block": (
             text("b_height"),
-            F.concat_ws(
-                "/", F.col("b_hash"), F.col("b_previousblockhash"), F.col("b_nextblockhash")
-            ),
+            text("b_hash", "b_previousblockhash", "b_nextblockhash", "b_size", "b_version"),
             F.col("b_time"),
         ),
         "coingen": (text("c_tx_hash"), text("c_coinbase"), F.col("c_sequence")),
@@ -645,9 +646,14 @@ def ledger_rows(ledger: Ledger, tables: list[str] | None = None) -> DataFrame:
             F.col("vj_vpub_old"),
         ),
     }
+    frames = {
+        **ledger.tables(),
+        "listing": quality.block_listing(ledger.block),
+    }
+    forms["listing"] = (text("tx_hash"), text("blockhash"), zero)
     return _union(
         [
-            ledger.tables()[name].select(
+            frames[name].select(
                 F.lit(name).alias("table_name"),
                 key.alias("row_key"),
                 detail.alias("detail"),
@@ -682,6 +688,31 @@ def json_flatten(t: Testbed) -> DataFrame:
     )
 
 
+@query
+def json_rejects(t: Testbed) -> DataFrame:
+    """Documents of which every 97th is cut short or has a text amount: what is left, and how many
+    were set aside."""
+    folder = t.workspace.fresh_path("documents")
+    staging.node_blocks(t).write.json(f"{folder}/blocks")
+    documents = staging.node_transactions(t)
+    whole = F.to_json(F.struct(*documents.columns))
+    order = _order_of("txid")
+    broken = F.when(order % 2 == 0, F.substring(whole, 1, 30)).otherwise(
+        F.concat(F.regexp_replace(whole, r"\}$", ""), F.lit(',"time":"late"}'))
+    )
+    line = F.when(order % FAULTY_EVERY == 0, broken).otherwise(whole)
+    documents.select(line.alias("value")).write.text(f"{folder}/transactions")
+    ledger = node_json.import_documents(
+        t.retail.spark, f"{folder}/blocks", f"{folder}/transactions", f"{folder}/ledger", t.workspace,
+        f"{folder}/rejects",
+    )
+    zero = F.lit(0).cast("decimal(38,8)")
+    rejects = t.retail.spark.read.parquet(f"{folder}/rejects").select(
+        F.lit("reject").alias("table_name"), F.lit("").alias("row_key"), F.lit("").alias("detail"), zero.alias("amount")
+    )
+    return ledger_rows(ledger, ["transaction", "coingen", "vout"]).unionByName(rejects)
+
+
 @query
 def parquet_round_trip(t: Testbed) -> DataFrame:
     folder = t.workspace.fresh_path("snapshot")
@@ -723,6 +754,22 @@ def stream_append(t: Testbed) -> DataFrame:
     return ledger_rows(Ledger(**legs, block=t.block()), list(legs))
 
 
+@query
+def stream_resume(t: Testbed) -> DataFrame:
+    """Two sources, each with its own checkpoint, into one store; they share every 50th document."""
+    spark, folder = t.retail.spark, t.workspace.fresh_path("stream")
+    documents, order = staging.node_transactions(t), _order_of("txid")
+    shared = order % DUPLICATED_EVERY == 0
+    documents.filter((order % 2 == 0) | shared).write.json(f"{folder}/one")
+    documents.filter((order % 2 == 1) | shared).write.json(f"{folder}/two")
+    for source in ("one", "two"):
+        ingest.start_ingest(
+            spark, f"{folder}/{source}", f"{folder}/store", f"{folder}/progress-{source}"
+        ).awaitTermination()
+    legs = ingest.resolved_legs(spark, f"{folder}/store")
+    return ledger_rows(Ledger(**legs, block=t.block()), list(legs))
+
+
 @query
 def address_list_load(t: Testbed) -> DataFrame:
     """A tagged list in which every address of an even-numbered nation occurs twice."""

@@ -273,11 +273,13 @@ kept_src AS (SELECT vi_tx_hash AS tx, {_set('vi_address')} AS addrs FROM kept_vi
 all_rows AS (
   SELECT 'transaction' AS table_name, t_tx_hash AS row_key,
          t_blockhash || '/' || t_type || '/' || t_tx_vin_count || '/' || t_tx_vj_count || '/' ||
-         t_tx_vout_count AS detail, CAST(t_time AS {TOTAL}) AS amount FROM kept
+         t_tx_vout_count || '/true/' || t_time AS detail, CAST(t_time AS {TOTAL}) AS amount FROM kept
   UNION ALL
-  SELECT 'block', CAST(height AS VARCHAR), b_hash || '/' || b_prev || '/' || b_next,
+  SELECT 'block', CAST(height AS VARCHAR), b_hash || '/' || b_prev || '/' || b_next || '/1000/4',
          CAST(b_time AS {TOTAL}) FROM block WHERE {condition}
   UNION ALL
+  SELECT 'listing', t_tx_hash, t_blockhash, CAST(0 AS {TOTAL}) FROM kept
+  UNION ALL
   SELECT 'coingen', c_tx_hash, c_coinbase, CAST(c_sequence AS {TOTAL})
   FROM coingen JOIN kept ON t_tx_hash = c_tx_hash
   UNION ALL
@@ -705,7 +707,20 @@ FROM sides QUALIFY place <= 5""",
         )
     },
     "incremental_append": (_rows("height >= 1"), "SELECT * FROM all_rows"),
-    "stream_append": (_rows(), "SELECT * FROM all_rows WHERE table_name <> 'block'"),
+    "stream_append": (_rows(), "SELECT * FROM all_rows WHERE table_name NOT IN ('block', 'listing')"),
+    "stream_resume": (_rows(), "SELECT * FROM all_rows WHERE table_name NOT IN ('block', 'listing')"),
+    "json_rejects": (
+        _rows(),
+        f"""SELECT table_name, row_key,
+        CASE WHEN rejected AND table_name = 'transaction'
+             THEN replace(split_part(detail, '/', 1) || '/UNKNOWN/0/0/0/false/0', ' ', '') ELSE detail END AS detail,
+        CASE WHEN rejected THEN CAST(0 AS {TOTAL}) ELSE amount END AS amount
+        FROM (SELECT *, {_ORDER.format("split_part(row_key, '/', 1)")} % {FAULTY_EVERY} = 0 AS rejected FROM all_rows
+              WHERE table_name IN ('transaction', 'coingen', 'vout'))
+        WHERE NOT rejected OR table_name = 'transaction'
+        UNION ALL SELECT 'reject', '', '', CAST(0 AS {TOTAL})
+        FROM tx WHERE {_ORDER.format('t_tx_hash')} % {FAULTY_EVERY} = 0""",
+    ),
     "address_list_load": (
         """SELECT address, max(tag) AS tag FROM (
         SELECT address, tag FROM pools UNION ALL

@@ -137,12 +137,13 @@ def write_dumps(testbed: Testbed, folder: str) -> None:
 
 
 def node_blocks(testbed: Testbed) -> DataFrame:
-    """Block documents without their listings."""
+    """Block documents with their listings."""
     return testbed.block().select(
         F.col("b_height").alias("height"),
         F.col("b_hash").alias("hash"),
         F.col("b_size").alias("size"),
         F.col("b_version").alias("version"),
+        F.col("b_tx").alias("tx"),
         F.col("b_time").alias("time"),
         F.nullif("b_previousblockhash", F.lit("")).alias("previousblockhash"),
         F.nullif("b_nextblockhash", F.lit("")).alias("nextblockhash"),
