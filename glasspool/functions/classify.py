@@ -23,18 +23,14 @@ def transaction_type(
     vin_count: Column, vout_count: Column, joinsplit_count: Column, coinbase_count: Column
 ) -> Column:
     """Type by the legs present; a transaction whose only input is a coinbase is a reward."""
-    legs = F.concat(
-        F.when(vin_count > 0, "i").otherwise("-"),
-        F.when(vout_count > 0, "o").otherwise("-"),
-        F.when(joinsplit_count > 0, "j").otherwise("-"),
-    )
+    pays_in, pays_out, joins = vin_count > 0, vout_count > 0, joinsplit_count > 0
     return (
         F.when((vin_count == 1) & (coinbase_count == 1), MINER_REWARD)
-        .when(legs == "io-", PUBLIC)
-        .when(legs == "i-j", SHIELDED)
-        .when(legs == "ioj", MIXED)
-        .when(legs == "-oj", DESHIELDED)
-        .when(legs == "--j", PRIVATE)
+        .when(pays_in & pays_out & joins, MIXED)
+        .when(pays_in & pays_out, PUBLIC)
+        .when(pays_in & joins, SHIELDED)
+        .when(pays_out & joins & ~pays_in, DESHIELDED)
+        .when(joins & ~pays_in, PRIVATE)
         .otherwise(UNKNOWN)
     )
 

@@ -35,7 +35,9 @@ def joinsplit_destinations(joinsplits: DataFrame, vout: DataFrame) -> DataFrame:
     """
     named = vout.select(F.col("vo_tx_hash").alias("tx_hash"), F.explode("vo_pubkey").alias("address"))
     chosen = joinsplits.select(F.col("vj_tx_hash").alias("tx_hash")).distinct()
-    return named.join(reshuffled(chosen, "tx_hash"), "tx_hash", "left_semi").distinct()
+    met = named.join(reshuffled(chosen, "tx_hash"), "tx_hash", "left_semi")
+    # shuffled anew for the distinct, else the join could not split a wide transaction
+    return reshuffled(met, "tx_hash").distinct()
 
 
 def heuristic3_founders(

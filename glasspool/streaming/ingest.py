@@ -1,4 +1,4 @@
-"""A folder of transaction documents, flattened and appended batch by batch.
+"""Folders of transaction and block documents, flattened and appended batch by batch.
 
 Flattening keeps no state. Input resolution needs every earlier output, so it runs afterwards, over
 the stored tables (`resolved_legs`).
@@ -18,11 +18,13 @@ from glasspool import schema
 from glasspool.operators.enrichment import with_joinsplit_addresses
 from glasspool.operators.inputs import resolve_inputs
 from glasspool.operators.joins import reshuffled
-from glasspool.sources.node_json import BROKEN, flatten_legs, flatten_transactions, rejected
+from glasspool.operators.quality import block_listing, missing_transactions
+from glasspool.sources.node_json import BROKEN, flatten_blocks, flatten_legs, flatten_transactions, rejected
 
 _FIRST = "none"
 
 _KINDS = {
+    "block": schema.BLOCK,
     "transaction": schema.TRANSACTION,
     "coingen": schema.COINGEN,
     "vin": schema.VIN,
@@ -80,6 +82,20 @@ def _ingest_id(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
+def append_blocks(documents: DataFrame, batch: int, path: str, ingest: str = "0") -> None:
+    """Store the blocks of one batch that no other batch has stored, as `append_batch` does transactions."""
+    spark = documents.sparkSession
+    own = (F.col("ingest") == ingest) & (F.col("batch") == batch)
+    others = stored(spark, path, "block").filter(~own).select(F.col("b_hash").alias("hash"))
+    unusable = F.col("hash").isNull() | F.col("height").isNull()
+    if BROKEN in documents.columns:
+        unusable |= F.col(BROKEN).isNotNull()
+    if not documents.filter(unusable).isEmpty():
+        raise ValueError("the batch has documents that cannot be used")
+    unseen = documents.dropDuplicates(["hash"]).join(reshuffled(others, "hash"), "hash", "left_anti")
+    flatten_blocks(unseen).write.mode("overwrite").parquet(f"{_folder(path, 'block')}/ingest={ingest}/batch={batch}")
+
+
 def start_ingest(
     spark: SparkSession,
     source: str,
@@ -87,25 +103,40 @@ def start_ingest(
     checkpoint: str,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Append every document not yet read from `source`, then stop; restart to continue.
+    """Append every transaction document not yet read from `source`, then stop; restart to continue.
 
     `files_per_batch` splits a backlog into batches of bounded size. Several ingests may fill one
     store, each with its own checkpoint. A checkpoint that was lost while its batches are stored is
     refused: its batch numbers would start again and replace them.
     """
+    return _start(spark, source, path, checkpoint, files_per_batch, "transaction", schema.NODE_TRANSACTION, append_batch)
+
+
+def start_block_ingest(
+    spark: SparkSession,
+    source: str,
+    path: str,
+    checkpoint: str,
+    files_per_batch: int | None = None,
+) -> StreamingQuery:
+    """Append every block document not yet read from `source` to the same store, as `start_ingest`."""
+    return _start(spark, source, path, checkpoint, files_per_batch, "block", schema.NODE_BLOCK, append_blocks)
+
+
+def _start(spark, source, path, checkpoint, files_per_batch, table, kind, append) -> StreamingQuery:
     if not _exists(spark, path):
         _prepare(spark, path)
     ingest = _ingest_id(checkpoint)
-    known = not stored(spark, path, "transaction").filter(F.col("ingest") == ingest).isEmpty()
+    known = not stored(spark, path, table).filter(F.col("ingest") == ingest).isEmpty()
     if known and not _has_files(spark, checkpoint):
         raise ValueError(f"{checkpoint} is empty, but its batches are stored; use another checkpoint")
-    kind = StructType([*schema.NODE_TRANSACTION.fields, StructField(BROKEN, StringType())])
-    reader = spark.readStream.schema(kind).option("columnNameOfCorruptRecord", BROKEN)
+    whole = StructType([*kind.fields, StructField(BROKEN, StringType())])
+    reader = spark.readStream.schema(whole).option("columnNameOfCorruptRecord", BROKEN)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.json(source)
-        .writeStream.foreachBatch(lambda rows, batch: append_batch(rows, batch, path, ingest))
+        .writeStream.foreachBatch(lambda rows, batch: append(rows, batch, path, ingest))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -128,8 +159,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def resolved_legs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The stored tables with inputs resolved and joinsplits enriched."""
+    """The stored tables with inputs resolved and joinsplits enriched, and with an invalid row for each
+    transaction that a block names but no document describes."""
     tables = {name: stored(spark, path, name).drop("ingest", "batch") for name in _KINDS}
     vin = resolve_inputs(tables["vin"], tables["vout"])
     vjoinsplit = with_joinsplit_addresses(tables["vjoinsplit"], vin, tables["vout"])
-    return {**tables, "vin": vin, "vjoinsplit": vjoinsplit}
+    absent = missing_transactions(block_listing(tables["block"]), tables["transaction"])
+    transaction = tables["transaction"].unionByName(absent)
+    return {**tables, "transaction": transaction, "vin": vin, "vjoinsplit": vjoinsplit}

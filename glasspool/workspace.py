@@ -7,6 +7,8 @@ blocks on the executor.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,13 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only on a single-machine master."""
+    """The session's checkpoint folder.
+
+    A session on one machine that names none gets a temporary folder, removed when the program ends;
+    on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="glasspool-")
+    folder = tempfile.mkdtemp(prefix="glasspool-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 class Workspace:

@@ -707,7 +707,7 @@ FROM sides QUALIFY place <= 5""",
         )
     },
     "incremental_append": (_rows("height >= 1"), "SELECT * FROM all_rows"),
-    "stream_append": (_rows(), "SELECT * FROM all_rows WHERE table_name NOT IN ('block', 'listing')"),
+    "stream_append": (_rows(), "SELECT * FROM all_rows"),
     "stream_resume": (_rows(), "SELECT * FROM all_rows WHERE table_name NOT IN ('block', 'listing')"),
     "json_rejects": (
         _rows(),

@@ -12,12 +12,13 @@ from glasspool import Ledger, Workspace, schema  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[*]")
         .appName("glasspool-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.driver.memory", os.environ.get("TEST_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

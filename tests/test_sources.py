@@ -161,6 +161,15 @@ def test_stream_appends_once(spark, tmp_path):
     assert rows(ingest.stored(spark, store, "transaction").select("t_tx_hash")) == rows(found)
 
 
+def test_blocks_and_transactions_stream_into_one_store(spark, documents, tmp_path):
+    store = str(tmp_path / "both")
+    ingest.start_block_ingest(spark, documents[0], store, str(tmp_path / "pb")).awaitTermination()
+    ingest.start_ingest(spark, documents[1], store, str(tmp_path / "pt")).awaitTermination()
+    legs, whole = ingest.resolved_legs(spark, store), node_json.load_documents(spark, *documents)
+    for name, table in whole.tables().items():
+        assert rows(legs[name]) == rows(table.select(*legs[name].columns)), name
+
+
 def test_broken_documents_are_refused_or_set_aside(spark, documents, tmp_path, workspace):
     blocks, source = documents[0], tmp_path / "mixed"
     write_documents(source, "good.json", TRANSACTIONS[:2])
