@@ -2,21 +2,26 @@
 
 1. Tokens are words, A-Z in lower case, with marks (MARKS) as white space. Their log-odds between
    toxic and other training texts take an informative Dirichlet prior, PRIOR times the token's count
-   in both (Monroe, Colaresi and Quinn, 2008); tokens whose z is under SIGNIFICANT get 0. Less
-   COST for each token, this is a score whose mean over clean text is negative.
+   in both (Monroe, Colaresi and Quinn, 2008); tokens whose z is not significant get 0. Less a cost
+   for each token, this is a score whose mean over clean text is negative.
 2. All maximal scoring segments of a text are found in one linear scan (Ruzzo and Tompa, 1999).
 3. Scores are calibrated by extreme values (Karlin and Altschul, 1990): lambda solves
    sum p e^(lambda s) = 1 over the token shares of clean texts, K follows from the mean greatest
    segment of clean texts. A segment is significant if lambda S - ln(K n) > 0; the evidence of a text
    is the sum of these. A logistic curve with an L2 penalty turns evidence into a probability.
 
+Log-odds come from two thirds of the training texts (by hash of the text), calibration from the other
+third, which the log-odds have not seen; the significance level (SIGNIFICANT) and the cost (COSTS) are
+those with the least log loss there.
+
 The model is fitted on at most SAMPLE labelled rows, chosen by hash of the id; their ids are
 broadcast. The model keeps at most MODEL_TOKENS tokens, those with the greatest |z|; all other
 tokens are neutral. Every whole text is scored.
 
 Defined results: null counts as empty; an empty text has no segments and gets the least probability;
 a label of null is no label; a null id is never a training row; without training rows of both labels
-every score is the share of toxic rows (0 without any); repeated rows are scored each; ties of z go
+every score is the share of toxic rows (0 without any); equal training texts count once, toxic if any
+is; repeated rows are scored each; ties of z go
 to the smaller hash; extra columns are ignored.
 """
 
@@ -37,8 +42,8 @@ from glasspool.workspace import Workspace
 SAMPLE = 20_000
 MODEL_TOKENS = 20_000
 PRIOR = 0.1
-SIGNIFICANT = 3.0
-COST = 0.5
+SIGNIFICANT = (3.0, 4.0, 6.0, 9.0, 14.0)
+COSTS = (0.1, 0.5, 1.0)
 PENALTY = 1e-3
 THRESHOLD = 0.7
 MARKS = b"\"'`.,;:!?()[]{}<>|%*&$#"
@@ -75,6 +80,7 @@ class Model:
 
     words: np.ndarray
     odds: np.ndarray
+    cost: float = 0.5
     rate: float = 1.0  # lambda
     log_k: float = 0.0
     intercept: float = -30.0
@@ -82,14 +88,13 @@ class Model:
 
     def scores(self, hashes: np.ndarray) -> np.ndarray:
         if not self.words.size:
-            return np.full(hashes.size, -COST)
+            return np.full(hashes.size, -self.cost)
         at = np.minimum(np.searchsorted(self.words, hashes), self.words.size - 1)
-        return np.where(self.words[at] == hashes, self.odds[at], 0.0) - COST
+        return np.where(self.words[at] == hashes, self.odds[at], 0.0) - self.cost
 
-    def segments(self, text: bytes) -> tuple[int, list[tuple[int, int, float]]]:
-        """Tokens of a text and its maximal segments."""
-        scores = self.scores(toxic_tokens(text))
-        return scores.size, maximal_segments(scores)
+    def segments(self, tokens: np.ndarray) -> list[tuple[int, int, float]]:
+        """The maximal segments of a text's tokens."""
+        return maximal_segments(self.scores(tokens))
 
     def significant(self, size: int, segments: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
         """Segments beyond what chance makes of a text of that size, with their normalised scores."""
@@ -132,7 +137,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, divisor: int, held_remain
         .orderBy(F.xxhash64("labelled"), "labelled")
         .limit(sample)
     )
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("text", "toxic")
+    labelled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    # copies are no evidence of their own
+    return labelled.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).agg(
+        F.first("text").alias("text"), F.max("toxic").alias("toxic")
+    ).select("text", "toxic")
 
 
 def _token_table(training: DataFrame) -> DataFrame:
@@ -155,12 +164,13 @@ def _token_table(training: DataFrame) -> DataFrame:
 
 def fit(training: DataFrame, workspace: Workspace) -> Model:
     """The model of (text, toxic)."""
-    training = workspace.store(training)
-    counts = _token_table(training)
+    third = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(3)) == 0
+    training = workspace.store(training.withColumn("calibrates", third))
+    counts = _token_table(training.filter("not calibrates"))
     n1, n0 = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
-    rows = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
-    if len(rows) < 2 or not n1 or not n0:
-        share = rows.get(True, 0) / max(1, sum(rows.values()))
+    rows = {tuple(r)[:2]: r["count"] for r in training.groupBy("calibrates", "toxic").count().collect()}
+    if len(rows) < 4 or not n1 or not n0:
+        share = sum(n for (_, toxic), n in rows.items() if toxic) / max(1, sum(rows.values()))
         return Model(np.empty(0, np.uint64), np.empty(0), intercept=math.log((share + 1e-9) / (1 - share + 1e-9)))
     prior, all_prior = (F.col("toxic") + F.col("other")) * PRIOR, PRIOR * (n1 + n0)
     odds = lambda y, n: F.log((y + prior) / (n + all_prior - y - prior))
@@ -168,46 +178,54 @@ def fit(training: DataFrame, workspace: Workspace) -> Model:
         "word", "other",
         (odds(F.col("toxic"), n1) - odds(F.col("other"), n0)).alias("odds"),
         F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)).alias("error"),
-    )
+    ).withColumn("z", F.abs(F.col("odds") / F.col("error")))
     strong = (
-        weighed.filter(F.abs(F.col("odds") / F.col("error")) >= SIGNIFICANT)
-        .orderBy(F.desc(F.abs(F.col("odds") / F.col("error"))), "word")
+        weighed.filter(F.col("z") >= min(SIGNIFICANT))
+        .orderBy(F.desc("z"), "word")
         .limit(MODEL_TOKENS)
         .toArrow()
         .to_pandas()
     )
-    words = strong["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(words)
-    model = Model(words[order], strong["odds"].to_numpy(dtype=np.float64)[order])
-    # token shares of clean texts; all tokens outside the model score -COST
-    seen = (strong["other"].to_numpy(dtype=np.float64)[order] + 0.5) / n0
-    scores = np.append(model.odds - COST, -COST)
-    model.rate = _solve_rate(scores, np.append(seen, max(0.0, 1 - seen.sum())))
-    greatest = _evidence(training, model, raw=True).toArrow().to_pandas()
-    clean = greatest[~greatest["toxic"]]
-    # the greatest of n tokens is distributed with mean (ln(K n) + 0.5772) / lambda
-    model.log_k = float(model.rate * clean["best"].mean() - 0.5772 - np.log(np.maximum(clean["size"], 1)).mean())
-    evidence = _evidence(training, model, raw=False).toArrow().to_pandas()
-    x = np.log1p(evidence["evidence"].to_numpy(dtype=np.float64))
-    model.intercept, model.slope = _fit_logistic(x, evidence["toxic"].to_numpy(dtype=np.float64))
-    return model
-
-
-def _evidence(training: DataFrame, model: Model, raw: bool) -> DataFrame:
-    """(toxic, size, best) or (toxic, evidence): one row of numbers for each training text."""
+    strong = strong.iloc[np.argsort(strong["word"].to_numpy(dtype=np.int64).view(np.uint64))]
+    models = []
+    for least in SIGNIFICANT:
+        part = strong[strong["z"] >= least]
+        # token shares of clean texts; all tokens outside the model score -cost
+        seen = (part["other"].to_numpy(dtype=np.float64) + 0.5) / n0
+        for cost in COSTS:
+            model = Model(part["word"].to_numpy(dtype=np.int64).view(np.uint64), part["odds"].to_numpy(dtype=np.float64), cost)
+            model.rate = _solve_rate(np.append(model.odds - cost, -cost), np.append(seen, max(0.0, 1 - seen.sum())))
+            models.append(model)
+    measured = _segment_scores(training.filter("calibrates"), models).toArrow().to_pandas()
+    toxic, sizes = measured["toxic"].to_numpy(dtype=bool), measured["size"].to_numpy(dtype=np.int64)
+    best = None
+    for k, model in enumerate(models):
+        found = [[(0, 0, score) for score in scores[k]] for scores in measured["scores"]]
+        greatest = np.array([max([0.0, *(s for *_, s in segments)]) for segments in found])
+        # the greatest segment of n tokens has mean (ln(K n) + 0.5772) / lambda
+        logs = np.log(np.maximum(sizes[~toxic], 1))
+        model.log_k = float(model.rate * greatest[~toxic].mean() - 0.5772 - logs.mean())
+        evidence = np.array([sum(v for *_, v in model.significant(n, segments)) for n, segments in zip(sizes, found)])
+        model.intercept, model.slope = _fit_logistic(np.log1p(evidence), toxic.astype(np.float64))
+        chance = np.clip([model.probability(e) for e in evidence], 1e-9, 1 - 1e-9)
+        loss = -np.log(np.where(toxic, chance, 1 - chance)).mean()
+        if best is None or loss < best[0]:
+            best = (loss, model)
+    return best[1]
+
+
+def _segment_scores(training: DataFrame, models: list[Model]) -> DataFrame:
+    """(toxic, size, scores): the segment scores of each training text under each model."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.segments(text) for text in texts_of(batch)]
-            if raw:
-                numbers = [[size for size, _ in found], [max([0.0, *(s for *_, s in segments)]) for _, segments in found]]
-                columns, names = [pa.array(numbers[0], pa.int64()), pa.array(numbers[1], pa.float64())], ["size", "best"]
-            else:
-                evidence = [sum(v for *_, v in model.significant(size, segments)) for size, segments in found]
-                columns, names = [pa.array(evidence, pa.float64())], ["evidence"]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], names=["toxic", *names])
+            tokens = [toxic_tokens(text) for text in texts_of(batch)]
+            scores = [[[s for *_, s in model.segments(t)] for model in models] for t in tokens]
+            columns = [batch.column("toxic"), pa.array([t.size for t in tokens], pa.int64()),
+                       pa.array(scores, pa.list_(pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "size", "scores"])
 
-    return training.mapInArrow(measure, "toxic boolean, " + ("size long, best double" if raw else "evidence double"))
+    return training.mapInArrow(measure, "toxic boolean, size long, scores array<array<double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, workspace: Workspace, divisor: int = 3, held_remainder: int = 1, threshold: float = THRESHOLD,
@@ -223,7 +241,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, workspace: Workspace, divisor:
         for batch in batches:
             scores, passages = [], []
             for text in texts_of(batch):
-                found = model.significant(*model.segments(text))
+                tokens = toxic_tokens(text)
+                found = model.significant(tokens.size, model.segments(tokens))
                 scores.append(model.probability(sum(v for *_, v in found)))
                 passages.append([{"start": s, "end": e, "score": v} for s, e, v in found])
             segment = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
