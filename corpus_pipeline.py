@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from glasspool.llm import exact, minhash, packing, pii, quality
-from glasspool.llm.text import importable
+from glasspool.llm.text import prepared
 from glasspool.workspace import Workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the fences of their language and source."""
-    return quality.keep_good(docs, Workspace.of(spark))
+    return quality.keep_good(docs, Workspace.of(prepared(spark)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +22,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more of five-word shingles."""
-    return minhash.drop_near_copies(docs, Workspace.of(spark))
+    return minhash.drop_near_copies(docs, Workspace.of(prepared(spark)))
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data generalised and disclosing terms removed."""
-    return pii.redact(docs, Workspace.of(spark), length_column="n_chars")
+    return pii.redact(docs, Workspace.of(prepared(spark)), length_column="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their place in a sequence."""
-    return packing.pack(docs, Workspace.of(spark), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, Workspace.of(prepared(spark)), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
-    workspace = Workspace.of(importable(spark))
+    workspace = Workspace.of(prepared(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = workspace.store(stage(spark, docs, sf_dir))

@@ -37,7 +37,7 @@ LEAST_SHARD_PIECES = 1000
 LOOSE_GAP = 16
 ROUNDS = 3
 END_ID = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 PLACES = "doc_id long, piece int, row long, length long, bin long, gap int, offset long"

@@ -144,9 +144,12 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder.of(model)
         for batch in batches:
-            texts = [text.decode("utf-8", "replace") for text in texts_of(batch)]
-            ids = list(map(coder.encode, texts))
-            columns = [batch.column("doc_id"), pa.array(map(len, texts), pa.int64()),
+            sizes, ids = [], []
+            for raw in texts_of(batch):
+                text = raw.decode("utf-8", "replace")
+                sizes.append(len(text))
+                ids.append(coder.encode(text))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()),
                        pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "n_pieces", "ids"])
 

@@ -43,7 +43,7 @@ ALPHA = 0.95
 LEAST_TEXTS = 3
 WINDOW = 10
 LOOK = 400
-FLUSH_WORDS = 500_000
+FLUSH_WORDS = 150_000
 KINDS = ("email", "ip", "card", "phone")
 
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glasspool.llm import chat, exact, lm, minhash, packing, pii, pieces, quality, tokens, toxicity
-from glasspool.llm.text import importable
+from glasspool.llm.text import prepared
 from glasspool.workspace import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENT_BYTES = 1 << 22
+BATCH_ROWS = 1000
 WHITE = b" \t\n\x0b\x0c\r"
 
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SPACE = np.isin(np.arange(256), list(WHITE))
 _VALUE = np.random.default_rng(20160101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,9 +95,12 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    """The texts as UTF-8, null as empty."""
-    return [text or b"" for text in batch.column(column).cast(pa.binary()).to_pylist()]
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
+    """The texts as UTF-8, null as empty; only a few at a time are copied out of the batch."""
+    texts = batch.column(column)
+    for start in range(0, len(texts), 64):
+        for text in texts.slice(start, 64).cast(pa.binary()).to_pylist():
+            yield text or b""
 
 
 def documents(docs: DataFrame, *extra: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -118,13 +123,17 @@ def fresh_name(frame: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """The session, with this package on the path of Python workers on the driver's machine.
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, set up for the queries and the pipeline.
 
-    On a cluster the package is shipped with the job (`--py-files`).
+    Python workers on the driver's machine find this package; on a cluster it is shipped with the job
+    (`--py-files`). Batches handed to Python hold BATCH_ROWS documents unless the session says otherwise:
+    at the default of 10,000 rows their copies, and not the work, would set an executor's memory.
     """
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     return spark

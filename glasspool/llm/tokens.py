@@ -151,11 +151,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter.of(tokenizer)
         for batch in batches:
-            texts = texts_of(batch)
-            counts = [counter.count(text) for text in texts]
+            sizes, counts = [], []
+            for text in texts_of(batch):
+                sizes.append(len(text))
+                counts.append(counter.count(text))
             columns = [
                 batch.column("doc_id").cast(pa.int64()),
-                pa.array(map(len, texts), pa.int64()),
+                pa.array(sizes, pa.int64()),
                 pa.array(counts, pa.int64()),
                 pa.array([c > limit for c in counts], pa.bool_()),
             ]

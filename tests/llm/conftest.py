@@ -2,7 +2,7 @@ from pathlib import Path
 
 import pytest
 
-from glasspool.llm.text import importable
+from glasspool.llm.text import prepared
 
 FOLDER = Path("/root/testdata/sf0.001")
 
@@ -27,19 +27,19 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def odd(spark):
     """Null, empty, blank, very long, tied and repeated texts, null ids, and columns with clashing names."""
-    return importable(spark).createDataFrame(odd_rows(), SCHEMA)
+    return prepared(spark).createDataFrame(odd_rows(), SCHEMA)
 
 
 @pytest.fixture(scope="session")
 def nothing(spark):
-    return importable(spark).createDataFrame([], SCHEMA)
+    return prepared(spark).createDataFrame([], SCHEMA)
 
 
 @pytest.fixture(scope="session")
 def small(spark):
     if not FOLDER.exists():
         pytest.skip("test tables are not here")
-    return importable(spark).read.parquet(f"{FOLDER}/documents.parquet")
+    return prepared(spark).read.parquet(f"{FOLDER}/documents.parquet")
 
 
 def texts(docs):
