@@ -87,36 +87,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_packing, op2_quality, op3_chat, op4_pieces, op5_minhash, op6_tokens, op7_exact, op8_toxicity, op9_lm, op10_pii)
 }
-
-ORACLES = {
-    "op3_chat": """
-        WITH RECURSIVE calls AS (
-            SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text,
-                   CASE WHEN turn >= 2 THEN conv_id || '-' || (turn // 4 * 2 + turn % 2) END AS needs
-            FROM conversations WHERE role = 'user'
-        ),
-        levels AS (
-            SELECT call_id, 0 AS level FROM calls WHERE needs IS NULL
-            UNION ALL
-            SELECT c.call_id, l.level + 1 FROM calls c JOIN levels l ON c.needs = l.call_id
-        ),
-        answers AS (
-            SELECT conv_id || '-' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'
-        )
-        SELECT c.conv_id, c.turn, c.call_id, 'ask' AS name, l.level, length(c.text) <= 1000 AS valid,
-               CASE WHEN a.call_id IS NULL THEN 0 ELSE 1 END AS results,
-               '{' || CASE WHEN length(c.text) <= 1000 THEN '"arguments":'
-                   || to_json('{"length":' || length(c.text) || ',"text":' || to_json(c.text) || ',"turn":' || c.turn || '}') || ',' ELSE '' END
-                   || '"id":' || to_json(c.call_id) || ',"name":"ask"'
-                   || CASE WHEN a.content IS NULL THEN '' ELSE ',"result":' || to_json(a.content) END || '}' AS line
-        FROM calls c LEFT JOIN levels l USING (call_id) LEFT JOIN answers a USING (call_id)
-    """,
-    "op7_exact": """
-        SELECT doc_id,
-               max(doc_id) OVER same AS keep_id,
-               count(*) OVER same AS group_size,
-               doc_id = max(doc_id) OVER same AS kept,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW same AS (PARTITION BY sha256(coalesce(text, '')))
-    """,
-}

@@ -11,7 +11,8 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from glasspool.llm import chat, pieces, tokens
-from glasspool.llm.queries import ORACLES, QUERIES
+from glasspool.llm.oracles import ORACLES
+from glasspool.llm.queries import QUERIES
 from tests.llm.conftest import FOLDER, odd_rows, texts
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
