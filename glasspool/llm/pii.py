@@ -6,20 +6,24 @@ Luhn check) and phone (9 to 15 digits); each leftmost and without overlaps withi
 The values found are the protected entities. After Sanchez and Batet (C-sanitisation, 2016), how
 strongly a term t reveals an entity e is their pointwise mutual information over the corpus,
 log2(n(t,e) * N / (n(t) * n(e))), measured against the information content of the entity itself,
-log2(N / n(e)). The quotient is 1 when every document with the term has the entity near it. Here
-n(e) and n(t) count documents with the entity and with the term, n(t,e) those with the term among
-the WINDOW words before or after the entity (looked for within LOOK characters), N all documents. A
-term whose quotient reaches ALPHA discloses: it is a span of kind `term` where it stands near that
-entity. Copies prove nothing: a pair counts only when LEAST_TEXTS different texts have it.
-
-One pass over the texts finds base spans and the words near them, another counts words; counts are
-aggregates with partial sums in each task. Only documents with entities take part in joins by
-entity. Redaction replaces base spans by their kind in brackets (generalised) and removes terms.
-
-Defined results: null counts as empty; a null id is scanned like any other; terms in documents with
-equal id and text are the same; rows with a null id lose base spans only in redaction; of overlapping spans of different kinds all are reported, and
-redaction replaces their union by the first one's kind; repeated rows are reported each; extra
-columns are carried along by `redact`, whatever their names.
+log2(N / n(e)). The quotient is 1 when every document with the term has the entity. Here n(e) and
+n(t) count documents with the entity and with the term, n(t,e) those with both, wherever they stand,
+N all documents. A term whose quotient reaches ALPHA discloses: it is a span of kind `term` at each
+of its places, in every document. Copies prove nothing: a pair counts only when LEAST_TEXTS
+different texts have it.
+
+One pass over the texts finds base spans and the words of texts that hold entities, another counts
+words, a third finds the places of disclosing terms. Since n(t,e) is at most n(e), only terms with
+n(t) <= n(e)^ALPHA * N^(1 - ALPHA) can reach ALPHA, and only entities of LEAST_TEXTS texts; no other
+pairs are built, and none is lost. The third pass hands on the places of words that a Bloom filter of
+the disclosing terms holds, which then meet the terms themselves in a join: a full filter costs rows,
+never places. Redaction replaces base spans by their kind in brackets (generalised) and removes terms.
+
+Defined results: null counts as empty; a null id is scanned like any other; equal texts have the same
+terms; rows with a null id lose base spans only in redaction; of overlapping spans of different kinds all are reported, and
+redaction replaces their union by the first one's kind; a word that a base span covers in part does
+not count as a term there, but is marked if it discloses elsewhere; repeated rows are reported each;
+extra columns are carried along by `redact`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,15 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glasspool.llm.bloom import tried
+from glasspool.llm.bloom import cell, filled, filter_words, tried
 from glasspool.llm.text import documents, fresh_name, texts_of, word_hashes
 from glasspool.operators.joins import reshuffled
 from glasspool.workspace import Workspace
 
 ALPHA = 0.95
 LEAST_TEXTS = 3
-WINDOW = 10
-LOOK = 400
+MOST_FILTER_WORDS = 1 << 20
 FLUSH_WORDS = 150_000
 KINDS = ("email", "ip", "card", "phone")
 
@@ -54,11 +57,12 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _not_digit = re.compile(r"[^0-9]")
+SPACES = " \t\n\x0b\x0c\r"
 EDGE = b"\"'`.,;:!?()[]{}<>|%*&$#"
 
 FOUND = (
     "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, "
-    "text_hash long, entities array<long>, near array<struct<entity: long, term: long, start: int, end: int>>"
+    "text_hash long, entities array<long>, terms array<long>"
 )
 
 
@@ -111,21 +115,38 @@ def _term(word: bytes) -> bytes:
     return word.lower().strip(EDGE)
 
 
+def _outside(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The words that no span covers, not even in part."""
+    parts, done = [], 0
+    for start, end in sorted((start, end) for _, start, end in spans):
+        while start > done and text[start - 1] not in SPACES:
+            start -= 1
+        end = max(end, done)
+        while end < len(text) and text[end] not in SPACES:
+            end += 1
+        parts.append(text[done : max(start, done)])
+        done = end
+    return " ".join([*parts, text[done:]])
+
+
+def _terms(raw: bytes) -> set[bytes]:
+    return set(map(_term, set(raw.split()))) - {b""}
+
+
 def _near(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, bytes, int, int]]:
-    """(entity, term, start, end) for the words near each span that no span covers."""
+    """(entity, term, start, end) for each entity and each word of its text that no span covers."""
     covered = np.zeros(len(text) + 1, dtype=bool)
     for _, start, end in spans:
         covered[start:end] = True
-    for kind, start, end in spans:
-        entity = _entity(kind, text[start:end])
-        low, high = max(0, start - LOOK), min(len(text), end + LOOK)
-        before = [m for m in _word.finditer(text, low, start) if m.start() > low or low == 0]
-        after = [m for m in _word.finditer(text, end, high) if m.end() < high or high == len(text)]
-        for m in before[-WINDOW:] + after[:WINDOW]:
+    for entity in {_entity(kind, text[start:end]) for kind, start, end in spans}:
+        for m in _word.finditer(text):
             if (term := _term(m[0].encode("utf-8", "replace"))) and not covered[m.start() : m.end()].any():
                 yield entity, term, m.start(), m.end()
 
 
+_NO_KEYS = np.empty(0, dtype=np.int64)
+
+
 def _keys(words: list[bytes]) -> np.ndarray:
     """One number for each word; words hold no white space."""
     return word_hashes(b"\n".join(words)).view(np.int64)
@@ -147,18 +168,12 @@ def find(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 counts = [sum(kind == k for k, _, _ in spans) for kind in KINDS]
                 base = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-                near = list(_near(text, spans)) if spans else []
-                keys = _keys([term for _, term, _, _ in near]).tolist()
-                places = [
-                    {"entity": entity, "term": key, "start": start, "end": end}
-                    for key, (entity, _, start, end) in zip(keys, near)
-                ]
+                terms = _keys(list(_terms(_outside(text, spans).encode("utf-8", "replace")))) if spans else _NO_KEYS
                 entities = sorted({_entity(k, text[s:e]) for k, s, e in spans})
                 digest = hashlib.sha256(base.encode()).hexdigest()
-                out.append((doc_id, row, *counts, base, digest, _hash(raw) if spans else 0, entities, places))
-            place = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-            kinds = [pa.int64()] * 6 + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.int64()), pa.list_(place)]
-            names = [field.split()[0] for field in FOUND.split(", ")[:10]] + ["near"]
+                out.append((doc_id, row, *counts, base, digest, _hash(raw), entities, terms))
+            kinds = [pa.int64()] * 6 + [pa.string()] * 2 + [pa.int64()] + [pa.list_(pa.int64())] * 2
+            names = [field.split()[0] for field in FOUND.split(", ")]
             columns = zip(*out) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
@@ -176,7 +191,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         keys, held = [], 0
         for batch in batches:
             for raw in texts_of(batch):
-                keys.append(_keys(list(set(map(_term, set(raw.split()))) - {b""})))
+                keys.append(_keys(list(_terms(raw))))
                 held += keys[-1].size
                 if held > 8 * FLUSH_WORDS:
                     yield handed(keys)
@@ -190,45 +205,107 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def disclosing(found: DataFrame, docs: DataFrame, workspace: Workspace, alpha: float = ALPHA,
                least_texts: int = LEAST_TEXTS) -> DataFrame:
     """(entity, term) whose quotient of mutual information and information content reaches `alpha`."""
-    held = found.filter(F.size("entities") > 0)
-    entities = (
-        held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    )
-    near = held.select("text_hash", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("pair"))
-    pairs = workspace.store(
-        near.groupBy("pair.entity", "pair.term", "text_hash")
-        .agg(F.count("*").alias("copies"))
-        .groupBy("entity", "term")
-        .agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
-        .filter(F.col("texts") >= least_texts)
+    # entities and terms depend on the text alone
+    texts = workspace.store(
+        found.filter(F.size("entities") > 0)
+        .groupBy("text_hash")
+        .agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     )
     total = found.count()
-    counts = word_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
+    placed = texts.select("text_hash", "copies", F.explode("entities").alias("entity"))
+    entities = workspace.store(
+        placed.groupBy("entity")
+        .agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts"))
+        .filter((F.col("n_texts") >= least_texts) & (F.col("n_entity") < total))
+    )
+    members = workspace.store(
+        placed.join(reshuffled(entities, "entity"), "entity").select("text_hash", "entity", "n_entity")
+    )
+    # the least of n(t,e), n(e) and n(t) bounds what can reach alpha; the factor covers rounding
+    most = lambda n: F.pow(n, F.lit(alpha)) * float(max(total, 1)) ** (1 - alpha) * (1 + 1e-9)
+    greatest = entities.agg(F.coalesce(F.max("n_entity"), F.lit(0))).first()[0]
+    counts = word_counts(docs).filter((F.col("n_term") >= least_texts) & (F.col("n_term") <= most(F.lit(float(greatest)))))
+    with_members = members.select("text_hash").distinct()
+    words = (
+        texts.join(reshuffled(with_members, "text_hash"), "text_hash", "left_semi")
+        .select("text_hash", "copies", F.explode("terms").alias("term"))
+        .join(reshuffled(counts, "term"), "term")
+    )
     quotient = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
     return (
-        pairs.join(reshuffled(entities, "entity"), "entity")
-        .join(reshuffled(counts, "term"), "term")
-        .filter((F.col("n_entity") < total) & (quotient >= alpha))
+        words.join(members, "text_hash")
+        .filter(F.col("n_term") <= most(F.col("n_entity")))
+        .groupBy("entity", "term", "n_entity", "n_term")
+        .agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
+        .filter((F.col("texts") >= least_texts) & (quotient >= alpha))
         .select("entity", "term")
     )
 
 
-def _term_spans(found: DataFrame, docs: DataFrame, workspace: Workspace, alpha: float) -> DataFrame:
-    """(row, doc_id, text_hash, places): sorted distinct [start, end] of disclosing terms of documents that have any."""
-    terms = workspace.store(disclosing(found, docs, workspace, alpha))
-    near = found.select("row", "doc_id", "text_hash", F.inline("near"))
-    # a document has at most 2 * WINDOW places for each base span
+def _uncovered(text: str, wanted: set[str]) -> list[tuple[str, int, int]]:
+    """The places of the wanted words, without those that lie inside one base span."""
+    spans = [(start, end) for _, start, end in base_spans(text)]
+    inside = np.zeros(len(text) + 1, dtype=np.int64)  # how far the span reaches that starts here or before
+    for start, end in spans:
+        inside[start] = max(inside[start], end)
+    inside = np.maximum.accumulate(inside)
+    return [(m[0], m.start(), m.end()) for m in _word.finditer(text) if m[0] in wanted and inside[m.start()] < m.end()]
+
+
+def _term_places(found: DataFrame, docs: DataFrame, workspace: Workspace, alpha: float) -> DataFrame:
+    """(text_hash, places): sorted distinct [start, end] of disclosing terms, of each text that has any."""
+    terms = workspace.store(disclosing(found, docs, workspace, alpha).select("term").distinct())
+    words = filter_words(terms.count(), MOST_FILTER_WORDS)
+    at, mask = cell(F.col("term"), words)
+    # at most MOST_FILTER_WORDS rows
+    cells = filled(terms.select(at.alias("word"), mask.alias("mask"))).toArrow()
+    bits = np.zeros(words, dtype=np.uint64)
+    bits[cells["word"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+    known = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw in texts_of(batch):
+                by_term: dict[bytes, list[bytes]] = {}
+                for word in set(raw.split()):
+                    by_term.setdefault(_term(word), []).append(word)
+                by_term.pop(b"", None)
+                keys = _keys(list(by_term))
+                hits = np.flatnonzero(_held(known.value, keys))
+                if not hits.size:
+                    continue
+                listed = list(by_term)
+                key_of = {w.decode("utf-8", "replace"): int(keys[k]) for k in hits for w in by_term[listed[k]]}
+                places: dict[int, list[dict]] = {}
+                for word, start, end in _uncovered(raw.decode("utf-8", "replace"), set(key_of)):
+                    places.setdefault(key_of[word], []).append({"start": start, "end": end})
+                digest = _hash(raw)
+                out += [(digest, key, spans) for key, spans in places.items()]
+            place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            columns = zip(*out) if out else [()] * 3
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), place])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["text_hash", "term", "places"])
+
+    hit = docs.select("text").mapInArrow(scan, "text_hash long, term long, places array<struct<start: int, end: int>>")
+    # copies of a text have the same places; a text has at most one row for each of its words
     return (
-        near.join(reshuffled(terms, "entity"), ["entity", "term"])
-        .groupBy("row")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("text_hash").alias("text_hash"),
-            F.array_sort(F.collect_set(F.struct("start", "end"))).alias("places"),
-        )
+        hit.groupBy("text_hash", "term")
+        .agg(F.first("places").alias("places"))
+        .join(reshuffled(terms, "term"), "term")
+        .groupBy("text_hash")
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
     )
 
 
+def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """As `bloom.cell` and `bloom.held`."""
+    keys = keys.view(np.uint64)
+    one, low = np.uint64(1), np.uint64(63)
+    mask = (one << ((keys >> np.uint64(40)) & low)) | (one << ((keys >> np.uint64(52)) & low))
+    return bits[(keys & np.uint64(bits.size - 1)).astype(np.int64)] & mask == mask
+
+
 def sanitise(docs: DataFrame, workspace: Workspace, alpha: float = ALPHA,
              id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per document.
@@ -237,13 +314,13 @@ def sanitise(docs: DataFrame, workspace: Workspace, alpha: float = ALPHA,
     """
     narrow = documents(docs, id_column=id_column, text_column=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = workspace.store(find(narrow.withColumn("row", F.monotonically_increasing_id())))
-    extra = _term_spans(found, narrow, workspace, alpha).select(
-        F.col("row").alias("at"),
-        F.array_join(F.transform("places", lambda x: F.concat(F.lit("term:"), x["start"], F.lit(":"), x["end"])), ",").alias("terms"),
+    extra = _term_places(found, narrow, workspace, alpha).select(
+        F.col("text_hash").alias("at"),
+        F.array_join(F.transform("places", lambda x: F.concat(F.lit("term:"), x["start"], F.lit(":"), x["end"])), ",").alias("marked"),
     )
-    return found.join(extra, F.col("row") == F.col("at"), "left").select(
+    return found.join(reshuffled(extra, "at"), F.col("text_hash") == F.col("at"), "left").select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
-        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "terms").alias("spans"),
+        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "marked").alias("spans"),
     )
 
 
@@ -264,7 +341,8 @@ def redact(docs: DataFrame, workspace: Workspace, alpha: float = ALPHA, id_colum
     narrow = documents(docs, id_column=id_column, text_column=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = workspace.store(find(narrow.withColumn("row", F.monotonically_increasing_id())))
     marks = workspace.store(
-        _term_spans(found, narrow, workspace, alpha)
+        found.select("doc_id", "text_hash")
+        .join(reshuffled(_term_places(found, narrow, workspace, alpha), "text_hash"), "text_hash")
         .dropDuplicates(["doc_id", "text_hash"])
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.collect_list(F.struct("text_hash", "places")).alias("marks"))

@@ -97,6 +97,20 @@ def test_quotient_against_brute_force(spark, workspace, small):
     assert pairs == expected
 
 
+def test_terms_far_from_their_entity_and_in_other_documents(spark, workspace):
+    filler = lambda k: " ".join(f"f{j}" for j in range(60)) + f" v{k}"
+    rows = [(k, f"Quillfeather, {filler(k)} boss@firm.example {filler(k)} quillfeather.") for k in range(20)]
+    rows += [(50, f"they met Quillfeather {filler(50)}")]
+    rows += [(100 + k, filler(k)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_id = {r["doc_id"]: r["spans"] for r in pii.sanitise(docs, workspace).collect()}
+    left = {r["doc_id"]: r["text"] for r in pii.redact(docs, workspace).collect()}
+    for i, text in rows:
+        marked = [tuple(map(int, s.split(":")[1:])) for s in by_id[i].split(",") if s.startswith("term")]
+        assert marked == [m.span() for m in re.finditer(r"(?i)quillfeather[.,]?", text)], i
+        assert "uillfeather" not in left[i] and "f7 f8" in left[i]
+
+
 def test_pii_of_odd_rows(odd, nothing, workspace):
     rows = pii.sanitise(odd, workspace).collect()
     assert len(rows) == len(odd_rows())
