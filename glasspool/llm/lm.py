@@ -14,10 +14,11 @@ one pass of batched matrix products over all contexts gives every normaliser exa
 then three look-ups. Probabilities sum to one.
 
 Counts cover every training text and meet by a shuffle of one row per word and task. Training runs
-inside the tasks: every training text gives each STRIDE-th of its positions (another set in each
-round), each task makes one pass of minibatches from common parameters, and the parameters
-are averaged by tokens; ROUNDS such passes (Mnih and Teh, 2012, for the estimation; iterative
-parameter mixing for the averaging). So work and what is gathered grow with the corpus.
+inside the tasks: in each of ROUNDS rounds every training text gives each ROUNDS-th of its positions,
+another set each time, so every position of every training text is a target once. Each task makes one
+pass of minibatches from common parameters, and the parameters are averaged by tokens (Mnih and Teh,
+2012, for the estimation; iterative parameter mixing for the averaging). A step changes only the rows
+of its batch; the classes of tokens are looked up and written once. So work and what is gathered grow with the corpus.
 
 Head words, at most HEAD by a threshold on their counts taken from a bounded histogram, are broadcast
 (4 MB) and looked up in the tasks. All other tokens are handed on by text and word and meet their counts in a
@@ -50,7 +51,6 @@ CLASSES = TOP + SUFFIXES
 START = CLASSES  # the context before a text
 HEAD = 1 << 18
 WIDTH = 32
-STRIDE = 16
 ROUNDS = 2
 BATCH = 512
 NOISE = 64
@@ -179,45 +179,81 @@ class Trainer:
         x1, x2 = p["R"][near], p["R"][far]
         r = x1 @ p["A1"] + x2 @ p["A2"]
         q, qn = p["Q"][target], p["Q"][noise]
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        true = 1 - sigmoid((r * q).sum(axis=1) + p["b"][target] - self.log_noise[target])
-        false = -sigmoid(r @ qn.T + p["b"][noise] - self.log_noise[noise])
+        true = _sigmoid(self.log_noise[target] - p["b"][target] - np.einsum("ij,ij->i", r, q))
+        false = r @ qn.T
+        false += p["b"][noise] - self.log_noise[noise]
+        false = np.negative(_sigmoid(false), out=false)
         dr = true[:, None] * q + false @ qn
-        grads = {name: np.zeros_like(value) for name, value in p.items()}
-        np.add.at(grads["Q"], target, true[:, None] * r)
-        np.add.at(grads["Q"], noise, false.T @ r)
-        np.add.at(grads["b"], target, true)
-        np.add.at(grads["b"], noise, false.sum(axis=0))
-        np.add.at(grads["R"], near, dr @ p["A1"].T)
-        np.add.at(grads["R"], far, dr @ p["A2"].T)
-        grads["A1"], grads["A2"] = x1.T @ dr, x2.T @ dr
-        for name, grad in grads.items():
-            grad /= target.size
-            self.squares[name] += grad * grad
-            p[name] += RATE * grad / np.sqrt(self.squares[name])
+        seen, drawn = np.concatenate([near, far]), np.concatenate([target, noise])
+        rows, sums = _summed(seen, np.concatenate([dr @ p["A1"].T, dr @ p["A2"].T]))
+        self._update("R", rows, sums, target.size)
+        rows, sums = _summed(drawn, np.concatenate([true[:, None] * r, false.T @ r]))
+        self._update("Q", rows, sums, target.size)
+        biases = np.bincount(drawn, np.concatenate([true, false.sum(axis=0)]), CLASSES).astype(np.float32)
+        self._update("b", slice(None), biases, target.size)
+        self._update("A1", slice(None), x1.T @ dr, target.size)
+        self._update("A2", slice(None), x2.T @ dr, target.size)
         self.trained += target.size
 
+    def _update(self, name: str, rows: np.ndarray | slice, grad: np.ndarray, size: int) -> None:
+        """A step of the given rows; others have no gradient."""
+        grad *= np.float32(1 / size)
+        squares = self.squares[name][rows]
+        squares = squares + grad * grad
+        self.squares[name][rows] = squares
+        grad *= np.float32(RATE)
+        grad /= np.sqrt(squares)
+        self.p[name][rows] += grad
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-z)), in place."""
+    np.negative(z, out=z)
+    np.minimum(z, 30, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the sum of the values of each."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # radix sort
+    ordered = rows[order]
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[starts], np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
+
 
 def _contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near = np.concatenate([[START], classes[:-1]])
     return near, np.concatenate([[START], near[:-1]])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> dict[str, np.ndarray]:
-    """Parameters averaged over the tasks, weighted by the tokens each has seen."""
-    context = docs.sparkSession.sparkContext
-    known, parameters = context.broadcast(vocabulary), initial(vocabulary)
+def classified(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(classes): those of each text's tokens, two bytes each."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [known.value.look_up(*tokens(text))[1].astype("<i2").tobytes() for text in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["classes"])
+
+    return docs.select("text").mapInArrow(look_up, "classes binary")
+
+
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters averaged over the tasks, weighted by the tokens each has seen, from `classified` texts."""
+    parameters, known = initial(vocabulary), encoded.sparkSession.sparkContext.broadcast(vocabulary.shares())
     for turn in range(rounds):
         start = parameters
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trainer, waiting, held = Trainer(start, known.value.shares(), turn), [], 0
+            trainer, waiting, held = Trainer(start, known.value, turn), [], 0
             for batch in batches:
-                for text in texts_of(batch):
-                    _, classes = known.value.look_up(*tokens(text))
+                for text in texts_of(batch, "classes"):
+                    classes = np.frombuffer(text, dtype="<i2").astype(np.int64)
                     near, far = _contexts(classes)
                     # which positions depends on the text alone, so a repeated task trains alike
-                    chosen = slice((len(text) + turn * stride // rounds) % stride, None, stride)
+                    chosen = slice((classes.size + turn) % rounds, None, rounds)
                     waiting.append(np.stack([near[chosen], far[chosen], classes[chosen]]))
                     held += waiting[-1].shape[1]
                     if held >= 32 * BATCH:
@@ -231,7 +267,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
                 columns = [pa.array(np.arange(flat.size)), pa.array(flat * weight), pa.array(weight)]
                 yield pa.RecordBatch.from_arrays(columns, names=["slot", "value", "weight"])
 
-        sums = docs.select("text").mapInArrow(learn, "slot long, value double, weight double").groupBy("slot")
+        sums = encoded.mapInArrow(learn, "slot long, value double, weight double").groupBy("slot")
         # one row for each parameter, whatever the corpus
         frame = sums.agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow().to_pandas().sort_values("slot")
         if frame.empty:
@@ -333,7 +369,7 @@ def score(docs: DataFrame, workspace: Workspace, divisor: int = 7, held_remainde
     training = narrow.filter(~F.col("held_out"))
     counts = workspace.store(word_counts(training))
     vocabulary = Vocabulary.of(counts)
-    tables = Tables.of(train(training, vocabulary))
+    tables = Tables.of(train(workspace.store(classified(training, vocabulary)), vocabulary))
     partial = workspace.store(partial_scores(narrow, vocabulary, tables))
     tails = partial.select("row", F.inline("tail"))
     rare = counts.filter(F.col("n") < vocabulary.threshold).select("word", F.col("n").alias("c"))

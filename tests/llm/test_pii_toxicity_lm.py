@@ -230,6 +230,49 @@ def test_training_learns_what_follows():
     assert tables.score(chain) > before + 20
 
 
+def test_every_position_is_trained(spark, workspace, monkeypatch):
+    """Short texts too: over the rounds, each token of each training text is a target once."""
+    weights = []
+    frame = spark.createDataFrame([(k, "ab c") for k in range(40)], "doc_id long, text string")
+    vocabulary = lm.Vocabulary.of(workspace.store(lm.word_counts(frame)))
+    summed = type(frame).mapInArrow
+
+    def watched(self, function, schema, *more):
+        out = summed(self, function, schema, *more)
+        if "weight" in out.columns:
+            out = workspace.store(out)
+            weights.append(out.filter("slot = 0").groupBy().sum("weight").first()[0])
+        return out
+
+    monkeypatch.setattr(type(frame), "mapInArrow", watched)
+    lm.train(workspace.store(lm.classified(frame, vocabulary)), vocabulary)
+    assert sum(w or 0 for w in weights) == vocabulary.tokens == 120
+
+
+def test_a_step_against_full_gradients():
+    random, shares = np.random.default_rng(3), np.full(lm.CLASSES, 1 / lm.CLASSES)
+    start = {name: random.standard_normal(shape).astype(np.float32) * 0.1 for name, shape in lm.SHAPES.items()}
+    trainer = lm.Trainer(start, shares, 5)
+    near, far, target = random.integers(0, lm.CLASSES, (3, 300)) % 50
+    trainer.step(near, far, target)
+    noise = np.searchsorted(np.cumsum(shares), np.random.default_rng(5).random(lm.NOISE))
+    r = start["R"][near] @ start["A1"] + start["R"][far] @ start["A2"]
+    logit = lambda rows: r @ start["Q"][rows].T + start["b"][rows] - np.log(lm.NOISE * shares[rows])
+    true, false = 1 / (1 + np.exp(np.diag(logit(target)))), -1 / (1 + np.exp(-logit(noise)))
+    dr = true[:, None] * start["Q"][target] + false @ start["Q"][noise]
+    grads = {name: np.zeros(shape) for name, shape in lm.SHAPES.items()}
+    np.add.at(grads["Q"], target, true[:, None] * r)
+    np.add.at(grads["Q"], noise, false.T @ r)
+    np.add.at(grads["b"], target, true)
+    np.add.at(grads["b"], noise, false.sum(axis=0))
+    np.add.at(grads["R"], near, dr @ start["A1"].T)
+    np.add.at(grads["R"], far, dr @ start["A2"].T)
+    grads["A1"], grads["A2"] = start["R"][near].T @ dr, start["R"][far].T @ dr
+    for name, grad in grads.items():
+        grad /= target.size
+        np.testing.assert_allclose(trainer.p[name], start[name] + lm.RATE * grad / np.sqrt(1e-2 + grad * grad), atol=2e-5)
+
+
 def test_scores_of_odd_rows(odd, nothing, workspace):
     rows = lm.score(odd, workspace).collect()
     assert len(rows) == len(odd_rows()) and all(r["score"] < 0 and math.isfinite(r["base_score"]) for r in rows)
