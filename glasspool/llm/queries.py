@@ -37,9 +37,10 @@ ASK = T.StructType(
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn as a call of the tool `ask`, every assistant turn as the result of the call one
     turn before. A call at an even turn of at least 2 depends on the call at half that turn, made even.
-    Turns over 1,000 characters leave out the required length, so their calls are invalid."""
-    turns = _table(spark, sf_dir, "conversations").filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    Turns over 1,000 characters leave out the required length, so their calls are invalid. A user turn
+    without conversation or number is a call without identifier."""
+    turns = _table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     length = F.length("text").cast("long")
     turn = F.col("turn").cast("long")
     half = F.floor(turn / 4) * 2 + turn % 2

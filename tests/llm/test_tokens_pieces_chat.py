@@ -125,6 +125,16 @@ def test_a_long_chain_is_ordered(spark, workspace):
     assert {r["call_id"]: r["level"] for r in chat.levels(calls, workspace).collect()} == {f"{k:03}": k for k in range(12)}
 
 
+def test_turns_without_conversation_or_number_are_calls(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 2, "user", "c"), (1, None, "user", "d"), (None, None, "user", "e"),
+            (None, 3, "assistant", "f"), (1, None, "assistant", "g")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {json.loads(json.loads(r["line"])["arguments"])["text"]: r for r in QUERIES["op3_chat"](spark, str(tmp_path)).collect()}
+    assert {k: (r["call_id"], r["level"], r["valid"], r["results"]) for k, r in found.items()} == {
+        "a": ("1-0", 0, True, 1), "c": (None, None, True, 0), "d": (None, None, True, 0), "e": (None, None, True, 0),
+    }
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
     if not FOLDER.exists():
