@@ -20,8 +20,7 @@ the disclosing terms holds, which then meet the terms themselves in a join: a fu
 never places. Redaction replaces base spans by their kind in brackets (generalised) and removes terms.
 
 Defined results: null counts as empty; a null id is scanned like any other; equal texts have the same
-terms; rows with a null id lose base spans only in redaction; of overlapping spans of different kinds all are reported, and
-redaction replaces their union by the first one's kind; a word that a base span covers in part does
+terms, whatever their ids; of overlapping spans of different kinds all are reported, and redaction replaces their union by the first one's kind; a word that a base span covers in part does
 not count as a term there, but is marked if it discloses elsewhere; repeated rows are reported each;
 extra columns are carried along by `redact`, whatever their names.
 """
@@ -253,7 +252,10 @@ def _uncovered(text: str, wanted: set[str]) -> list[tuple[str, int, int]]:
 
 
 def _term_places(found: DataFrame, docs: DataFrame, workspace: Workspace, alpha: float) -> DataFrame:
-    """(text_hash, places): sorted distinct [start, end] of disclosing terms, of each text that has any."""
+    """(text_hash, key, places): sorted distinct [start, end] of disclosing terms, of each text that has any.
+
+    `key` is the hash of the text that Spark computes, for joins with frames of texts.
+    """
     terms = workspace.store(disclosing(found, docs, workspace, alpha).select("term").distinct())
     words = filter_words(terms.count(), MOST_FILTER_WORDS)
     at, mask = cell(F.col("term"), words)
@@ -266,7 +268,7 @@ def _term_places(found: DataFrame, docs: DataFrame, workspace: Workspace, alpha:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw in texts_of(batch):
+            for key_of_text, raw in zip(batch.column("key").to_pylist(), texts_of(batch)):
                 by_term: dict[bytes, list[bytes]] = {}
                 for word in set(raw.split()):
                     by_term.setdefault(_term(word), []).append(word)
@@ -281,19 +283,21 @@ def _term_places(found: DataFrame, docs: DataFrame, workspace: Workspace, alpha:
                 for word, start, end in _uncovered(raw.decode("utf-8", "replace"), set(key_of)):
                     places.setdefault(key_of[word], []).append({"start": start, "end": end})
                 digest = _hash(raw)
-                out += [(digest, key, spans) for key, spans in places.items()]
+                out += [(digest, key_of_text, key, spans) for key, spans in places.items()]
             place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            columns = zip(*out) if out else [()] * 3
-            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), place])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["text_hash", "term", "places"])
+            columns = zip(*out) if out else [()] * 4
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), place])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["text_hash", "key", "term", "places"])
 
-    hit = docs.select("text").mapInArrow(scan, "text_hash long, term long, places array<struct<start: int, end: int>>")
+    hit = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(
+        scan, "text_hash long, key long, term long, places array<struct<start: int, end: int>>"
+    )
     # copies of a text have the same places; a text has at most one row for each of its words
     return (
-        hit.groupBy("text_hash", "term")
+        hit.groupBy("text_hash", "key", "term")
         .agg(F.first("places").alias("places"))
         .join(reshuffled(terms, "term"), "term")
-        .groupBy("text_hash")
+        .groupBy("text_hash", "key")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
     )
 
@@ -341,14 +345,12 @@ def redact(docs: DataFrame, workspace: Workspace, alpha: float = ALPHA, id_colum
     narrow = documents(docs, id_column=id_column, text_column=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = workspace.store(find(narrow.withColumn("row", F.monotonically_increasing_id())))
     marks = workspace.store(
-        found.select("doc_id", "text_hash")
-        .join(reshuffled(_term_places(found, narrow, workspace, alpha), "text_hash"), "text_hash")
-        .dropDuplicates(["doc_id", "text_hash"])
-        .groupBy(F.col("doc_id").alias("id"))
+        _term_places(found, narrow, workspace, alpha)
+        .groupBy(F.col("key").alias("id"))
         .agg(F.collect_list(F.struct("text_hash", "places")).alias("marks"))
     )
     name = fresh_name(docs, "marks")
-    rows = tried(docs, F.col(id_column).cast("long"), marks, F.col("id"))
+    rows = tried(docs, F.xxhash64(F.col(text_column).cast("string")), marks, F.col("id"))
     met = rows.filter("maybe").join(marks, F.col("key") == F.col("id"), "left").select("row", "marks")
     rest = rows.filter(~F.col("maybe")).select("row", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
     marked = met.unionByName(rest).select("row.*", F.col("marks").alias(name))
@@ -361,7 +363,7 @@ def redact(docs: DataFrame, workspace: Workspace, alpha: float = ALPHA, id_colum
             texts = []
             for text, marks in zip(batch.column(at).to_pylist(), batch.column(name).to_pylist()):
                 places = []
-                if marks:
+                if marks and text is not None:
                     own = _hash(text.encode("utf-8", "replace"))
                     places = [(x["start"], x["end"]) for mark in marks if mark["text_hash"] == own for x in mark["places"]]
                 texts.append(text if text is None else redacted(text, places))

@@ -111,6 +111,12 @@ def test_terms_far_from_their_entity_and_in_other_documents(spark, workspace):
         assert "uillfeather" not in left[i] and "f7 f8" in left[i]
 
 
+def test_terms_go_from_rows_without_id(spark, workspace):
+    docs = spark.createDataFrame([(None if k == 0 else i, t) for k, (i, t) in enumerate(disclosing_corpus())], "doc_id long, text string")
+    left = [r["text"] for r in pii.redact(docs, workspace).collect() if r["doc_id"] is None]
+    assert len(left) == 1 and "[EMAIL]" in left[0] and "zork" not in left[0] and "common" in left[0]
+
+
 def test_pii_of_odd_rows(odd, nothing, workspace):
     rows = pii.sanitise(odd, workspace).collect()
     assert len(rows) == len(odd_rows())
