@@ -1,5 +1,87 @@
 """SQL of the queries that SQL can express, over the same tables."""
 
+from __future__ import annotations
+
+
+def _merkle_sql(levels: int = 5, source_levels: int = 3) -> str:
+    """Trees of at most 16**levels leaves per source and 16**source_levels sources, level by level.
+
+    crc32 is worked out bit by bit: -1 stands for a shift, other numbers for bytes.
+    """
+
+    def climb(name: str, first: str, key: str, height: int) -> str:
+        """{name}{k}: (key, place, node, size) of level k; a level of one node is handed on as it is."""
+        made = [f"{name}0 AS ({first})"]
+        for k in range(height):
+            made.append(f"""
+                {name}{k + 1} AS (
+                    SELECT {key}, place // 16 AS place, max(size) AS below,
+                           CASE WHEN max(size) = 1 THEN max(node) ELSE sha256(string_agg(node, '' ORDER BY place)) END AS node,
+                           (max(size) + 15) // 16 AS size
+                    FROM {name}{k} GROUP BY {key}, place // 16)""")
+        return ",".join(made)
+
+    def field(column: str) -> str:
+        return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column}::VARCHAR END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def siblings(name: str, key: str, at: str, height: int) -> str:
+        """Per row of {at}: node texts before and after its own at each level, null where nothing rises."""
+        made = []
+        for k in range(height):
+            made.append(f"""
+                {name}_s{k} AS (
+                    SELECT a.{key}, a.place, any_value(n.size) > 1 AS rises,
+                           coalesce(string_agg(n.node, '' ORDER BY n.place) FILTER (n.place < a.place), '') AS l,
+                           coalesce(string_agg(n.node, '' ORDER BY n.place) FILTER (n.place > a.place), '') AS r
+                    FROM {name}{k} a JOIN {name}{k} n ON n.{key} = a.{key} AND n.place // 16 = a.place // 16
+                    GROUP BY a.{key}, a.place)""")
+        return ",".join(made)
+
+    steps = [("t", k, f"d.place // {16**k}", "d.tree") for k in range(levels)]
+    steps += [("u", k, f"c.place // {16**k}", "0") for k in range(source_levels)]
+    joins = "".join(
+        f" JOIN {n}_s{k} AS {n}{k}s ON {n}{k}s.{'tree' if n == 't' else 'top'} = {key} AND {n}{k}s.place = {place}"
+        for n, k, place, key in steps
+    )
+    proof = " || ".join(f"CASE WHEN {n}{k}s.rises THEN {n}{k}s.l || {n}{k}s.r ELSE '' END" for n, k, _, _ in steps)
+    folds, before = [], "met"
+    for n, k, _, _ in steps:
+        folds.append(f"""
+            f_{n}{k} AS (SELECT * REPLACE (CASE WHEN {n}{k}_rises THEN sha256({n}{k}_l || folded || {n}{k}_r) ELSE folded END AS folded) FROM {before})""")
+        before = f"f_{n}{k}"
+    columns = ", ".join(f"{n}{k}s.{c} AS {n}{k}_{c}" for n, k, _, _ in steps for c in ("rises", "l", "r"))
+    return f"""
+        WITH marked AS (
+            SELECT *, CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS tree,
+                   xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                           lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda a, x: CASE WHEN x < 0 THEN xor(a >> 1, (a & 1) * 3988292384) ELSE xor(a, x) END), 4294967295) AS crc
+            FROM documents
+        ),
+        digested AS (
+            SELECT doc_id, tree, {leaf("text")} AS leaf,
+                   CASE WHEN crc % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+            FROM marked
+        ),
+        d AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM digested),
+        {climb("t", "SELECT tree, place, leaf AS node, count(*) OVER (PARTITION BY tree) AS size FROM d", "tree", levels)},
+        {siblings("t", "tree", "t", levels)},
+        c AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM t{levels}),
+        {climb("u", "SELECT 0 AS top, place, subroot AS node, count(*) OVER () AS size FROM c", "top", source_levels)},
+        {siblings("u", "top", "u", source_levels)},
+        met AS (
+            SELECT d.doc_id, d.leaf, c.subroot, (SELECT max(node) FROM u{source_levels}) AS root,
+                   sha256({proof}) AS proof_sha256, coalesce(d.tampered, d.leaf) AS folded, {columns}
+            FROM d JOIN c USING (tree){joins}
+        ),
+        {",".join(folds)}
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded = root AS verified FROM {before}
+    """
+
+
 ORACLES = {
     "op2_quality": r"""
         WITH whole AS (
@@ -138,4 +220,29 @@ ORACLES = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY sha256(coalesce(text, '')))
     """,
+    "op12_negatives": """
+        WITH clean AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same, list_inner_product(a.v, x.v)::BIGINT AS score
+            FROM clean a JOIN clean x ON a.vec_id <> x.vec_id AND len(a.v) = len(x.v)
+            WHERE a.vec_id % 100 = 0
+        ),
+        positives AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 100 * score BETWEEN 80 * positive_score AND 100 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
+    """,
+    "op13_merkle": _merkle_sql(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glasspool.llm import chat, exact, lm, minhash, packing, pii, pieces, quality, tokens, toxicity
+from glasspool.llm import chat, exact, lm, merkle, minhash, negatives, packing, pii, pieces, quality, sharding, tokens, toxicity
 from glasspool.llm.text import prepared
 from glasspool.workspace import Workspace
 
@@ -84,7 +84,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(_table(spark, sf_dir), Workspace.of(spark))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_table(spark, sf_dir), Workspace.of(spark))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved on by one before anything else."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), Workspace.of(spark), label)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir), Workspace.of(spark))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_quality, op3_chat, op4_pieces, op5_minhash, op6_tokens, op7_exact, op8_toxicity, op9_lm, op10_pii)
+    for f in (
+        op1_packing, op2_quality, op3_chat, op4_pieces, op5_minhash, op6_tokens, op7_exact, op8_toxicity, op9_lm, op10_pii,
+        op11_sharding, op12_negatives, op13_merkle,
+    )
 }
