@@ -1,47 +1,86 @@
-"""The six clean tables as Parquet, saved whole or grown by slices."""
+"""The six clean tables as Parquet, saved whole or grown by loads (see `sources.store`).
+
+A load is refused, and leaves the store as it was, if it holds a key twice, a transaction that is stored
+already, or rows of a transaction that its source does not have.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from glasspool import schema
 from glasspool.ledger import Ledger
 from glasspool.operators.enrichment import with_joinsplit_addresses
 from glasspool.operators.inputs import resolve_inputs
+from glasspool.operators.joins import reshuffled
+from glasspool.sources import store
+from glasspool.sources.store import table_path
+from glasspool.workspace import Workspace
+
+
+class LoadRefused(ValueError):
+    """What is wrong with a load: (table, problem, rows) for each table and kind of problem."""
 
-def table_path(path: str, table: str) -> str:
-    return f"{path.rstrip('/')}/{table}.parquet"
+    def __init__(self, problems: list[tuple[str, str, int]]):
+        super().__init__("; ".join(f"{table}: {rows} x {problem}" for table, problem, rows in problems))
+        self.problems = problems
+
+
+def _version(spark: SparkSession, path: str) -> store.Version:
+    version = store.current(spark, path)
+    if version is None:
+        raise ValueError(f"{path} holds no ledger")
+    return version
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One stored table, slices included."""
-    return (
-        spark.read.schema(schema.CLEAN[table])
-        .option("recursiveFileLookup", "true")
-        .parquet(table_path(path, table))
-    )
+    """One stored table of the current version."""
+    return store.read_table(spark, path, table, _version(spark, path))
 
 
 def load_ledger(spark: SparkSession, path: str) -> Ledger:
-    return Ledger(**{name: read_table(spark, path, name) for name in Ledger.names()})
+    version = _version(spark, path)
+    return Ledger(**{name: store.read_table(spark, path, name, version) for name in Ledger.names()})
+
+
+def _top(block: DataFrame) -> int:
+    return block.agg(F.coalesce(F.max("b_height"), F.lit(0))).first()[0]
 
 
 def save_ledger(ledger: Ledger, path: str) -> None:
-    """Replace the snapshot at `path`, which must not be one the ledger is read from."""
-    for name, table in ledger.tables().items():
-        table.write.mode("overwrite").parquet(table_path(path, name))
+    """Replace the snapshot at `path`, all tables at once, which may be the one the ledger is read from."""
+    spark = ledger.block.sparkSession
+    version = store.current(spark, path)
+    load, parts = store.fresh_load(), version.parts if version else store.PARTS
+    written = {
+        name: store.write_load(table.select(*schema.CLEAN[name].names), path, name, load, parts)
+        for name, table in ledger.tables().items()
+    }
+    store.commit(spark, path, store.following(version, load, _top(written["block"]), append=False))
 
 
-def create_store(spark: SparkSession, path: str) -> None:
-    """An empty snapshot, ready for `append_above`."""
-    save_ledger(Ledger.empty(spark), path)
+def create_store(spark: SparkSession, path: str, parts: int = store.PARTS) -> None:
+    """An empty snapshot, ready for `append_above`, its outputs and transactions stored in so many parts."""
+    version = store.current(spark, path)
+    store.commit(spark, path, store.Version(version.number + 1 if version else 1, {}, parts))
 
 
 def stored_height(spark: SparkSession, path: str) -> int:
     """The greatest stored height, 0 for a store without blocks."""
-    greatest = F.coalesce(F.max("b_height"), F.lit(0))
-    return read_table(spark, path, "block").agg(greatest).first()[0]
+    return _version(spark, path).height
+
+
+def repeated_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rows) of the tables in which more than one row holds a key: the number of such keys."""
+    counts = [
+        rows.groupBy(*schema.KEYS[name]).count().filter("count > 1").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+        for name, rows in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts).filter("rows > 0")
 
 
 def save_clean(
@@ -49,53 +88,82 @@ def save_clean(
     clean: dict[str, DataFrame],
     path: str,
     genesis_tx: str | None = None,
-    slice_: str | None = None,
-) -> None:
-    """Store clean tables whose inputs are not resolved, or add them to a store as a slice.
-
-    Each table is written once and read back by those that depend on it, so a slow source (text,
-    a relational store) is read once per table: transactions select the rows of their legs,
-    stored outputs resolve the inputs, both enrich the joinsplits. A new input may spend an old
-    output, so all stored outputs take part. Blocks are written last: only then is a load done,
-    and one that failed half-way is overwritten by its repetition.
-    """
-    suffix = f"/{slice_}" if slice_ else ""
+    append: bool = False,
+) -> dict[str, int]:
+    """Store clean tables whose inputs are not resolved, in place of what is stored or in addition to it.
 
-    def store(name: str, table: DataFrame) -> DataFrame:
-        target = table_path(path, name) + suffix
-        table.write.mode("overwrite").parquet(target)
-        return spark.read.schema(table.schema).parquet(target)
+    Every table of the source is read once. Blocks and transactions are stored first and select the rows of
+    their legs; rows of transactions that the source does not have are counted in the same pass, keys and
+    known transactions on the written rows. A new input may spend an old output: of the stored
+    outputs only the parts that the inputs name are read. Only then is the load committed, or refused.
 
-    block, transaction = clean["block"], clean["transaction"]
+    Returns the joinsplits counted before and after their enrichment, as observed in the two writes.
+    """
+    workspace = Workspace.of(spark)
+    before = store.current(spark, path)
+    held = before if append else None
+    parts = before.parts if before else store.PARTS
+    load = store.fresh_load()
+    problems: list[tuple[str, str, int]] = []
+
+    def write(name: str, rows: DataFrame) -> DataFrame:
+        return store.write_load(rows.select(*schema.CLEAN[name].names), path, name, load, parts)
+
+    block = write("block", clean["block"])
+    chosen = block.select(F.col("b_hash").alias("t_blockhash"), F.lit(True).alias("_kept")).distinct()
+    in_block = clean["transaction"].join(chosen, "t_blockhash", "left")
+    kept = F.coalesce("_kept", F.lit(False))
     if genesis_tx is not None:
-        transaction = transaction.filter(F.col("t_tx_hash") != genesis_tx)
-    hashes = block.select(F.col("b_hash").alias("t_blockhash"))
-    kept = store(
-        "transaction",
-        transaction.join(hashes, "t_blockhash", "left_semi").select(transaction.columns),
-    )
-
-    def legs(name: str) -> DataFrame:
-        key = schema.TRANSACTION_KEY[name]
-        chosen = kept.select(F.col("t_tx_hash").alias(key))
-        return clean[name].join(chosen, key, "left_semi").select(clean[name].columns)
-
-    store("coingen", legs("coingen"))
-    vout = store("vout", legs("vout"))
-    all_vout = read_table(spark, path, "vout") if slice_ else vout
-    vin = store("vin", resolve_inputs(legs("vin"), all_vout))
-    store("vjoinsplit", with_joinsplit_addresses(legs("vjoinsplit"), vin, vout))
-    store("block", block)
+        kept &= F.col("t_tx_hash") != genesis_tx
+    staged = workspace.store(in_block.withColumn("_kept", kept))
+    transaction = write("transaction", staged.filter("_kept"))
+    # one row per transaction, also where the source holds it twice
+    known = staged.groupBy("t_tx_hash").agg(F.bool_or("_kept").alias("_kept")).transform(reshuffled, "t_tx_hash")
+
+    def legs(name: str, store_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The table's rows of kept transactions, stored; rows of unknown transactions are a problem.
+
+        They are counted in the stage that writes, so a task that is run again counts once.
+        """
+        key, seen = schema.TRANSACTION_KEY[name], Observation()
+        met = clean[name].join(known.withColumnRenamed("t_tx_hash", key), key, "left")
+        observed = met.observe(seen, F.count(F.when(F.col("_kept").isNull(), 1)).alias("orphans"))
+        stored = store_rows(observed.filter("_kept").select(clean[name].columns))
+        problems.append((name, "no transaction", seen.get["orphans"]))
+        return stored
+
+    coingen = legs("coingen", lambda rows: write("coingen", rows))
+    vout = write("vout", legs("vout", workspace.store))
+    inputs = legs("vin", workspace.store)
+    all_vout = vout
+    if held is not None:
+        named = store.parts_named(inputs, "vi_prevout_hash", parts)
+        all_vout = vout.unionByName(store.read_table(spark, path, "vout", held, named))
+    vin = write("vin", resolve_inputs(inputs, all_vout))
+    counts = [Observation(), Observation()]
+    counted = lambda rows, seen: rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+    plain = legs("vjoinsplit", lambda rows: workspace.store(counted(rows, counts[0])))
+    write("vjoinsplit", counted(with_joinsplit_addresses(plain, vin, vout), counts[1]))
+    seen = {"before": counts[0].get["rows"], "after": counts[1].get["rows"]}
+    problems.append(("vjoinsplit", "changed by enrichment", abs(seen["after"] - seen["before"])))
+
+    written = {"transaction": transaction, "block": block, "coingen": coingen, "vin": inputs, "vout": vout}
+    problems += [(row["table_name"], "repeated key", row["rows"]) for row in repeated_keys(written).collect()]
+    if held is not None:
+        hashes = transaction.select("t_tx_hash").distinct()
+        stored = store.read_table(spark, path, "transaction", held, store.parts_named(hashes, "t_tx_hash", parts))
+        problems.append(("transaction", "stored already", hashes.join(stored, "t_tx_hash", "left_semi").count()))
+    if any(rows for _, _, rows in problems):
+        raise LoadRefused([problem for problem in problems if problem[2]])
+    store.commit(spark, path, store.following(before, load, _top(block), append, parts))
+    return seen
 
 
 def append_above(spark: SparkSession, clean: dict[str, DataFrame], path: str) -> int:
-    """Store the blocks above the stored height with everything in them; returns that height.
-
-    The slice is named after the height it continues from.
-    """
+    """Store the blocks above the stored height with everything in them; returns that height."""
     height = stored_height(spark, path)
     newer = {**clean, "block": clean["block"].filter(F.col("b_height") > height)}
-    save_clean(spark, newer, path, slice_=f"after={height}")
+    save_clean(spark, newer, path, append=True)
     return height
 
 

@@ -183,6 +183,15 @@ def table_totals(ledger: Ledger) -> DataFrame:
     )
 
 
+def unresolved_tables(t: Testbed) -> dict[str, DataFrame]:
+    """The clean tables as a source gives them, before inputs are resolved."""
+    return {
+        **t.ledger().tables(),
+        "vin": t.unresolved_vin().select(schema.VIN.names),
+        "vjoinsplit": derive.vjoinsplit(t.retail),
+    }
+
+
 def imported_staging(
     t: Testbed, height_limit: int | None = None, genesis_tx: str | None = None
 ) -> Ledger:
@@ -229,11 +238,10 @@ def joinsplit_addresses(t: Testbed) -> DataFrame:
 
 @query
 def enrichment_row_counts(t: Testbed) -> DataFrame:
-    before = derive.vjoinsplit(t.retail)
-    after = enrichment.with_joinsplit_addresses(before, t.vin(), t.vout())
-    return before.agg(F.lit("before").alias("stage"), F.count(F.lit(1)).alias("row_count")).unionByName(
-        after.agg(F.lit("after").alias("stage"), F.count(F.lit(1)).alias("row_count"))
-    )
+    """Joinsplits before and after their enrichment, as observed in the writes of one load."""
+    spark, path = t.retail.spark, t.workspace.fresh_path("counted")
+    seen = snapshot.save_clean(spark, unresolved_tables(t), path)
+    return spark.createDataFrame(sorted(seen.items()), "stage string, row_count long")
 
 
 @query
@@ -715,11 +723,52 @@ def json_rejects(t: Testbed) -> DataFrame:
 
 @query
 def parquet_round_trip(t: Testbed) -> DataFrame:
+    """Two versions of one snapshot: a part of the ledger, then all of it."""
     folder = t.workspace.fresh_path("snapshot")
-    snapshot.save_ledger(t.ledger(), folder)
+    early = Ledger(**normalize.limit_height(t.ledger().tables(), HEIGHT_LIMIT))
+    for ledger in (early, t.ledger()):
+        snapshot.save_ledger(ledger, folder)
     return ledger_rows(snapshot.load_ledger(t.retail.spark, folder))
 
 
+def _faulty_tables(t: Testbed) -> dict[str, DataFrame]:
+    """The blocks above HEIGHT_LIMIT without some of their transactions, with some outputs twice, and with
+    some earlier transactions again."""
+    whole = unresolved_tables(t)
+    above = F.col("b_height") > HEIGHT_LIMIT
+    late = normalize.limit_height({**whole, "block": whole["block"].filter(above)}, None)
+    order = _order_of("t_tx_hash")
+    doubled = late["vout"].filter((_order_of("vo_tx_hash") % DUPLICATED_EVERY == 0) & (_order_of("vo_tx_hash") % FAULTY_EVERY != 0))
+    first_late = late["block"].agg(F.min_by("b_hash", "b_height")).first()[0]
+    early = normalize.limit_height(whole, HEIGHT_LIMIT)["block"].filter("b_height > 0")
+    again = (
+        whole["transaction"].filter(order % DUPLICATED_EVERY == 0)
+        .join(early.select(F.col("b_hash").alias("t_blockhash")), "t_blockhash", "left_semi")
+        .withColumn("t_blockhash", F.lit(first_late))
+    )
+    return {
+        **late,
+        "transaction": late["transaction"].filter(order % FAULTY_EVERY != 0).unionByName(again),
+        "vout": late["vout"].unionByName(doubled),
+    }
+
+
+@query
+def load_refused(t: Testbed) -> DataFrame:
+    """What a faulty load is refused for, and the rows of the store after it."""
+    spark, folder = t.retail.spark, t.workspace.fresh_path("refusing")
+    snapshot.create_store(spark, folder)
+    snapshot.append_above(spark, normalize.limit_height(unresolved_tables(t), HEIGHT_LIMIT), folder)
+    problems = []
+    try:
+        snapshot.append_above(spark, _faulty_tables(t), folder)
+    except snapshot.LoadRefused as refused:
+        problems = refused.problems
+    found = spark.createDataFrame(problems, "table_name string, problem string, row_count long")
+    stored = table_totals(snapshot.load_ledger(spark, folder))
+    return found.unionByName(stored.select("table_name", F.lit("stored").alias("problem"), "row_count"))
+
+
 @query
 def append_tables(t: Testbed) -> DataFrame:
     spark, ledger = t.retail.spark, t.ledger()
@@ -737,7 +786,7 @@ def incremental_append(t: Testbed) -> DataFrame:
     """Two loads into an empty store; like any load into one, they start at height 1."""
     spark, folder = t.retail.spark, t.workspace.fresh_path("incremental")
     snapshot.create_store(spark, folder)
-    whole = t.ledger().tables()
+    whole = unresolved_tables(t)
     snapshot.append_above(spark, normalize.limit_height(whole, HEIGHT_LIMIT), folder)
     snapshot.append_above(spark, whole, folder)
     return ledger_rows(snapshot.load_ledger(spark, folder))

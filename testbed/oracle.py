@@ -721,6 +721,22 @@ FROM sides QUALIFY place <= 5""",
         UNION ALL SELECT 'reject', '', '', CAST(0 AS {TOTAL})
         FROM tx WHERE {_ORDER.format('t_tx_hash')} % {FAULTY_EVERY} = 0""",
     ),
+    "load_refused": (
+        _rows(f"height BETWEEN 1 AND {HEIGHT_LIMIT}"),
+        f"""late AS (
+  SELECT t_tx_hash, {_ORDER.format('t_tx_hash')} AS ok FROM tx WHERE height > {HEIGHT_LIMIT}),
+gone AS (SELECT t_tx_hash FROM late WHERE ok % {FAULTY_EVERY} = 0)""",
+        f"""SELECT table_name, 'stored' AS problem, count(*) AS row_count FROM all_rows
+        WHERE table_name <> 'listing' GROUP BY 1
+        UNION ALL SELECT 'coingen', 'no transaction', count(*) FROM coingen JOIN gone ON t_tx_hash = c_tx_hash
+        UNION ALL SELECT 'vin', 'no transaction', count(*) FROM vin JOIN gone ON t_tx_hash = vi_tx_hash
+        UNION ALL SELECT 'vout', 'no transaction', count(*) FROM vout JOIN gone ON t_tx_hash = vo_tx_hash
+        UNION ALL SELECT 'vjoinsplit', 'no transaction', count(*) FROM vj JOIN gone ON t_tx_hash = vj_tx_hash
+        UNION ALL SELECT 'vout', 'repeated key', count(*) FROM vout JOIN late ON t_tx_hash = vo_tx_hash
+        WHERE ok % {DUPLICATED_EVERY} = 0 AND ok % {FAULTY_EVERY} <> 0
+        UNION ALL SELECT 'transaction', 'stored already', count(*) FROM tx
+        WHERE height BETWEEN 1 AND {HEIGHT_LIMIT} AND {_ORDER.format('t_tx_hash')} % {DUPLICATED_EVERY} = 0""",
+    ),
     "address_list_load": (
         """SELECT address, max(tag) AS tag FROM (
         SELECT address, tag FROM pools UNION ALL

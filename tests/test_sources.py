@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from glasspool import Ledger, Workspace, schema
 from glasspool.operators.normalize import normalize
+from glasspool.sources import store  # noqa: E402
 from glasspool.sources import address_lists, delimited, node_json, snapshot
 from glasspool.streaming import ingest
 from glasspool.workspace import shared_folder
@@ -95,7 +96,8 @@ def test_snapshot_round_trip(spark, documents, tmp_path):
 def test_foreign_snapshots_are_adopted(spark, documents, tmp_path):
     ledger = node_json.load_documents(spark, *documents)
     source = str(tmp_path / "foreign")
-    snapshot.save_ledger(ledger, source)
+    for name, table in ledger.tables().items():
+        table.write.parquet(snapshot.table_path(source, name))
     ledger.transaction.withColumn(
         "t_valid", ledger.transaction["t_valid"].cast("string")
     ).write.mode("overwrite").parquet(snapshot.table_path(source, "transaction"))
@@ -116,10 +118,11 @@ def test_incremental_loads_resume_and_repeat(spark, documents, tmp_path):
     )
     first = {**clean, "block": clean["block"].filter("b_height <= 1")}
     assert snapshot.append_above(spark, first, path) == 0
-    # a second load that dies before its blocks are written leaves the height where it was
+    # a second load that dies before it is committed leaves the store as it was
     partial = clean["vout"].filter("vo_tx_hash = 't3'")
-    partial.write.mode("overwrite").parquet(f"{snapshot.table_path(path, 'vout')}/after=1")
+    store.write_load(partial, path, "vout", "dead", store.current(spark, path).parts)
     assert snapshot.stored_height(spark, path) == 1
+    assert "t3" not in {r[0] for r in snapshot.read_table(spark, path, "vout").select("vo_tx_hash").collect()}
     assert snapshot.append_above(spark, clean, path) == 1
     assert snapshot.append_above(spark, clean, path) == 2
     stored = snapshot.load_ledger(spark, path)
@@ -328,3 +331,122 @@ def test_workspace_uses_the_shared_folder():
     on_cluster.settings["spark.checkpoint.dir"] = "hdfs://shared/checkpoints/"
     assert shared_folder(on_cluster) == "hdfs://shared/checkpoints"
     assert Workspace(on_cluster).root.startswith("hdfs://shared/checkpoints/glasspool-")
+
+
+def test_a_broken_save_leaves_the_old_snapshot_whole(spark, documents, tmp_path, monkeypatch):
+    path = str(tmp_path / "versions")
+    old = node_json.load_documents(spark, *documents)
+    snapshot.save_ledger(old, path)
+    newer = Ledger.empty(spark)
+    written = []
+
+    def breaking(rows, folder, table, load, parts, write=store.write_load):
+        if len(written) == 3:
+            raise OSError("the disk is full")
+        written.append(table)
+        return write(rows, folder, table, load, parts)
+
+    monkeypatch.setattr(store, "write_load", breaking)
+    with pytest.raises(OSError):
+        snapshot.save_ledger(newer, path)
+    monkeypatch.undo()
+    assert len(written) == 3
+    again = snapshot.load_ledger(spark, path)
+    for name, table in old.tables().items():
+        assert rows(again.tables()[name]) == rows(table), name
+    # what the broken save left is no part of the store, and is cleared away
+    assert len(store.vacuum(spark, path)) == 1
+    assert rows(snapshot.read_table(spark, path, "vout")) == rows(old.vout)
+    # a ledger may replace the snapshot that it is read from
+    snapshot.save_ledger(again.with_tables(coingen=newer.coingen), path)
+    last = snapshot.load_ledger(spark, path)
+    assert last.coingen.count() == 0 and rows(last.vout) == rows(old.vout)
+    assert store.current(spark, path).number == 2
+
+
+def clean_tables(build, height, *transactions):
+    """One block with transactions (hash, previous hash or None): each has one output and spends one."""
+    block = f"b{height}"
+    return {
+        "block": build.blocks(**{block: height}),
+        "transaction": build.transactions(*((tx, block, "public") for tx, _ in transactions)),
+        "coingen": build.coingen(),
+        "vin": build.frame(schema.VIN, [(tx, prev, 0) for tx, prev in transactions if prev]),
+        "vout": build.vout(*((tx, 0, [f"a-{tx}"], 1) for tx, _ in transactions)),
+        "vjoinsplit": build.joinsplits((transactions[0][0], 0, 1, None, None)),
+    }
+
+
+def test_a_load_reads_only_the_parts_that_its_inputs_name(spark, build, tmp_path, monkeypatch):
+    path = str(tmp_path / "parts")
+    snapshot.create_store(spark, path, parts=16)
+    first = [(f"t{i}", None) for i in range(200)]
+    snapshot.append_above(spark, clean_tables(build, 1, *first), path)
+    read, plans = store.read_table, []
+
+    def watched(session, folder, table, version, parts=None):
+        found = read(session, folder, table, version, parts)
+        if parts is not None:
+            plans.append((table, parts, plan_of(found)))
+        return found
+
+    monkeypatch.setattr(store, "read_table", watched)
+    second = [("u1", "t7"), ("u2", "t8"), ("u3", "nothing")]
+    assert snapshot.append_above(spark, clean_tables(build, 2, *second), path) == 1
+    assert {table for table, _, _ in plans} == {"vout", "transaction"}
+    for _, parts, plan in plans:
+        # the scan lists the folders of these parts and no other
+        assert 1 <= len(parts) <= 3
+        listed = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert all(f"#" in listed and str(part) in listed for part in parts) and listed.startswith("part#")
+    assert rows(snapshot.read_table(spark, path, "vin").select("vi_tx_hash", "vi_address")) == [("u1", ["a-t7"]), ("u2", ["a-t8"])]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def refused(spark, path, clean):
+    before = {name: rows(table) for name, table in snapshot.load_ledger(spark, path).tables().items()}
+    version = store.current(spark, path)
+    with pytest.raises(snapshot.LoadRefused) as caught:
+        snapshot.append_above(spark, clean, path)
+    assert store.current(spark, path) == version
+    for name, table in snapshot.load_ledger(spark, path).tables().items():
+        assert rows(table) == before[name]
+    return sorted(caught.value.problems)
+
+
+def test_bad_loads_are_refused_and_leave_the_store(spark, build, tmp_path):
+    path = str(tmp_path / "gates")
+    snapshot.create_store(spark, path, parts=4)
+    snapshot.append_above(spark, clean_tables(build, 1, ("t1", None), ("t2", None)), path)
+    good = clean_tables(build, 2, ("u1", "t1"), ("u2", "t2"))
+    twice = {**good, "vout": good["vout"].union(good["vout"].filter("vo_tx_hash = 'u2'"))}
+    assert refused(spark, path, twice) == [("vout", "repeated key", 1)]
+    twice = {**good, "transaction": good["transaction"].union(good["transaction"]), "vin": good["vin"].union(good["vin"])}
+    assert refused(spark, path, twice) == [("transaction", "repeated key", 2), ("vin", "repeated key", 2)]
+    lost = {**good, "transaction": good["transaction"].filter("t_tx_hash <> 'u1'")}
+    assert refused(spark, path, lost) == [("vin", "no transaction", 1), ("vjoinsplit", "no transaction", 1), ("vout", "no transaction", 1)]
+    nameless = {**good, "vout": build.vout(("u1", 0, ["a"], 1), ("u2", 0, ["a"], 1), (None, 0, ["a"], 1))}
+    assert refused(spark, path, nameless) == [("vout", "no transaction", 1)]
+    again = clean_tables(build, 2, ("t2", None), ("u2", "t1"))
+    assert refused(spark, path, again) == [("transaction", "stored already", 1)]
+    assert snapshot.append_above(spark, good, path) == 1
+    assert snapshot.stored_height(spark, path) == 2
+    assert rows(snapshot.read_table(spark, path, "vin").select("vi_tx_hash", "vi_address")) == [("u1", ["a-t1"]), ("u2", ["a-t2"])]
+
+
+def test_two_writers_of_one_version_do_not_both_win(spark, build, tmp_path):
+    path = str(tmp_path / "race")
+    snapshot.create_store(spark, path)
+    version = store.current(spark, path)
+    store.commit(spark, path, store.following(version, "one", 1, append=True))
+    with pytest.raises(Exception):
+        store.commit(spark, path, store.following(version, "two", 1, append=True))
+    assert store.current(spark, path).loads == {"one": 1}
+
+
+def test_enrichment_keeps_the_number_of_joinsplits(spark, build, tmp_path):
+    seen = snapshot.save_clean(spark, clean_tables(build, 1, ("t1", None), ("t2", None)), str(tmp_path / "counted"))
+    assert seen == {"before": 1, "after": 1}
