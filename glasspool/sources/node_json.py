@@ -87,7 +87,7 @@ def _leg_size(leg: str) -> Column:
     return F.coalesce(F.size(leg), F.lit(0))
 
 
-def _output_addresses(output: Column) -> Column:
+def output_addresses(output: Column) -> Column:
     addresses = output["scriptPubKey"]["addresses"]
     return F.coalesce(distinct_sorted(addresses), no_addresses())
 
@@ -117,7 +117,7 @@ def flatten_legs(documents: DataFrame) -> dict[str, DataFrame]:
     coinbase = F.col("entry.coinbase")
     outputs = documents.select("txid", F.explode("vout").alias("entry"))
     every_output_address = distinct_sorted(
-        F.flatten(F.transform(F.coalesce("vout", F.array()), _output_addresses))
+        F.flatten(F.transform(F.coalesce("vout", F.array()), output_addresses))
     )
     return {
         "coingen": entries.filter(coinbase.isNotNull()).select(
@@ -134,7 +134,7 @@ def flatten_legs(documents: DataFrame) -> dict[str, DataFrame]:
             F.col("txid").alias("vo_tx_hash"),
             to_money(F.col("entry.value")).alias("vo_value"),
             F.col("entry.n").alias("vo_tx_n"),
-            _output_addresses(F.col("entry")).alias("vo_pubkey"),
+            output_addresses(F.col("entry")).alias("vo_pubkey"),
         ),
         "vjoinsplit": documents.select(
             "txid",

@@ -16,7 +16,7 @@ from glasspool.ledger import Ledger
 from glasspool.operators import components, enrichment, heights, inputs, normalize, quality
 from glasspool.plans import addresses, clusters, heuristics, overview, reports, series
 from glasspool.sources import address_lists, delimited, node_json, snapshot
-from glasspool.streaming import ingest
+from glasspool.streaming import ingest, resolve
 from testbed import derive, staging
 from testbed.derive import MINER_DESTINATIONS, Testbed
 
@@ -823,6 +823,21 @@ def stream_resume(t: Testbed) -> DataFrame:
     return ledger_rows(Ledger(**legs), [name for name in legs if name != "block"])
 
 
+@query
+def stream_resolved(t: Testbed) -> DataFrame:
+    """Inputs resolved as their documents come, in two runs: first the documents of odd orders, then those of
+    even ones, so that many outputs come after the inputs that spend them. Every 50th document comes twice."""
+    spark, folder = t.retail.spark, t.workspace.fresh_path("resolving")
+    documents, order = staging.node_transactions(t), _order_of("txid")
+    shared = order % DUPLICATED_EVERY == 0
+    for chosen in ((order % 2 == 1) | shared, order % 2 == 0):
+        documents.filter(chosen).write.mode("append").json(f"{folder}/documents")
+        resolve.start_resolving(
+            spark, f"{folder}/documents", f"{folder}/resolved", f"{folder}/progress"
+        ).awaitTermination()
+    return resolve.resolved_inputs(spark, f"{folder}/resolved").withColumn("vi_address", address_key(F.col("vi_address")))
+
+
 @query
 def address_list_load(t: Testbed) -> DataFrame:
     """A tagged list in which every address of an even-numbered nation occurs twice."""

@@ -721,6 +721,10 @@ FROM sides QUALIFY place <= 5""",
         UNION ALL SELECT 'reject', '', '', CAST(0 AS {TOTAL})
         FROM tx WHERE {_ORDER.format('t_tx_hash')} % {FAULTY_EVERY} = 0""",
     ),
+    "stream_resolved": (
+        f"""SELECT vi_tx_hash, vi_prevout_hash, vi_prevout_n, {_key('vi_address')} AS vi_address,
+        vi_value FROM vin""",
+    ),
     "load_refused": (
         _rows(f"height BETWEEN 1 AND {HEIGHT_LIMIT}"),
         f"""late AS (

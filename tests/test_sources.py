@@ -10,7 +10,7 @@ from glasspool import Ledger, Workspace, schema
 from glasspool.operators.normalize import normalize
 from glasspool.sources import store  # noqa: E402
 from glasspool.sources import address_lists, delimited, node_json, snapshot
-from glasspool.streaming import ingest
+from glasspool.streaming import ingest, resolve
 from glasspool.workspace import shared_folder
 from tests.conftest import money, rows
 
@@ -450,3 +450,36 @@ def test_two_writers_of_one_version_do_not_both_win(spark, build, tmp_path):
 def test_enrichment_keeps_the_number_of_joinsplits(spark, build, tmp_path):
     seen = snapshot.save_clean(spark, clean_tables(build, 1, ("t1", None), ("t2", None)), str(tmp_path / "counted"))
     assert seen == {"before": 1, "after": 1}
+
+
+def test_inputs_are_resolved_as_documents_come(spark, tmp_path):
+    """Also across restarts, for outputs that come after the inputs that spend them, and once only."""
+    source, path, progress = (str(tmp_path / n) for n in ("in", "resolved", "progress"))
+
+    def document(tx, spends=(), outputs=1):
+        return {
+            "txid": tx,
+            "vin": [{"txid": prev, "vout": n} for prev, n in spends] or [{"coinbase": "cb"}],
+            "vout": [{"n": n, "value": 0.1 + n, "scriptPubKey": {"addresses": [f"{tx}-{n}"]} if n else {}} for n in range(outputs)],
+        }
+
+    def run(*documents):
+        for one in documents:
+            write_documents(Path(source), f"{one['txid']}-{len(list(Path(source).glob('*')))if Path(source).exists() else 0}.json", [one])
+        resolve.start_resolving(spark, source, path, progress, files_per_batch=1).awaitTermination()
+        return rows(resolve.resolved_inputs(spark, path))
+
+    amounts = [money("0.10000000"), money("1.10000000")]
+    assert run(document("late-spender", [("late", 1), ("never", 0)])) == []
+    first = [("s1", "t1", 0, [], amounts[0])]
+    assert run(document("t1", outputs=2), document("s1", [("t1", 0)])) == first
+    # nothing new, a repeated document, and an output that releases the input that waited for it
+    assert run() == first
+    second = sorted([*first, ("late-spender", "late", 1, ["late-1"], amounts[1])], key=repr)
+    assert run(document("s1", [("t1", 0)]), document("late", outputs=2)) == second
+    third = sorted([*second, ("s2", "t1", 1, ["t1-1"], amounts[1])], key=repr)
+    assert run(document("s2", [("t1", 1), ("t1", 0)])) == third
+    (Path(source) / "broken.json").write_text('{"vin": []}')
+    with pytest.raises(Exception):
+        run()
+    assert rows(resolve.resolved_inputs(spark, path)) == third
