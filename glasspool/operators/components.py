@@ -129,6 +129,39 @@ def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     return members.join(names, "id").join(roots, "parent").select("address", "cluster_id")
 
 
+def extended_components(members: DataFrame, edges: DataFrame, workspace: Workspace) -> DataFrame:
+    """(address, cluster_id) after more edges (src, dst), from the clusters before them.
+
+    The ends of the new edges are replaced by the clusters they are in, so the rounds run over the new
+    edges only, however many there were before. A cluster that meets others takes the least id among
+    them, which is the least address of them all; addresses that were in no cluster join theirs.
+    """
+    fresh = workspace.store(edges.select("src", "dst").distinct())
+    touched = fresh.select(F.explode(F.array("src", "dst")).alias("address")).distinct()
+    # only the clusters of the new edges' ends; the rest of the members is read once more, to be relabelled
+    known = workspace.store(
+        touched.join(members, "address", "left").select("address", F.coalesce("cluster_id", "address").alias("label"), F.col("cluster_id").isNull().alias("is_new"))
+    )
+    ends = [known.select(F.col("address").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst")]
+    contracted = (
+        fresh.join(reshuffled(ends[0], "src"), "src")
+        .join(reshuffled(ends[1], "dst"), "dst")
+        .filter("src_label <> dst_label")
+        .select(F.least("src_label", "dst_label").alias("src"), F.greatest("src_label", "dst_label").alias("dst"))
+        .distinct()
+    )
+    merged = workspace.store(connected_components(contracted, workspace)).select(
+        F.col("address").alias("cluster_id"), F.col("cluster_id").alias("_joined")
+    )
+    relabelled = members.join(merged.filter("cluster_id <> _joined"), "cluster_id", "left").select(
+        "address", F.coalesce("_joined", "cluster_id").alias("cluster_id")
+    )
+    added = known.filter("is_new").select("address", F.col("label").alias("cluster_id")).join(merged, "cluster_id").select(
+        "address", F.col("_joined").alias("cluster_id")
+    )
+    return relabelled.unionByName(added)
+
+
 def component_links(links: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
     """The labelled links inside the given clusters (a frame with a `cluster_id` column)."""
     chosen = clusters.join(members.select("cluster_id"), "cluster_id", "left_semi")

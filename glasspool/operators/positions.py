@@ -74,6 +74,30 @@ def previous(
     )
 
 
+def running_sum(
+    df: DataFrame, key: list[str], order: list[str], value: str, alias: str, workspace: Workspace
+) -> DataFrame:
+    """sum(value) over (partition by key order by order), up to the row; the order must be total within a key.
+
+    As `numbered`: the sum runs inside the ranges, and a range carries the key's total of the ranges before
+    it. The result has the type that a sum of `value` has.
+    """
+    placed = _placed(df, [*key, *order], workspace)
+    inside = Window.partitionBy(*key, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    kind = df.agg(F.sum(value).alias(value)).schema[value].dataType
+    carried = (
+        placed.groupBy(*key, "_part")
+        .agg(F.sum(value).alias("_total"))
+        .select(*key, "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).cast(kind).alias("_carry"))
+    )
+    return (
+        placed.withColumn("_inside", F.sum(value).over(inside).cast(kind))
+        .join(carried, [*key, "_part"])
+        .select(*df.columns, (F.col("_inside") + F.col("_carry")).cast(kind).alias(alias))
+    )
+
+
 def ranked(df: DataFrame, order: list[Column], alias: str, workspace: Workspace) -> DataFrame:
     """Rank every row from 0 by `order`, which must be total.
 

@@ -16,9 +16,12 @@ from glasspool.functions.classify import DESHIELDED
 from glasspool.functions.labels import row_label, stitched_address
 from glasspool.functions.money import amount, difference, total
 from glasspool.ledger import Ledger
+from glasspool.operators.heights import transaction_heights
 from glasspool.operators.joins import reshuffled
+from glasspool.operators.positions import previous, running_sum
 from glasspool.schema import MONEY
-from glasspool.settings import FOUNDERS_REWARD, RICH_LIST_SIZE
+from glasspool.settings import ACTIVE_GAP, FOUNDERS_REWARD, RICH_LIST_SIZE
+from glasspool.workspace import Workspace
 
 _ZERO = Decimal(0)
 
@@ -267,16 +270,14 @@ def _activity(ledger: Ledger, addresses: DataFrame | str) -> DataFrame:
             )
         return rows.select(F.explode(F.array_distinct(owner)).alias("address"), *kept)
 
-    facts = (
-        held(ledger.vout, "recv", "vo_pubkey", "vo_tx_hash", "vo_value")
-        .unionByName(held(ledger.vin, "sent", "vi_address", "vi_tx_hash", "vi_value"))
-        .groupBy("address", "tx_hash", "side")
-        .agg(total(F.col("value")).alias("value"))
+    legs = held(ledger.vout, "recv", "vo_pubkey", "vo_tx_hash", "vo_value").unionByName(
+        held(ledger.vin, "sent", "vi_address", "vi_tx_hash", "vi_value")
     )
-    if isinstance(addresses, str):
-        return facts
-    wanted = addresses.select("address").distinct()
-    return facts.join(reshuffled(wanted, "address"), "address", "left_semi")
+    if not isinstance(addresses, str):
+        # before the sums, so that a short list does not sum up the whole ledger
+        wanted = addresses.select("address").distinct()
+        legs = legs.join(reshuffled(wanted, "address"), "address", "left_semi")
+    return legs.groupBy("address", "tx_hash", "side").agg(total(F.col("value")).alias("value"))
 
 
 def address_profile(
@@ -386,3 +387,51 @@ def profile_co_sources(ledger: Ledger, address: str) -> DataFrame:
         .select(F.explode("vi_address").alias("address"))
         .distinct()
     )
+
+
+def balance_changes(ledger: Ledger) -> DataFrame:
+    """(address, height, change): what each address key gains or loses at each height that names it.
+
+    Legs are summed per transaction before heights are joined, so neither a hot address nor a hot
+    transaction meets the join row by row.
+    """
+
+    def side(rows: DataFrame, owner: str, tx: str, value: Column) -> DataFrame:
+        return rows.select(address_key(F.col(owner)).alias("address"), F.col(tx).alias("tx_hash"), value.alias("change"))
+
+    per_transaction = (
+        side(ledger.vout, "vo_pubkey", "vo_tx_hash", F.col("vo_value"))
+        .unionByName(side(ledger.vin, "vi_address", "vi_tx_hash", -F.col("vi_value")))
+        .groupBy("address", "tx_hash")
+        .agg(total(F.col("change")).alias("change"))
+    )
+    heights = transaction_heights(ledger).select("tx_hash", "height")
+    return per_transaction.join(heights, "tx_hash").groupBy("address", "height").agg(
+        F.sum("change").cast("decimal(38,8)").alias("change")
+    )
+
+
+def address_balances(ledger: Ledger, workspace: Workspace) -> DataFrame:
+    """(address, height, balance): the balance after each height at which the address is named.
+
+    Prefix sums over ranges of (address, height): an address with a third of all heights is spread over
+    as many tasks as they fill.
+    """
+    moves = running_sum(balance_changes(ledger), ["address"], ["height"], "change", "balance", workspace)
+    return moves.select("address", "height", F.col("balance").cast("decimal(38,8)").alias("balance"))
+
+
+def active_ranges(ledger: Ledger, workspace: Workspace, gap: int = ACTIVE_GAP) -> DataFrame:
+    """(address, first_height, last_height, active_heights): stretches in which the address is never silent
+    for more than `gap` blocks.
+
+    A height starts a stretch if the one before it is too far away, in whatever range of rows that one lies;
+    stretches are told apart by the running number of such starts.
+    """
+    active = balance_changes(ledger).select("address", "height")
+    before = previous(active, ["address"], ["height"], "height", "last", workspace)
+    starts = before.withColumn("start", F.when(F.col("height") - F.col("last") <= gap, 0).otherwise(1))
+    numbered = running_sum(starts, ["address"], ["height"], "start", "stretch", workspace)
+    return numbered.groupBy("address", "stretch").agg(
+        F.min("height").alias("first_height"), F.max("height").alias("last_height"), F.count(F.lit(1)).alias("active_heights")
+    ).drop("stretch")

@@ -25,3 +25,6 @@ class Settings:
     founder_withdrawal: Decimal = FOUNDER_WITHDRAWAL
     founders_reward: Decimal = FOUNDERS_REWARD
     miner_destinations: int = MINER_DESTINATIONS
+
+#: Blocks an address may be silent within one stretch of activity.
+ACTIVE_GAP = 30

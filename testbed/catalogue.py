@@ -368,6 +368,16 @@ def public_total_sent(t: Testbed) -> DataFrame:
     return inputs.total_sent(t.vin(), public)
 
 
+@query
+def address_balances(t: Testbed) -> DataFrame:
+    return addresses.address_balances(t.ledger(), t.workspace)
+
+
+@query
+def address_active_ranges(t: Testbed) -> DataFrame:
+    return addresses.active_ranges(t.ledger(), t.workspace)
+
+
 # Series over height --------------------------------------------------------------------------
 
 
@@ -481,6 +491,21 @@ def cluster_members(t: Testbed) -> DataFrame:
     return components.connected_components(edges, t.workspace)
 
 
+@query
+def clusters_after_append(t: Testbed) -> DataFrame:
+    """Clusters of the transactions up to HEIGHT_LIMIT, extended by the edges of the later ones."""
+    placed = heights.transaction_heights(t.ledger()).select(F.col("tx_hash").alias("vi_tx_hash"), "height")
+    inputs_at = t.vin().join(placed, "vi_tx_hash")
+
+    def edges(condition: F.Column) -> DataFrame:
+        return components.cospend_edges(components.cospend_links(inputs_at.filter(condition)))
+
+    early = components.connected_components(edges(F.col("height") <= HEIGHT_LIMIT), t.workspace)
+    return components.extended_components(
+        t.workspace.store(early), edges(F.col("height") > HEIGHT_LIMIT), t.workspace
+    )
+
+
 @query
 def cluster_ranks(t: Testbed) -> DataFrame:
     return clusters.cluster_ranks(stored_clusters(t), t.workspace)

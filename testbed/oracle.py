@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glasspool.settings import ACTIVE_GAP
 from testbed.catalogue import (
     DUPLICATED_EVERY,
     FAULTY_EVERY,
@@ -149,6 +150,14 @@ stats AS (
        FULL JOIN pout USING (address) FULL JOIN pin USING (address))
 """
 
+_CHANGES = f"""
+changes AS (
+  SELECT address, height, sum(v) AS change FROM (
+    SELECT {_key('vo_pubkey')} AS address, vo_tx_hash AS t_tx_hash, vo_value AS v FROM vout
+    UNION ALL SELECT {_key('vi_address')}, vi_tx_hash, -vi_value FROM vin)
+  JOIN tx USING (t_tx_hash) GROUP BY 1, 2)
+"""
+
 _LINKS = """
 pairs AS (SELECT DISTINCT vi_tx_hash AS tx_hash, unnest(vi_address) AS address FROM vin),
 centre AS (
@@ -543,6 +552,19 @@ FROM flat""",
         f"""SELECT CAST(sum(vi_value) AS {TOTAL}) AS sent FROM vin
         JOIN tx ON t_tx_hash = vi_tx_hash WHERE t_type = 'public'""",
     ),
+    "address_balances": (
+        _CHANGES,
+        f"SELECT address, height, CAST(sum(change) OVER (PARTITION BY address ORDER BY height) AS {TOTAL}) AS balance FROM changes",
+    ),
+    "address_active_ranges": (
+        _CHANGES,
+        f"""spaced AS (
+  SELECT address, height, CASE WHEN height - lag(height) OVER up <= {ACTIVE_GAP} THEN 0 ELSE 1 END AS start
+  FROM changes WINDOW up AS (PARTITION BY address ORDER BY height)),
+stretched AS (SELECT *, sum(start) OVER (PARTITION BY address ORDER BY height) AS stretch FROM spaced)""",
+        """SELECT address, min(height) AS first_height, max(height) AS last_height, count(*) AS active_heights
+        FROM stretched GROUP BY address, stretch""",
+    ),
     "height_axis": (_AXIS, "SELECT height FROM axis"),
     "transaction_heights": ("SELECT t_tx_hash AS tx_hash, height, t_type AS type FROM tx",),
     "types_per_height": (_TYPE_SERIES, "SELECT * FROM bucketed"),
@@ -591,6 +613,7 @@ FROM flat""",
         "SELECT tx_hash, address FROM pairs SEMI JOIN centre USING (tx_hash)",
     ),
     "cluster_members": (_LINKS, _CLUSTERS, "SELECT address, cluster_id FROM members"),
+    "clusters_after_append": (_LINKS, _CLUSTERS, "SELECT address, cluster_id FROM members"),
     "cluster_ranks": (_LINKS, _CLUSTERS, "SELECT * FROM ranks"),
     "cluster_disjointness": (
         _LINKS,

@@ -238,3 +238,56 @@ def test_ambiguous_members(spark):
         [("a", "1"), ("a", "2"), ("b", "1")], "address string, cluster_id string"
     )
     assert [row["address"] for row in quality.ambiguous_members(clusters).collect()] == ["a"]
+
+
+def test_running_sums_of_a_hot_key_are_spread(spark, workspace):
+    """A key that holds nearly all rows runs through several ranges, and each range carries on."""
+    from glasspool.operators.positions import running_sum
+
+    hot = spark.range(3000).selectExpr("'hot' AS key", "id AS place", "CAST(id % 7 - 3 AS DECIMAL(32,8)) AS value")
+    cold = spark.range(40).selectExpr("concat('k', id % 9) AS key", "id AS place", "CAST(1 AS DECIMAL(32,8)) AS value")
+    whole = workspace.store(hot.unionByName(cold).repartition(8))
+    found = running_sum(whole, ["key"], ["place"], "value", "upto", workspace)
+    by_key = {}
+    for key, place, value, upto in sorted(found.select("key", "place", "value", "upto").collect()):
+        by_key[key] = by_key.get(key, 0) + value
+        assert upto == by_key[key], (key, place)
+    assert found.count() == 3040 and len(by_key) == 10
+    assert running_sum(whole.limit(0), ["key"], ["place"], "value", "upto", workspace).count() == 0
+
+
+def test_balances_and_active_ranges(spark, build, workspace):
+    from glasspool.plans import addresses
+
+    ledger = build.ledger(
+        block=build.blocks(b1=1, b5=5, b40=40, b41=41),
+        transaction=build.transactions(("t1", "b1", "public"), ("t2", "b5", "public"), ("t3", "b40", "public"), ("t4", "b41", "public")),
+        vout=build.vout(("t1", 0, ["a"], 10), ("t1", 1, [], 1), ("t2", 0, ["a"], 2), ("t2", 1, ["b"], 3), ("t4", 0, ["a"], 7)),
+        vin=build.vin(("t2", "t1", 0, ["a"], 10), ("t4", "t2", 0, ["a"], 2), ("t4", "t2", 1, ["b"], 3)),
+    )
+    assert rows(addresses.address_balances(ledger, workspace)) == sorted(
+        [("", 1, money("1.00000000")), ("a", 1, money("10.00000000")), ("a", 5, money("2.00000000")), ("a", 41, money("7.00000000")),
+         ("b", 5, money("3.00000000")), ("b", 41, money("0E-8"))], key=repr,
+    )
+    ranges = {gap: rows(addresses.active_ranges(ledger, workspace, gap)) for gap in (3, 4, 36)}
+    assert ranges[3] == [("", 1, 1, 1), ("a", 1, 1, 1), ("a", 41, 41, 1), ("a", 5, 5, 1), ("b", 41, 41, 1), ("b", 5, 5, 1)]
+    assert ranges[4] == [("", 1, 1, 1), ("a", 1, 5, 2), ("a", 41, 41, 1), ("b", 41, 41, 1), ("b", 5, 5, 1)]
+    assert ranges[36] == [("", 1, 1, 1), ("a", 1, 41, 3), ("b", 5, 41, 2)]
+
+
+def test_extended_clusters_equal_clusters_from_scratch(spark, workspace):
+    import random
+
+    from glasspool.operators.components import connected_components, extended_components
+
+    draw = random.Random(11)
+    names = [f"n{i:02}" for i in range(40)]
+    pairs = [tuple(sorted(draw.sample(names, 2))) for _ in range(34)]
+    frame = lambda some: spark.createDataFrame(some, "src string, dst string")
+    members = workspace.store(connected_components(frame(pairs[:14]), workspace))
+    for start, end in ((14, 22), (22, 34)):
+        members = workspace.store(extended_components(members, frame(pairs[start:end]), workspace))
+        assert rows(members) == rows(connected_components(frame(pairs[:end]), workspace))
+    # old edges again change nothing, and neither does nothing
+    assert rows(extended_components(members, frame(pairs[:5]), workspace)) == rows(members)
+    assert rows(extended_components(members, frame([]), workspace)) == rows(members)
