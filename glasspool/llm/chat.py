@@ -1,19 +1,23 @@
 """Tool calls of conversations: linked to results, ordered, validated, as canonical JSON lines.
 
-Only DataFrame operations. Calls and results meet in a join by call identifier. Calls are ordered
+Only DataFrame operations. Calls and results meet in a hash join by call identifier. Calls are ordered
 topologically by levels: level 0 depends on nothing, a call's level is one more than the greatest of
-those it depends on. Each round settles the calls whose dependencies are all settled and is written,
-so there are as many rounds as levels, and a hot conversation costs no more than others. Calls in a
-cycle, or that depend on an unknown call, never settle and get no level. Arguments are parsed with
-the schema of the tool and must hold every required field with the right type.
+those it depends on. Calls with exactly one dependency form chains, whose ends are found by doubling the
+distance each round; only calls with several dependencies are then settled round by round, over chains
+that are one edge each. So a chain of any length takes a logarithmic number of rounds, the edges never
+grow beyond the dependencies, and a hot conversation costs no more than others. Calls in a cycle, or that
+depend on an unknown call, never settle and get no level.
 
-A line has its keys in alphabetical order, no white space, and no null fields; so have arguments.
+Arguments are parsed as they are written and checked by type at every depth (`checked_arguments`). A line
+has its keys in alphabetical order, no white space, and no null fields; so have arguments, whose values are
+those that were written.
 
 Defined results: a call without identifier is linked with nothing, depends on nothing others see and
 is still given; of repeated call rows each is given; of several results of one call the least turn,
 then the least text, is taken, and `results` counts them; results without a call are left out
 (`orphans` lists them); null or broken arguments and unknown tools are invalid; a null dependency is
-ignored; no calls give no rows; extra columns are ignored.
+ignored; no calls give no rows; extra columns are ignored; arguments beyond the size Spark's variants hold
+(16 MB) are invalid.
 """
 
 from __future__ import annotations
@@ -31,59 +35,152 @@ from glasspool.workspace import Workspace
 #: result frame: call_id, turn, content
 
 
+def _chains(nodes: DataFrame, edges: DataFrame, workspace: Workspace) -> DataFrame:
+    """(call_id, anchor, distance) of calls with one dependency: the first call on their way that has none or
+    several, and the steps to it. Calls whose way ends in an unknown call, or never, have no row."""
+    single = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("anchor")).filter("n = 1")
+    singles = workspace.store(single.select("call_id", "anchor"))
+    others = reshuffled(nodes, "call_id").join(reshuffled(singles, "call_id"), "call_id", "left_anti")
+    ends = workspace.store(others)
+    # `on`: the anchor is a chain's call itself, so the way goes on from there
+    going = singles.select(F.col("call_id").alias("anchor"), F.lit(True).alias("on"))
+    reached = ends.select(F.col("call_id").alias("anchor"), F.lit(False).alias("on"))
+    ways = workspace.store(
+        singles.join(reshuffled(going.unionByName(reached), "anchor"), "anchor")
+        .select("call_id", "anchor", F.lit(1).cast("long").alias("distance"), "on")
+    )
+    # every round doubles the distance of those that go on; beyond all calls there are only cycles
+    for _ in range(max(1, singles.count()).bit_length()):
+        if ways.filter("on").isEmpty():
+            break
+        further = ways.select(
+            F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("distance").alias("more"), F.col("on").alias("next_on")
+        )
+        moved = ways.filter("on").join(reshuffled(further, "anchor"), "anchor").select(
+            "call_id", F.col("next").alias("anchor"), (F.col("distance") + F.col("more")).alias("distance"), F.col("next_on").alias("on")
+        )
+        ways = workspace.store(ways.filter(~F.col("on")).unionByName(moved))
+    return ways.filter(~F.col("on")).drop("on")
+
+
 def levels(calls: DataFrame, workspace: Workspace) -> DataFrame:
     """(call_id, level) of every call that can be ordered."""
-    nodes = calls.filter(F.col("call_id").isNotNull())
+    known = calls.filter(F.col("call_id").isNotNull())
+    nodes = workspace.store(known.select("call_id").distinct())
     edges = workspace.store(
-        nodes.select("call_id", F.explode("depends_on").alias("needs")).filter(F.col("needs").isNotNull()).distinct()
+        known.select("call_id", F.explode("depends_on").alias("needs")).filter(F.col("needs").isNotNull()).distinct()
     )
-    waiting = edges
-    settled = workspace.store(
-        nodes.select("call_id").distinct()
-        .join(reshuffled(edges.select("call_id").distinct(), "call_id"), "call_id", "left_anti")
-        .withColumn("level", F.lit(0).cast("long"))
+    chains = workspace.store(_chains(nodes, edges, workspace))
+    counts = workspace.store(edges.groupBy("call_id").count())
+    free = nodes.join(reshuffled(counts, "call_id"), "call_id", "left_anti").withColumn("level", F.lit(0).cast("long"))
+    # the levels of calls with none or several dependencies, all rounds in one table
+    path = workspace.fresh_path("levels")
+    free.write.parquet(path)
+    settled = calls.sparkSession.read.schema("call_id string, level long").parquet(path)
+    several = edges.join(reshuffled(counts.filter("count > 1"), "call_id"), "call_id", "left_semi")
+    by_chain = chains.select(F.col("call_id").alias("needs"), "anchor", "distance")
+    waiting = workspace.store(
+        several.join(reshuffled(by_chain, "needs"), "needs", "left").select(
+            "call_id", F.coalesce("anchor", "needs").alias("needs"), (F.coalesce("distance", F.lit(0)) + 1).cast("long").alias("distance"),
+            F.lit(None).cast("long").alias("level"),
+        )
     )
-    found, level = [settled], 0
-    while True:
-        level += 1
-        # what the last level settled is no longer waited for
-        rest = workspace.store(
-            waiting.join(reshuffled(settled.select(F.col("call_id").alias("needs")), "needs"), "needs", "left_anti")
+    latest = settled
+    while not waiting.isEmpty():
+        # dependencies that settled last are filled in; calls without open ones settle now
+        found = latest.select(F.col("call_id").alias("needs"), F.col("level").alias("found"))
+        filled = workspace.store(
+            waiting.join(reshuffled(found, "needs"), "needs", "left").select(
+                "call_id", "needs", "distance", F.coalesce("level", F.col("found") + F.col("distance")).alias("level")
+            )
         )
-        ready = waiting.select("call_id").distinct().join(
-            reshuffled(rest.select("call_id").distinct(), "call_id"), "call_id", "left_anti"
-        )
-        settled = workspace.store(ready.withColumn("level", F.lit(level).cast("long")))
-        if settled.isEmpty():
+        state = filled.groupBy("call_id").agg(F.max("level").alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ready"))
+        latest = workspace.store(state.filter("ready").select("call_id", "level"))
+        if latest.isEmpty():
             break
-        found.append(settled)
-        waiting = rest
-    return reduce(DataFrame.unionByName, found)
-
-
-def _canonical(value: Column, schema: T.StructType) -> Column:
-    """The fields in alphabetical order, at every depth of structs."""
-    fields = []
-    for field in sorted(schema.fields, key=lambda f: f.name):
-        part = value.getField(field.name)
-        fields.append((_canonical(part, field.dataType) if isinstance(field.dataType, T.StructType) else part).alias(field.name))
-    return F.when(value.isNotNull(), F.struct(*fields))
+        latest.write.mode("append").parquet(path)
+        waiting = workspace.store(filled.join(reshuffled(latest, "call_id"), "call_id", "left_anti"))
+    settled = calls.sparkSession.read.schema("call_id string, level long").parquet(path)
+    on_chains = chains.join(reshuffled(settled.withColumnRenamed("call_id", "anchor"), "anchor"), "anchor").select(
+        "call_id", (F.col("level") + F.col("distance")).alias("level")
+    )
+    return settled.unionByName(on_chains)
+
+
+def _kind(value: Column) -> Column:
+    """The type of a parsed value, VOID for a JSON null."""
+    return F.schema_of_variant(value)
+
+
+def _checked(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """(fits, typed): whether a parsed value that is not null has the type, and the value with the fields of
+    structs in alphabetical order and without nulls."""
+    written = _kind(value)
+    if isinstance(kind, T.StructType):
+        return _checked_struct(F.try_variant_get(value, "$", "map<string,variant>"), written, kind)
+    if isinstance(kind, T.ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        fits = F.forall(items, lambda x: _checked_part(x, kind.elementType, kind.containsNull)[0])
+        typed = F.transform(items, lambda x: _checked_part(x, kind.elementType, kind.containsNull)[1])
+        return written.startswith("ARRAY<") & fits, typed
+    if isinstance(kind, T.MapType):
+        held = F.try_variant_get(value, "$", "map<string,variant>")
+        fits = F.forall(F.map_values(held), lambda x: _checked_part(x, kind.valueType, kind.valueContainsNull)[0])
+        typed = F.transform_values(held, lambda _, x: _checked_part(x, kind.valueType, kind.valueContainsNull)[1])
+        return written.startswith("OBJECT<") & fits, typed
+    if isinstance(kind, T.StringType):
+        return written == "STRING", value
+    if isinstance(kind, T.BooleanType):
+        return written == "BOOLEAN", value
+    if isinstance(kind, T.IntegralType):
+        # written without a point, and within the range of the type
+        return (written == "BIGINT") & F.try_variant_get(value, "$", kind.simpleString()).isNotNull(), value
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        number = (written == "BIGINT") | (written == "DOUBLE") | written.startswith("DECIMAL(")
+        return number & F.try_variant_get(value, "$", kind.simpleString()).isNotNull(), value
+    # dates and times are written as text
+    return (written == "STRING") & F.try_variant_get(value, "$", kind.simpleString()).isNotNull(), value
+
+
+def _checked_part(value: Column, kind: T.DataType, nullable: bool) -> tuple[Column, Column]:
+    """As `_checked` for a value that may be null."""
+    fits, typed = _checked(value, kind)
+    void = _kind(value) == "VOID"
+    return F.when(void, F.lit(nullable)).otherwise(fits), F.when(~void, typed)
+
+
+def _checked_struct(held: Column, written: Column, kind: T.StructType) -> tuple[Column, Column]:
+    """Fields that are not nullable must be there, fields the struct lacks must not; a nullable one may be null."""
+    names = F.array(*(F.lit(field.name) for field in kind.fields)).cast("array<string>")
+    fits, fields = [written.startswith("OBJECT<"), F.size(F.array_except(F.map_keys(held), names)) == 0], []
+    for field in sorted(kind.fields, key=lambda f: f.name):
+        good, typed = _checked_part(F.try_element_at(held, F.lit(field.name)), field.dataType, field.nullable)
+        there = F.map_contains_key(held, field.name)
+        fits.append(F.when(there, good).otherwise(F.lit(field.nullable)))
+        fields.append(F.when(there, typed).alias(field.name))
+    whole = F.struct(*fields) if fields else F.create_map().cast("map<string,string>")
+    return reduce(Column.__and__, fits), whole
 
 
 def checked_arguments(name: Column, arguments: Column, schemas: dict[str, T.StructType]) -> tuple[Column, Column]:
-    """(valid, canonical JSON): non-nullable fields are required, fields the schema lacks are refused."""
+    """(valid, canonical JSON) by the types of the tool's schema, at every depth.
+
+    The text must be one JSON object and nothing after it, with no key twice. To be sure of its end it is
+    parsed as the first of two items, the second being its own digest. A value must be written in its
+    type: no text for a number, no number for a text. Values are given as they were written, numbers in
+    their shortest form.
+    """
+    mark = F.sha2(arguments.cast("binary"), 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), arguments, F.lit(',"'), mark, F.lit('"]')))
+    whole = F.try_variant_get(pair, "$[1]", "string") == mark
+    value = F.try_variant_get(pair, "$[0]", "variant")
     valid, canonical = F.lit(False), F.lit(None).cast("string")
     for tool, schema in schemas.items():
-        parsed = F.from_json(arguments, schema, {"mode": "PERMISSIVE"})
-        names = F.array(*(F.lit(f.name) for f in schema.fields))
-        known = F.size(F.array_except(F.json_object_keys(arguments), names)) == 0
-        required = [parsed.getField(f.name).isNotNull() for f in schema.fields if not f.nullable]
-        # a field of the wrong type parses as null, so every key that is there must have a value
-        typed = [~F.array_contains(F.json_object_keys(arguments), f.name) | parsed.getField(f.name).isNotNull() for f in schema.fields]
-        good = reduce(Column.__and__, [known, *required, *typed])
+        fits, typed = _checked(value, schema)
+        good = F.coalesce(whole & fits, F.lit(False))
         here = name == tool
-        valid = F.when(here, F.coalesce(good, F.lit(False))).otherwise(valid)
-        canonical = F.when(here & good, F.to_json(_canonical(parsed, schema))).otherwise(canonical)
+        valid = F.when(here, good).otherwise(valid)
+        canonical = F.when(here & good, F.to_json(typed)).otherwise(canonical)
     return valid, canonical
 
 
@@ -101,8 +198,8 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, T.Stru
     key = F.coalesce(F.col("call_id"), F.concat(F.lit("\u0000"), F.xxhash64("conv_id", "turn", "arguments").cast("string")))
     joined = (
         calls.withColumn("call_key", key)
-        .join(reshuffled(answers.withColumnRenamed("call_id", "call_key"), "call_key"), "call_key", "left")
-        .join(reshuffled(order.withColumnRenamed("call_id", "call_key"), "call_key"), "call_key", "left")
+        .join(reshuffled(answers.withColumnRenamed("call_id", "call_key"), "call_key").hint("shuffle_hash"), "call_key", "left")
+        .join(reshuffled(order.withColumnRenamed("call_id", "call_key"), "call_key").hint("shuffle_hash"), "call_key", "left")
     )
     valid, arguments = checked_arguments(F.col("name"), F.col("arguments"), schemas)
     line = F.to_json(

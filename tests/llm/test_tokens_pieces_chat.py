@@ -140,7 +140,7 @@ def test_queries_equal_their_sql(spark, name):
     if not FOLDER.exists():
         pytest.skip("test tables are not here")
     duck = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = QUERIES[name](spark, str(FOLDER))
     answer = duck.execute(ORACLES[name])
