@@ -1,18 +1,22 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton drives a single-pass Viterbi.
 
-The pieces of a model file form an automaton. Reading a text once, every output link at a position
-names a piece that ends there; it relaxes the best score of that position from the best score where
-the piece starts. Characters that no piece covers fall back to their bytes. The result is the
-segmentation with the greatest sum of piece scores; of equal sums the one whose last piece is
-longest wins, position by position.
+The pieces of a model file form an automaton. Reading a text once, every output link at a position names a
+piece that ends there and relaxes the best way to that position, from the best way to where the piece
+starts. The score of a way is that of the model's own procedure: adjacent symbols merge in the order of
+the pieces' scores, leftmost first. A link is admissible only if its piece and the last piece of the way
+before it stay apart when their characters merge; a way of admissible links is what merging gives, of which
+there is one, so the first admissible link, longest first, has the best score. Whether two pieces stay
+apart follows from undoing their merges, latest first: they would have met if the symbols that touch ever form
+a piece that ranks before the merge that took one of them. Pieces that merging never gives are left out.
+
+Characters that are no piece fall back to their bytes and merge with nothing, so a way starts anew after
+them. The ids are those of the library.
 
 White space is written as U+2581, one stands before the text. When no piece holds U+2581 after
 another character, as in models that split at white space, no piece crosses the start of a run of it;
-the text is then cut there and a bounded cache of the Python worker keeps the ids of the parts.
+the text is then cut there and a cache of the Python worker, bounded in bytes, keeps the ids of the parts.
 
-The model file keeps its published pieces and scores; nothing is trained. Its scores are merge ranks,
-and the greatest sum of them need not be the segmentation that merging gives, so ids differ from the
-library's in places; decoding agrees with the library for all of them.
+The model file keeps its published pieces and scores; nothing is trained.
 
 Defined results: null counts as empty; an empty text has no ids; control pieces are never produced
 from text; repeated rows are encoded each; extra columns are ignored; decoding restores every text
@@ -21,6 +25,7 @@ without U+2581 exactly.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasspool.llm.text import documents, texts_of
+from glasspool.llm.text import PieceCache, documents, texts_of
 
 SPACE = "▁"
-CACHED_PARTS = 500_000
-BYTE_PENALTY = 10.0
+CACHED_PAIRS = 1_000_000  # of 100 bytes or so each
+NOTHING = -1  # no piece: the start of a way
 
 _part = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _coders: dict = {}
@@ -53,16 +58,31 @@ class PieceCoder:
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.special = {i for i in ids if model.is_control(i) or model.is_unknown(i)}
-        self.automaton = ahocorasick.Automaton()
         ordinary = [i for i in ids if i not in self.special and not model.is_byte(i)]
-        for i in ordinary:
+        # merges come in the order of scores; single characters are there from the start
+        in_order = sorted((i for i in ordinary if len(self.pieces[i]) > 1), key=lambda i: -model.get_score(i))
+        self.rank = dict.fromkeys((self.pieces[i] for i in ordinary), -1)
+        self.rank |= {self.pieces[i]: rank for rank, i in enumerate(in_order)}
+        self.halves: dict[str, tuple[str, str]] = {}
+        kept = [i for i in ordinary if len(self.pieces[i]) == 1]
+        #: pieces with a half that ranks after them: their merges cannot be undone in the order of ranks
+        self.irregular: set[str] = set()
+        for i in in_order:
             piece = self.pieces[i]
-            self.automaton.add_word(piece, (len(piece), model.get_score(i), i))
+            symbols, halves = self.merged(piece)
+            if len(symbols) > 1:
+                continue
+            kept.append(i)
+            self.halves[piece] = halves
+            if any(self.rank[half] > self.rank[piece] or half in self.irregular for half in halves):
+                self.irregular.add(piece)
+        self.automaton = ahocorasick.Automaton()
+        for i in kept:
+            self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), i))
         self.automaton.make_automaton()
-        self.fallback = min(model.get_score(i) for i in ordinary) - BYTE_PENALTY
-        self.separable = not any(SPACE in self.pieces[i].lstrip(SPACE) for i in ordinary)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.separable = not any(SPACE in self.pieces[i].lstrip(SPACE) for i in kept)
+        self.apart: dict[tuple[int, int], bool] = {}
+        self.cache = PieceCache()
 
     @classmethod
     def of(cls, path: str) -> PieceCoder:
@@ -71,6 +91,46 @@ class PieceCoder:
             _coders[path] = cls(path)
         return _coders[path]
 
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str]]:
+        """The symbols that merging leaves of a short text, and the halves of the last merge."""
+        symbols, halves = list(text), ("", "")
+        while len(symbols) > 1:
+            ranks = [self.rank.get(a + b, -1) for a, b in zip(symbols, symbols[1:])]
+            best = min((rank for rank in ranks if rank >= 0), default=-1)
+            if best < 0:
+                break
+            at = ranks.index(best)
+            halves = symbols[at], symbols[at + 1]
+            symbols[at : at + 2] = ["".join(halves)]
+        return symbols, halves
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Does merging the characters of two pieces give the two again?"""
+        x, y = self.pieces[left], self.pieces[right]
+        if x in self.irregular or y in self.irregular:
+            return self.merged(x + y)[0] == [x, y]
+        rank, limit = self.rank, len(self.rank)
+        while True:
+            if 0 <= rank.get(x + y, limit) < limit:
+                return False
+            if rank[x] > rank[y]:
+                # equal merges run from the left, so one that touches this one from the right comes later
+                limit = rank[x]
+                x = self.halves[x][1]
+            elif rank[y] >= 0:
+                limit = rank[y] + 1
+                y = self.halves[y][0]
+            else:
+                return True
+
+    def _admissible(self, left: int, right: int) -> bool:
+        found = self.apart.get((left, right))
+        if found is None:
+            if len(self.apart) >= CACHED_PAIRS:
+                self.apart.clear()
+            found = self.apart[left, right] = self.stay_apart(left, right)
+        return found
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
@@ -80,45 +140,33 @@ class PieceCoder:
             return self.viterbi(marked)
         parts = _part.findall(marked)
         try:
-            return b"".join(map(self.known.__getitem__, parts))
+            return b"".join(map(self.cache.known.__getitem__, parts))
         except KeyError:
-            if len(self.known) > CACHED_PARTS:
-                self.older, self.known = self.known, {}
-            for part in set(parts):
-                if part not in self.known:
-                    ids = self.older.get(part)
-                    self.known[part] = self.viterbi(part) if ids is None else ids
-            return b"".join(map(self.known.__getitem__, parts))
+            return b"".join(self.cache.of(parts, lambda some: {part: self.viterbi(part) for part in some}))
 
     def viterbi(self, text: str) -> bytes:
-        """The best segmentation of a text whose white space is marked."""
+        """The segmentation of a text whose white space is marked."""
         size = len(text)
-        best = [0.0] * (size + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (size + 1)
-        done = 0  # positions up to here are final
-        matches = self.automaton.iter(text)
-        end, found = next(matches, (size, None))
-        while done < size:
-            # the fallback of one character, then every piece that ends after it
-            width = len(text[done].encode("utf-8", "replace"))
-            top, link = best[done] + width * self.fallback, (1, -1)
-            while end == done:
-                length, score, piece = found
-                value = best[done + 1 - length] + score
-                if value > top or (value == top and length > link[0]):
-                    top, link = value, (length, piece)
-                end, found = next(matches, (size, None))
-            done += 1
-            best[done], back[done] = top, link
-        ids = []
-        at = size
+        last = [NOTHING] * (size + 1)  # the piece that ends the best way to a position
+        admissible = self._admissible
+        position = 0
+        for end, (length, piece) in self.automaton.iter(text):
+            if end + 1 != position:
+                position, open_ = end + 1, True
+            # links come longest first; the first admissible one is the best
+            if open_:
+                before = last[position - length]
+                if before == NOTHING or admissible(before, piece):
+                    last[position], open_ = piece, False
+        ids, at = [], size
         while at:
-            length, piece = back[at]
-            at -= length
-            if piece >= 0:
-                ids.append(piece)
-            else:
+            piece = last[at]
+            if piece == NOTHING:
+                at -= 1
                 ids.extend(self.byte_ids[b] for b in reversed(text[at].encode("utf-8", "replace")))
+            else:
+                at -= len(self.pieces[piece])
+                ids.append(piece)
         return np.array(ids[::-1], dtype="<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
@@ -159,17 +207,38 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
     )
 
 
+def round_trip(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_chars, n_pieces, ids_crc32, text_sha256): the ids, and the text that they decode to.
+
+    Encoded and decoded where the text is, so no ids travel."""
+
+    def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = PieceCoder.of(model)
+        for batch in batches:
+            sizes, counts, sums, digests = [], [], [], []
+            for raw in texts_of(batch):
+                text = raw.decode("utf-8", "replace")
+                ids = coder.encode(text)
+                sizes.append(len(text))
+                counts.append(len(ids) // 4)
+                sums.append(zlib.crc32(ids))
+                digests.append(hashlib.sha256(coder.decode(ids).encode("utf-8", "replace")).hexdigest())
+            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, counts, sums)), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "n_pieces", "ids_crc32", "text_sha256"])
+
+    narrow = documents(docs, id_column=id_column, text_column=text_column)
+    return narrow.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
+        there_and_back, "doc_id long, n_chars long, n_pieces long, ids_crc32 long, text_sha256 string"
+    )
+
+
 def decoded(frame: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_chars, n_pieces, ids_crc32, text_sha256) of `encoded`: the ids, and the text they decode to."""
-    import hashlib
+    """(doc_id, text) of a frame with `ids`, as `encoded` gives them."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder.of(model)
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            digests = [hashlib.sha256(coder.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids]
-            columns = [*(batch.column(c) for c in ("doc_id", "n_chars", "n_pieces")),
-                       pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "n_pieces", "ids_crc32", "text_sha256"])
+            texts = [coder.decode(x.as_py() or b"") for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return frame.mapInArrow(decode, "doc_id long, n_chars long, n_pieces long, ids_crc32 long, text_sha256 string")
+    return frame.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")

@@ -56,7 +56,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every whole text, and the text that they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.decoded(pieces.encoded(_table(spark, sf_dir), model), model)
+    return pieces.round_trip(_table(spark, sf_dir), model)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,53 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
+class PieceCache:
+    """What a Python worker has learnt of short pieces of text, within a number of bytes.
+
+    Two generations: when the newer one is full it becomes the older one, and what is asked again
+    moves on. Pieces longer than LONGEST are never kept, so a text without white space leaves nothing.
+    """
+
+    LONGEST = 64
+    MOST_BYTES = 1 << 26  # of both generations
+    ENTRY_BYTES = 150  # of the objects and the slot that hold a piece and its value
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+        self._older: dict = {}
+        self._held = 0
+
+    def recalled(self, piece):
+        """The value of a piece that the newer generation lacks, or None."""
+        value = self._older.get(piece)
+        if value is not None:
+            self.keep(piece, value)
+        return value
+
+    def keep(self, piece, value) -> None:
+        if len(piece) > self.LONGEST:
+            return
+        size = self.ENTRY_BYTES + 4 * len(piece) + (len(value) if isinstance(value, bytes) else 0)
+        if self._held + size > self.MOST_BYTES // 2:
+            self._older, self.known, self._held = self.known, {}, 0
+        self.known[piece] = value
+        self._held += size
+
+    def of(self, pieces, learn) -> list:
+        """The values of the pieces, in order; `learn` gives those of a set of unknown ones as a mapping."""
+        known = self.known
+        missing = {piece for piece in pieces if piece not in known}
+        # taken before anything is kept, because keeping may turn the generations over
+        found = {piece: known[piece] for piece in pieces if piece in known}
+        recalled = {piece: value for piece in missing if (value := self.recalled(piece)) is not None}
+        learnt = learn(missing - recalled.keys())
+        for piece, value in learnt.items():
+            self.keep(piece, value)
+        found |= recalled
+        found |= learnt
+        return [found[piece] for piece in pieces]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """The texts as UTF-8, null as empty; only a few at a time are copied out of the batch."""
     texts = batch.column(column)

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 from collections import Counter
 
 import duckdb
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 from glasspool.llm import chat, pieces, tokens
 from glasspool.llm.oracles import ORACLES
 from glasspool.llm.queries import QUERIES
+from glasspool.llm.text import PieceCache
 from tests.llm.conftest import FOLDER, odd_rows, texts
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,41 +44,66 @@ def test_token_counts_of_odd_rows(odd, nothing):
     assert tokens.token_counts(nothing, BYTES).count() == 0
 
 
-def brute_segmentation(coder, text):
-    scores = {coder.pieces[i]: (score, i) for _, score, i in coder.automaton.values()}
-    longest = max(map(len, scores))
-    best, back = [0.0], [(0, -1)]
-    for end in range(1, len(text) + 1):
-        options = [(best[end - 1] + len(text[end - 1].encode()) * coder.fallback, 1, -1)]
-        for size in range(1, min(end, longest) + 1):
-            if piece := scores.get(text[end - size : end]):
-                options.append((best[end - size] + piece[0], size, piece[1]))
-        score, size, piece = max(options)
-        best.append(score)
-        back.append((size, piece))
-    ids, at = [], len(text)
-    while at:
-        size, piece = back[at]
-        at -= size
-        ids += [piece] if piece >= 0 else [coder.byte_ids[b] for b in reversed(text[at].encode())]
-    return ids[::-1]
-
-
-def test_pieces_against_brute_force_and_back(small):
+ODD_PIECES = [
+    "▁", "a▁b", "  leading", "trailing  ", "a  b   c    d", "\t\ttabs\n\n\nlines", "<s> </s> <unk> <0x41> <0xE2>", "naïve café", "日本語テキスト", "ελληνικά и русский",
+    "\u0000 null", "😀👍🏽 emoji 😀", "aaaa aaaaa aaaaaaaaaaaaaaaaa", "....... ------ ====== ______", "x" * 5000, "ab" * 3000, "\ufffd \u200b \u00a0 x", "ﬁ ｆｕｌｌ ①",
+    "for (int i = 0; i < n; ++i) { a[i] += b[i]; }  // done", "https://a.example/b?c=d&e=%20", "\r\n\r\n", "é e\u0301", "0123456789 1,000,000.00", "𝔘𝔫𝔦 𐍈",
+]
+
+
+def test_ids_are_those_of_the_library(small):
     coder, library = pieces.PieceCoder(MODEL), SentencePieceProcessor(model_file=MODEL)
-    for text in [*(h for h in HARD if len(h) < 1000), *(t[:400] for t in list(texts(small).values())[:60])]:
-        ids = np.frombuffer(coder.encode(text), "<u4").tolist()
-        assert ids == (brute_segmentation(coder, "▁" + text.replace(" ", "▁")) if text else [])
-        assert coder.decode(coder.encode(text)) == text
-        library_ids = np.array(library.encode(text), dtype="<u4").tobytes()
-        assert coder.decode(library_ids) == library.decode(library.encode(text))
+    for text in [*HARD, *ODD_PIECES, *texts(small).values()]:
+        ids = coder.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text), text[:80]
+        if "▁" not in text:
+            assert coder.decode(ids) == text
+        assert coder.decode(ids) == library.decode(library.encode(text))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_stay_apart_as_merging_says(seed):
+    draw, coder = random.Random(seed), pieces.PieceCoder(MODEL)
+    kept = [value[1] for value in coder.automaton.values()]
+    together = 0
+    for _ in range(4000):
+        left, right = draw.choice(kept), draw.choice(kept)
+        if draw.random() < 0.7:  # halves and ends of pieces are more likely to merge
+            piece = coder.pieces[draw.choice(kept)]
+            at = draw.randrange(len(piece) + 1)
+            ends = [i for i in (coder.pieces.index(piece[:at]) if piece[:at] in coder.halves else -1, coder.pieces.index(piece[at:]) if piece[at:] in coder.halves else -1)]
+            left, right = (left if ends[0] < 0 else ends[0]), (right if ends[1] < 0 else ends[1])
+        x, y = coder.pieces[left], coder.pieces[right]
+        want = coder.merged(x + y)[0] == [x, y]
+        together += not want
+        assert coder.stay_apart(left, right) == want, (x, y)
+    assert together > 100
 
 
 def test_pieces_of_odd_rows(odd, nothing):
-    found = pieces.decoded(pieces.encoded(odd, MODEL), MODEL).collect()
+    found = pieces.round_trip(odd, MODEL).collect()
     digest = lambda text: hashlib.sha256((text or "").encode()).hexdigest()
     assert Counter((r["doc_id"], r["text_sha256"]) for r in found) == Counter((i, digest(t)) for i, t, *_ in odd_rows())
-    assert pieces.encoded(nothing, MODEL).count() == 0
+    back = pieces.decoded(pieces.encoded(odd, MODEL), MODEL).collect()
+    assert Counter(map(tuple, back)) == Counter((i, t or "") for i, t, *_ in odd_rows())
+    assert pieces.encoded(nothing, MODEL).count() == pieces.round_trip(nothing, MODEL).count() == 0
+
+
+def test_caches_hold_a_bounded_number_of_bytes():
+    """Many different words, some of them very long, as texts without white space have."""
+    cache, bound = PieceCache(), 200_000
+    cache.MOST_BYTES = bound
+    learn = lambda some: {piece: piece[::-1].encode() for piece in some}
+    held = lambda: sum(len(k) + len(v) for d in (cache.known, cache._older) for k, v in d.items())
+    for k in range(3000):
+        words = [f"word{k}", f"word{k % 7}", "w" * 100 + str(k)]
+        assert cache.of(words, learn) == [w[::-1].encode() for w in words]
+        assert held() < bound
+    assert not any(len(k) > cache.LONGEST for d in (cache.known, cache._older) for k in d)
+    coder = pieces.PieceCoder(MODEL)
+    for k in range(300):
+        coder.encode(f"{k}" + "Ab" * 5_000)
+    assert not coder.cache.known
 
 
 SCHEMAS = {
