@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasspool.llm.text import documents, texts_of
+from glasspool.llm.text import PieceCache, documents, texts_of
 from glasspool.workspace import Workspace
 
 CAPACITY = 4096
@@ -37,7 +37,6 @@ LEAST_SHARD_PIECES = 1000
 LOOSE_GAP = 16
 ROUNDS = 3
 END_ID = 1
-CACHED_WORDS = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 PLACES = "doc_id long, piece int, row long, length long, bin long, gap int, offset long"
@@ -59,8 +58,7 @@ class WordEncoder:
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[number] = token.endswith("</w>")
         self.tails: dict[str, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.cache = PieceCache()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -74,31 +72,25 @@ class WordEncoder:
         # lower case makes fewer words to learn, but could turn other text into a special token
         words = (text if b"<|" in text else text.lower()).split()
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.cache.known.__getitem__, words))
         except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(self.cache.of(words, self._learn))
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.older, self.known = self.known, {}
-        known, plain, other = self.known, {}, []
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        learnt, plain, other = {}, {}, []
         for word in words:
-            if word in known:
-                continue
-            if (ids := self.older.get(word)) is not None:
-                known[word] = ids
-            elif found := _plain.fullmatch(text := word.decode("utf-8", "replace")):
+            if found := _plain.fullmatch(text := word.decode("utf-8", "replace")):
                 plain[word] = found.groups()
             else:
                 other.append((word, text))
         for word, ids in zip(other, self._encode([text for _, text in other])):
-            known[word[0]] = ids
+            learnt[word[0]] = ids
         cores = self._encode_cores({core for core, _ in plain.values()})
         for word, (core, tail) in plain.items():
-            if tail not in self.tails:
+            if tail not in self.tails:  # at most four of a dozen characters
                 self.tails[tail] = self._encode([tail])[0]
-            known[word] = cores[core] + self.tails[tail]
+            learnt[word] = cores[core] + self.tails[tail]
+        return learnt
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -145,16 +137,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """The bin of each length, in the given order."""
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, dtype=np.int64)
-    count_of = np.zeros(capacity + 1, dtype=np.int64)  # as `count`, but full bins never cost
     chosen = np.empty(lengths.size, dtype=np.int64)
     bins = 0
     for k, length in enumerate(lengths.tolist()):
         # moving a bin from gap g to g - length changes the sum by 2 * (N[g - length] - N[g] + 1),
         # by 1 - 2 * N[g] if that fills it; a new bin changes it by 2 * N[capacity - length] + 1
         gaps = np.flatnonzero(count[length:])
-        best, place = 2 * int(count_of[capacity - length]) + 1 if length < capacity else 0, -1
+        best, place = 2 * int(count[capacity - length]) + 1 if length < capacity else 0, -1
         if gaps.size:
-            cost = 2 * (count_of[gaps] - count[gaps + length] + 1)
+            cost = 2 * (count[gaps] - count[gaps + length] + 1)
             if gaps[0] == 0:
                 cost[0] = 1 - 2 * count[length]
             at = int(cost.argmin())
@@ -165,11 +156,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
         else:
             number, left = open_bins[place].pop(), place - length
             count[place] -= 1
-            count_of[place] -= 1
         if left:
             open_bins[left].append(number)
             count[left] += 1
-            count_of[left] += 1
         chosen[k] = number
     return chosen
 

@@ -103,7 +103,7 @@ class PieceCache:
     """
 
     LONGEST = 64
-    MOST_BYTES = 1 << 26  # of both generations
+    MOST_BYTES = 96 << 20  # of both generations
     ENTRY_BYTES = 150  # of the objects and the slot that hold a piece and its value
 
     def __init__(self) -> None:
@@ -121,7 +121,7 @@ class PieceCache:
     def keep(self, piece, value) -> None:
         if len(piece) > self.LONGEST:
             return
-        size = self.ENTRY_BYTES + 4 * len(piece) + (len(value) if isinstance(value, bytes) else 0)
+        size = self.ENTRY_BYTES + 2 * len(piece) + (len(value) if isinstance(value, bytes) else 0)
         if self._held + size > self.MOST_BYTES // 2:
             self._older, self.known, self._held = self.known, {}, 0
         self.known[piece] = value

@@ -27,9 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasspool.llm.text import documents, texts_of
+from glasspool.llm.text import PieceCache, documents, texts_of
 
-CACHED_PIECES = 500_000
 LIMIT = 512
 
 # The pretoken pattern of byte-level BPE and the white space beyond ASCII in UTF-8
@@ -64,8 +63,7 @@ class TokenCounter:
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
         special = [token["content"].encode() for token in data["added_tokens"]]
         self.special = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True))))
-        self.known: dict[bytes, int] = {}
-        self.older: dict[bytes, int] = {}
+        self.cache = PieceCache()
 
     @classmethod
     def of(cls, path: str) -> TokenCounter:
@@ -83,32 +81,21 @@ class TokenCounter:
             return self._pretokens(text)
         pieces = _piece.findall(text)
         try:
-            return sum(map(self.known.__getitem__, pieces))
+            return sum(map(self.cache.known.__getitem__, pieces))
         except KeyError:
-            self._learn(pieces)
-            return sum(map(self.known.__getitem__, pieces))
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.known) > CACHED_PIECES:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        for piece in set(pieces):
-            if piece not in known:
-                count = older.get(piece)
-                known[piece] = self._pretokens(piece) if count is None else count
+            return sum(self.cache.of(pieces, lambda some: {piece: self._pretokens(piece) for piece in some}))
 
     def _pretokens(self, text: bytes) -> int:
         found = PRETOKEN.findall(text.decode("utf-8", "replace"))
         if len(found) == 1:
             return self.merged(text)
-        known, total = self.known, 0
+        cache, total = self.cache, 0
         for pretoken in found:
             raw = pretoken.encode()
-            count = known.get(raw)
+            count = cache.known.get(raw)
             if count is None:
                 count = self.merged(raw)
-                if len(raw) < 40:
-                    known[raw] = count
+                cache.keep(raw, count)
             total += count
         return total
 

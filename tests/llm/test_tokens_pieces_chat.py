@@ -32,7 +32,7 @@ def test_counts_against_the_library(small):
 
 
 def test_a_full_cache_changes_nothing(small, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHED_PIECES", 100)
+    monkeypatch.setattr(PieceCache, "MOST_BYTES", 20_000)
     test_counts_against_the_library(small)
 
 
