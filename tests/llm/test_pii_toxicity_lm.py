@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glasspool.llm import lm, pii, toxicity
 from tests.llm.conftest import FOLDER, odd_rows, texts
@@ -207,70 +208,192 @@ def test_scores_against_brute_force(small, workspace):
 def test_a_small_head_changes_little(small, workspace, monkeypatch):
     """Head words and others are counted alike; only the rounding of sums differs."""
     whole = {r["doc_id"]: r for r in lm.score(small, workspace).collect()}
-    monkeypatch.setattr(lm.Vocabulary.of.__func__, "__defaults__", (1000, lm.TOP))
+    monkeypatch.setattr(lm.Vocabulary.of.__func__, "__defaults__", (1000, lm.TOP, lm.VECTORS))
     for r in lm.score(small, workspace).collect():
         assert r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"], abs=1e-6)
         assert r["n_known"] == whole[r["doc_id"]]["n_known"]
 
 
-def test_class_probabilities_sum_to_one():
-    random = np.random.default_rng(4)
-    tables = lm.Tables.of({name: random.standard_normal(shape).astype(np.float32) * 0.3 for name, shape in lm.SHAPES.items()})
+def prepared_texts(docs, workspace):
+    narrow = docs.select("doc_id", F.lit(False).alias("held_out"), F.monotonically_increasing_id().alias("row"), "text")
+    texts = workspace.store(lm.hashed(narrow))
+    counts = workspace.store(lm.word_counts(texts))
+    return texts, counts
+
+
+@pytest.fixture(scope="module")
+def fitted(small, workspace):
+    """A model with few vectors, so that words of all three kinds are frequent."""
+    texts, counts = prepared_texts(small, workspace)
+    vocabulary = lm.Vocabulary.of(counts, head=3000, vectors=1500)
+    codes = workspace.store(lm.encoded(texts, vocabulary))
+    return counts, vocabulary, codes, lm.train(codes, vocabulary)
+
+
+def brute_log(parameters, vocabulary, sizes, word, count, ending, near, far):
+    """log10 P(word | two classes), with every sum over all alternatives written out."""
+    r = parameters["R"][near].astype(float) @ parameters["A1"] + parameters["R"][far].astype(float) @ parameters["A2"]
+    scores = parameters["Q"].astype(float) @ r + parameters["b"]
+    found = np.flatnonzero(vocabulary.words == np.uint64(word))
+    code = int(vocabulary.codes[found[0]]) if found.size else -1
+    if 0 <= code < lm.TOP:
+        return scores[code] / math.log(10) - np.log10(np.exp(scores).sum()), code
+    shared = int(vocabulary.first[ending] + (word >> 40) % vocabulary.parts[ending])
+    low, high = vocabulary.starts[shared], vocabulary.starts[shared + 1]
+    inner = parameters["U"][low:high].astype(float) @ r + parameters["c"][low:high]
+    entry = code - lm.TOP if code >= 0 else high - 1
+    log = (scores[lm.TOP + shared] + inner[entry - low]) / math.log(10) - np.log10(np.exp(scores).sum()) - np.log10(np.exp(inner).sum())
+    if code < 0:
+        n, v = sizes[shared]
+        log += math.log10((count + 1) / (n + v + 1))
+    return log, lm.TOP + shared
+
+
+def test_model_scores_against_brute_force(small, workspace, fitted):
+    """The score of whole texts as a sum over their words, each normalised over the whole vocabulary."""
+    counts, vocabulary, codes, parameters = fitted
+    rows = counts.collect()
+    n_of = {r["word"] % 2**64: (r["n"], r["ending"]) for r in rows}
+    with_vector = {int(w) for w, c in zip(vocabulary.words, vocabulary.codes) if c >= 0}
+    sizes = {k: [0, 0] for k in range(lm.SUFFIXES)}
+    for word, (n, ending) in n_of.items():
+        if word not in with_vector:
+            shared = int(vocabulary.first[ending] + (word >> 40) % vocabulary.parts[ending])
+            sizes[shared][0] += n
+            sizes[shared][1] += 1
+    tables = lm.Tables.of(parameters, vocabulary.starts)
+    found = {r["row"]: r["model_log"] for r in lm.model_scores(codes, vocabulary, tables).collect()}
+    rest = {r["row"]: r for r in codes.select("row", "doc_id", "rest_log", "tail").collect()}
+    all_texts, kinds = texts(small), Counter()
+    for row in sorted(rest)[:20]:
+        hashes, endings = lm.tokens(all_texts[rest[row]["doc_id"]].encode()[:4000])
+        if len(all_texts[rest[row]["doc_id"]].encode()) > 4000:
+            continue
+        near = far = lm.START
+        want = 0.0
+        for word, ending in zip(hashes.tolist(), endings.tolist()):
+            log, kind = brute_log(parameters, vocabulary, sizes, word, n_of[word][0], ending, near, far)
+            want += log
+            kinds[word in with_vector, kind < lm.TOP] += 1
+            near, far = kind, near
+        rare = sum(t["n"] * math.log10(n_of[t["word"] % 2**64][0] + 1) for t in rest[row]["tail"])
+        assert found[row] + rest[row]["rest_log"] + rare == pytest.approx(want, rel=1e-4, abs=1e-3)
+    assert len(kinds) == 3 and min(kinds.values()) > 20
+
+
+def test_training_gains_on_held_out_texts(small, workspace):
+    rows = lm.score(small, workspace).filter("held_out").collect()
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_probabilities_sum_to_one(fitted):
+    _, vocabulary, _, parameters = fitted
+    tables = lm.Tables.of(parameters, vocabulary.starts)
+    every = np.arange(lm.CLASSES)
     for near, far in ((lm.START, lm.START), (3, lm.START), (700, 900)):
-        logs = tables.first[near].astype(float) + tables.second[far] - tables.norm[near, far]
-        assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
+        here = lambda size: (np.full(size, near), np.full(size, far))
+        assert (10 ** tables.class_logs(*here(lm.CLASSES), every)).sum() == pytest.approx(1, abs=1e-4)
+        entries = np.arange(vocabulary.starts[-1])
+        logs = tables.entry_logs(*here(entries.size), vocabulary.class_of, entries)
+        np.testing.assert_allclose(np.bincount(vocabulary.class_of, 10**logs), 1, atol=1e-4)
+
+
+def test_hashes_are_found():
+    random = np.random.default_rng(8)
+    keys = np.unique(random.integers(1, 2**63, 50_000, dtype=np.uint64))
+    table = lm.Table(keys)
+    np.testing.assert_array_equal(table.find(keys), np.arange(keys.size))
+    others = np.setdiff1d(random.integers(1, 2**63, 50_000, dtype=np.uint64), keys)
+    assert (table.find(others) == -1).all() and lm.Table(keys[:0]).find(others[:3]).tolist() == [-1] * 3
+
+
+def test_classes_of_endings_are_balanced():
+    random = np.random.default_rng(9)
+    endings = np.concatenate([np.full(4000, 7), random.integers(0, 3000, 8000)])
+    first, parts = lm._classes_of_endings(endings)
+    hashes = random.integers(1, 2**63, endings.size, dtype=np.uint64)
+    shared = lm._shared_class(first, parts, endings, hashes)
+    sizes = np.bincount(shared, minlength=lm.SUFFIXES)
+    assert shared.min() >= 0 and shared.max() < lm.SUFFIXES and sizes.max() < 3 * endings.size / lm.SUFFIXES
+    every = np.arange(1 << 16)
+    assert ((first >= 0) & (first + parts <= lm.SUFFIXES)).all() and first.size == every.size
+    assert lm._classes_of_endings(endings[:0])[1].max() == 1
+
+
+def random_parameters(seed, entries=900):
+    random = np.random.default_rng(seed)
+    return {name: (random.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in lm.shapes(entries).items()}
+
+
+STARTS = np.concatenate([[0], np.cumsum([3] * 200 + [5] * 55 + [25])])
 
 
 def test_training_learns_what_follows():
     """Each class is followed by its neighbour; the model must find that beyond class shares."""
-    shares = np.full(lm.CLASSES, 1 / lm.CLASSES)
-    start = {name: (np.random.default_rng(1).standard_normal(shape) * 0.1).astype(np.float32) for name, shape in lm.SHAPES.items()}
-    start["b"][:] = np.log(shares)
-    trainer, random = lm.Trainer(start, shares, 0), np.random.default_rng(2)
+    shares, inner = np.full(lm.CLASSES, 1 / lm.CLASSES), 1 / np.repeat(np.diff(STARTS), np.diff(STARTS))
+    start = random_parameters(1)
+    start["b"][:], start["c"][:] = np.log(shares), np.log(inner)
+    trainer, random = lm.Trainer(start, shares, inner, STARTS, 0), np.random.default_rng(2)
     for _ in range(400):
         near = random.integers(0, 40, 512)
-        trainer.step(near, random.integers(0, 40, 512), (near + 1) % 40)
-    tables = lm.Tables.of(trainer.p)
-    chain = np.arange(40)
-    before = lm.Tables.of(start).score(chain)
-    assert tables.score(chain) > before + 20
+        # after an even class its neighbour, after an odd one an entry of the last class
+        target = np.where(near % 2 == 0, (near + 1) % 40, lm.CLASSES - 1)
+        entry = np.where(near % 2 == 0, -1, STARTS[-2] + near % 25)
+        trainer.step(near, random.integers(0, 40, 512), target, entry)
+    near, far = np.arange(0, 40, 2), np.zeros(20, dtype=np.int64)
+    gain = lambda p, q: lm.Tables.of(p, STARTS).class_logs(near, far, q).sum()
+    assert gain(trainer.p, near + 1) > gain(start, near + 1) + 10
+    odd = np.arange(1, 40, 2)
+    words = lambda p: lm.Tables.of(p, STARTS).entry_logs(odd, far, np.full(20, lm.SUFFIXES - 1), STARTS[-2] + odd % 25).sum()
+    assert words(trainer.p) > words(start) + 10
 
 
 def test_every_position_is_trained(spark, workspace, monkeypatch):
     """Short texts too: over the rounds, each token of each training text is a target once."""
-    weights = []
     frame = spark.createDataFrame([(k, "ab c") for k in range(40)], "doc_id long, text string")
-    vocabulary = lm.Vocabulary.of(workspace.store(lm.word_counts(frame)))
-    summed = type(frame).mapInArrow
-
-    def watched(self, function, schema, *more):
-        out = summed(self, function, schema, *more)
-        if "weight" in out.columns:
-            out = workspace.store(out)
-            weights.append(out.filter("slot = 0").groupBy().sum("weight").first()[0])
-        return out
-
-    monkeypatch.setattr(type(frame), "mapInArrow", watched)
-    lm.train(workspace.store(lm.classified(frame, vocabulary)), vocabulary)
-    assert sum(w or 0 for w in weights) == vocabulary.tokens == 120
+    texts, counts = prepared_texts(frame, workspace)
+    vocabulary = lm.Vocabulary.of(counts)
+    assert vocabulary.tokens == 120
+    codes = [np.frombuffer(r["codes"], "<i4") for r in lm.encoded(texts, vocabulary).collect()]
+    seen = Counter()
+    for turn in range(lm.ROUNDS):
+        for k, one in enumerate(codes):
+            seen.update((k, p) for p in range(len(one))[(len(one) + turn) % lm.ROUNDS :: lm.ROUNDS])
+    assert sum(seen.values()) == 120 and set(seen.values()) == {1}
+    parameters = lm.train(workspace.store(lm.encoded(texts, vocabulary)), vocabulary)
+    assert parameters["Q"].shape == (lm.CLASSES, lm.WIDTH) and not np.array_equal(parameters["Q"], lm.initial(vocabulary)["Q"])
 
 
 def test_a_step_against_full_gradients():
-    random, shares = np.random.default_rng(3), np.full(lm.CLASSES, 1 / lm.CLASSES)
-    start = {name: random.standard_normal(shape).astype(np.float32) * 0.1 for name, shape in lm.SHAPES.items()}
-    trainer = lm.Trainer(start, shares, 5)
-    near, far, target = random.integers(0, lm.CLASSES, (3, 300)) % 50
-    trainer.step(near, far, target)
-    noise = np.searchsorted(np.cumsum(shares), np.random.default_rng(5).random(lm.NOISE))
+    shares, inner = np.full(lm.CLASSES, 1 / lm.CLASSES), 1 / np.repeat(np.diff(STARTS), np.diff(STARTS))
+    start, random = random_parameters(3), np.random.default_rng(4)
+    trainer = lm.Trainer(start, shares, inner, STARTS, 5)
+    near, far = random.integers(0, 50, (2, 300))
+    target = np.where(np.arange(300) % 3 == 0, random.integers(0, 50, 300), lm.TOP + random.integers(0, 50, 300))
+    entry = np.where(target >= lm.TOP, STARTS[np.maximum(target - lm.TOP, 0)] + random.integers(0, 3, 300), -1)
+    trainer.step(near, far, target, entry)
+    again = np.random.default_rng(5)
+    noise = np.searchsorted(np.cumsum(shares), again.random(lm.NOISE))
     r = start["R"][near] @ start["A1"] + start["R"][far] @ start["A2"]
     logit = lambda rows: r @ start["Q"][rows].T + start["b"][rows] - np.log(lm.NOISE * shares[rows])
     true, false = 1 / (1 + np.exp(np.diag(logit(target)))), -1 / (1 + np.exp(-logit(noise)))
     dr = true[:, None] * start["Q"][target] + false @ start["Q"][noise]
-    grads = {name: np.zeros(shape) for name, shape in lm.SHAPES.items()}
+    grads = {name: np.zeros(shape) for name, shape in lm.shapes(900).items()}
     np.add.at(grads["Q"], target, true[:, None] * r)
     np.add.at(grads["Q"], noise, false.T @ r)
     np.add.at(grads["b"], target, true)
     np.add.at(grads["b"], noise, false.sum(axis=0))
+    some = np.flatnonzero(entry >= 0)
+    drawn = np.searchsorted(np.cumsum(inner), (target[some] - lm.TOP)[:, None] + again.random((some.size, lm.INNER_NOISE)))
+    for n, i in enumerate(some):
+        assert ((STARTS[target[i] - lm.TOP] <= drawn[n]) & (drawn[n] <= STARTS[target[i] - lm.TOP + 1])).all()
+        last = STARTS[target[i] - lm.TOP + 1] - 1
+        for k, sign in [(entry[i], 1), *((min(d, last), -1) for d in drawn[n])]:
+            z = start["U"][k] @ r[i] + start["c"][k] - np.log(lm.INNER_NOISE * inner[k])
+            pull = 1 / (1 + np.exp(z)) if sign > 0 else -1 / (1 + np.exp(-z))
+            grads["U"][k] += pull * r[i]
+            grads["c"][k] += pull
+            dr[i] += pull * start["U"][k]
     np.add.at(grads["R"], near, dr @ start["A1"].T)
     np.add.at(grads["R"], far, dr @ start["A2"].T)
     grads["A1"], grads["A2"] = start["R"][near].T @ dr, start["R"][far].T @ dr
