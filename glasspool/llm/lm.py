@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glasspool.llm.quality import bucket
-from glasspool.llm.text import documents, mix, remainder, texts_of, word_ends, word_hashes
+from glasspool.llm.text import documents, mix, remainder, texts_of, words_and_ends
 from glasspool.operators.joins import reshuffled
 from glasspool.workspace import Workspace
 
@@ -57,71 +57,70 @@ VECTORS = 1 << 15
 HEAD = 1 << 18
 WIDTH = 32
 ROUNDS = 2
-BATCH = 1024
-NOISE = 48
-INNER_NOISE = 3  # for each word of a shared class
-RATE = 0.1
+BATCH = 2048
+NOISE = 32
+INNER_NOISE = 1  # for each word of a shared class
+RATE = 0.3
 FLUSH_WORDS = 500_000
 BLOCK_ROWS = 64  # parameter rows that are averaged together
 SPREAD = 256  # groups of tasks that are averaged first
-END = mix(np.array([0x656E64], dtype=np.uint64))
-END_SUFFIX = 0
+ENDING = np.uint64(0xFFFF)
+END = mix(np.array([0x656E64], dtype=np.uint64)) & ~ENDING  # no word ends with two zero bytes
 
-HASHED = "doc_id long, held_out boolean, row long, hashes binary, ends binary"
+HASHED = "doc_id long, held_out boolean, row long, hashes binary"
 CODED = (
     "doc_id long, held_out boolean, row long, codes binary, n_tokens long, n_head long, head_log double, rest_log double, "
     "tail array<struct<word: long, n: int>>"
 )
 
 
-def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, last two bytes) of each token of a text, the end token last."""
-    lower = text.lower()
-    return np.concatenate([word_hashes(lower), END]), np.append(word_ends(lower), END_SUFFIX)
+def tokens(text: bytes) -> np.ndarray:
+    """The 64-bit name of each token of a text, the end token last: 48 bits of a hash, then its last two bytes."""
+    hashes, ends = words_and_ends(text.lower())
+    return np.concatenate([(hashes & ~ENDING) | ends, END])
+
+
+def endings_of(words: np.ndarray) -> np.ndarray:
+    return (words & ENDING).astype(np.int64)
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """HASHED of (doc_id, held_out, row, text): eight and two bytes for each token."""
+    """HASHED of (doc_id, held_out, row, text): eight bytes for each token."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tokens(text) for text in texts_of(batch)]
-            columns = [*(batch.column(c) for c in ("doc_id", "held_out", "row")),
-                       pa.array([h.astype("<u8").tobytes() for h, _ in found], pa.binary()),
-                       pa.array([e.astype("<u2").tobytes() for _, e in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "row", "hashes", "ends"])
+            found = pa.array([tokens(text).astype("<u8").tobytes() for text in texts_of(batch)], pa.binary())
+            columns = [*(batch.column(c) for c in ("doc_id", "held_out", "row")), found]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "row", "hashes"])
 
     return docs.select("doc_id", "held_out", "row", "text").mapInArrow(split, HASHED)
 
 
-def _tokens_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for one, other in zip(texts_of(batch, "hashes"), texts_of(batch, "ends")):
-        yield np.frombuffer(one, "<u8"), np.frombuffer(other, "<u2")
+def _tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for one in texts_of(batch, "hashes"):
+        yield np.frombuffer(one, "<u8")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, ending, n) of all tokens of a result of `hashed`; each task counts before it hands on."""
+    """(word, n) of all tokens of a result of `hashed`; each task counts before it hands on."""
 
-    def handed(words: list[np.ndarray], ends: list[np.ndarray]) -> pa.RecordBatch:
-        found, first, counts = np.unique(np.concatenate(words), return_index=True, return_counts=True)
-        columns = [found.view(np.int64), np.concatenate(ends)[first].astype(np.int64), counts.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "ending", "n"])
+    def handed(words: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(words), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ends, held = [], [], 0
+        words, held = [], 0
         for batch in batches:
-            for hashes, endings in _tokens_of(batch):
+            for hashes in _tokens_of(batch):
                 words.append(hashes)
-                ends.append(endings)
                 held += hashes.size
                 if held > 4 * FLUSH_WORDS:
-                    yield handed(words, ends)
-                    words, ends, held = [], [], 0
+                    yield handed(words)
+                    words, held = [], 0
         if words:
-            yield handed(words, ends)
+            yield handed(words)
 
-    counted = texts.select("hashes", "ends").mapInArrow(count, "word long, ending long, n long")
-    return counted.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
+    return texts.select("hashes").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Table:
@@ -194,14 +193,14 @@ class Vocabulary:
             if held > head:
                 break
             threshold = step["least"]
-        frame = counts.filter(F.col("n") >= threshold).select("word", "ending", "n").toArrow().to_pandas()
+        frame = counts.filter(F.col("n") >= threshold).select("word", "n").toArrow().to_pandas()
         words = frame["word"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(words)
-        words, numbers, endings = words[order], frame["n"].to_numpy(dtype=np.int64)[order], frame["ending"].to_numpy(dtype=np.int64)[order]
+        words, numbers = words[order], frame["n"].to_numpy(dtype=np.int64)[order]
         best = np.lexsort((words, -numbers))
         own, vector = best[:top], best[top : top + vectors]
-        first, parts = _classes_of_endings(endings[vector])
-        shared = _shared_class(first, parts, endings[vector], words[vector])
+        first, parts = _classes_of_endings(endings_of(words[vector]))
+        shared = _shared_class(first, parts, words[vector])
         vector = vector[np.argsort(shared, kind="stable")]
         sizes = np.bincount(shared, minlength=SUFFIXES) + 1
         starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -220,7 +219,7 @@ class Vocabulary:
             n, v = np.zeros(SUFFIXES, dtype=np.int64), np.zeros(SUFFIXES, dtype=np.int64)
             for batch in batches:
                 words = batch.column("word").to_numpy().view(np.uint64)
-                codes = known.value.coded(words, batch.column("ending").to_numpy())[0]
+                codes = known.value.coded(words)[0]
                 last, shared = known.value.without_vector(codes)
                 n += np.bincount(shared[last], batch.column("n").to_numpy()[last], SUFFIXES).astype(np.int64)
                 v += np.bincount(shared[last], minlength=SUFFIXES)
@@ -238,13 +237,13 @@ class Vocabulary:
         self.prior[: own.size] = self.counts[own]
         self.prior[TOP:] = np.add.reduceat(self.entry_counts, self.starts[:-1])
 
-    def coded(self, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def coded(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(code, count) of each token; the count is 0 for words outside the head."""
         at = self.table.find(hashes)
         known = at >= 0
         codes = np.where(known, self.codes[at] if self.codes.size else -1, -1)
         plain = codes < 0
-        shared = _shared_class(self.first, self.parts, endings[plain], hashes[plain])
+        shared = _shared_class(self.first, self.parts, hashes[plain])
         codes[plain] = TOP + self.starts[shared + 1] - 1
         return codes, np.where(known, self.counts[at] if self.counts.size else 0, 0)
 
@@ -292,13 +291,14 @@ def _classes_of_endings(endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return all_first, all_parts
 
 
-def _shared_class(first: np.ndarray, parts: np.ndarray, endings: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _shared_class(first: np.ndarray, parts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    endings = endings_of(hashes)
     split = (hashes >> np.uint64(40)).astype(np.int64) % parts[endings]
     return first[endings] + split
 
 
 def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """CODED of HASHED: four bytes for each token, and what counts alone give."""
+    """CODED of HASHED: two bytes for each token, and what counts alone give."""
     known = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,14 +307,14 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             held = list(_tokens_of(batch))
             if not held:
                 continue
-            sizes = np.array([h.size for h, _ in held])
+            sizes = np.array([h.size for h in held])
             starts = np.concatenate([[0], np.cumsum(sizes)])
-            hashes = np.concatenate([h for h, _ in held])
-            codes, counts = v.coded(hashes, np.concatenate([e for _, e in held]))
+            hashes = np.concatenate(held)
+            codes, counts = v.coded(hashes)
             hit, log = counts > 0, np.log10(counts + 1)
             last, shared = v.without_vector(codes)
             of_text = lambda values: np.add.reduceat(values.astype(np.float64), starts[:-1])
-            codes = codes.astype("<i4")
+            codes = codes.astype("<u2")  # TOP, VECTORS and SUFFIXES are fewer than 65,536
             lengths, words, times = [0], [], []
             for start, end in zip(starts[:-1], starts[1:]):
                 tail, often = np.unique(hashes[start:end][~hit[start:end]], return_counts=True)
@@ -509,7 +509,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dic
             for batch in batches:
                 number = number or batch.column("row")[0].as_py() >> 33  # the partition's number spreads the sums
                 for text in texts_of(batch, "codes"):
-                    codes = np.frombuffer(text, dtype="<i4").astype(np.int64)
+                    codes = np.frombuffer(text, dtype="<u2").astype(np.int64)
                     entry = np.where(codes >= TOP, codes - TOP, -1)
                     classes = np.where(entry >= 0, TOP + class_of[np.maximum(entry, 0)], codes)
                     near, far = _contexts(classes)
@@ -629,7 +629,7 @@ def model_scores(texts: DataFrame, vocabulary: Vocabulary, tables: Tables) -> Da
         held, numbers, size = [], [], 0
         for batch in batches:
             for number, text in zip(batch.column("row").to_pylist(), texts_of(batch, "codes")):
-                held.append(np.frombuffer(text, "<i4"))
+                held.append(np.frombuffer(text, "<u2"))
                 numbers.append(number)
                 size += held[-1].size
                 if size > FLUSH_WORDS // 2:

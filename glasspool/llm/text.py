@@ -54,33 +54,36 @@ def _segments(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _segment_hashes(segment: bytes) -> np.ndarray:
+def _segment_words(segment: bytes, with_ends: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The hash of each word and, if asked for, its last two bytes as one number."""
     codes = np.frombuffer(segment, dtype=np.uint8)
     solid = ~_SPACE[codes]
     edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     lengths = edges[1::2] - edges[::2]
     if not lengths.size:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
     starts = np.cumsum(lengths) - lengths
     inside = codes[solid]
     place = np.arange(inside.size) - np.repeat(starts, lengths)
     terms = _VALUE[inside] * _powers_up_to(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+    hashes = mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+    if not with_ends:
+        return hashes, None
+    last = edges[1::2] - 1
+    before = np.where(lengths > 1, codes[last - 1], 0).astype(np.uint64)
+    return hashes, before * np.uint64(256) + codes[last]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """One 64-bit hash for each word, in order."""
-    parts = [_segment_hashes(segment) for segment in _segments(text)]
+    parts = [_segment_words(segment)[0] for segment in _segments(text)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def word_ends(text: bytes) -> np.ndarray:
-    """The last two bytes of each word as one number, in order; of a word of one byte, that byte."""
-    codes = np.frombuffer(text, dtype=np.uint8)
-    edges = np.flatnonzero(np.diff(~_SPACE[codes], prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    longer = np.where(ends - starts > 1, codes[ends - 2].astype(np.int64), 0)
-    return longer * 256 + codes[ends - 1] if ends.size else np.empty(0, dtype=np.int64)
+def words_and_ends(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, in order, and its last two bytes as one number; of a word of one byte, that byte."""
+    parts = [_segment_words(segment, with_ends=True) for segment in _segments(text)]
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(some) for some in zip(*parts))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -253,7 +253,7 @@ def test_model_scores_against_brute_force(small, workspace, fitted):
     """The score of whole texts as a sum over their words, each normalised over the whole vocabulary."""
     counts, vocabulary, codes, parameters = fitted
     rows = counts.collect()
-    n_of = {r["word"] % 2**64: (r["n"], r["ending"]) for r in rows}
+    n_of = {r["word"] % 2**64: (r["n"], r["word"] % 2**16) for r in rows}
     with_vector = {int(w) for w, c in zip(vocabulary.words, vocabulary.codes) if c >= 0}
     sizes = {k: [0, 0] for k in range(lm.SUFFIXES)}
     for word, (n, ending) in n_of.items():
@@ -266,12 +266,12 @@ def test_model_scores_against_brute_force(small, workspace, fitted):
     rest = {r["row"]: r for r in codes.select("row", "doc_id", "rest_log", "tail").collect()}
     all_texts, kinds = texts(small), Counter()
     for row in sorted(rest)[:20]:
-        hashes, endings = lm.tokens(all_texts[rest[row]["doc_id"]].encode()[:4000])
+        hashes = lm.tokens(all_texts[rest[row]["doc_id"]].encode()[:4000])
         if len(all_texts[rest[row]["doc_id"]].encode()) > 4000:
             continue
         near = far = lm.START
         want = 0.0
-        for word, ending in zip(hashes.tolist(), endings.tolist()):
+        for word, ending in zip(hashes.tolist(), lm.endings_of(hashes).tolist()):
             log, kind = brute_log(parameters, vocabulary, sizes, word, n_of[word][0], ending, near, far)
             want += log
             kinds[word in with_vector, kind < lm.TOP] += 1
@@ -312,7 +312,8 @@ def test_classes_of_endings_are_balanced():
     endings = np.concatenate([np.full(4000, 7), random.integers(0, 3000, 8000)])
     first, parts = lm._classes_of_endings(endings)
     hashes = random.integers(1, 2**63, endings.size, dtype=np.uint64)
-    shared = lm._shared_class(first, parts, endings, hashes)
+    hashes = (hashes & ~lm.ENDING) | endings.astype(np.uint64)
+    shared = lm._shared_class(first, parts, hashes)
     sizes = np.bincount(shared, minlength=lm.SUFFIXES)
     assert shared.min() >= 0 and shared.max() < lm.SUFFIXES and sizes.max() < 3 * endings.size / lm.SUFFIXES
     every = np.arange(1 << 16)
@@ -354,7 +355,7 @@ def test_every_position_is_trained(spark, workspace, monkeypatch):
     texts, counts = prepared_texts(frame, workspace)
     vocabulary = lm.Vocabulary.of(counts)
     assert vocabulary.tokens == 120
-    codes = [np.frombuffer(r["codes"], "<i4") for r in lm.encoded(texts, vocabulary).collect()]
+    codes = [np.frombuffer(r["codes"], "<u2") for r in lm.encoded(texts, vocabulary).collect()]
     seen = Counter()
     for turn in range(lm.ROUNDS):
         for k, one in enumerate(codes):
