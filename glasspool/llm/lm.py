@@ -63,7 +63,7 @@ INNER_NOISE = 1  # for each word of a shared class
 RATE = 0.3
 FLUSH_WORDS = 500_000
 BLOCK_ROWS = 64  # parameter rows that are averaged together
-SPREAD = 256  # groups of tasks that are averaged first
+PART_TASKS = 64  # tasks whose changes are added up first
 ENDING = np.uint64(0xFFFF)
 END = mix(np.array([0x656E64], dtype=np.uint64)) & ~ENDING  # no word ends with two zero bytes
 
@@ -482,19 +482,32 @@ def _used_rows(used: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([*parts, _folded(used["b"]).max(axis=1), used["U"]])
 
 
+#: of a task: how often each row of a block was changed and by how much, as 32- and 16-bit numbers;
+#: of several: the sums of the weights and of the weighted changes, as 64- and 32-bit numbers
 _SUMS = "block long, part long, weights binary, sums binary"
 
 
-def _added(key: tuple, table: pa.Table) -> pa.Table:
-    """The sum of the weights and of the weighted rows of one block."""
-    weights = sum(np.frombuffer(w.as_py(), np.float64) for w in table.column("weights"))
-    sums = sum(np.frombuffer(s.as_py(), np.float32) for s in table.column("sums"))
+def _sum_of(table: pa.Table, weights: list[np.ndarray], sums: list[np.ndarray]) -> pa.Table:
     return pa.table({
         "block": pa.array([table.column("block")[0].as_py()], pa.int64()), "part": pa.array([0], pa.int64()),
-        "weights": pa.array([weights.tobytes()], pa.binary()), "sums": pa.array([sums.astype(np.float32).tobytes()], pa.binary()),
+        "weights": pa.array([np.sum(weights, axis=0, dtype=np.float64).tobytes()], pa.binary()),
+        "sums": pa.array([np.sum(sums, axis=0, dtype=np.float64).astype(np.float32).tobytes()], pa.binary()),
     })
 
 
+def _weighted(key: tuple, table: pa.Table) -> pa.Table:
+    """The sums over the tasks of one part."""
+    weights = [np.frombuffer(w.as_py(), np.float32) for w in table.column("weights")]
+    moved = [np.frombuffer(s.as_py(), np.float16).astype(np.float32) for s in table.column("sums")]
+    return _sum_of(table, weights, [m.reshape(w.size, -1) * w[:, None] for m, w in zip(moved, weights)])
+
+
+def _added(key: tuple, table: pa.Table) -> pa.Table:
+    """The sums over the parts."""
+    weights = [np.frombuffer(w.as_py(), np.float64) for w in table.column("weights")]
+    return _sum_of(table, weights, [np.frombuffer(s.as_py(), np.float32) for s in table.column("sums")])
+
+
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters from `encoded` texts, each row averaged over the tasks by how often they have changed it."""
     entries, parameters = int(vocabulary.starts[-1]), initial(vocabulary)
@@ -523,11 +536,11 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dic
             if held:
                 _run(trainer, waiting)
             if trainer.trained:
-                yield _handed(trainer, start.value, number % SPREAD)
+                yield _handed(trainer, start.value, number // PART_TASKS)
 
         handed = texts.select("row", "codes").mapInArrow(learn, _SUMS)
         # some tasks' sums first, then all: what meets in one task stays small however many tasks there are
-        some = handed.groupBy("block", "part").applyInArrow(_added, _SUMS)
+        some = handed.groupBy("block", "part").applyInArrow(_weighted, _SUMS)
         frame = some.groupBy("block").applyInArrow(_added, _SUMS).toArrow()
         if not frame.num_rows:
             break
@@ -541,13 +554,13 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dic
 
 
 def _handed(trainer: Trainer, start: dict[str, np.ndarray], part: int) -> pa.RecordBatch:
-    """Weighted changes of the blocks of rows that the task has changed."""
-    weights = _used_rows(trainer.used).astype(np.float64)
-    moved = (_flat(trainer.p) - _flat(start)) * weights[:, None].astype(np.float32)
+    """Changes of the blocks of rows that the task has changed."""
+    weights = _used_rows(trainer.used).astype(np.float32)
+    moved = np.clip(_flat(trainer.p) - _flat(start), -60_000, 60_000).astype(np.float16)
     blocks = [k for k in range(0, len(weights), BLOCK_ROWS) if weights[k : k + BLOCK_ROWS].any()]
     columns = [pa.array([k // BLOCK_ROWS for k in blocks], pa.int64()), pa.array([part] * len(blocks), pa.int64()),
                pa.array([weights[k : k + BLOCK_ROWS].tobytes() for k in blocks], pa.binary()),
-               pa.array([moved[k : k + BLOCK_ROWS].astype(np.float32).tobytes() for k in blocks], pa.binary())]
+               pa.array([moved[k : k + BLOCK_ROWS].tobytes() for k in blocks], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["block", "part", "weights", "sums"])
 
 
