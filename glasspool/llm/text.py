@@ -132,17 +132,18 @@ class PieceCache:
 
     def of(self, pieces, learn) -> list:
         """The values of the pieces, in order; `learn` gives those of a set of unknown ones as a mapping."""
-        known = self.known
-        missing = {piece for piece in pieces if piece not in known}
-        # taken before anything is kept, because keeping may turn the generations over
-        found = {piece: known[piece] for piece in pieces if piece in known}
-        recalled = {piece: value for piece in missing if (value := self.recalled(piece)) is not None}
-        learnt = learn(missing - recalled.keys())
+        known, extra = self.known, {}  # stays whole when keeping turns the generations over
+        for piece in (missing := set(pieces).difference(known)):
+            if (value := self.recalled(piece)) is not None:
+                extra[piece] = value
+        learnt = learn(missing - extra.keys())
         for piece, value in learnt.items():
             self.keep(piece, value)
-        found |= recalled
-        found |= learnt
-        return [found[piece] for piece in pieces]
+        try:
+            return list(map(known.__getitem__, pieces))
+        except KeyError:  # long pieces, or a new generation
+            extra |= learnt
+            return [known[piece] if piece in known else extra[piece] for piece in pieces]
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
