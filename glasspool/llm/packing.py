@@ -41,8 +41,12 @@ END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 PLACES = "doc_id long, piece int, row long, length long, bin long, gap int, offset long"
 
-#: letters that lower-casing and composition leave one letter each, then marks of another class
-_plain = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?|%*&$#]{0,4})")
+#: texts are encoded together up to this many bytes, so that a word met in many is looked up once
+BATCH_BYTES = 1 << 20
+
+#: a word in a line: letters that lower-casing and composition leave one letter each, then marks of another
+#: class; or any other word
+_words = re.compile(r"^(?:([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?|%*&$#]{0,4})|(.+))$", re.MULTILINE)
 _encoders: dict = {}
 
 
@@ -67,30 +71,27 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def ids(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
         # lower case makes fewer words to learn, but could turn other text into a special token
-        words = (text if b"<|" in text else text.lower()).split()
-        try:
-            return b"".join(map(self.cache.known.__getitem__, words))
-        except KeyError:
-            return b"".join(self.cache.of(words, self._learn))
+        words = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        ids_of = self.cache.table(set().union(*words), self._learn).__getitem__
+        return [b"".join(map(ids_of, some)) for some in words]
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        learnt, plain, other = {}, {}, []
-        for word in words:
-            if found := _plain.fullmatch(text := word.decode("utf-8", "replace")):
-                plain[word] = found.groups()
-            else:
-                other.append((word, text))
-        for word, ids in zip(other, self._encode([text for _, text in other])):
-            learnt[word[0]] = ids
-        cores = self._encode_cores({core for core, _ in plain.values()})
-        for word, (core, tail) in plain.items():
-            if tail not in self.tails:  # at most four of a dozen characters
-                self.tails[tail] = self._encode([tail])[0]
-            learnt[word] = cores[core] + self.tails[tail]
-        return learnt
+        if not words:
+            return {}
+        found = _words.findall(b"\n".join(words).decode("utf-8", "replace"))
+        cores = self._encode_cores({core for core, _, _ in found if core})
+        others = dict.fromkeys(other for _, _, other in found if other)
+        others = dict(zip(others, self._encode(list(others))))
+        for tail in {tail for _, tail, _ in found}.difference(self.tails):  # at most four of a dozen characters
+            self.tails[tail] = self._encode([tail])[0]
+        tails = self.tails
+        return {
+            word: cores[core] + tails[tail] if core else others[other]
+            for word, (core, tail, other) in zip(words, found)
+        }
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -106,6 +107,20 @@ class WordEncoder:
         return {core: data[starts[k] : starts[k + 1]] for k, core in enumerate(cores)}
 
 
+def _together(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about BATCH_BYTES; a longer text ends its run."""
+    run: list[bytes] = []
+    size = 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= BATCH_BYTES:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
            id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """PIECES of every document: its ids and the end id, cut every `capacity` ids. `row` numbers the
@@ -117,8 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         for batch in batches:
             out: list[tuple] = []
             rows = batch.column("row").to_pylist()
-            for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), rows, texts_of(batch)):
-                ids = encoder.ids(text) + end
+            found = (ids for texts in _together(texts_of(batch)) for ids in encoder.ids(texts))
+            for doc_id, row, ids in zip(batch.column("doc_id").to_pylist(), rows, found):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), row))

@@ -130,6 +130,28 @@ class PieceCache:
         self.known[piece] = value
         self._held += size
 
+    def table(self, wanted: set, learn) -> dict:
+        """A mapping that holds the values of all wanted pieces; `learn` gives those of a set of unknown
+        ones as a mapping. What is learnt at once is kept if it fits into one generation."""
+        missing, older = wanted.difference(self.known), self._older
+        if not missing:
+            return self.known
+        values = {piece: older[piece] for piece in missing if piece in older}
+        values |= learn(missing.difference(values))
+        short = {piece: value for piece, value in values.items() if len(piece) <= self.LONGEST}
+        size = self.ENTRY_BYTES * len(short) + 2 * sum(map(len, short))
+        if short and isinstance(next(iter(short.values())), bytes):
+            size += sum(map(len, short.values()))
+        whole, known = len(short) == len(values), self.known
+        if turns := self._held + size > self.MOST_BYTES // 2:
+            self._older, self.known, self._held = known, {}, 0
+        if fits := size <= self.MOST_BYTES // 2:
+            self.known.update(short)
+            self._held += size
+        if whole and fits and not turns:
+            return self.known
+        return values | {piece: known[piece] for piece in wanted.difference(missing)}
+
     def of(self, pieces, learn) -> list:
         """The values of the pieces, in order; `learn` gives those of a set of unknown ones as a mapping."""
         known, extra = self.known, {}  # stays whole when keeping turns the generations over

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from glasspool.llm import minhash, packing
 from glasspool.llm.components import components
-from glasspool.llm.text import window_hashes, word_hashes, words_and_ends
+from glasspool.llm.text import PieceCache, window_hashes, word_hashes, words_and_ends
 from tests.llm.conftest import odd_rows, texts
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -163,8 +163,14 @@ def test_sum_of_squares_against_brute_force():
 
 def test_encoder_against_the_library():
     encoder, tokenizer = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
-    for text in [
+    texts = [
         "A B <|ENDOFTEXT|> a b", "x<|startoftext|>y <|endoftext|>", "É é ÀB ÇA, ß. it's we'll 'S", "12 ½ a1b2",
         "İstanbul ΣΑΣ ﬁ", "é ́ a b", "word.*** a%%% ,. | b.,;:!x", "\x00\x01 😀😀", *(r[1] or "" for r in odd_rows()[:6]),
-    ]:
-        assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == ids_of(tokenizer, text)[:-1], text
+    ]
+    expected = [ids_of(tokenizer, text)[:-1] for text in texts]
+    as_numbers = lambda found: [np.frombuffer(ids, "<u4").tolist() for ids in found]
+    assert as_numbers(encoder.ids([text.encode() for text in texts])) == expected
+    encoder.cache = PieceCache()
+    encoder.cache.MOST_BYTES = 1000  # each text alone, and hardly anything kept
+    for text, ids in zip(texts * 2, expected * 2):
+        assert as_numbers(encoder.ids([text.encode()])) == [ids], text

@@ -99,6 +99,9 @@ def test_caches_hold_a_bounded_number_of_bytes():
         words = [f"word{k}", f"word{k % 7}", "w" * 100 + str(k)]
         assert cache.of(words, learn) == [w[::-1].encode() for w in words]
         assert held() < bound
+        table = cache.table(set(words), learn)
+        assert [table[w] for w in words] == [w[::-1].encode() for w in words]
+        assert held() < bound
     assert not any(len(k) > cache.LONGEST for d in (cache.known, cache._older) for k in d)
     coder = pieces.PieceCoder(MODEL)
     for k in range(300):
