@@ -55,9 +55,15 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for plain words in lower case: the same merges, without normaliser and word pattern
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[number] = token.endswith("</w>")
@@ -95,13 +101,14 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [np.array(some.ids, dtype="<u4").tobytes() for some in found]
 
     def _encode_cores(self, cores: set[str]) -> dict[str, bytes]:
         """Each core is one word to the tokenizer, so its ids end with the next word-ending id."""
         if not cores:
             return {}
-        ids = np.frombuffer(self._encode([" ".join(cores)])[0], dtype="<u4")
+        found = self.plain.encode_batch_fast([" ".join(cores).lower()], add_special_tokens=False)
+        ids = np.array(found[0].ids, dtype="<u4")
         ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
         data, starts = ids.tobytes(), [0, *ends.tolist()]
         return {core: data[starts[k] : starts[k + 1]] for k, core in enumerate(cores)}

@@ -165,7 +165,7 @@ def test_encoder_against_the_library():
     encoder, tokenizer = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
     texts = [
         "A B <|ENDOFTEXT|> a b", "x<|startoftext|>y <|endoftext|>", "É é ÀB ÇA, ß. it's we'll 'S", "12 ½ a1b2",
-        "İstanbul ΣΑΣ ﬁ", "é ́ a b", "word.*** a%%% ,. | b.,;:!x", "\x00\x01 😀😀", *(r[1] or "" for r in odd_rows()[:6]),
+        "İstanbul ΣΑΣ ﬁ", "é ́ a b", "word.*** a%%% ,. | b.,;:!x", "ÀÖØÞ àöøÿß, <|startoftext|> ÉCOLE It S'ÉTÉ Été!", "\x00\x01 😀😀", *(r[1] or "" for r in odd_rows()[:6]),
     ]
     expected = [ids_of(tokenizer, text)[:-1] for text in texts]
     as_numbers = lambda found: [np.frombuffer(ids, "<u4").tolist() for ids in found]
