@@ -28,10 +28,11 @@ to the smaller hash; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,16 +197,17 @@ def fit(training: DataFrame, workspace: Workspace) -> Model:
             model = Model(part["word"].to_numpy(dtype=np.int64).view(np.uint64), part["odds"].to_numpy(dtype=np.float64), cost)
             model.rate = _solve_rate(np.append(model.odds - cost, -cost), np.append(seen, max(0.0, 1 - seen.sum())))
             models.append(model)
-    measured = _segment_scores(training.filter("calibrates"), models).toArrow().to_pandas()
-    toxic, sizes = measured["toxic"].to_numpy(dtype=bool), measured["size"].to_numpy(dtype=np.int64)
+    calibrating = training.filter("calibrates")
+    greatest = _measured(calibrating, models, lambda model, _, segments: max((s for *_, s in segments), default=0.0))
+    clean = ~greatest["toxic"].to_numpy(dtype=bool)
+    # the greatest segment of n tokens has mean (ln(K n) + 0.5772) / lambda
+    logs = np.log(np.maximum(greatest["size"].to_numpy(dtype=np.int64)[clean], 1))
+    for model, tops in zip(models, np.array(greatest["values"].tolist()).T):
+        model.log_k = float(model.rate * tops[clean].mean() - 0.5772 - logs.mean())
+    weighed = _measured(calibrating, models, lambda model, size, segments: sum(v for *_, v in model.significant(size, segments)))
+    toxic = weighed["toxic"].to_numpy(dtype=bool)
     best = None
-    for k, model in enumerate(models):
-        found = [[(0, 0, score) for score in scores[k]] for scores in measured["scores"]]
-        greatest = np.array([max([0.0, *(s for *_, s in segments)]) for segments in found])
-        # the greatest segment of n tokens has mean (ln(K n) + 0.5772) / lambda
-        logs = np.log(np.maximum(sizes[~toxic], 1))
-        model.log_k = float(model.rate * greatest[~toxic].mean() - 0.5772 - logs.mean())
-        evidence = np.array([sum(v for *_, v in model.significant(n, segments)) for n, segments in zip(sizes, found)])
+    for model, evidence in zip(models, np.array(weighed["values"].tolist()).T):
         model.intercept, model.slope = _fit_logistic(np.log1p(evidence), toxic.astype(np.float64))
         chance = np.clip([model.probability(e) for e in evidence], 1e-9, 1 - 1e-9)
         loss = -np.log(np.where(toxic, chance, 1 - chance)).mean()
@@ -214,18 +216,23 @@ def fit(training: DataFrame, workspace: Workspace) -> Model:
     return best[1]
 
 
-def _segment_scores(training: DataFrame, models: list[Model]) -> DataFrame:
-    """(toxic, size, scores): the segment scores of each training text under each model."""
+def _measured(training: DataFrame, models: list[Model], value: Callable[[Model, int, list], float]) -> pd.DataFrame:
+    """(toxic, size, values): for each training text one value of its segments under each model.
+
+    The rows are bounded by the sample and their width by the number of models, however long the texts.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [toxic_tokens(text) for text in texts_of(batch)]
-            scores = [[[s for *_, s in model.segments(t)] for model in models] for t in tokens]
-            columns = [batch.column("toxic"), pa.array([t.size for t in tokens], pa.int64()),
-                       pa.array(scores, pa.list_(pa.list_(pa.float64())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "size", "scores"])
+            sizes, values = [], []
+            for text in texts_of(batch):
+                tokens = toxic_tokens(text)
+                sizes.append(tokens.size)
+                values.append([float(value(model, tokens.size, model.segments(tokens))) for model in models])
+            columns = [batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "size", "values"])
 
-    return training.mapInArrow(measure, "toxic boolean, size long, scores array<array<double>>")
+    return training.mapInArrow(measure, "toxic boolean, size long, values array<double>").toArrow().to_pandas()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, workspace: Workspace, divisor: int = 3, held_remainder: int = 1, threshold: float = THRESHOLD,

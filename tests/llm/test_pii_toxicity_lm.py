@@ -182,6 +182,100 @@ def test_toxicity_on_held_out_texts(spark, workspace):
             assert any(s["start"] <= 23 and s["end"] > 20 for s in r["segments"])
 
 
+def plain_segments(scores):
+    """The scores of `brute_segments`, by sums of prefixes."""
+    sums = [0.0]
+    for score in scores:
+        sums.append(sums[-1] + score)
+
+    def within(low, high):
+        spans = [(sums[j] - sums[i], i, j) for i in range(low, high) for j in range(i + 1, high + 1)]
+        value, i, j = max(spans, key=lambda span: (span[0], span[1] - span[2]), default=(0.0, 0, 0))
+        return [*within(low, i), value, *within(j, high)] if value > 0 else []
+
+    return within(0, len(scores)) if any(score > 0 for score in scores) else []
+
+
+def plain_logistic(x, y):
+    """Intercept and slope of the penalised logistic loss, by Newton's steps on plain numbers."""
+    a = b = 0.0
+    n = len(x)
+    for _ in range(50):
+        chances = [1 / (1 + math.exp(-max(-30, min(30, a + b * v)))) for v in x]
+        ga = sum(p - t for p, t in zip(chances, y)) / n + toxicity.PENALTY * 1e-3 * a
+        gb = sum((p - t) * v for p, t, v in zip(chances, y, x)) / n + toxicity.PENALTY * b
+        weights = [p * (1 - p) for p in chances]
+        aa = sum(weights) / n + toxicity.PENALTY * 1e-3
+        ab = sum(w * v for w, v in zip(weights, x)) / n
+        bb = sum(w * v * v for w, v in zip(weights, x)) / n + toxicity.PENALTY
+        a, b = a - (bb * ga - ab * gb) / (aa * bb - ab * ab), b - (aa * gb - ab * ga) / (aa * bb - ab * ab)
+    return a, b
+
+
+def brute_toxicity(texts, training):
+    """The score of each of `texts`, from `training` rows (text, toxic, calibrates), without Spark or numpy."""
+    counts = {flag: Counter(w for text, toxic, cal in training if toxic == flag and not cal for w in text.split()) for flag in (0, 1)}
+    n0, n1 = (sum(counts[flag].values()) for flag in (0, 1))
+    weighed = {}
+    for word in {*counts[0], *counts[1]}:
+        y, n = counts[1][word], counts[0][word]
+        prior, whole = toxicity.PRIOR * (y + n), toxicity.PRIOR * (n1 + n0)
+        odds = math.log((y + prior) / (n1 + whole - y - prior)) - math.log((n + prior) / (n0 + whole - n - prior))
+        weighed[word] = odds, abs(odds) / math.sqrt(1 / (y + prior) + 1 / (n + prior))
+    best = None
+    for least in toxicity.SIGNIFICANT:
+        odds = {word: value for word, (value, z) in weighed.items() if z >= least}
+        for cost in toxicity.COSTS:
+            def segments(text):
+                return plain_segments([odds.get(w, 0.0) - cost for w in text.split()])
+
+            shares = [((counts[0][w] + 0.5) / n0, value - cost) for w, value in odds.items()]
+            shares.append((max(0.0, 1 - sum(share for share, _ in shares)), -cost))
+            moment = lambda rate: sum(share * math.exp(min(700, rate * score)) for share, score in shares) - 1
+            low, high = 1e-6, 1.0
+            while moment(high) < 0 and high < 64:
+                high *= 2
+            for _ in range(60):
+                low, high = ((low + high) / 2, high) if moment((low + high) / 2) < 0 else (low, (low + high) / 2)
+            rate = high
+            chosen = [(segments(text), len(text.split()), toxic) for text, toxic, calibrates in training if calibrates]
+            clean = [(max(found, default=0.0), size) for found, size, toxic in chosen if not toxic]
+            log_k = rate * sum(top for top, _ in clean) / len(clean) - 0.5772 - sum(math.log(size) for _, size in clean) / len(clean)
+
+            def evidence(found, size):
+                return sum(max(0.0, rate * score - log_k - math.log(size)) for score in found)
+
+            x, y = [math.log1p(evidence(found, size)) for found, size, _ in chosen], [toxic for *_, toxic in chosen]
+            a, b = plain_logistic(x, y)
+            chances = [max(1e-9, min(1 - 1e-9, 1 / (1 + math.exp(-(a + b * v))))) for v in x]
+            loss = -sum(math.log(p if toxic else 1 - p) for p, toxic in zip(chances, y)) / len(y)
+            if best is None or loss < best[0] - 1e-12:
+                scores = [a + b * math.log1p(evidence(segments(text), len(text.split()))) for text in texts]
+                best = loss, [1 / (1 + math.exp(-v)) for v in scores]
+    return best[1]
+
+
+def test_toxicity_scores_against_brute_force(spark, workspace):
+    docs, labels = toxic_corpus()
+    docs, truth = docs[:300], dict(labels)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(labels[:300], "doc_id long, toxic long")
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(frame, marks, workspace).collect()}
+    third = {r[0]: r[1] for r in frame.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(3)) == 0).collect()}
+    training = [(text, truth[k], third[k]) for k, text in docs if zlib.crc32(str(k).encode()) % 3 != 1]
+    expected = brute_toxicity([text for _, text in docs], training)
+    assert [found[k] for k, _ in docs] == pytest.approx(expected, abs=1e-6)
+    assert max(expected) > 0.7 > 0.3 > min(expected)
+
+
+def test_calibration_rows_do_not_grow_with_texts(spark):
+    """What the driver reads has a value for each model, however many segments a text has."""
+    model = toxicity.Model(toxicity.toxic_tokens(b"foul"), np.array([2.0]))
+    frame = spark.createDataFrame([("foul a b c " * 50_000, True), ("foul", False), ("", False)], "text string, toxic boolean")
+    rows = toxicity._measured(frame, [model, model], lambda model, size, segments: len(segments))
+    assert sorted(zip(rows["size"], (list(v) for v in rows["values"]))) == [(0, [0, 0]), (1, [1, 1]), (200_000, [50_000, 50_000])]
+
+
 def test_toxicity_of_odd_rows(odd, nothing, spark, workspace):
     labels = spark.createDataFrame([(4, 1), (6, 0), (9, 0), (12, 1), (13, 0), (14, 0)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd, labels, workspace).collect()
