@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,6 +164,39 @@ def extended_components(members: DataFrame, edges: DataFrame, workspace: Workspa
     return relabelled.unionByName(added)
 
 
+def spanning_forest(links: DataFrame, workspace: Workspace) -> DataFrame:
+    """(tx_hash, src, dst): the links that hold the clusters together, one fewer than members in each.
+
+    `links` are (tx_hash, src, dst). An edge keeps its least transaction; of all forests this is the one
+    with the least edges in the order of (transaction, src, dst), so it is unique, and no cycle of links has
+    its greatest one in it. Boruvka's rounds: every cluster so far takes its least edge to another one, the
+    taken edges are contracted, edges inside a cluster and all but the least between two clusters are dropped.
+    Each round at least halves the clusters that still have edges. Links of an address with itself are none.
+    """
+    least = links.filter("src <> dst").groupBy("src", "dst").agg(F.min("tx_hash").alias("tx_hash"))
+    order = ["tx_hash", "src", "dst"]
+    # written before they are used, as the range bounds behind the numbers are sampled
+    named = workspace.store(
+        least.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("edge", F.monotonically_increasing_id())
+    )
+    current = workspace.store(named.select("edge", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
+    taken = []
+    while not current.isEmpty():
+        ends = current.select(F.explode(F.array("a", "b")).alias("label"), "edge")
+        taken.append(workspace.store(ends.groupBy("label").agg(F.min("edge").alias("edge")).select("edge").distinct()))
+        chosen = current.join(reshuffled(taken[-1], "edge"), "edge", "left_semi")
+        joined = workspace.store(connected_components(chosen.select(F.col("a").alias("src"), F.col("b").alias("dst")), workspace))
+        for end in ("a", "b"):
+            moved = joined.select(F.col("address").alias(end), F.col("cluster_id").alias("_to"))
+            current = current.join(reshuffled(moved, end), end).withColumn(end, F.col("_to")).drop("_to")
+        across = current.filter("a <> b").select("edge", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        current = workspace.store(across.groupBy("a", "b").agg(F.min("edge").alias("edge")))
+    if not taken:
+        return named.select(*order)
+    forest = reduce(DataFrame.unionByName, taken)
+    return named.join(forest, "edge", "left_semi").select(*order)
+
+
 def component_links(links: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
     """The labelled links inside the given clusters (a frame with a `cluster_id` column)."""
     chosen = clusters.join(members.select("cluster_id"), "cluster_id", "left_semi")

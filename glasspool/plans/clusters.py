@@ -215,23 +215,20 @@ def cluster_concentration(
     Sizes and distinct transactions are measured against the whole ledger when its totals are
     given, every other metric against its sum over all clusters.
     """
-    long = stats.select(
-        "cluster_rank",
-        F.explode(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(name).alias("metric"),
-                        F.col(name).cast("decimal(38,8)").alias("amount"),
-                    )
-                    for name in CONCENTRATION_METRICS
-                )
+    held = [*(f"top_{top}" for top in tops), "top_all"]
+    inside = [*(F.col("cluster_rank") < top for top in tops), F.lit(True)]
+    amounts = {name: F.col(name).cast("decimal(38,8)") for name in CONCENTRATION_METRICS}
+    # one row: a structure for each metric; clusters are read once and no row is multiplied
+    sums = (
+        stats.agg(
+            *(
+                F.struct(*(F.sum(F.when(rows, value)).alias(name) for name, rows in zip(held, inside))).alias(metric)
+                for metric, value in amounts.items()
             )
-        ).alias("entry"),
-    ).select("cluster_rank", "entry.*")
-    held = {f"top_{top}": F.sum(F.when(F.col("cluster_rank") < top, F.col("amount"))) for top in tops}
-    held["top_all"] = F.sum("amount")
-    sums = long.groupBy("metric").agg(*(value.alias(name) for name, value in held.items()))
+        )
+        .unpivot([], list(amounts), "metric", "held")
+        .select("metric", "held.*")
+    )
     whole = F.col("top_all")
     if total_addresses is not None:
         whole = F.when(F.col("metric") == "cluster_size", total_addresses).otherwise(whole)

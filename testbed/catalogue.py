@@ -506,6 +506,14 @@ def clusters_after_append(t: Testbed) -> DataFrame:
     )
 
 
+@query
+def cluster_evidence(t: Testbed) -> DataFrame:
+    """(cluster_id, tx_hash, src, dst): why the members of a cluster belong together."""
+    forest = components.spanning_forest(stored_links(t), t.workspace)
+    ends = stored_clusters(t).select(F.col("address").alias("src"), "cluster_id")
+    return forest.join(ends, "src").select("cluster_id", "tx_hash", "src", "dst")
+
+
 @query
 def cluster_ranks(t: Testbed) -> DataFrame:
     return clusters.cluster_ranks(stored_clusters(t), t.workspace)

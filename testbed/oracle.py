@@ -614,6 +614,30 @@ stretched AS (SELECT *, sum(start) OVER (PARTITION BY address ORDER BY height) A
     ),
     "cluster_members": (_LINKS, _CLUSTERS, "SELECT address, cluster_id FROM members"),
     "clusters_after_append": (_LINKS, _CLUSTERS, "SELECT address, cluster_id FROM members"),
+    "cluster_evidence": (
+        _LINKS,
+        _CLUSTERS,
+        # Kruskal's algorithm: the row '' counts edges, 'e' || k is a taken edge, the others are labels
+        """numbered AS (
+  SELECT row_number() OVER (ORDER BY tx_hash, src, dst) AS k, * FROM (
+    SELECT min(tx_hash) AS tx_hash, src, dst FROM links GROUP BY src, dst)),
+forest(node, label, k) USING KEY (node) AS (
+  SELECT address, address, 0 FROM members
+  UNION ALL SELECT '', '', 0
+  UNION
+  SELECT unnest(CASE WHEN c.node = '' THEN ['', 'e' || n.k] ELSE [c.node] END),
+         CASE WHEN c.node = '' THEN CASE WHEN a.label <> b.label THEN 'taken' ELSE 'left' END
+              ELSE least(a.label, b.label) END,
+         n.k
+  FROM (SELECT k + 1 AS k FROM forest WHERE node = '') turn
+       JOIN numbered n USING (k)
+       JOIN recurring.forest a ON a.node = n.src
+       JOIN recurring.forest b ON b.node = n.dst
+       JOIN recurring.forest c ON c.node = '' OR (a.label <> b.label AND c.label = greatest(a.label, b.label)))
+SELECT m.cluster_id, n.tx_hash, n.src, n.dst
+FROM numbered n JOIN forest f ON f.node = 'e' || n.k JOIN members m ON m.address = n.src
+WHERE f.label = 'taken'""",
+    ),
     "cluster_ranks": (_LINKS, _CLUSTERS, "SELECT * FROM ranks"),
     "cluster_disjointness": (
         _LINKS,

@@ -291,3 +291,50 @@ def test_extended_clusters_equal_clusters_from_scratch(spark, workspace):
     # old edges again change nothing, and neither does nothing
     assert rows(extended_components(members, frame(pairs[:5]), workspace)) == rows(members)
     assert rows(extended_components(members, frame([]), workspace)) == rows(members)
+
+
+def kruskal(links):
+    """The forest of least links by one union-find over all of them in order."""
+    least = {}
+    for tx, src, dst in links:
+        if src != dst:
+            least[src, dst] = min(tx, least.get((src, dst), tx))
+    root = {end: end for edge in least for end in edge}
+
+    def find(end):
+        while root[end] != end:
+            end = root[end]
+        return end
+
+    taken = []
+    for tx, src, dst in sorted((tx, src, dst) for (src, dst), tx in least.items()):
+        a, b = find(src), find(dst)
+        if a != b:
+            root[a] = b
+            taken.append((tx, src, dst))
+    return sorted(taken)
+
+
+@pytest.mark.parametrize("shape", ["random", "star", "chain"])
+def test_spanning_forest_equals_kruskal(spark, workspace, shape):
+    from glasspool.operators.components import spanning_forest
+
+    chance = random.Random(shape)
+    name = lambda k: f"a{k:03d}"
+    pairs = {
+        # ties of transactions, repeated links, links of a node with itself, both directions
+        "random": [(name(chance.randrange(60)), name(chance.randrange(60))) for _ in range(90)],
+        "star": [(name(0), name(k)) for k in range(1, 80)] + [(name(k), name(k + 1)) for k in range(1, 79)],
+        "chain": [(name(k), name(k + 1)) for k in range(70)],
+    }[shape]
+    links = [(f"t{chance.randrange(25):02d}", *pair) for pair in pairs for _ in range(1 + (shape == "random"))]
+    frame = spark.createDataFrame(links, "tx_hash string, src string, dst string")
+    assert rows(spanning_forest(frame, workspace)) == kruskal(links)
+
+
+def test_spanning_forest_of_nothing(spark, workspace):
+    from glasspool.operators.components import spanning_forest
+
+    schema = "tx_hash string, src string, dst string"
+    assert spanning_forest(spark.createDataFrame([], schema), workspace).count() == 0
+    assert spanning_forest(spark.createDataFrame([("t", "a", "a")], schema), workspace).count() == 0
