@@ -1,7 +1,13 @@
 """Folders of transaction and block documents, flattened and appended batch by batch.
 
-Flattening keeps no state. Input resolution needs every earlier output, so it runs afterwards, over
-the stored tables (`resolved_legs`).
+Documents of one id are told apart by the stream's state: RocksDB keeps every id an ingest has seen beside
+the tasks and logs it in the checkpoint, so a batch looks up its own ids and does not read what the
+ingest has stored. The state grows by one id a document and forgets none, so no document comes too late
+to be recognised. Only what other ingests have stored is compared by a join; an ingest that is alone in
+its store reads nothing.
+
+Input resolution needs every earlier output, so it runs afterwards, over the stored tables
+(`resolved_legs`), or as a stream of its own (`streaming.resolve`).
 """
 
 from __future__ import annotations
@@ -9,10 +15,10 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from glasspool import schema
 from glasspool.operators.enrichment import with_joinsplit_addresses
@@ -20,8 +26,10 @@ from glasspool.operators.inputs import resolve_inputs
 from glasspool.operators.joins import reshuffled
 from glasspool.operators.quality import block_listing, missing_transactions
 from glasspool.sources.node_json import BROKEN, flatten_blocks, flatten_legs, flatten_transactions, rejected
+from glasspool.streaming.state import rocksdb_state
 
 _FIRST = "none"
+_UNUSABLE = "_unusable"
 
 _KINDS = {
     "block": schema.BLOCK,
@@ -51,27 +59,55 @@ def _prepare(spark: SparkSession, path: str) -> None:
         )
 
 
-def append_batch(documents: DataFrame, batch: int, path: str, ingest: str = "0") -> None:
+def _others(spark: SparkSession, path: str, table: str, key: str, batch: int, ingest: str, known: bool) -> DataFrame:
+    """The keys that a batch may repeat, by folder: those of other ingests and, unless the stream's state knows
+    them (`known`), those of the other batches of its own."""
+    kept = F.col("ingest") != ingest
+    if not known:
+        kept |= F.col("batch") != batch
+    return stored(spark, path, table).filter(kept & (F.col("ingest") != _FIRST)).select(F.col(key).alias("_key"))
+
+
+def _written(documents: DataFrame, unusable: Column, path: str, kind: StructType, folder: str) -> DataFrame:
+    """The documents of one batch, read from where they are stored; documents that cannot be used stop the ingest.
+
+    A batch is computed once: its source is parsed and its state changed by this one write.
+    """
+    target = f"{path.rstrip('/')}/{folder}"
+    documents.withColumn(_UNUSABLE, unusable).drop(BROKEN).write.mode("overwrite").parquet(target)
+    whole = StructType([*kind.fields, StructField(_UNUSABLE, BooleanType())])
+    found = documents.sparkSession.read.schema(whole).parquet(target)
+    if not found.filter(_UNUSABLE).isEmpty():
+        raise ValueError("the batch has documents that cannot be used")
+    return found.drop(_UNUSABLE)
+
+
+def _marked(documents: DataFrame) -> DataFrame:
+    return documents if BROKEN in documents.columns else documents.withColumn(BROKEN, F.lit(None).cast("string"))
+
+
+def append_batch(documents: DataFrame, batch: int, path: str, ingest: str = "0", known: bool = False) -> None:
     """Store one batch of an ingest. Repeating a batch replaces what its first attempt wrote.
 
     Documents of transactions that are stored already, by any ingest and batch but this very one, are
-    dropped by one anti-join on the transaction hash; all legs follow their document. The unseen
-    documents are written first, so the legs of a repeated task come from the same rows. Documents
-    that cannot be used stop the ingest.
+    dropped by one anti-join on the transaction hash; all legs follow their document. With `known` the
+    batch repeats nothing of its own ingest, and only other ingests are read. The unseen documents are
+    written first, so the legs of a repeated task come from the same rows. Documents that cannot be
+    used stop the ingest.
     """
-    spark = documents.sparkSession
-    if BROKEN not in documents.columns:
-        documents = documents.withColumn(BROKEN, F.lit(None).cast("string"))
-    own = (F.col("ingest") == ingest) & (F.col("batch") == batch)
-    others = stored(spark, path, "transaction").filter(~own).select(F.col("t_tx_hash").alias("txid"))
-    if not documents.filter(rejected()).isEmpty():
-        raise ValueError("the batch has documents that cannot be used")
+    spark, documents = documents.sparkSession, _marked(documents)
     part = f"ingest={ingest}/batch={batch}"
-    nested = f"{path.rstrip('/')}/_documents/{part}"
-    documents.drop(BROKEN).dropDuplicates(["txid"]).join(
-        reshuffled(others, "txid"), "txid", "left_anti"
-    ).write.mode("overwrite").parquet(nested)
-    unseen = spark.read.schema(schema.NODE_TRANSACTION).parquet(nested)
+    nested = _written(documents, rejected(), path, schema.NODE_TRANSACTION, f"_documents/{part}")
+    others = _others(spark, path, "transaction", "t_tx_hash", batch, ingest, known)
+    if known and others.isEmpty():
+        unseen = nested
+    else:
+        # stored before it is flattened, so that all legs come from the same rows
+        target = f"{path.rstrip('/')}/_unseen/{part}"
+        nested.dropDuplicates(["txid"]).join(
+            reshuffled(others, "_key"), F.col("txid") == F.col("_key"), "left_anti"
+        ).write.mode("overwrite").parquet(target)
+        unseen = spark.read.schema(schema.NODE_TRANSACTION).parquet(target)
     # the transactions come last: they are what later batches are compared with
     for table, rows in {**flatten_legs(unseen), "transaction": flatten_transactions(unseen)}.items():
         rows.write.mode("overwrite").parquet(f"{_folder(path, table)}/{part}")
@@ -82,18 +118,18 @@ def _ingest_id(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
-def append_blocks(documents: DataFrame, batch: int, path: str, ingest: str = "0") -> None:
+def append_blocks(documents: DataFrame, batch: int, path: str, ingest: str = "0", known: bool = False) -> None:
     """Store the blocks of one batch that no other batch has stored, as `append_batch` does transactions."""
-    spark = documents.sparkSession
-    own = (F.col("ingest") == ingest) & (F.col("batch") == batch)
-    others = stored(spark, path, "block").filter(~own).select(F.col("b_hash").alias("hash"))
-    unusable = F.col("hash").isNull() | F.col("height").isNull()
-    if BROKEN in documents.columns:
-        unusable |= F.col(BROKEN).isNotNull()
-    if not documents.filter(unusable).isEmpty():
-        raise ValueError("the batch has documents that cannot be used")
-    unseen = documents.dropDuplicates(["hash"]).join(reshuffled(others, "hash"), "hash", "left_anti")
-    flatten_blocks(unseen).write.mode("overwrite").parquet(f"{_folder(path, 'block')}/ingest={ingest}/batch={batch}")
+    spark, documents = documents.sparkSession, _marked(documents)
+    part = f"ingest={ingest}/batch={batch}"
+    nested = _written(documents, _unusable_block(), path, schema.NODE_BLOCK, f"_blocks/{part}")
+    others = _others(spark, path, "block", "b_hash", batch, ingest, known)
+    unseen = nested.dropDuplicates(["hash"]).join(reshuffled(others, "_key"), F.col("hash") == F.col("_key"), "left_anti")
+    flatten_blocks(unseen).write.mode("overwrite").parquet(f"{_folder(path, 'block')}/{part}")
+
+
+def _unusable_block() -> Column:
+    return F.col("hash").isNull() | F.col("height").isNull() | F.col(BROKEN).isNotNull()
 
 
 def start_ingest(
@@ -107,9 +143,10 @@ def start_ingest(
 
     `files_per_batch` splits a backlog into batches of bounded size. Several ingests may fill one
     store, each with its own checkpoint. A checkpoint that was lost while its batches are stored is
-    refused: its batch numbers would start again and replace them.
+    refused: its batch numbers would start again and replace them. The number of shuffle partitions of
+    the first run stays that of the state.
     """
-    return _start(spark, source, path, checkpoint, files_per_batch, "transaction", schema.NODE_TRANSACTION, append_batch)
+    return _start(spark, source, path, checkpoint, files_per_batch, "transaction", schema.NODE_TRANSACTION, "txid", rejected(), append_batch)
 
 
 def start_block_ingest(
@@ -120,10 +157,10 @@ def start_block_ingest(
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Append every block document not yet read from `source` to the same store, as `start_ingest`."""
-    return _start(spark, source, path, checkpoint, files_per_batch, "block", schema.NODE_BLOCK, append_blocks)
+    return _start(spark, source, path, checkpoint, files_per_batch, "block", schema.NODE_BLOCK, "hash", _unusable_block(), append_blocks)
 
 
-def _start(spark, source, path, checkpoint, files_per_batch, table, kind, append) -> StreamingQuery:
+def _start(spark, source, path, checkpoint, files_per_batch, table, kind, key, unusable, append) -> StreamingQuery:
     if not _exists(spark, path):
         _prepare(spark, path)
     ingest = _ingest_id(checkpoint)
@@ -134,13 +171,15 @@ def _start(spark, source, path, checkpoint, files_per_batch, table, kind, append
     reader = spark.readStream.schema(whole).option("columnNameOfCorruptRecord", BROKEN)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return (
-        reader.json(source)
-        .writeStream.foreachBatch(lambda rows, batch: append(rows, batch, path, ingest))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    # a usable document is never hidden by one that is not
+    fresh = reader.json(source).withColumn(_UNUSABLE, unusable).dropDuplicates([key, _UNUSABLE]).drop(_UNUSABLE)
+    with rocksdb_state(spark):
+        return (
+            fresh.writeStream.foreachBatch(lambda rows, batch: append(rows, batch, path, ingest, known=True))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def _has_files(spark: SparkSession, folder: str) -> bool:

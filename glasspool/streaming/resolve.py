@@ -32,13 +32,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from glasspool import schema
 from glasspool.functions.money import to_money
 from glasspool.sources.node_json import BROKEN, output_addresses, rejected
+from glasspool.streaming.state import rocksdb_state
 
 # workers get the processor by value and need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 #: (n, addresses, value) of unspent outputs, (n, spender) of waiting inputs; amounts as text, which is exact
 _STATE = (
     "unspent array<struct<n: bigint, addresses: array<string>, value: string>>, "
@@ -135,10 +133,7 @@ def start_resolving(
     read = reader.json(source)
     usable = F.when(rejected(), F.raise_error(F.lit("a document cannot be used"))).otherwise(F.lit(True))
     documents = read.filter(usable.cast("boolean")).drop(BROKEN)
-    before = spark.conf.get(_PROVIDER)
-    # a query keeps the settings it was started with
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
+    with rocksdb_state(spark):
         return (
             resolved_stream(distinct_documents(documents) if distinct else documents)
             .writeStream.format("parquet")
@@ -146,8 +141,6 @@ def start_resolving(
             .trigger(availableNow=True)
             .start(path)
         )
-    finally:
-        spark.conf.set(_PROVIDER, before)
 
 
 def resolved_inputs(spark: SparkSession, path: str) -> DataFrame:

@@ -164,6 +164,32 @@ def test_stream_appends_once(spark, tmp_path):
     assert rows(ingest.stored(spark, store, "transaction").select("t_tx_hash")) == rows(found)
 
 
+def test_stream_knows_its_documents_without_reading_the_store(spark, tmp_path, monkeypatch):
+    source, store, progress = (str(tmp_path / n) for n in ("in", "store", "progress"))
+    write_documents(Path(source), "one.json", TRANSACTIONS[:2])
+    ingest.start_ingest(spark, source, store, progress).awaitTermination()
+    own = ingest.stored(spark, store, "transaction").filter("batch >= 0").first()["ingest"]
+    # of the own ingest no folder is read
+    others = ingest._others(spark, store, "transaction", "t_tx_hash", 1, own, True)
+    assert "PartitionFilters: [isnotnull(ingest" in others._jdf.queryExecution().toString() and others.isEmpty()
+    assert ingest._others(spark, store, "transaction", "t_tx_hash", 1, own, False).count() == 2
+    # nothing stored is there to compare with, and repeated documents are still dropped, over batches and runs
+    nothing = spark.createDataFrame([], "_key string")
+    monkeypatch.setattr(ingest, "_others", lambda *_: nothing)
+    write_documents(Path(source), "two.json", [*TRANSACTIONS[:2], TRANSACTIONS[2], TRANSACTIONS[2]])
+    write_documents(Path(source), "three.json", TRANSACTIONS)
+    ingest.start_ingest(spark, source, store, progress, files_per_batch=1).awaitTermination()
+    assert rows(ingest.stored(spark, store, "transaction").select("t_tx_hash")) == [("t1",), ("t2",), ("t3",)]
+    assert ingest.stored(spark, store, "vout").count() == 3
+    # a document that cannot be used is not hidden by a good one with its id, and stops each attempt
+    broken = {**TRANSACTIONS[0], "vout": [{"n": 0}]}
+    write_documents(Path(source), "four.json", [broken])
+    for _ in range(2):
+        with pytest.raises(Exception, match="cannot be used"):
+            ingest.start_ingest(spark, source, store, progress).awaitTermination()
+    assert ingest.stored(spark, store, "transaction").count() == 3
+
+
 def test_blocks_and_transactions_stream_into_one_store(spark, documents, tmp_path):
     store = str(tmp_path / "both")
     ingest.start_block_ingest(spark, documents[0], store, str(tmp_path / "pb")).awaitTermination()
