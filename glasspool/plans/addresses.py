@@ -277,6 +277,8 @@ def _activity(ledger: Ledger, addresses: DataFrame | str) -> DataFrame:
         # before the sums, so that a short list does not sum up the whole ledger
         wanted = addresses.select("address").distinct()
         legs = legs.join(reshuffled(wanted, "address"), "address", "left_semi")
+        # else the sums would take over the join's partitioning and keep a hot address in one task
+        legs = reshuffled(legs, "address")
     return legs.groupBy("address", "tx_hash", "side").agg(total(F.col("value")).alias("value"))
 
 
