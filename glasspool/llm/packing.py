@@ -6,8 +6,9 @@ places the tightest gap wins. Items come longest first.
 
 The rule needs the lengths alone. Pieces are dealt to shards by a hash of (document, piece); the
 number of shards grows with the pieces, so no task holds more than about SHARD_PIECES of them. What
-a shard leaves loosely filled is taken apart, dealt to fewer shards and packed again, until one
-shard is left or nothing is loose. Each round is written to the shared folder.
+a shard leaves loosely filled is taken apart, dealt to fewer shards and packed again. This stops when
+nothing is loose, when more than half of a round's pieces stay loose, or after ROUNDS rounds; no piece is
+lost, but with many shards each may keep a few loose sequences. Each round is written to the shared folder.
 
 Defined results: a null or empty text is the end token alone; ties go to the smaller document id
 and piece; documents with equal ids and texts are packed each; a document longer than the capacity
