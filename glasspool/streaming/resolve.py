@@ -4,9 +4,13 @@ Every output and input of a document is sent to the transaction that made the ou
 outputs no input has spent yet and the inputs whose output has not arrived. Where both are there the
 input is resolved, written out, and both leave the state; so a late output releases the inputs that wait
 for it, and spent outputs are forgotten. The state is kept by RocksDB beside the tasks and logged
-in the checkpoint: a batch reads and writes the keys it names, however much is stored.
+in the checkpoint: a batch reads and writes the transactions it names, however much is stored.
 
-A key's state is bounded by the outputs one transaction can have. What grows is the number of keys:
+Transactions are dealt into buckets by hash, and Python runs once per bucket and batch: a group's fixed cost
+is some milliseconds, a transaction's two calls to the state a fraction of that. The legs that one batch has
+for one bucket are held in memory; `files_per_batch` bounds a batch, `buckets` their number.
+
+A transaction's state is bounded by the outputs it can have. What grows is the number of entries:
 transactions with unspent outputs, and missing ones that an input names.
 
 Defined results: an output is spent by the first input that names it, in the order of batches and then of
@@ -42,6 +46,8 @@ _STATE = (
     "unspent array<struct<n: bigint, addresses: array<string>, value: string>>, "
     "waiting array<struct<n: bigint, spender: string>>"
 )
+#: a stream keeps the number it was started with, as its state is stored by bucket
+BUCKETS = 4096
 _LEGS = "array<struct<source: string, n: bigint, spender: string, addresses: array<string>, value: string>>"
 _RESOLVED = "vi_tx_hash string, vi_prevout_hash string, vi_prevout_n bigint, vi_address array<string>, value string"
 
@@ -68,46 +74,56 @@ def outputs_and_inputs(documents: DataFrame) -> DataFrame:
 
 
 class Resolver(StatefulProcessor):
-    """The outputs of one transaction, and who spends them."""
+    """The outputs of the transactions of one bucket, and who spends them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._held = handle.getValueState("held", _STATE)
+        self._held = handle.getMapState("held", "source string", _STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        unspent, waiting = {}, []
-        held = self._held.get()  # one call; there may be none
-        if held is not None:
-            outputs, inputs = held
-            unspent = {o[0]: (list(o[1]), o[2]) for o in outputs}
-            waiting = [(w[0], w[1]) for w in inputs]
+        legs: dict[str, tuple[dict, list]] = {}
         for part in rows:
-            for n, spender, addresses, value in zip(part["n"], part["spender"], part["addresses"], part["value"]):
+            columns = (part[name] for name in ("source", "n", "spender", "addresses", "value"))
+            for source, n, spender, addresses, value in zip(*columns):
+                unspent, waiting = legs.setdefault(source, ({}, []))
                 if spender is None:
                     unspent[int(n)] = ([] if addresses is None else list(addresses), value)
                 else:
                     waiting.append((int(n), spender))
+        any_held, resolved = self._held.exists(), []
+        for source, (unspent, waiting) in legs.items():
+            resolved += self._settled(source, unspent, waiting, any_held)
+        names = ["vi_tx_hash", "vi_prevout_hash", "vi_prevout_n", "vi_address", "value"]
+        if resolved:
+            yield pd.DataFrame(resolved, columns=names)
+
+    def _settled(self, source: str, unspent: dict, waiting: list, any_held: bool) -> list[tuple]:
+        """The inputs that the batch's legs of one transaction, and what is held of it, resolve; keeps the rest."""
+        held = self._held.getValue((source,)) if any_held else None
+        if held is not None:
+            outputs, inputs = held
+            unspent = {o[0]: (list(o[1]), o[2]) for o in outputs} | unspent
+            waiting = [(w[0], w[1]) for w in inputs] + waiting
         waiting.sort(key=lambda w: (w[1], w[0]))
         found, left = [], []
         for n, spender in waiting:
             if n in unspent:
-                found.append((spender, key[0], n, *unspent.pop(n)))
+                found.append((spender, source, n, *unspent.pop(n)))
             else:
                 left.append((n, spender))
         if unspent or left:
-            self._held.update(([(n, a, v) for n, (a, v) in sorted(unspent.items())], left))
+            self._held.updateValue((source,), ([(n, a, v) for n, (a, v) in sorted(unspent.items())], left))
         elif held is not None:
-            self._held.clear()
-        names = ["vi_tx_hash", "vi_prevout_hash", "vi_prevout_n", "vi_address", "value"]
-        if found:
-            yield pd.DataFrame(found, columns=names)
+            self._held.removeKey((source,))
+        return found
 
     def close(self) -> None:
         pass
 
 
-def resolved_stream(documents: DataFrame) -> DataFrame:
+def resolved_stream(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Resolved inputs of a stream of transaction documents."""
-    resolved = outputs_and_inputs(documents).groupBy("source").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("source"), F.lit(buckets)).alias("bucket")
+    resolved = outputs_and_inputs(documents).select(bucket, "*").groupBy("bucket").transformWithStateInPandas(
         Resolver(), outputStructType=StructType.fromDDL(_RESOLVED), outputMode="Append", timeMode="None"
     )
     return resolved.withColumn("vi_value", F.col("value").cast(schema.MONEY)).select(schema.VIN_RESOLVED.names)
@@ -119,12 +135,19 @@ def distinct_documents(documents: DataFrame) -> DataFrame:
 
 
 def start_resolving(
-    spark: SparkSession, source: str, path: str, checkpoint: str, files_per_batch: int | None = None, distinct: bool = True
+    spark: SparkSession,
+    source: str,
+    path: str,
+    checkpoint: str,
+    files_per_batch: int | None = None,
+    distinct: bool = True,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Append the inputs resolved by the documents not yet read from `source` to `path`, then stop.
 
     A restart goes on with the state of the checkpoint; files are written once whatever is repeated.
-    With `distinct` False the source must not hold a document twice.
+    With `distinct` False the source must not hold a document twice. A checkpoint goes on with the number of
+    buckets it was started with; one written before there were buckets cannot be continued.
     """
     whole = StructType([*schema.NODE_TRANSACTION.fields, StructField(BROKEN, StringType())])
     reader = spark.readStream.schema(whole).option("columnNameOfCorruptRecord", BROKEN)
@@ -135,7 +158,7 @@ def start_resolving(
     documents = read.filter(usable.cast("boolean")).drop(BROKEN)
     with rocksdb_state(spark):
         return (
-            resolved_stream(distinct_documents(documents) if distinct else documents)
+            resolved_stream(distinct_documents(documents) if distinct else documents, buckets)
             .writeStream.format("parquet")
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)

@@ -509,3 +509,29 @@ def test_inputs_are_resolved_as_documents_come(spark, tmp_path):
     with pytest.raises(Exception):
         run()
     assert rows(resolve.resolved_inputs(spark, path)) == third
+
+
+def test_transactions_of_one_bucket_are_resolved_in_one_call(spark, tmp_path):
+    """A group of the stream is a bucket of transactions; each keeps outputs and waiting inputs of its own."""
+    source, path, progress = (str(tmp_path / n) for n in ("in", "resolved", "progress"))
+
+    def run(name, *documents):
+        write_documents(Path(source), name, documents)
+        resolve.start_resolving(spark, source, path, progress, buckets=1).awaitTermination()
+        return rows(resolve.resolved_inputs(spark, path).select("vi_tx_hash", "vi_prevout_hash", "vi_address"))
+
+    def document(tx, *spends):
+        return {
+            "txid": tx,
+            "vin": [{"txid": prev, "vout": 0} for prev in spends] or [{"coinbase": "cb"}],
+            "vout": [{"n": 0, "value": 1.5, "scriptPubKey": {"addresses": [f"of-{tx}"]}}],
+        }
+
+    assert run("1.json", document("a"), document("b"), document("s", "a", "late", "b")) == [
+        ("s", "a", ["of-a"]), ("s", "b", ["of-b"])
+    ]
+    again = run("2.json", document("late"), document("z", "late"), document("thief", "a", "s"))
+    assert again == [("s", "a", ["of-a"]), ("s", "b", ["of-b"]), ("s", "late", ["of-late"]), ("thief", "s", ["of-s"])]
+    held = spark.read.format("statestore").option("stateVarName", "held").option("operatorId", 0).load(progress)
+    kept = {(row["key"]["bucket"], row["user_map_key"]["source"]) for row in held.select("key", "user_map_key").collect()}
+    assert kept == {(0, "a"), (0, "late"), (0, "z"), (0, "thief")}
