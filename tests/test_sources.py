@@ -533,5 +533,7 @@ def test_transactions_of_one_bucket_are_resolved_in_one_call(spark, tmp_path):
     again = run("2.json", document("late"), document("z", "late"), document("thief", "a", "s"))
     assert again == [("s", "a", ["of-a"]), ("s", "b", ["of-b"]), ("s", "late", ["of-late"]), ("thief", "s", ["of-s"])]
     held = spark.read.format("statestore").option("stateVarName", "held").option("operatorId", 0).load(progress)
-    kept = {(row["key"]["bucket"], row["user_map_key"]["source"]) for row in held.select("key", "user_map_key").collect()}
-    assert kept == {(0, "a"), (0, "late"), (0, "z"), (0, "thief")}
+    kept = {row["source"]: (row["unspent"], row["waiting"]) for row in held.select("user_map_key.*", "user_map_value.*").collect()}
+    assert kept.keys() == {"a", "late", "z", "thief"}
+    assert kept["a"] == (None, '[[0, "thief"]]') and kept["late"] == (None, '[[0, "z"]]')
+    assert json.loads(kept["z"][0]) == [{"n": 0, "addresses": ["of-z"], "value": "1.50000000"}] and kept["z"][1] is None
