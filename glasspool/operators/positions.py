@@ -30,13 +30,16 @@ def _placed(df: DataFrame, order: list[Column | str], workspace: Workspace) -> D
 
 
 def numbered(
-    df: DataFrame, key: list[str], order: list[str], alias: str, workspace: Workspace
+    df: DataFrame, key: list[str], order: list[str], alias: str, workspace: Workspace, beside: DataFrame | None = None
 ) -> DataFrame:
     """row_number() over (partition by key order by order) - 1; the order must be total within a key.
 
     Rows are dealt out by ranges of (key, order), so any key is spread over as many tasks as its
     rows fill; a number is the place within the range plus the key's rows in earlier ranges. A key
     has one row for each range it reaches into, which is what the window runs over.
+
+    Rows are joined with `beside` by its columns of `key` (an inner join), if it is given. It meets those few rows
+    per key first, so that the rows themselves are not shuffled once more for it.
     """
     placed = _placed(df, [*key, *order], workspace)
     earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,8 +50,11 @@ def numbered(
             *key, "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
         )
     )
+    more = [] if beside is None else [name for name in beside.columns if name not in key]
+    if beside is not None:
+        shifts = shifts.join(beside, key)
     return placed.join(shifts, [*key, "_part"]).select(
-        *df.columns, (F.col("_place") + F.col("_shift")).alias(alias)
+        *df.columns, *more, (F.col("_place") + F.col("_shift")).alias(alias)
     )
 
 

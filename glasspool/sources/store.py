@@ -98,13 +98,13 @@ def write_load(rows: DataFrame, path: str, table: str, load: str, parts: int) ->
     """
     target = f"{table_path(path, table)}/load={load}"
     if table not in PARTED:
-        rows.write.parquet(target)
+        rows.write.parquet(target, compression="zstd")
         return rows.sparkSession.read.schema(rows.schema).parquet(target)
     spark, key = rows.sparkSession, F.col(PARTED[table])
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
     salt = F.pmod(F.shiftright(F.xxhash64(key), 20), F.lit(spread))
     parted = rows.withColumn("part", part_of(key, parts)).repartition("part", salt)
-    parted.write.partitionBy("part").parquet(target)
+    parted.write.partitionBy("part").parquet(target, compression="zstd")
     return _read(spark, path, table, [load], None)
 
 

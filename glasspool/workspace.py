@@ -67,5 +67,5 @@ class Workspace:
     def store(self, df: DataFrame, path: str | None = None, overwrite: bool = False) -> DataFrame:
         """Write `df` and read it back, so that later plans start from files."""
         path = path or self.fresh_path("table")
-        df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+        df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path, compression="zstd")
         return self.spark.read.schema(df.schema).parquet(path)

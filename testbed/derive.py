@@ -25,6 +25,8 @@ FIRST_DAY = "1995-01-01"
 FIRST_DAY_SECONDS = 788918400
 MINER_DESTINATIONS = 3  # the derived ledger has no transaction with more than a dozen outputs
 _OUTPUT_DIGITS = (0, 1, 2, 3, 4, 6, 7)
+ROWS_PER_PARTITION = 300_000  # line items behind one shuffle partition
+SPLIT_BYTES = 16 << 20
 
 
 def _digit() -> Column:
@@ -80,8 +82,10 @@ def vout(retail: Retail) -> DataFrame:
         F.col("l_quantity").alias("qty"),
         F.col("l_extendedprice").alias("price"),
     ).filter(_digit().isin(*_OUTPUT_DIGITS))
-    placed = numbered(lines, ["ok"], ["ln", "pk", "sk", "qty", "price"], "n", Workspace.of(retail.spark))
     owners = retail.orders().select("ok", "ck")
+    placed = numbered(
+        lines, ["ok"], ["ln", "pk", "sk", "qty", "price"], "n", Workspace.of(retail.spark), beside=owners
+    )
     own = _address(F.col("ck"), F.col("ln"))
     shared = _address(F.col("ck") - F.col("ck") % 4, "7")
     supplier = _text("m", F.col("sk"))
@@ -91,7 +95,7 @@ def vout(retail: Retail) -> DataFrame:
         .when(F.col("ln") == 7, F.array(shared))
         .otherwise(F.array(own))
     )
-    return placed.join(owners, "ok").select(
+    return placed.select(
         tx_hash(F.col("ok")).alias("vo_tx_hash"),
         F.col("price").cast("decimal(18,2)").cast(MONEY).alias("vo_value"),
         F.col("n").cast("bigint").alias("vo_tx_n"),
@@ -243,6 +247,23 @@ def tag_list(retail: Retail) -> DataFrame:
     )
 
 
+def make_room(retail: Retail) -> int:
+    """Give the session's shuffles a partition for each ROWS_PER_PARTITION line items; the number it has then.
+
+    With a fixed number the memory of a task grows with the tables, and from some size on every sort and hash
+    table spills. Counts are only raised; where they are, tasks that scan read SPLIT_BYTES at most, because their
+    partial aggregates grow with what they read. Both stay set, as the frames that queries return run later.
+    """
+    conf = retail.spark.conf
+    held = int(conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-retail.table("lineitem").count() // ROWS_PER_PARTITION)
+    if needed <= held:
+        return held
+    conf.set("spark.sql.shuffle.partitions", str(needed))
+    conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    return needed
+
+
 class Testbed:
     """The derived ledger of one folder, its tables written once per session and read back."""
 
@@ -251,6 +272,7 @@ class Testbed:
     def __init__(self, spark: SparkSession, folder: str):
         self.retail = Retail(spark, folder)
         self.workspace = Workspace.of(spark)
+        make_room(self.retail)
         self._prefix = "ledger-" + "".join(c if c.isalnum() else "_" for c in folder)
 
     def stored(self, name: str, build) -> DataFrame:
