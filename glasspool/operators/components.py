@@ -12,11 +12,11 @@ from glasspool.operators.joins import reshuffled
 from glasspool.workspace import Workspace
 
 
-def _centres(pairs: DataFrame) -> DataFrame:
+def _centres(vin: DataFrame) -> DataFrame:
     """(tx_hash, src): the least input address of transactions with more than one."""
     return (
-        pairs.groupBy("tx_hash")
-        .agg(F.min("address").alias("src"), F.max("address").alias("_greatest"))
+        vin.groupBy(F.col("vi_tx_hash").alias("tx_hash"))
+        .agg(F.min(F.array_min("vi_address")).alias("src"), F.max(F.array_max("vi_address")).alias("_greatest"))
         .filter(F.col("src") != F.col("_greatest"))
         .select("tx_hash", "src")
         .transform(reshuffled, "tx_hash")
@@ -30,7 +30,7 @@ def cospend_links(vin: DataFrame) -> DataFrame:
     """
     pairs = source_addresses(vin)
     return (
-        pairs.join(_centres(pairs), "tx_hash")
+        pairs.join(_centres(vin), "tx_hash")
         .filter(F.col("address") != F.col("src"))
         .select("tx_hash", "src", F.col("address").alias("dst"))
     )
@@ -44,7 +44,7 @@ def cospend_edges(links: DataFrame) -> DataFrame:
 def multi_input_pairs(vin: DataFrame) -> DataFrame:
     """(tx_hash, address) for transactions with more than one distinct input address."""
     pairs = source_addresses(vin)
-    return pairs.join(_centres(pairs).select("tx_hash"), "tx_hash", "left_semi")
+    return pairs.join(_centres(vin).select("tx_hash"), "tx_hash", "left_semi")
 
 
 def _lower(edges: DataFrame) -> DataFrame:
@@ -81,6 +81,16 @@ def _lower(edges: DataFrame) -> DataFrame:
     )
 
 
+def _inner_marked(edges: DataFrame) -> DataFrame:
+    """(node, parent, inner): false where the node has no other parent and is no parent."""
+    parents = edges.select(F.col("parent").alias("node")).distinct()
+    several = edges.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("node")
+    inner = parents.unionByName(several).distinct().withColumn("_inner", F.lit(True))
+    return edges.join(reshuffled(inner, "node"), "node", "left").select(
+        "node", "parent", F.col("_inner").isNotNull().alias("inner")
+    )
+
+
 def _numbered(edges: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
     """(address, id) of every node, ids in address order, and the edges in terms of ids.
 
@@ -111,21 +121,30 @@ def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) over oriented edges. Joins
     and aggregates only: a node with very many neighbours is absorbed by partial aggregation and
-    split by adaptive skew joins, never gathered. Each round is written to one of two slots, so
-    lineage does not grow and at most two generations of edges are on disk.
+    split by adaptive skew joins, never gathered. Rounds are written, so lineage does not grow.
+
+    After a round, leaves (nodes that hang from one parent and that nothing hangs from) are set aside: what
+    joins them joins their parent, and a leaf is never the least of its cluster. So later rounds run over the
+    edges between inner nodes only, and at the end leaves take the root of their parent, latest first.
     """
     names, numbered = _numbered(edges, workspace)
-    slots = [workspace.fresh_path("components-even"), workspace.fresh_path("components-odd")]
-    current = workspace.store(numbered.filter("node <> parent").distinct(), slots[0])
-    turn = 0
+    slot = workspace.fresh_path("components-round")
+    current, leaves = workspace.store(numbered.filter("node <> parent").distinct()), []
     while True:
-        turn += 1
-        following = workspace.store(_lower(current), slots[turn % 2], overwrite=True)
-        current = following.select("node", "parent")
+        following = workspace.store(_lower(current), slot, overwrite=True)
         if not following.agg(F.bool_or("moved")).first()[0]:
             break
-    members = current.select(F.col("node").alias("id"), "parent").unionByName(
-        current.select(F.col("parent").alias("id"), "parent").distinct()
+        split = workspace.store(_inner_marked(following.select("node", "parent")))
+        leaves.append(split.filter("not inner").select("node", "parent"))
+        current = split.filter("inner").select("node", "parent")
+    # written layer by layer, or the plan would name the layers before it again and again
+    members = following.select("node", "parent")
+    for hung in reversed(leaves):
+        above = members.select(F.col("node").alias("parent"), F.col("parent").alias("_root"))
+        rooted = hung.join(reshuffled(above, "parent"), "parent", "left")
+        members = members.unionByName(workspace.store(rooted.select("node", F.coalesce("_root", "parent").alias("parent"))))
+    members = members.select(F.col("node").alias("id"), "parent").unionByName(
+        members.select(F.col("parent").alias("id"), "parent").distinct()
     )
     roots = names.select(F.col("id").alias("parent"), F.col("address").alias("cluster_id"))
     return members.join(names, "id").join(roots, "parent").select("address", "cluster_id")

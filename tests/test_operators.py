@@ -59,6 +59,23 @@ def test_components_of_random_graphs(spark, workspace):
         assert run_components(spark, workspace, edges) == brute_force_components(edges)
 
 
+def test_leaves_are_set_aside_after_a_round(spark, workspace, monkeypatch):
+    """A chain of hubs with ten leaves each: rounds after the first leave the leaves out."""
+    pairs = [(f"{h:02}", f"{h:02}-{leaf}") for h in range(8) for leaf in range(10)]
+    pairs += [(f"{h:02}", f"{h + 1:02}") for h in range(7)] + [("x", "x-1")]
+    sizes, lower = [], components._lower
+
+    def counted(edges):
+        sizes.append(edges.count())
+        return lower(edges)
+
+    monkeypatch.setattr(components, "_lower", counted)
+    found = components.connected_components(spark.createDataFrame(pairs, "src string, dst string"), workspace)
+    expected = {name: "x" if name.startswith("x") else "00" for pair in pairs for name in pair}
+    assert rows(found) == sorted(expected.items())
+    assert sizes[0] == 88 and all(size <= 20 for size in sizes[1:])
+
+
 def test_components_of_nothing(spark, workspace):
     assert run_components(spark, workspace, []) == []
 
