@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glasspool.workspace import Workspace
+from glasspool.workspace import SMALLER, Workspace
 
 _ROWS_PER_PARTITION_BITS = 33  # fixed by monotonically_increasing_id
 
@@ -25,7 +25,8 @@ def _placed(df: DataFrame, order: list[Column | str], workspace: Workspace) -> D
             *df.columns,
             F.shiftright("_id", _ROWS_PER_PARTITION_BITS).alias("_part"),
             F.col("_id").bitwiseAND((1 << _ROWS_PER_PARTITION_BITS) - 1).alias("_place"),
-        )
+        ),
+        compression=SMALLER,
     )
 
 

@@ -15,6 +15,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALLER = "zstd"  # for tables of a ledger, which are larger than what is computed on them at a time
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder.
@@ -61,11 +63,13 @@ class Workspace:
         """The table called `name`, built on first use."""
         if name not in self._tables:
             # a build that failed half-way is replaced by the next attempt
-            self._tables[name] = self.store(build(), self.path(name), overwrite=True)
+            self._tables[name] = self.store(build(), self.path(name), overwrite=True, compression=SMALLER)
         return self._tables[name]
 
-    def store(self, df: DataFrame, path: str | None = None, overwrite: bool = False) -> DataFrame:
+    def store(
+        self, df: DataFrame, path: str | None = None, overwrite: bool = False, compression: str = "snappy"
+    ) -> DataFrame:
         """Write `df` and read it back, so that later plans start from files."""
         path = path or self.fresh_path("table")
-        df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path, compression="zstd")
+        df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -251,8 +251,8 @@ def make_room(retail: Retail) -> int:
     """Give the session's shuffles a partition for each ROWS_PER_PARTITION line items; the number it has then.
 
     With a fixed number the memory of a task grows with the tables, and from some size on every sort and hash
-    table spills. Counts are only raised; where they are, tasks that scan read SPLIT_BYTES at most, because their
-    partial aggregates grow with what they read. Both stay set, as the frames that queries return run later.
+    table spills. Counts are only raised; where they are, tasks read SPLIT_BYTES at most of files or (merged again
+    by adaptive execution) of a shuffle, because hash tables are many times what is read. All stay set, as the frames that queries return run later.
     """
     conf = retail.spark.conf
     held = int(conf.get("spark.sql.shuffle.partitions"))
@@ -261,6 +261,7 @@ def make_room(retail: Retail) -> int:
         return held
     conf.set("spark.sql.shuffle.partitions", str(needed))
     conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(SPLIT_BYTES))
     return needed
 
 
