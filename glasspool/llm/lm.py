@@ -409,11 +409,13 @@ class Trainer:
         pull = _sigmoid(logits)
         pull[:, 1:] *= -1
         dr[some] += np.einsum("nk,nkw->nw", pull, u)
-        flat = rows.ravel()
-        found, sums = _summed(flat, (pull[:, :, None] * ri[:, None, :]).reshape(-1, WIDTH))
-        self._update("U", found, sums, target.size)
-        found, sums = _summed(flat, pull.reshape(-1, 1))
-        self._update("c", found, sums[:, 0], target.size)
+        # sorted by row before the products are made, once for vectors and biases
+        order, starts, found = _sorted_rows(rows.ravel())
+        weights = pull.ravel()[order][:, None]
+        values = ri[order // rows.shape[1]]
+        values *= weights
+        self._update("U", found, np.add.reduceat(values, starts, axis=0), target.size)
+        self._update("c", found, np.add.reduceat(weights, starts, axis=0)[:, 0], target.size)
 
     def _update(self, name: str, rows: np.ndarray | slice, grad: np.ndarray, size: int) -> None:
         """A step of the given rows; others have no gradient."""
@@ -436,12 +438,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return np.reciprocal(z, out=z)
 
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows in order, and the sum of the values of each."""
+def _sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts the rows, where each distinct one starts in it, and the distinct rows."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # radix sort
     ordered = rows[order]
     starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-    return ordered[starts], np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
+    return order, starts, ordered[starts]
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the sum of the values of each."""
+    order, starts, found = _sorted_rows(rows)
+    return found, np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
 
 
 def _contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -527,3 +527,32 @@ def test_pipeline_stages(spark, small, workspace):
         before = after
     assert 0 < sizes[-1] < len(texts(small))
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_inner_steps_sort_rows_once(monkeypatch):
+    """Vectors and biases of a batch share one sort, and equal sums made row by row."""
+    random = np.random.default_rng(3)
+    sizes = random.integers(2, 9, lm.SUFFIXES)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    entries = int(starts[-1])
+    parameters = {name: (random.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in lm.shapes(entries).items()}
+    inner = 1 / np.repeat(sizes, sizes).astype(float)
+    trainer = lm.Trainer(parameters, np.full(lm.CLASSES, 1 / lm.CLASSES), inner, starts, 0)
+    sorts, sort, updates = [], lm._sorted_rows, {}
+    monkeypatch.setattr(lm, "_sorted_rows", lambda rows: sorts.append(rows) or sort(rows))
+    monkeypatch.setattr(trainer, "_update", lambda name, rows, grad, size: updates.update({name: (rows, grad.copy())}))
+    shared = random.integers(0, lm.SUFFIXES, 50)
+    r, dr = random.standard_normal((50, lm.WIDTH)).astype(np.float32), np.zeros((50, lm.WIDTH), np.float32)
+    trainer._inner(r, dr, lm.TOP + shared, starts[shared])
+    assert len(sorts) == 1
+    rows, sums = updates["U"]
+    assert list(rows) == sorted(set(sorts[0])) == list(updates["c"][0])
+    assert sums.shape == (rows.size, lm.WIDTH) and updates["c"][1].shape == (rows.size,)
+    # the products' sum is the same whatever row they fall to
+    width = sorts[0].size // 50
+    biases = dict(zip(rows, updates["c"][1]))
+    alone = [k for k in rows if (sorts[0] == k).sum() == 1]
+    assert alone
+    for k in alone:
+        at = int(np.flatnonzero(sorts[0] == k)[0])
+        assert np.allclose(sums[list(rows).index(k)], biases[k] * r[at // width], atol=1e-6)
