@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glasspool.operators.joins import reshuffled
 
 
-def address_sets(vin: DataFrame, vout: DataFrame) -> DataFrame:
+def _grouped_sets(vin: DataFrame, vout: DataFrame) -> DataFrame:
     """(tx_hash, sources, destinations): distinct addresses per transaction and side, sorted.
 
     Null means the transaction has no such leg, [] that its leg names no address. Map-side partial
@@ -37,20 +37,27 @@ def address_sets(vin: DataFrame, vout: DataFrame) -> DataFrame:
             gathered(is_source).alias("sources"),
             gathered(~is_source).alias("destinations"),
         )
-        .transform(reshuffled, "tx_hash")
     )
 
 
+def address_sets(vin: DataFrame, vout: DataFrame) -> DataFrame:
+    """The sets of every transaction, to be joined by `tx_hash`."""
+    return _grouped_sets(vin, vout).transform(reshuffled, "tx_hash")
+
+
 def with_joinsplit_addresses(
     vjoinsplit: DataFrame, vin: DataFrame, vout: DataFrame
 ) -> DataFrame:
     """Replace both address columns by the transaction's input and output address sets.
 
-    The row count does not change: a transaction has one row of sets at most.
+    The row count does not change: a transaction has one row of sets at most. Sets of transactions
+    without joinsplits are left out where they are gathered, so only the others are shuffled anew.
     """
+    named = vjoinsplit.select(F.col("vj_tx_hash").alias("tx_hash")).distinct()
+    sets = _grouped_sets(vin, vout).join(named, "tx_hash", "left_semi").transform(reshuffled, "tx_hash")
     return (
         vjoinsplit.select(F.col("vj_tx_hash").alias("tx_hash"), "vj_vpub_old", "vj_vpub_new")
-        .join(address_sets(vin, vout), "tx_hash", "left")
+        .join(sets, "tx_hash", "left")
         .select(
             F.col("tx_hash").alias("vj_tx_hash"),
             "vj_vpub_old",

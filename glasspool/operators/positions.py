@@ -1,4 +1,8 @@
-"""Numbering rows without sending a large group, or everything, to one task."""
+"""Numbering rows without sending a large group, or everything, to one task.
+
+Keys of at most LARGE_KEY rows are numbered by a window, after the one shuffle that this takes; only the rows of
+larger keys, if there are any, are dealt out by ranges, written and shuffled again.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from glasspool.workspace import SMALLER, Workspace
 
 _ROWS_PER_PARTITION_BITS = 33  # fixed by monotonically_increasing_id
+LARGE_KEY = 1_000_000  # rows
 
 
 def _placed(df: DataFrame, order: list[Column | str], workspace: Workspace) -> DataFrame:
@@ -30,11 +35,50 @@ def _placed(df: DataFrame, order: list[Column | str], workspace: Workspace) -> D
     )
 
 
+def _by_size(df: DataFrame, key: list[str], workspace: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys of at most LARGE_KEY rows, and those of larger keys or None; rows without a key are in neither."""
+    keyed = df.dropna(subset=key)
+    sizes = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    large = workspace.store(sizes.filter(F.col("_rows") > LARGE_KEY).select(*key))
+    if large.isEmpty():
+        return keyed, None
+    return keyed.join(large, key, "left_anti").select(df.columns), keyed.join(large, key, "left_semi").select(df.columns)
+
+
 def numbered(
     df: DataFrame, key: list[str], order: list[str], alias: str, workspace: Workspace, beside: DataFrame | None = None
 ) -> DataFrame:
     """row_number() over (partition by key order by order) - 1; the order must be total within a key.
 
+    Rows with a null in the key are left out. Rows are joined with `beside` by its columns of `key` (an inner
+    join), if it is given.
+    """
+    small, large = _by_size(df, key, workspace)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    found = small.withColumn(alias, (place - 1).cast("bigint"))
+    if beside is not None:
+        more = [name for name in beside.columns if name not in key]
+        found = found.join(beside, key).select(*df.columns, *more, alias)
+    return found if large is None else found.unionByName(_numbered_in_ranges(large, key, order, alias, workspace, beside))
+
+
+def previous(
+    df: DataFrame, key: list[str], order: list[str], value: str, alias: str, workspace: Workspace
+) -> DataFrame:
+    """lag(value) over (partition by key order by order); the order must be total within a key.
+
+    Rows with a null in the key are left out.
+    """
+    small, large = _by_size(df, key, workspace)
+    found = small.withColumn(alias, F.lag(value).over(Window.partitionBy(*key).orderBy(*order)))
+    return found if large is None else found.unionByName(_previous_in_ranges(large, key, order, value, alias, workspace))
+
+
+def _numbered_in_ranges(
+    df: DataFrame, key: list[str], order: list[str], alias: str, workspace: Workspace, beside: DataFrame | None = None
+) -> DataFrame:
+    """As `numbered`, for keys of any size.
+
     Rows are dealt out by ranges of (key, order), so any key is spread over as many tasks as its
     rows fill; a number is the place within the range plus the key's rows in earlier ranges. A key
     has one row for each range it reaches into, which is what the window runs over.
@@ -59,12 +103,12 @@ def numbered(
     )
 
 
-def previous(
+def _previous_in_ranges(
     df: DataFrame, key: list[str], order: list[str], value: str, alias: str, workspace: Workspace
 ) -> DataFrame:
-    """lag(value) over (partition by key order by order); the order must be total within a key.
+    """As `previous`, for keys of any size.
 
-    As `numbered`: the lag runs inside the ranges, and the first row of a key in a range takes the
+    As in `_numbered_in_ranges`, the lag runs inside the ranges, and the first row of a key in a range takes the
     last value of the key's range before it.
     """
     placed = _placed(df, [*key, *order], workspace)
@@ -86,7 +130,7 @@ def running_sum(
 ) -> DataFrame:
     """sum(value) over (partition by key order by order), up to the row; the order must be total within a key.
 
-    As `numbered`: the sum runs inside the ranges, and a range carries the key's total of the ranges before
+    As in `_numbered_in_ranges`, the sum runs inside the ranges, and a range carries the key's total of the ranges before
     it. The result has the type that a sum of `value` has.
     """
     placed = _placed(df, [*key, *order], workspace)

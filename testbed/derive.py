@@ -283,10 +283,10 @@ class Testbed:
         return self.stored("vout", lambda: vout(self.retail))
 
     def unresolved_vin(self) -> DataFrame:
-        return vin(self.retail, self.vout())
+        return self.stored("unresolved_vin", lambda: vin(self.retail, self.vout()))
 
     def vin(self) -> DataFrame:
-        return self.stored("vin", lambda: resolve_inputs(self.unresolved_vin(), self.vout()))
+        return self.stored("vin", lambda: resolve_inputs(vin(self.retail, self.vout()), self.vout()))
 
     def transaction(self) -> DataFrame:
         return self.stored(
