@@ -10,6 +10,7 @@ from glasspool.functions.money import to_money
 from glasspool.ledger import Ledger
 from glasspool.operators.enrichment import with_joinsplit_addresses
 from glasspool.operators.inputs import resolve_inputs
+from glasspool.workspace import Workspace
 
 # Prefix of each clean table; clean columns are the staging columns behind it.
 _PREFIX = {
@@ -43,14 +44,18 @@ def clean_columns(table: str, staged: DataFrame) -> DataFrame:
 def limit_height(
     tables: dict[str, DataFrame], height_limit: int | None, genesis_tx: str | None = None
 ) -> dict[str, DataFrame]:
-    """Blocks up to the limit, their transactions, and the rows of those transactions."""
+    """Blocks up to the limit, their transactions, and the rows of those transactions.
+
+    The hashes of the blocks are written, without the listings, so that Spark sees their size and does not
+    shuffle the transactions for each table to meet few blocks.
+    """
     block = tables["block"]
     transaction = tables["transaction"]
     if height_limit is not None:
         block = block.filter(F.col("b_height") <= height_limit)
     if genesis_tx is not None:
         transaction = transaction.filter(F.col("t_tx_hash") != genesis_tx)
-    kept_blocks = block.select(F.col("b_hash").alias("t_blockhash"))
+    kept_blocks = Workspace.of(block.sparkSession).store(block.select(F.col("b_hash").alias("t_blockhash")))
     transaction = transaction.join(kept_blocks, "t_blockhash", "left_semi").select(
         transaction.columns
     )

@@ -7,7 +7,7 @@ already, or rows of a transaction that its source does not have.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from glasspool.operators.inputs import resolve_inputs
 from glasspool.operators.joins import reshuffled
 from glasspool.sources import store
 from glasspool.sources.store import table_path
-from glasspool.workspace import Workspace
+from glasspool.workspace import SMALLER, Workspace
 
 
 class LoadRefused(ValueError):
@@ -75,7 +75,10 @@ def stored_height(spark: SparkSession, path: str) -> int:
 
 
 def repeated_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, rows) of the tables in which more than one row holds a key: the number of such keys."""
+    """(table_name, rows) of the tables in which more than one row holds a key: the number of such keys.
+
+    `tables` is not empty. Keys are counted only in tables that `_holds_repeated` finds.
+    """
     counts = [
         rows.groupBy(*schema.KEYS[name]).count().filter("count > 1").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
         for name, rows in tables.items()
@@ -83,6 +86,22 @@ def repeated_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts).filter("rows > 0")
 
 
+def _holds_repeated(name: str, rows: DataFrame) -> bool:
+    """Does more than one row hold a key? A key that ends in a number is met as one of 64 bits.
+
+    So a transaction with its numbers is one row of the shuffle, not one for each number. A null number has no bit.
+    """
+    *first, last = schema.KEYS[name]
+    if rows.schema[last].dataType.typeName() != "long" or not first:
+        return not rows.groupBy(*schema.KEYS[name]).count().filter("count > 1").isEmpty()
+    number = F.col(last)
+    bit = F.expr(f"shiftleft(1L, CAST({last} & 63 AS INT))")
+    groups = rows.groupBy(*first, F.shiftright(number, 6).alias("_word")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(1)).alias("_numbers")
+    )
+    return not groups.filter("_rows > _numbers").isEmpty()
+
+
 def save_clean(
     spark: SparkSession,
     clean: dict[str, DataFrame],
@@ -106,35 +125,47 @@ def save_clean(
     load = store.fresh_load()
     problems: list[tuple[str, str, int]] = []
 
+    stage = partial(workspace.store, compression=SMALLER)
+
     def write(name: str, rows: DataFrame) -> DataFrame:
         return store.write_load(rows.select(*schema.CLEAN[name].names), path, name, load, parts)
 
     block = write("block", clean["block"])
-    chosen = block.select(F.col("b_hash").alias("t_blockhash"), F.lit(True).alias("_kept")).distinct()
+    # stored without the listings, so that its size is seen and transactions are not shuffled to meet few blocks
+    chosen = stage(block.select(F.col("b_hash").alias("t_blockhash"), F.lit(True).alias("_kept")).distinct())
     in_block = clean["transaction"].join(chosen, "t_blockhash", "left")
     kept = F.coalesce("_kept", F.lit(False))
     if genesis_tx is not None:
         kept &= F.col("t_tx_hash") != genesis_tx
-    staged = workspace.store(in_block.withColumn("_kept", kept))
+    staged = stage(in_block.withColumn("_kept", kept))
     transaction = write("transaction", staged.filter("_kept"))
-    # one row per transaction, also where the source holds it twice
-    known = staged.groupBy("t_tx_hash").agg(F.bool_or("_kept").alias("_kept")).transform(reshuffled, "t_tx_hash")
+    # one row per transaction, also where the source holds it twice; four legs meet it
+    known = stage(staged.groupBy("t_tx_hash").agg(F.bool_or("_kept").alias("_kept"), F.count_if("_kept").alias("_rows")))
 
-    def legs(name: str, store_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def legs(name: str, store_rows: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> DataFrame:
         """The table's rows of kept transactions, stored; rows of unknown transactions are a problem.
 
-        They are counted in the stage that writes, so a task that is run again counts once.
+        `store_rows` gets the rows with those that are to be counted, and what counts them and leaves them out. It
+        does so in the stage that writes, so a task that is run again counts once.
         """
         key, seen = schema.TRANSACTION_KEY[name], Observation()
-        met = clean[name].join(known.withColumnRenamed("t_tx_hash", key), key, "left")
-        observed = met.observe(seen, F.count(F.when(F.col("_kept").isNull(), 1)).alias("orphans"))
-        stored = store_rows(observed.filter("_kept").select(clean[name].columns))
+        met = clean[name].join(known.select(F.col("t_tx_hash").alias(key), "_kept"), key, "left")
+
+        def counted_out(rows: DataFrame) -> DataFrame:
+            observed = rows.observe(seen, F.count(F.when(F.col("_kept").isNull(), 1)).alias("orphans"))
+            return observed.filter("_kept").drop("_kept")
+
+        stored = store_rows(met.select(*clean[name].columns, "_kept"), counted_out)
         problems.append((name, "no transaction", seen.get["orphans"]))
         return stored
 
-    coingen = legs("coingen", lambda rows: write("coingen", rows))
-    vout = write("vout", legs("vout", workspace.store))
-    inputs = legs("vin", workspace.store)
+    def dealt(rows: DataFrame, counted_out: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        wanted = rows.filter(F.coalesce("_kept", F.lit(True)))
+        return store.write_load(wanted.select(*schema.VOUT.names, "_kept"), path, "vout", load, parts, counted_out)
+
+    coingen = legs("coingen", lambda rows, counted_out: write("coingen", counted_out(rows)))
+    vout = legs("vout", dealt)
+    inputs = legs("vin", lambda rows, counted_out: stage(counted_out(rows)))
     all_vout = vout
     if held is not None:
         named = store.parts_named(inputs, "vi_prevout_hash", parts)
@@ -142,13 +173,17 @@ def save_clean(
     vin = write("vin", resolve_inputs(inputs, all_vout))
     counts = [Observation(), Observation()]
     counted = lambda rows, seen: rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-    plain = legs("vjoinsplit", lambda rows: workspace.store(counted(rows, counts[0])))
+    plain = legs("vjoinsplit", lambda rows, counted_out: stage(counted(counted_out(rows), counts[0])))
     write("vjoinsplit", counted(with_joinsplit_addresses(plain, vin, vout), counts[1]))
     seen = {"before": counts[0].get["rows"], "after": counts[1].get["rows"]}
     problems.append(("vjoinsplit", "changed by enrichment", abs(seen["after"] - seen["before"])))
 
-    written = {"transaction": transaction, "block": block, "coingen": coingen, "vin": inputs, "vout": vout}
-    problems += [(row["table_name"], "repeated key", row["rows"]) for row in repeated_keys(written).collect()]
+    twice = known.filter("_rows > 1 AND t_tx_hash IS NOT NULL").count()
+    problems.append(("transaction", "repeated key", twice))
+    written = {"block": block, "coingen": coingen, "vin": inputs, "vout": vout}
+    doubled = {name: rows for name, rows in written.items() if _holds_repeated(name, rows)}
+    if doubled:
+        problems += [(row["table_name"], "repeated key", row["rows"]) for row in repeated_keys(doubled).collect()]
     if held is not None:
         hashes = transaction.select("t_tx_hash").distinct()
         stored = store.read_table(spark, path, "transaction", held, store.parts_named(hashes, "t_tx_hash", parts))
