@@ -17,7 +17,7 @@ from glasspool.operators.enrichment import with_joinsplit_addresses
 from glasspool.operators.inputs import resolve_inputs
 from glasspool.operators.quality import block_listing, missing_transactions
 from glasspool.sources.snapshot import load_ledger, save_clean
-from glasspool.workspace import Workspace
+from glasspool.workspace import SMALLER, Workspace
 
 
 BROKEN = "broken"
@@ -192,10 +192,10 @@ def import_documents(
     The text is parsed once, into nested Parquet; each leg then reads only its own columns. Documents
     that cannot be used are an error, or are written to `rejects_path` and left out.
     """
-    documents = workspace.store(read_any_transactions(spark, transactions_path))
+    documents = workspace.store(read_any_transactions(spark, transactions_path), compression=SMALLER)
     bad = documents.filter(rejected())
     if rejects_path is not None:
-        bad.write.mode("overwrite").parquet(rejects_path)
+        bad.write.mode("overwrite").parquet(rejects_path, compression=SMALLER)
     elif not bad.isEmpty():
         raise ValueError(f"{transactions_path}: {bad.count()} documents cannot be used")
     good = documents.filter(~rejected()).drop(BROKEN)

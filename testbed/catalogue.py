@@ -716,8 +716,8 @@ def csv_round_trip(t: Testbed) -> DataFrame:
 @query
 def json_flatten(t: Testbed) -> DataFrame:
     folder = t.workspace.fresh_path("documents")
-    staging.node_blocks(t).write.json(f"{folder}/blocks")
-    staging.node_transactions(t).write.json(f"{folder}/transactions")
+    staging.node_blocks(t).write.json(f"{folder}/blocks", compression="gzip")
+    staging.node_transactions(t).write.json(f"{folder}/transactions", compression="gzip")
     return ledger_rows(
         node_json.import_documents(
             t.retail.spark,
@@ -734,7 +734,7 @@ def json_rejects(t: Testbed) -> DataFrame:
     """Documents of which every 97th is cut short or has a text amount: what is left, and how many
     were set aside."""
     folder = t.workspace.fresh_path("documents")
-    staging.node_blocks(t).write.json(f"{folder}/blocks")
+    staging.node_blocks(t).write.json(f"{folder}/blocks", compression="gzip")
     documents = staging.node_transactions(t)
     whole = F.to_json(F.struct(*documents.columns))
     order = _order_of("txid")
@@ -742,7 +742,7 @@ def json_rejects(t: Testbed) -> DataFrame:
         F.concat(F.regexp_replace(whole, r"\}$", ""), F.lit(',"time":"late"}'))
     )
     line = F.when(order % FAULTY_EVERY == 0, broken).otherwise(whole)
-    documents.select(line.alias("value")).write.text(f"{folder}/transactions")
+    documents.select(line.alias("value")).write.text(f"{folder}/transactions", compression="gzip")
     ledger = node_json.import_documents(
         t.retail.spark, f"{folder}/blocks", f"{folder}/transactions", f"{folder}/ledger", t.workspace,
         f"{folder}/rejects",
@@ -829,8 +829,8 @@ def incremental_append(t: Testbed) -> DataFrame:
 def stream_append(t: Testbed) -> DataFrame:
     """Transactions and blocks as two sources of one store."""
     spark, folder = t.retail.spark, t.workspace.fresh_path("stream")
-    staging.node_transactions(t).write.json(f"{folder}/documents")
-    staging.node_blocks(t).write.json(f"{folder}/blocks")
+    staging.node_transactions(t).write.json(f"{folder}/documents", compression="gzip")
+    staging.node_blocks(t).write.json(f"{folder}/blocks", compression="gzip")
     ingest.start_block_ingest(
         spark, f"{folder}/blocks", f"{folder}/store", f"{folder}/progress-blocks"
     ).awaitTermination()
@@ -846,8 +846,8 @@ def stream_resume(t: Testbed) -> DataFrame:
     spark, folder = t.retail.spark, t.workspace.fresh_path("stream")
     documents, order = staging.node_transactions(t), _order_of("txid")
     shared = order % DUPLICATED_EVERY == 0
-    documents.filter((order % 2 == 0) | shared).write.json(f"{folder}/one")
-    documents.filter((order % 2 == 1) | shared).write.json(f"{folder}/two")
+    documents.filter((order % 2 == 0) | shared).write.json(f"{folder}/one", compression="gzip")
+    documents.filter((order % 2 == 1) | shared).write.json(f"{folder}/two", compression="gzip")
     for source in ("one", "two"):
         ingest.start_ingest(
             spark, f"{folder}/{source}", f"{folder}/store", f"{folder}/progress-{source}"
@@ -864,7 +864,7 @@ def stream_resolved(t: Testbed) -> DataFrame:
     documents, order = staging.node_transactions(t), _order_of("txid")
     shared = order % DUPLICATED_EVERY == 0
     for chosen in ((order % 2 == 1) | shared, order % 2 == 0):
-        documents.filter(chosen).write.mode("append").json(f"{folder}/documents")
+        documents.filter(chosen).write.mode("append").json(f"{folder}/documents", compression="gzip")
         resolve.start_resolving(
             spark, f"{folder}/documents", f"{folder}/resolved", f"{folder}/progress"
         ).awaitTermination()

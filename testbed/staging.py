@@ -173,14 +173,7 @@ def node_transactions(testbed: Testbed) -> DataFrame:
     )
     outputs = testbed.vout().select(
         F.col("vo_tx_hash").alias("txid"),
-        F.struct(
-            F.col("vo_value").alias("value"),
-            (F.col("vo_value") * 100000000).cast("bigint").alias("valueZat"),
-            F.col("vo_tx_n").alias("n"),
-            F.struct(
-                F.when(F.size("vo_pubkey") > 0, F.col("vo_pubkey")).alias("addresses")
-            ).alias("scriptPubKey"),
-        ).alias("entry"),
+        F.struct("vo_value", "vo_tx_n", "vo_pubkey").alias("entry"),
     )
     joinsplits = vjoinsplit(testbed.retail).select(
         F.col("vj_tx_hash").alias("txid"),
@@ -192,6 +185,16 @@ def node_transactions(testbed: Testbed) -> DataFrame:
     def leg(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("txid").agg(F.collect_list("entry").alias(name))
 
+    def output(entry: Column) -> Column:
+        """Built after the rows are gathered, which are narrower."""
+        value, addresses = entry["vo_value"], entry["vo_pubkey"]
+        return F.struct(
+            value.alias("value"),
+            (value * 100000000).cast("bigint").alias("valueZat"),
+            entry["vo_tx_n"].alias("n"),
+            F.struct(F.when(F.size(addresses) > 0, addresses).alias("addresses")).alias("scriptPubKey"),
+        )
+
     return (
         testbed.transaction()
         .select(
@@ -205,4 +208,5 @@ def node_transactions(testbed: Testbed) -> DataFrame:
         .join(leg(inputs.unionByName(coinbases), "vin"), "txid", "left")
         .join(leg(outputs, "vout"), "txid", "left")
         .join(leg(joinsplits, "vjoinsplit"), "txid", "left")
+        .withColumn("vout", F.transform("vout", output))
     )
