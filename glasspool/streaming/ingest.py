@@ -27,6 +27,7 @@ from glasspool.operators.joins import reshuffled
 from glasspool.operators.quality import block_listing, missing_transactions
 from glasspool.sources.node_json import BROKEN, flatten_blocks, flatten_legs, flatten_transactions, rejected
 from glasspool.streaming.state import rocksdb_state
+from glasspool.workspace import SMALLER, Workspace
 
 _FIRST = "none"
 _UNUSABLE = "_unusable"
@@ -74,7 +75,7 @@ def _written(documents: DataFrame, unusable: Column, path: str, kind: StructType
     A batch is computed once: its source is parsed and its state changed by this one write.
     """
     target = f"{path.rstrip('/')}/{folder}"
-    documents.withColumn(_UNUSABLE, unusable).drop(BROKEN).write.mode("overwrite").parquet(target)
+    documents.withColumn(_UNUSABLE, unusable).drop(BROKEN).write.mode("overwrite").parquet(target, compression=SMALLER)
     whole = StructType([*kind.fields, StructField(_UNUSABLE, BooleanType())])
     found = documents.sparkSession.read.schema(whole).parquet(target)
     if not found.filter(_UNUSABLE).isEmpty():
@@ -106,11 +107,11 @@ def append_batch(documents: DataFrame, batch: int, path: str, ingest: str = "0",
         target = f"{path.rstrip('/')}/_unseen/{part}"
         nested.dropDuplicates(["txid"]).join(
             reshuffled(others, "_key"), F.col("txid") == F.col("_key"), "left_anti"
-        ).write.mode("overwrite").parquet(target)
+        ).write.mode("overwrite").parquet(target, compression=SMALLER)
         unseen = spark.read.schema(schema.NODE_TRANSACTION).parquet(target)
     # the transactions come last: they are what later batches are compared with
     for table, rows in {**flatten_legs(unseen), "transaction": flatten_transactions(unseen)}.items():
-        rows.write.mode("overwrite").parquet(f"{_folder(path, table)}/{part}")
+        rows.write.mode("overwrite").parquet(f"{_folder(path, table)}/{part}", compression=SMALLER)
 
 
 def _ingest_id(checkpoint: str) -> str:
@@ -125,7 +126,9 @@ def append_blocks(documents: DataFrame, batch: int, path: str, ingest: str = "0"
     nested = _written(documents, _unusable_block(), path, schema.NODE_BLOCK, f"_blocks/{part}")
     others = _others(spark, path, "block", "b_hash", batch, ingest, known)
     unseen = nested.dropDuplicates(["hash"]).join(reshuffled(others, "_key"), F.col("hash") == F.col("_key"), "left_anti")
-    flatten_blocks(unseen).write.mode("overwrite").parquet(f"{_folder(path, 'block')}/{part}")
+    flatten_blocks(unseen).write.mode("overwrite").parquet(
+        f"{_folder(path, 'block')}/{part}", compression=SMALLER
+    )
 
 
 def _unusable_block() -> Column:
@@ -160,6 +163,20 @@ def start_block_ingest(
     return _start(spark, source, path, checkpoint, files_per_batch, "block", schema.NODE_BLOCK, "hash", _unusable_block(), append_blocks)
 
 
+def narrowed(documents: DataFrame) -> DataFrame:
+    """Transaction documents without the fields of outputs and joinsplits that nothing stores: they need not be shuffled."""
+    if "vout" not in documents.columns:
+        return documents
+    dropped = [field.name for field in documents.schema["vjoinsplit"].dataType.elementType.fields]
+    dropped = [name for name in dropped if name not in ("vpub_old", "vpub_new")]
+    return documents.withColumns(
+        {
+            "vout": F.transform("vout", lambda entry: entry.dropFields("valueZat")),
+            "vjoinsplit": F.transform("vjoinsplit", lambda entry: entry.dropFields(*dropped)) if dropped else F.col("vjoinsplit"),
+        }
+    )
+
+
 def _start(spark, source, path, checkpoint, files_per_batch, table, kind, key, unusable, append) -> StreamingQuery:
     if not _exists(spark, path):
         _prepare(spark, path)
@@ -172,7 +189,8 @@ def _start(spark, source, path, checkpoint, files_per_batch, table, kind, key, u
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # a usable document is never hidden by one that is not
-    fresh = reader.json(source).withColumn(_UNUSABLE, unusable).dropDuplicates([key, _UNUSABLE]).drop(_UNUSABLE)
+    found = narrowed(reader.json(source).withColumn(_UNUSABLE, unusable))
+    fresh = found.dropDuplicates([key, _UNUSABLE]).drop(_UNUSABLE)
     with rocksdb_state(spark):
         return (
             fresh.writeStream.foreachBatch(lambda rows, batch: append(rows, batch, path, ingest, known=True))
@@ -201,7 +219,8 @@ def resolved_legs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The stored tables with inputs resolved and joinsplits enriched, and with an invalid row for each
     transaction that a block names but no document describes."""
     tables = {name: stored(spark, path, name).drop("ingest", "batch") for name in _KINDS}
-    vin = resolve_inputs(tables["vin"], tables["vout"])
+    # written, because both the inputs and the address sets read it
+    vin = Workspace.of(spark).store(resolve_inputs(tables["vin"], tables["vout"]), compression=SMALLER)
     vjoinsplit = with_joinsplit_addresses(tables["vjoinsplit"], vin, tables["vout"])
     absent = missing_transactions(block_listing(tables["block"]), tables["transaction"])
     transaction = tables["transaction"].unionByName(absent)
